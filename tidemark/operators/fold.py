@@ -17,9 +17,10 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemark.session import scratch_path
@@ -35,6 +36,9 @@ class Fold:
     inputs: tuple[str, ...] = ()
     outputs: str = ""
 
+    def output_names(self) -> list[str]:
+        return [field.split()[0] for field in self.outputs.split(",")]
+
     def start(self) -> dict:
         raise NotImplementedError
 
@@ -51,25 +55,25 @@ class _Slice:
     state: str
 
 
-def _fold_slices(fold: Fold, keys: Sequence[str], names: Sequence[str], incoming: dict[int, str] | None):
+def _fold_slices(fold: Fold, keys: Sequence[str], schema: pa.Schema, incoming: dict[int, str] | None):
     """Partition function: rows sorted by (slice, key, order) in, rows with outputs and one trailer per slice out."""
-    inputs, out_names = list(fold.inputs), names
+    out_fields = [schema.field(i) for i in range(len(schema)) if schema.field(i).name in fold.output_names()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, key, first_key, groups, state = None, None, None, 0, {}
 
-        def trailer() -> pd.DataFrame:
-            record = {"first": json.dumps(first_key), "last": json.dumps(key), "keys": groups, "state": json.dumps(state, sort_keys=True)}
-            return pd.DataFrame({"_slice": [current], "_trailer": [json.dumps(record)]})
+        def trailer() -> pa.RecordBatch:
+            record = {"first": json.dumps(first_key), "last": json.dumps(key), "keys": groups,
+                      "state": json.dumps(state, sort_keys=True)}
+            filled = {"_slice": current, "_trailer": json.dumps(record)}
+            return pa.RecordBatch.from_arrays(
+                [pa.array([filled.get(f.name)], f.type) for f in schema], schema=schema)
 
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            slices = pdf["_slice"].tolist()
-            row_keys = list(zip(*[pdf[c].tolist() for c in keys]))
-            columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in inputs]
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023,E731
             results, group_no, done = [], [], []
-            for s, k, *values in zip(slices, row_keys, *columns):
+            row_keys = zip(*[column(c) for c in keys])
+            for s, k, *values in zip(column("_slice"), row_keys, *[column(c) for c in fold.inputs]):
                 if s != current:
                     if current is not None:
                         done.append(trailer())
@@ -80,24 +84,16 @@ def _fold_slices(fold: Fold, keys: Sequence[str], names: Sequence[str], incoming
                     key, state, groups = k, fold.start(), groups + 1
                 results.append(fold.step(state, *values))
                 group_no.append(groups - 1)
-            out = pdf.copy()
-            for i, name in enumerate(out_names):
-                out[name] = pd.Series([r[i] for r in results], index=out.index, dtype=object)
-            out["_group"] = group_no
-            out["_trailer"] = None
-            yield out
+            if not results:
+                continue
+            outputs = [pa.array(list(values), f.type) for f, values in zip(out_fields, zip(*results))]
+            extra = [pa.array(group_no, pa.int32()), pa.nulls(len(results), pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *outputs, *extra], schema=schema)
             yield from done
         if current is not None:
             yield trailer()
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = None
-        for pdf in run(batches):
-            if order is None:
-                order = list(pdf.columns)
-            yield pdf.reindex(columns=order)
-
-    return aligned
+    return run
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
@@ -105,7 +101,6 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
     """Rows of `df` with the outputs of `fold`, folded per key in the given (total) order."""
     spark = df.sparkSession
     out_fields = StructType.fromDDL(fold.outputs).fields
-    out_names = [f.name for f in out_fields]
     sort = [F.col(c) for c in (*keys, *order)]
     ranged = df.repartitionByRange(slices, *sort) if slices else df.repartitionByRange(*sort)
     ranged = ranged.sortWithinPartitions(*sort).withColumn("_slice", F.spark_partition_id())
@@ -114,9 +109,11 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         *[StructField(f.name, f.dataType) for f in ranged.schema.fields], *out_fields,
         StructField("_group", IntegerType()), StructField("_trailer", StringType())])
 
+    arrow_schema = to_arrow_schema(schema)
+
     def folded(rows: DataFrame, incoming: dict[int, str] | None) -> tuple[DataFrame, dict[int, _Slice]]:
         path = scratch_path(spark, "fold")
-        rows.mapInPandas(_fold_slices(fold, keys, out_names, incoming), schema).write.parquet(path)
+        rows.mapInArrow(_fold_slices(fold, keys, arrow_schema, incoming), schema).write.parquet(path)
         table = spark.read.schema(schema).parquet(path)
         found = {}
         for row in table.where("_trailer is not null").select("_slice", "_trailer").toLocalIterator():
@@ -144,7 +141,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
             if ends[index].keys == 1:
                 ends[index] = found[index]
 
-    columns = [*df.columns, *out_names]
+    columns = [*df.columns, *fold.output_names()]
     if not fixed_in:
         return base.select(*columns)
     result = base.where(~(F.col("_slice").isin(*fixed_in) & (F.col("_group") == 0))).select(*columns)

@@ -411,8 +411,8 @@ fold AS (
          CASE WHEN outcome = 'RELEASED' THEN moved = held END,
          CASE WHEN outcome = 'RESERVED' THEN list_append(live, {{'u': ts_ms + 86400000, 'h': hold_id, 'n': quantity}})
               WHEN outcome = 'RELEASED' THEN list_filter(
-                list_transform(live, x -> CASE WHEN x.h = hold_id THEN {{'u': x.u, 'h': x.h, 'n': x.n - moved}} ELSE x END),
-                x -> x.n > 0)
+                list_transform(live, lambda x: CASE WHEN x.h = hold_id THEN {{'u': x.u, 'h': x.h, 'n': x.n - moved}} ELSE x END),
+                lambda x: x.n > 0)
               ELSE live END
   FROM (SELECT *, CASE WHEN outcome = 'RESERVED' THEN quantity
                        WHEN outcome = 'RELEASED' THEN CASE WHEN quantity IS NULL OR quantity < 1 THEN held
@@ -421,9 +421,9 @@ fold AS (
                              WHEN held IS NULL THEN 'UNKNOWN_RESERVATION' ELSE 'RELEASED' END AS outcome
               FROM (SELECT o.store_id, o.sku_id, o.rn, o.kind, o.hold_id, o.ts_ms, o.quantity, l.live,
                            CAST(o.on_hand - coalesce(list_sum([x.n for x in l.live]), 0) AS INTEGER) AS free,
-                           list_filter(l.live, x -> x.h = o.hold_id)[1].n AS held
+                           list_filter(l.live, lambda x: x.h = o.hold_id)[1].n AS held
                     FROM fold f JOIN ord o ON o.store_id = f.store_id AND o.sku_id = f.sku_id AND o.rn = f.rn + 1,
-                    LATERAL (SELECT list_filter(f.holds, x -> x.u >= o.ts_ms) AS live) l)))),
+                    LATERAL (SELECT list_filter(f.holds, lambda x: x.u >= o.ts_ms) AS live) l)))),
 outcomes AS (
   SELECT store_id, sku_id, kind, hold_id, ts_ms, outcome, moved, CAST(available AS INTEGER) AS available, fully_released
   FROM fold WHERE rn > 0
