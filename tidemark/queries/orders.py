@@ -470,9 +470,9 @@ def stock_expiry(t: Tables) -> DataFrame:
 
 @query("idempotent_requests", q.with_("""
 SELECT key, request_id, status, original_order_id FROM fold WHERE rn > 0""", """
-req AS (SELECT 'K-' || user_id AS key, event_id AS request_id, epoch_ms(ts) AS ts_ms,
+req AS (SELECT 'K-' || user_id AS key, event_id AS request_id, epoch_us(ts) // 1000 AS ts_ms,
                event_type IN ('signup', 'purchase') AS ok, 'ORD-' || event_id AS oid,
-               row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+               row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS rn FROM events),
 fold AS (
   SELECT DISTINCT key, CAST(NULL AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS rn, 0 AS status,
          CAST(NULL AS VARCHAR) AS original_order_id, CAST(NULL AS BIGINT) AS until, CAST(NULL AS VARCHAR) AS held FROM req

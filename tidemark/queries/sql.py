@@ -106,7 +106,7 @@ event_changes AS (
          CASE WHEN event_type IN ('purchase', 'signup') THEN 'oms_order' ELSE 'oms_order_line' END AS tbl,
          CASE event_type WHEN 'purchase' THEN 'c' WHEN 'view' THEN 'c' WHEN 'signup' THEN 'r' WHEN 'click' THEN 'u'
               ELSE 'd' END AS op,
-         CASE WHEN event_id % 103 <> 0 THEN epoch_ms(ts) END AS ts_ms,
+         CASE WHEN event_id % 103 <> 0 THEN epoch_us(ts) // 1000 END AS ts_ms,
          strftime(ts, '%Y%m%d') AS dt, user_id, event_id, value
   FROM events)"""
 
