@@ -14,14 +14,13 @@ from tidemark.queries import lake as lq
 from tidemark.queries import logs as lg
 from tidemark.queries import orders as oq
 from tidemark.queries import sql as q
-from tidemark.queries.registry import query
+from tidemark.queries.registry import ORACLES, query
 from tidemark.session import scratch_path
 from tidemark.sinks import store, tables
 from tidemark.sources.adapters import REPLAY_DATE, REPLAY_DT, Tables
 from tidemark.sources.bronze import bronze_scan
-from tidemark.sources.lake import lake_table
-from tidemark.streaming import claims as stream_claims_job
-from tidemark.streaming import jobs
+from tidemark.sources.lake import lake_table, metric_lines
+from tidemark.streaming import claims, jobs
 
 
 class StreamTables(Tables):
@@ -200,19 +199,13 @@ def stream_freshness(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "metrics")
     jobs.freshness_metrics(StreamTables(t, "events").event_changes(), out, scratch_path(t.spark, "checkpoint"),
                            clock_ms=lambda: 1_706_745_600_000, once=True).awaitTermination()
-    from tidemark.sources.lake import metric_lines
-
     return metric_lines(t.spark, out)
 
 
-from tidemark.queries.registry import ORACLES  # noqa: E402
-
-
 @query("stream_claims", ORACLES["idempotent_requests"])
 def stream_claims(t: Tables) -> DataFrame:
     """Request claims with keyed state."""
     out = scratch_path(t.spark, "claims")
-    done = stream_claims_job.claim_requests(StreamTables(t, "events").api_requests())
-    done.writeStream.format("parquet").outputMode("append").option("path", out).option(
-        "checkpointLocation", scratch_path(t.spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    claims.write_claims(StreamTables(t, "events").api_requests(), out, scratch_path(t.spark, "checkpoint"),
+                        once=True).awaitTermination()
     return t.spark.read.parquet(out)
