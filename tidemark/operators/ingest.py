@@ -16,7 +16,6 @@ EVENT_SCHEMA = (
     "audit struct<sourceSystem:string,correlationId:string>, "
     "lines array<struct<skuId:string,quantity:int,unitPriceMinor:bigint,currency:string>>"
 )
-LINE_PRESENCE = "lines array<map<string,string>>"
 TOMBSTONE, POISON, STORED, REPLAY = "TOMBSTONE", "POISON", "STORED", "REPLAY"
 BUSINESS_KEY = ("source_system", "external_order_ref")
 ARRIVAL = ("timestamp", "partition", "offset")
@@ -56,16 +55,15 @@ def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     wins: blank, not JSON, not an object, business keys, then lines by position.
     """
     parsed = records.select("*", F.inline(F.array(F.struct(
-        F.from_json(value, EVENT_SCHEMA).alias("event"),
-        F.from_json(value, LINE_PRESENCE)["lines"].alias("present"),
-        F.schema_of_variant(F.try_parse_json(value)).alias("kind"),
-    ))).alias("_event", "_present", "_kind"))
+        F.from_json(value, EVENT_SCHEMA).alias("event"), F.from_json(value, "map<string,string>").alias("top"),
+    ))).alias("_event", "_top"))
+    present = F.from_json(F.col("_top")["lines"], "array<map<string,string>>")
     e = lambda f: F.col(f"_event.{f}")
     no_offers = F.array().cast("array<struct<skuId:string,amountMinor:bigint,currency:string>>")
     offers = F.coalesce(e("unitPrices"), no_offers)
-    lines = F.zip_with(e("lines"), F.col("_present"), lambda line, present: _resolved_line(line, present, offers))
+    lines = F.zip_with(e("lines"), present, lambda line, present: _resolved_line(line, present, offers))
     staged = parsed.select(
-        *records.columns, "_kind",
+        *records.columns, F.col("_top").isNotNull().alias("_object"),
         e("orderId").alias("order_id"), e("externalOrderRef").alias("external_order_ref"),
         e("audit.sourceSystem").alias("source_system"), e("storeId").alias("store_id"), e("region").alias("region"),
         e("customerRef").alias("customer_ref"), e("channel").alias("channel"), e("status").alias("status"),
@@ -76,13 +74,13 @@ def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     reason = (
         F.when(F.col(value).isNull(), F.lit(None).cast("string"))
         .when(is_blank(F.col(value)), "event payload is null or blank")
-        .when(F.col("_kind").isNull(), "event payload is not valid JSON")
-        .when(~F.col("_kind").startswith("OBJECT"), "event payload is not a JSON object")
+        .when(~F.col("_object") & F.try_parse_json(value).isNull(), "event payload is not valid JSON")
+        .when(~F.col("_object"), "event payload is not a JSON object")
         .when(is_blank(F.col("order_id")) | is_blank(F.col("external_order_ref")) | is_blank(F.col("source_system")),
               "event is missing required business key(s): orderId, externalOrderRef, audit.sourceSystem")
         .otherwise(F.try_element_at(line_reasons, F.lit(1)))
     )
-    return staged.withColumn("reason", reason).drop("_kind")
+    return staged.withColumn("reason", reason).drop("_object")
 
 
 def routed(events: DataFrame, value: str = "value") -> DataFrame:

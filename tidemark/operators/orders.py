@@ -22,12 +22,6 @@ ORDER_KEYS = ("externalOrderRef", "sourceSystem", "storeId", "channel", "custome
 LINE_KEYS = ("skuId", "quantity")
 AUDIT_KEYS = ("sourceSystem", "receivedAt", "correlationId")
 
-CANONICAL_SCHEMA = (
-    "externalOrderRef string, sourceSystem string, storeId string, channel string, customerRef string, "
-    "lines array<struct<skuId:string,quantity:string>>, "
-    "audit struct<sourceSystem:string,receivedAt:string,correlationId:string>"
-)
-
 
 def _text(value: Column, path: str, required: bool = True, minimum: int = 1) -> list[Column]:
     found = [F.when(value.isNull(), F.lit(f"{path}: required"))] if required else []
@@ -48,15 +42,13 @@ def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
     Checked are required fields, lengths, patterns, enums, 1 to 50 lines, quantities 1 to 999, the
     receive time and unknown fields at every level.
     """
-    o = "_o"
-    parsed = df.select("*", F.inline(F.array(F.struct(
-        F.from_json(value, CANONICAL_SCHEMA).alias("order"),
-        F.from_json(value, "map<string,string>").alias("top"),
-        F.from_json(F.get_json_object(value, "$.lines"), "array<map<string,string>>").alias("rows"),
-        F.from_json(F.get_json_object(value, "$.audit"), "map<string,string>").alias("stamp"),
-    ))).alias(o, "_top", "_rows", "_stamp"))
-    c = lambda f: F.col(f"{o}.{f}")
-    lines, audit = c("lines"), c("audit")
+    text = "map<string,string>"
+    parsed = df.select("*", F.inline(F.array(F.struct(F.from_json(value, text).alias("top")))).alias("_top"))
+    parsed = parsed.select("*", F.inline(F.array(F.struct(
+        F.from_json(F.col("_top")["lines"], f"array<{text}>").alias("rows"),
+        F.from_json(F.col("_top")["audit"], text).alias("stamp")))).alias("_rows", "_stamp"))
+    c = lambda f: F.col("_top")[f]
+    lines, audit = F.col("_rows"), F.col("_stamp")
 
     def line_errors(line: Column, i: Column) -> Column:
         at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
@@ -71,6 +63,10 @@ def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
             F.when(number > MAX_QUANTITY, F.concat(at, F.lit(f".quantity: must be at most {MAX_QUANTITY}"))),
         ), lambda e: e.isNotNull())
 
+    def all_line_errors(line: Column, i: Column) -> Column:
+        at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
+        return F.concat(line_errors(line, i), _extra(F.map_keys(line), LINE_KEYS, at))
+
     single = [
         *_text(c("externalOrderRef"), "$.externalOrderRef"),
         *_text(c("sourceSystem"), "$.sourceSystem"),
@@ -91,15 +87,12 @@ def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
     empty = F.array().cast("array<string>")
     found = F.concat(
         F.filter(F.array(*single), lambda e: e.isNotNull()),
-        F.coalesce(F.flatten(F.transform(lines, line_errors)), empty),
+        F.coalesce(F.flatten(F.transform(lines, all_line_errors)), empty),
         F.coalesce(_extra(F.map_keys("_top"), ORDER_KEYS, F.lit("$")), empty),
         F.coalesce(_extra(F.map_keys("_stamp"), AUDIT_KEYS, F.lit("$.audit")), empty),
-        F.coalesce(F.flatten(F.transform("_rows", lambda m, i: _extra(
-            F.map_keys(m), LINE_KEYS, F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))))), empty),
     )
-    not_json = F.col("_top").isNull() | F.expr(f"try_parse_json({value})").isNull()
-    errors = F.when(not_json, F.array(F.lit("request body is not valid JSON"))).otherwise(F.array_sort(found))
-    return parsed.withColumn("errors", errors).drop(o, "_top", "_rows", "_stamp")
+    errors = F.when(F.col("_top").isNull(), F.array(F.lit("request body is not valid JSON"))).otherwise(F.array_sort(found))
+    return parsed.withColumn("errors", errors).drop("_top", "_rows", "_stamp")
 
 
 # Order fault codes in the order they are checked.

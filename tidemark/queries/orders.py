@@ -11,7 +11,7 @@ from tidemark.functions.text import idempotency_key
 from tidemark.operators import claims, events, ingest, latest, orders, sequence, stock
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
-from tidemark.sources.adapters import Tables, padded
+from tidemark.sources.adapters import Tables, materialized, padded
 
 KNOWN_STORES_SQL = "('ST-CA-01','ST-CA-02','ST-CA-03','ST-SG-01','ST-SG-02','ST-SG-03','ST-CN-01','ST-CN-02')"
 
@@ -158,7 +158,8 @@ def canonical_requests(t: Tables) -> DataFrame:
         .alias("storeId"),
         F.when(f == 4, "FAX").otherwise("POS").alias("channel"),
         lines.alias("lines"), F.when(f != 9, stamp).alias("audit"), F.when(f == 11, F.lit(5)).alias("amount"))
-    return t.line_versions().select("order_id", F.when(f == 13, "{oops").otherwise(F.to_json(body)).alias("value"))
+    value = F.when(f == 13, "{oops").otherwise(F.to_json(body))
+    return materialized(t.line_versions(), value=value).select("order_id", "value")
 
 
 @query("canonical_validation", q.with_("""

@@ -44,6 +44,11 @@ def replay_ms(ts: Column) -> Column:
     return F.lit(REPLAY_MS).cast("bigint") + days.cast("bigint") * 1000
 
 
+def materialized(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add computed columns behind a generator, so that each is computed once however often it is read."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 class Tables:
     """The given tables of one folder, and the retail frames derived from them."""
 
@@ -54,12 +59,21 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A table for costly work per row: one that comes in fewer splits than there are cores is spread.
+
+        Tables of a realistic size have more splits than cores and are left as they are.
+        """
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
     # ---------------------------------------------------------------- orders
 
     def order_base(self) -> DataFrame:
         """orders ⋈ customer ⋈ nation with the retail region and currency."""
         return (
-            self.table("orders")
+            self.wide("orders")
             .join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation").select("n_nationkey", "n_regionkey"),
                   F.col("c_nationkey") == F.col("n_nationkey"))
@@ -129,7 +143,7 @@ class Tables:
         part = self.table("part").select("p_partkey", "p_retailprice")
         flag = F.col("l_returnflag")
         return (
-            self.table("lineitem")
+            self.wide("lineitem")
             .join(base, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .select(
@@ -187,12 +201,13 @@ class Tables:
             op.alias("op"),
             ts_ms.alias("ts_ms"),
         )
-        return self.table("events").select(
+        value = F.when(eid % 97 != 0, F.to_json(body, {"ignoreNullFields": "false"}))
+        return materialized(self.wide("events"), value_=value).select(
             F.lit(CDC_TOPIC).alias("topic"),
             (F.col("user_id") % 4).cast("int").alias("partition"),
             eid.alias("offset"),
             F.col("ts").cast("timestamp").alias("timestamp"),
-            F.when(eid % 97 != 0, F.to_json(body, {"ignoreNullFields": "false"})).alias("value"),
+            F.col("value_").alias("value"),
         )
 
     # ---------------------------------------------------------- order events
@@ -246,9 +261,9 @@ class Tables:
             F.when(fault == 0, F.lit(None).cast("string")).when(fault == 1, "{not json").when(fault == 10, "   ")
             .when(fault == 11, "[1]").otherwise(text)
         )
-        return rows.select(
+        return materialized(rows, value=value).select(
             F.lit(ORDERS_TOPIC).alias("topic"), "partition", "offset",
-            F.timestamp_millis("source_ts_ms").alias("timestamp"), value.alias("value"))
+            F.timestamp_millis("source_ts_ms").alias("timestamp"), "value")
 
     # ------------------------------------------------------------------ logs
 
@@ -379,7 +394,6 @@ def envelope_frame(versions: DataFrame, fields: tuple[str, ...], table: str) ->
         F.col("op").alias("op"),
         F.col("source_ts_ms").alias("ts_ms"),
     )
-    return versions.select(
+    return materialized(versions, value=F.to_json(body, {"ignoreNullFields": "false"})).select(
         F.lit(CDC_TOPIC).alias("topic"), F.col("partition"), F.col("offset"), F.col("position"),
-        F.timestamp_millis("source_ts_ms").alias("timestamp"),
-        F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+        F.timestamp_millis("source_ts_ms").alias("timestamp"), "value")
