@@ -109,11 +109,13 @@ def test_status_zero_is_allowed_inside_a_window_only(spark):
 
 
 def test_orders_beyond_the_contract_are_parted(spark):
-    heads = spark.createDataFrame([("A",), ("B",), ("C",)], "order_id string")
-    lines = spark.range(51).select(F.lit("B").alias("order_id")).unionByName(
-        spark.createDataFrame([("A",)], "order_id string"))
-    fits, rest = events.within_contract(heads, lines)
-    assert [r.order_id for r in fits.collect()] == ["A"]
+    heads = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "order_id string")
+    rows = lambda oid, n: [(oid, i, f"SKU-{i}", 1, 5, "CAD") for i in range(n)]
+    lines = spark.createDataFrame(
+        rows("A", 1) + rows("B", 51) + rows("D", 50),
+        "order_id string, line_no int, sku_id string, quantity int, unit_price_minor bigint, currency string")
+    fits, rest = events.assemble(heads, lines)
+    assert {r.order_id: [x.line_no for x in r.lines] for r in fits.collect()} == {"A": [0], "D": list(range(50))}
     assert {(r.order_id, r.line_count) for r in rest.collect()} == {("B", 51), ("C", 0)}
 
 

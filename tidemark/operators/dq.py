@@ -183,6 +183,17 @@ def passing(df: DataFrame, pk: Sequence[str], found: DataFrame, key: Sequence[st
     return kept.join(bad, bar_key(*[F.col(c) for c in (key or pk)]) == F.col("_bad"), "left_anti")
 
 
+def passing_unique(df: DataFrame, pk: Sequence[str], complete: PredicateRule, ref: ReferentialRule) -> DataFrame:
+    """As `passing` for a table whose keys are unique by construction (silver after the latest-row step).
+
+    A key then has one row, so the row rules are plain filters and the reference is a semi-join: one
+    pass over the table, no second look at its keys.
+    """
+    kept = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk]) & complete.reason.isNull())
+    known = ref.parent.select(F.col(ref.parent_key).alias("_known")).where("_known is not null")
+    return kept.join(known, F.col(ref.fk) == F.col("_known"), "left_semi")
+
+
 def passing_keep_first(df: DataFrame, rule: UniqueRule, found_other: DataFrame) -> DataFrame:
     """As `passing`, but a duplicated key keeps its first row when no other rule hits the key."""
     position = F.struct(*[F.col(c) for c in rule.order])

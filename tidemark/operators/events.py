@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.masking import mask_customer_ref, needs_mask
@@ -16,25 +16,22 @@ DLQ_REQUIRED = ("eventType", "externalOrderRef", "sourceSystem", "storeId", "reg
                 "failedStep", "attempts", "errorCode", "category", "compensated", "releasedReservationIds", "occurredAt")
 
 
-def within_contract(orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Orders with 1 to 50 lines, and the rest.
+def assemble(orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders with 1 to 50 lines and their `lines` array in line order, and the rest with `line_count`.
 
-    The event of an order nests its lines. The order contract allows 50, so orders above it are
-    parted by a count first and are never collected into one row.
+    The event of an order nests its lines and the order contract allows 50. The rank limit drops line
+    51 and later of an order before the shuffle and again after it, so no array can grow beyond 51
+    entries; an array of 51 only tells that the order is over the contract, and it is parted whole.
     """
-    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n"))
-    counted = orders.join(counts, "order_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    fits = F.col("_n").between(1, MAX_LINES)
-    return counted.where(fits).drop("_n"), counted.where(~fits).withColumnRenamed("_n", "line_count")
-
-
-def assemble(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Orders with `lines`: their lines as an array in line order (`orders` from `within_contract`)."""
-    mine = lines.join(orders.select("order_id"), "order_id", "left_semi")
-    item = F.struct(F.col("line_no"), F.col("sku_id").alias("skuId"), F.col("quantity"),
+    first = Window.partitionBy("order_id").orderBy("line_no", "sku_id")
+    ranked = lines.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= MAX_LINES + 1)
+    item = F.struct(F.col("_rank"), F.col("line_no"), F.col("sku_id").alias("skuId"), F.col("quantity"),
                     F.col("unit_price_minor").alias("unitPriceMinor"), F.col("currency"))
-    nested = mine.groupBy("order_id").agg(F.sort_array(F.collect_list(item)).alias("lines"))
-    return orders.join(nested, "order_id")
+    nested = ranked.groupBy("order_id").agg(F.sort_array(F.collect_list(item)).alias("lines"))
+    joined = orders.join(nested, "order_id", "left").withColumn(
+        "_n", F.coalesce(F.size("lines"), F.lit(0)))
+    fits = F.col("_n").between(1, MAX_LINES)
+    return joined.where(fits).drop("_n"), joined.where(~fits).drop("lines").withColumnRenamed("_n", "line_count")
 
 
 def attempts_map(step_attempts: dict[str, Column]) -> Column:

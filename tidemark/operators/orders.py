@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,11 +134,13 @@ def first_fault(orders: DataFrame, lines: DataFrame, skus: DataFrame, known_stor
     winners = staged.where("_own is null").groupBy(*ref).agg(
         F.min(F.struct("received_at", "order_id")).alias("_win"))
     winners = winners.select(*[F.col(c).alias(f"_{c}") for c in ref], F.col("_win.order_id").alias("_winner"))
-    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in ref])
+    # A request that already failed has no winner to find; its own id spreads it over the join.
+    spread = F.when(F.col("_own").isNull(), F.col("external_order_ref")).otherwise(F.col("order_id"))
+    on = (F.col("source_system") == F.col("_source_system")) & (F.col("_ref") == F.col("_external_order_ref"))
     fault = F.coalesce(F.col("_own"), F.when(F.col("_winner") != F.col("order_id"), F.lit(DUPLICATE_REF)))
-    return staged.join(winners, on, "left").withColumn("fault", fault).withColumn(
+    return staged.withColumn("_ref", spread).join(winners, on, "left").withColumn("fault", fault).withColumn(
         "original_order_id", F.when(F.col("fault") == DUPLICATE_REF, F.col("_winner"))).drop(
-        "_own", "_winner", *[f"_{c}" for c in ref], "line_fault")
+        "_own", "_ref", "_winner", *[f"_{c}" for c in ref], "line_fault")
 
 
 def price_lines(lines: DataFrame, skus: DataFrame) -> DataFrame:

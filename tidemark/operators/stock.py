@@ -14,13 +14,15 @@ HOLD_MS = 24 * 3600 * 1000
 class StockFold(Fold):
     """Reserve and release on one store and SKU; the state is the list of open holds."""
 
-    inputs = ("kind", "hold_id", "ts_ms", "quantity", "on_hand")
+    inputs = ("kind", "hold_id", "ts_ms", "quantity", "on_hand", "rejected")
     outputs = "outcome string, moved int, available int, fully_released boolean"
 
     def start(self) -> dict:
         return {"holds": {}}
 
-    def step(self, state, kind, hold_id, ts_ms, quantity, on_hand):
+    def step(self, state, kind, hold_id, ts_ms, quantity, on_hand, rejected=None):
+        if rejected is not None:
+            return rejected, 0, None, None
         live = {h: v for h, v in state["holds"].items() if v[0] >= ts_ms}
         state["holds"] = live
         free = int(on_hand) - sum(v[1] for v in live.values())
@@ -66,12 +68,8 @@ def allocate(requests: DataFrame, stock: DataFrame, known_store: Column, slices:
     RELEASED, UNKNOWN_RESERVATION, UNKNOWN_STORE, UNKNOWN_SKU, BAD_QUANTITY.
     """
     checked = attach_stock(requests, stock, known_store)
-    refused = checked.where(F.col("rejected").isNotNull()).withColumn("outcome", F.col("rejected")).withColumn(
-        "moved", F.lit(0)).withColumn("available", F.lit(None).cast("int")).withColumn(
-        "fully_released", F.lit(None).cast("boolean"))
-    valid = checked.where(F.col("rejected").isNull())
-    done = ordered_fold(valid, ("store_id", "sku_id"), ("ts_ms", "kind", "seq"), StockFold(), slices)
-    return done.unionByName(refused).drop("rejected")
+    order = ("ts_ms", "kind", "seq")
+    return ordered_fold(checked, ("store_id", "sku_id"), order, StockFold(), slices).drop("rejected")
 
 
 def release_targets(releases: DataFrame, reserves: DataFrame) -> DataFrame:

@@ -15,9 +15,6 @@ from tidemark.sources.adapters import REPLAY_DATE, REPLAY_DT, Tables
 
 DATE_KEY = int(REPLAY_DT)
 
-_DECODED = ("op, table_name, source_ts_ms, order_id, has_after, has_before, count(*) AS n")
-
-
 @query("bronze_envelope_decode", q.with_("""
 SELECT op, 'oms_order_line' AS table_name, region, CAST(count(*) AS BIGINT) AS n_rows,
        min(source_ts_ms) AS first_ts_ms, max(source_ts_ms) AS last_ts_ms,
@@ -245,12 +242,13 @@ def passed_pair(t: Tables) -> tuple[DataFrame, DataFrame]:
     orders, lines = silver_pair(t)
     ref = dq.ReferentialRule(dq.FACT_ORDERS, ("order_id",), dq.REFERENTIAL, "store_id", "dim_store", known_stores(t),
                              "store_id")
-    found = dq.violations(orders, [dq.order_complete(), ref])
-    good = dq.passing(orders, ["order_id"], found)
-    line_ref = dq.ReferentialRule(dq.FACT_LINES, ("order_id", "line_no"), dq.REFERENTIAL, "order_id", dq.FACT_ORDERS,
-                                  good, "order_id")
-    found_lines = dq.violations(lines, [dq.line_complete(), line_ref])
-    return good, dq.passing(lines, ["order_id", "line_no"], found_lines)
+    good = dq.passing_unique(orders, ["order_id"], dq.order_complete(), ref)
+    return good, dq.passing_unique(lines, ["order_id", "line_no"], dq.line_complete(), line_reference(good))
+
+
+def line_reference(orders: DataFrame) -> dq.ReferentialRule:
+    return dq.ReferentialRule(dq.FACT_LINES, ("order_id", "line_no"), dq.REFERENTIAL, "order_id", dq.FACT_ORDERS,
+                              orders, "order_id")
 
 
 GOOD = """
@@ -295,9 +293,7 @@ def gold_dim_date(t: Tables) -> DataFrame:
 def recon_frames(t: Tables, phantom: bool = False) -> DataFrame:
     """Per-currency comparison of the order system against gold built from the change stream."""
     silver_o, silver_l = silver_pair(t)
-    line_ref = dq.ReferentialRule(dq.FACT_LINES, ("order_id", "line_no"), dq.REFERENTIAL, "order_id", dq.FACT_ORDERS,
-                                  silver_o, "order_id")
-    lines = dq.passing(silver_l, ["order_id", "line_no"], line_ref.violations(silver_l))
+    lines = dq.passing_unique(silver_l, ["order_id", "line_no"], dq.line_complete(), line_reference(silver_o))
     day_orders = recon.source_day(t.oms_orders(), REPLAY_DATE)
     if phantom:
         extra = t.spark.range(1).select(

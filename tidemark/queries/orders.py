@@ -281,8 +281,7 @@ def live_lines(t: Tables) -> DataFrame:
 
 def assembled_orders(t: Tables) -> DataFrame:
     heads = t.order_rows().withColumn("customer_ref", F.col("customer_ref_clear"))
-    fits, _ = events.within_contract(heads, live_lines(t))
-    ready = events.assemble(fits, live_lines(t))
+    ready, _ = events.assemble(heads, live_lines(t))
     return ready.withColumn("attempts", events.attempts_map(
         {"order": F.lit(1), "reserve": F.size("lines"), "pricing": (F.col("o_orderkey") % 3 + 1).cast("int")}))
 

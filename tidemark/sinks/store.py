@@ -17,7 +17,9 @@ def stored_events(spark: SparkSession, path: str, without_batch: int | None = No
     """Committed events (an order with its lines per row), or None before the first commit."""
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return table if without_batch is None else table.where(F.col("batch_id") != str(without_batch))
 
