@@ -198,3 +198,10 @@ def test_star_has_five_tables(spark):
     assert {k: v.count() for k, v in star.items()} == dict.fromkeys(
         ("fact_orders", "fact_order_lines", "dim_sku", "dim_store", "dim_date"), 1)
     assert tuple(star["dim_date"].first()) == (20260912, DAY, 6, "20260912")
+
+
+def test_calendar_rows(spark):
+    from tidemark.sources.lake import date_rows
+
+    got = gold.dim_dates(date_rows(spark, "2026-12-30", "2027-01-02")).collect()
+    assert [(r.date_key, r.day_of_week) for r in got] == [(20261230, 3), (20261231, 4), (20270101, 5), (20270102, 6)]

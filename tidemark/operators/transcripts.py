@@ -25,7 +25,7 @@ class Window:
     name: str = "affected"
 
 
-def _ts(text: str, like: Column) -> Column:
+def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
@@ -33,13 +33,13 @@ def inside(ts: Column, windows: Sequence[Window]) -> Column:
     """True inside any of the declared windows (a short list from the command line, so literals)."""
     out = F.lit(False)
     for w in windows:
-        out = out | ts.between(_ts(w.start, ts), _ts(w.end, ts))
+        out = out | ts.between(_ts(w.start), _ts(w.end))
     return out
 
 
 def window_tag(ts: Column, window: Window) -> Column:
     """before, affected or after."""
-    return F.when(ts < _ts(window.start, ts), "before").when(ts > _ts(window.end, ts), "after").otherwise(window.name)
+    return F.when(ts < _ts(window.start), "before").when(ts > _ts(window.end), "after").otherwise(window.name)
 
 
 def tag_by_table(rows: DataFrame, windows: DataFrame, ts: str = "ts") -> DataFrame:
@@ -124,7 +124,7 @@ def window_split(transcript: DataFrame, window: Window) -> DataFrame:
 
 def recovery(transcript: DataFrame, healed: str) -> DataFrame:
     """First 201 probe after the heal and the whole seconds it took; nulls when there is none."""
-    ok = (F.col("kind") == "probe") & (F.col("status") == 201) & (F.col("ts") > _ts(healed, F.col("ts")))
+    ok = (F.col("kind") == "probe") & (F.col("status") == 201) & (F.col("ts") > _ts(healed))
     first = transcript.where(ok).agg(F.min("ts").alias("first_ok"))
     seconds = F.unix_timestamp(F.col("first_ok").cast("timestamp")) - F.unix_timestamp(
         F.lit(healed).cast("timestamp"))

@@ -75,8 +75,8 @@ def silver_gold_roundtrip(t: Tables) -> DataFrame:
 def landed_lake(t: Tables) -> Lake:
     """A lake whose bronze holds the order and line changes of the replayed day."""
     lake = Lake(scratch_path(t.spark, "lake"))
-    for changes in (t.order_changes(), t.line_changes()):
-        tables.land(landing.bronze_rows(landing.strict(landing.route(changes)), "attempt-1"), lake.bronze)
+    changes = t.order_changes().unionByName(t.line_changes())
+    tables.land(landing.bronze_rows(landing.strict(landing.route(changes)), "attempt-1"), lake.bronze)
     return lake
 
 

@@ -11,7 +11,8 @@ from tidemark.functions.text import idempotency_key
 from tidemark.operators import claims, events, ingest, latest, orders, sequence, stock
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
-from tidemark.sources.adapters import Tables, materialized, padded
+from tidemark.sources.adapters import REPLAY_MS, Tables, materialized, padded
+from tidemark.sources.lake import price_list
 
 KNOWN_STORES_SQL = "('ST-CA-01','ST-CA-02','ST-CA-03','ST-SG-01','ST-SG-02','ST-SG-03','ST-CN-01','ST-CN-02')"
 
@@ -76,6 +77,21 @@ def price_convert(t: Tables) -> DataFrame:
         money.convert_from_cad(F.col("base_price_cad_minor"), F.col("currency")).alias("unit_price_minor"))
 
 
+@query("price_by_list", q.with_(f"""
+SELECT {q.padded('PART-', 'p_partkey', 9)} AS sku_id, c.currency, 'STD-2026' AS price_list_code,
+       '2026-12-31' AS valid_until, {_convert(q.minor('p_retailprice'), 'c.currency')} AS unit_price_minor
+FROM part, (VALUES ('CAD'), ('SGD'), ('CNY')) c(currency)""", "one AS (SELECT 1)"))
+def price_by_list(t: Tables) -> DataFrame:
+    """The same prices by joining the price list, one row per currency, valid on a day."""
+    skus = catalog(t).withColumn("currency", F.explode(F.array(*[F.lit(c) for c in money.FX_FROM_CAD])))
+    day = F.lit("2026-06-30").cast("date")
+    prices = price_list(t.spark).where(day.between(F.col("effective_from"), F.col("valid_until")))
+    return skus.join(prices, "currency").select(
+        "sku_id", "currency", "price_list_code", F.date_format("valid_until", "yyyy-MM-dd").alias("valid_until"),
+        F.round(F.col("base_price_cad_minor").cast("decimal(20,0)") * F.col("factor"), 0).cast("bigint")
+        .alias("unit_price_minor"))
+
+
 @query("order_pricing", q.with_(f"""
 SELECT order_id, currency, CAST(sum({_convert('unit_price_minor', 'currency')} * quantity) AS BIGINT)
          AS total_amount_minor, CAST(count(*) AS BIGINT) AS line_count
@@ -270,6 +286,27 @@ def oms_order_store(t: Tables) -> DataFrame:
         "kafka_partition", "kafka_offset", F.unix_millis("ingested_at").alias("ingested_at_ms"))
 
 
+CUT_MS = REPLAY_MS + 2_500_000
+
+
+@query("replay_split", q.with_(f"""
+SELECT 'WEB_STORE_' || region AS source_system, CAST(count(*) FILTER (known) AS BIGINT) AS replays,
+       CAST(count(*) FILTER (NOT known) AS BIGINT) AS fresh
+FROM (SELECT o.region, EXISTS (SELECT 1 FROM ok s WHERE s.source_ts_ms < {CUT_MS} AND s.region = o.region
+                               AND s.ref = o.ref) AS known FROM ok o WHERE o.source_ts_ms >= {CUT_MS}) GROUP BY 1""",
+                               *q.LINES, EVENTS_SQL))
+def replay_split(t: Tables) -> DataFrame:
+    """Later events against the store of the earlier ones: replays by semi-join, fresh ones by anti-join."""
+    good = ingest.routed(ingest.parse_events(t.order_events())).where("route = 'OK'")
+    cut = F.timestamp_millis(F.lit(CUT_MS))
+    stored = ingest.first_events(good.where(F.col("timestamp") < cut)).select(*ingest.BUSINESS_KEY)
+    late = good.where(F.col("timestamp") >= cut).select(*ingest.BUSINESS_KEY)
+    tagged = ingest.replays(late, stored).withColumn("known", F.lit(True)).unionByName(
+        ingest.not_stored(late, stored).withColumn("known", F.lit(False)))
+    return tagged.groupBy("source_system").agg(
+        F.count_if("known").alias("replays"), F.count_if(~F.col("known")).alias("fresh"))
+
+
 # ---------------------------------------------------------------------------------------- events
 
 def live_lines(t: Tables) -> DataFrame:
@@ -466,6 +503,18 @@ def stock_expiry(t: Tables) -> DataFrame:
     return stock.expired_holds(allocation(t), 2_000_000_000_000)
 
 
+@query("stock_release_targets", q.with_("""
+SELECT CASE WHEN hold_id NOT LIKE 'none-%' THEN store_id END AS store_id,
+       CASE WHEN hold_id NOT LIKE 'none-%' THEN sku_id END AS sku_id, CAST(count(*) AS BIGINT) AS releases
+FROM stock_requests WHERE kind = 'release' GROUP BY ALL""", *STOCK_CTES))
+def stock_release_targets(t: Tables) -> DataFrame:
+    """Releases that name only a hold, with the stock row of that hold; an unknown hold has none."""
+    requests = t.stock_requests()
+    named = requests.where("kind = 'release'").select("hold_id", "kind", "ts_ms", "quantity", "seq", "store_id", "sku_id")
+    return stock.release_targets(named, requests).groupBy("store_id", "sku_id").agg(
+        F.count(F.lit(1)).alias("releases"))
+
+
 # ---------------------------------------------------------------------------------------- claims
 
 @query("idempotent_requests", q.with_("""
