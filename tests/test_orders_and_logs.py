@@ -69,6 +69,8 @@ def canonical(**change):
     (canonical(audit={"sourceSystem": "", "receivedAt": "2026-01-01", "correlationId": "c", "y": 1}),
      ["$.audit.receivedAt: date-time expected", "$.audit.sourceSystem: must be at least 1 characters long",
       "$.audit.y: not allowed"]),
+    (canonical(lines=[{"skuId": "SKU-0001", "quantity": "5"}]), ["$.lines[0].quantity: integer expected"]),
+    (canonical(lines=[{"skuId": "SKU-0001", "quantity": 10 ** 12}]), ["$.lines[0].quantity: must be at most 999"]),
     ("{", ["request body is not valid JSON"]), ("[]", ["request body is not valid JSON"])])
 def test_canonical_errors(spark, value, errors):
     df = spark.createDataFrame([(value,)], "value string")

@@ -44,19 +44,20 @@ def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
     parsed = df.select("*", F.inline(F.array(F.struct(F.from_json(value, text).alias("top")))).alias("_top"))
     parsed = parsed.select("*", F.inline(F.array(F.struct(
         F.from_json(F.col("_top")["lines"], f"array<{text}>").alias("rows"),
-        F.from_json(F.col("_top")["audit"], text).alias("stamp")))).alias("_rows", "_stamp"))
+        F.from_json(F.col("_top")["lines"], "array<struct<quantity:bigint>>").alias("numbers"),
+        F.from_json(F.col("_top")["audit"], text).alias("stamp")))).alias("_rows", "_numbers", "_stamp"))
     c = lambda f: F.col("_top")[f]
     lines, audit = F.col("_rows"), F.col("_stamp")
 
     def line_errors(line: Column, i: Column) -> Column:
         at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
         sku, qty = line["skuId"], line["quantity"]
-        number = qty.try_cast("decimal(38,0)")
+        number = F.get("_numbers", i)["quantity"]  # null for anything but a JSON integer
         return F.filter(F.array(
             F.when(sku.isNull(), F.concat(at, F.lit(".skuId: required"))),
             F.when(~sku.rlike(SKU_PATTERN), F.concat(at, F.lit(".skuId: does not match the pattern"))),
             F.when(qty.isNull(), F.concat(at, F.lit(".quantity: required"))),
-            F.when(qty.isNotNull() & ~qty.rlike(r"^-?[0-9]+$"), F.concat(at, F.lit(".quantity: integer expected"))),
+            F.when(qty.isNotNull() & number.isNull(), F.concat(at, F.lit(".quantity: integer expected"))),
             F.when(number < 1, F.concat(at, F.lit(".quantity: must be at least 1"))),
             F.when(number > MAX_QUANTITY, F.concat(at, F.lit(f".quantity: must be at most {MAX_QUANTITY}"))),
         ), lambda e: e.isNotNull())
@@ -90,7 +91,7 @@ def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
         F.coalesce(_extra(F.map_keys("_stamp"), AUDIT_KEYS, F.lit("$.audit")), empty),
     )
     errors = F.when(F.col("_top").isNull(), F.array(F.lit("request body is not valid JSON"))).otherwise(F.array_sort(found))
-    return parsed.withColumn("errors", errors).drop("_top", "_rows", "_stamp")
+    return parsed.withColumn("errors", errors).drop("_top", "_rows", "_numbers", "_stamp")
 
 
 # Order fault codes in the order they are checked.
