@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, token_counts
+from tidemark.llm import exact_dedup, secrets, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,27 @@ def register(name: str, table: str = "documents", sql: str | None = None):
     return add
 
 
+@register("op5_warc", table="pages", sql="""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM h)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM g
+""")
+def op5(pages: DataFrame) -> DataFrame:
+    """Pages through WARC records in ZIP packages."""
+    return warc.round_trip(pages)
+
+
+@register("op6_secret_scan")
+def op6(docs: DataFrame) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scan(docs)
+
+
 @register("op7_exact_dedup", sql="""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                           'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
