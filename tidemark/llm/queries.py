@@ -7,19 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, secrets, token_counts, warc
+from tidemark.llm import exact_dedup, quality, secrets, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, table: str = "documents", sql: str | None = None):
-    """Register `build(frame)` over one whole table."""
+def register(name: str, table: str = "documents", *more: str, sql: str | None = None):
+    """Register `build(frame, ...)` over whole tables."""
 
-    def add(build: Callable[[DataFrame], DataFrame]):
+    def add(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
+            read = lambda name: configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+            return build(*map(read, (table, *more)))
 
         run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run
@@ -30,7 +31,7 @@ def register(name: str, table: str = "documents", sql: str | None = None):
     return add
 
 
-@register("op5_warc", table="pages", sql="""
+@register("op5_warc", "pages", sql="""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM h)
@@ -67,3 +68,9 @@ def op7(docs: DataFrame) -> DataFrame:
 def op8(docs: DataFrame) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary."""
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op10_quality_rules", "documents", "labels")
+def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Quality rules and the log-likelihood verdict for every document."""
+    return quality.judge(docs, quality.bucket_ratios(docs, quality.trusted_ids(labels)))
