@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, quality, secrets, token_counts, warc
+from tidemark.llm import exact_dedup, mixing, quality, secrets, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,35 @@ def register(name: str, table: str = "documents", *more: str, sql: str | None =
     return add
 
 
+@register("op2_mixing", sql=r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS most FROM s),
+r AS (SELECT *, (SELECT sum(source_size) FROM w) AS total,
+             coalesce(sum(most) OVER lower_ones, 0) AS used,
+             (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER lower_ones, 0) AS rest
+      FROM w WINDOW lower_ones AS (ORDER BY most / CAST(weight AS DOUBLE), place
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CAST(total - used AS DOUBLE) / CAST(rest AS DOUBLE) AS share,
+             row_number() OVER (ORDER BY most / CAST(weight AS DOUBLE), place) AS pos FROM r),
+v AS (SELECT min(pos) AS pos FROM f WHERE share * weight < most),
+t AS (SELECT source, source_size, CASE WHEN f.pos >= v.pos THEN (SELECT share FROM f, v WHERE f.pos = v.pos) * weight
+             ELSE CAST(most AS DOUBLE) END AS target FROM f, v),
+q AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS quota,
+             CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(size * (quota // source_size)
+       + greatest(least(start + size, quota % source_size) - start, 0) AS BIGINT) END AS taken, source
+FROM q
+""")
+def op2(docs: DataFrame) -> DataFrame:
+    """The share of every document in the mix."""
+    return mixing.mix(docs)
+
+
 @register("op5_warc", "pages", sql="""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
