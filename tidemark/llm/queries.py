@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, quality, secrets, token_counts, warc
+from tidemark.llm import exact_dedup, langid, mixing, quality, secrets, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ def op8(docs: DataFrame) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op9_language_id")
+def op9(docs: DataFrame) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return langid.predictions(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op10_quality_rules", "documents", "labels")
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Quality rules and the log-likelihood verdict for every document."""
