@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words grouped by length: their places in the input and their code points as a matrix."""
     text = "".join(words.to_pylist())
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    lengths = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(lengths) - lengths
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def train(table: pa.Table) -> pa.Table:
         words = table["word"].combine_chunks()
-        order = pa.compute.sort_indices(words)  # sums in one order, whatever order the rows came in
+        order = pc.sort_indices(words)  # sums in one order, whatever order the rows came in
         words, counts = words.take(order), table["n"].combine_chunks().take(order).to_numpy()
         p = fit_pieces(words, counts, vocabulary).tobytes()
         return pa.table({"lang": [table["lang"][0].as_py()], "p": pa.array([p], pa.binary())})
@@ -189,14 +190,14 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 def predict_batch(model: Model, lists: pa.ListArray) -> tuple[list[str], list[float]]:
     """Language and score of every list of words."""
     count = len(lists)
-    lengths = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     words = lists.flatten()
     if not len(words) or not model.languages:
         return ["und"] * count, [0.0] * count
     coded = words.dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     known = word_logs(model, coded.dictionary)
-    size = pa.compute.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
+    size = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(lengths)])
     total = np.concatenate([np.zeros((1, known.shape[1])), np.cumsum(known[index], axis=0)])
     log = total[ends[1:]] - total[ends[:-1]]

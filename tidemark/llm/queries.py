@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, langid, mixing, quality, secrets, token_counts, warc
+from tidemark.llm import bpe, exact_dedup, langid, mixing, quality, secrets, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op2(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs)
 
 
+@register("op4_bpe")
+def op4(docs: DataFrame) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @register("op5_warc", "pages", sql="""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),

@@ -35,7 +35,7 @@ from tidemark.llm.common import stored
 from tidemark.session import scratch_path
 
 REVISIT_BYTES = 100
-RANGE_BYTES = 4 << 20
+RANGE_BYTES, MOST_TASKS = 4 << 20, 20_000
 SALTS = 32
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
@@ -277,7 +277,10 @@ def read_archives(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     ranges = manifest.select("path").mapInArrow(locate, "path string, start bigint, lengths array<bigint>")
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(
+    # the rows of the ranges are tiny, so adaptive execution would put them all into one task: the number is set
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = min(MOST_TASKS, 1 + total // RANGE_BYTES)
+    return ranges.repartition(tasks, F.col("path"), F.col("start")).mapInArrow(
         fetch, f"page_id {id_type}, url string, record_type string, refers_to {id_type}, size bigint, digest string, "
                "payload binary")
 
