@@ -27,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import cut, list_lengths, packed, ragged, unpacked
 from tidemark.llm.common import whole_text
 
-BLOCK_WORDS, PARTS, NEAR, CACHED = 4 << 20, 64, 256, 2_000_000
+PARTS, NEAR, CACHED = 64, 256, 2_000_000
 SPECIAL = "<|endoftext|>"
 
 #: Fixed value: the split pattern of the vocabulary, in the JVM's syntax.
@@ -74,35 +74,18 @@ def library_words(path: str, text: str) -> list[str]:
     return words
 
 
-def packed(column: pa.Array) -> bytes:
-    """One Arrow column as a compressed message."""
-    out = pa.BufferOutputStream()
-    batch = pa.record_batch([column], ["c"])
-    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(batch)
-    return out.getvalue().to_pybytes()
-
-
-def unpacked(data: bytes) -> pa.Array:
-    with pa.ipc.open_stream(data) as stream:
-        return stream.read_next_batch().column(0)
-
-
 def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[str, pa.Array, pa.ListArray]]:
     """Blocks of a task's documents: name, ids and word lists."""
-    task, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        lists = batch["words"]
-        if batch["text"].null_count < len(batch):  # texts that only the library splits right
-            lists = pa.array([w if t is None else library_words(path, t) for w, t in zip(
-                lists.to_pylist(), batch["text"].to_pylist())], pa.list_(pa.string()))
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        start = 0
-        while start < len(batch):
-            held = np.cumsum(lengths[start:])
-            stop = start + max(1, int(np.searchsorted(held, BLOCK_WORDS, side="right")))
-            yield f"{task}-{number}", batch["id"].slice(start, stop - start), lists.slice(start, stop - start)
-            start, number = stop, number + 1
+    def split() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["words"]
+            if batch["text"].null_count < len(batch):  # texts that only the library splits right
+                lists = pa.array([w if t is None else library_words(path, t) for w, t in zip(
+                    lists.to_pylist(), batch["text"].to_pylist())], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "words"])
+
+    for name, batch in cut(split()):
+        yield name, batch["id"], batch["words"]
 
 
 def distinct_words(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -112,12 +95,6 @@ def distinct_words(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarra
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary, part
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of every run, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
 # ------------------------------------------------------------------ Spark jobs
 
 def split_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,7 +156,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         if len(ids) != len(part):
             raise RuntimeError("the input changed between two reads; encode a stored table")
         flat = ids.flatten().to_numpy()
-        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = list_lengths(ids)
         first = np.cumsum(size) - size
         # the parts hold the words in the block's order, so a stable sort by part says where each word went
         order = np.argsort(part, kind="stable")
@@ -215,7 +192,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         pieces = piece_bytes(path)
         for batch in batches:
             lists = batch["todo"]
-            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            counts = list_lengths(lists)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             found = pa.ListArray.from_arrays(offsets, pieces.take(lists.flatten()))
             texts = [t.decode("utf-8", "replace") for t in pc.binary_join(found, b"").to_pylist()]

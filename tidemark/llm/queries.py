@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, mixing, quality, secrets, token_counts, warc
+from tidemark.llm import bpe, exact_dedup, langid, mixing, quality, secrets, substring, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,13 @@ def op2(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs)
 
 
+@register("op3_substring_dedup")
+def op3(docs: DataFrame) -> DataFrame:
+    """Words of every document that repeat a passage of 20 words, removed."""
+    return substring.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op4_bpe")
 def op4(docs: DataFrame) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
