@@ -101,8 +101,9 @@ class Windows:
         backs[0] = 1
         self.backs = np.cumprod(backs)
 
-    def hash(self, starts: np.ndarray, size: int) -> np.ndarray:
-        return mixed((self.sums[starts + size] - self.sums[starts]) * self.backs[starts] + np.uint64(size))
+    def hash(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        length = np.asarray(size).astype(np.uint64)
+        return mixed((self.sums[starts + size] - self.sums[starts]) * self.backs[starts] + length)
 
 
 def window_starts(lengths: np.ndarray, size: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, mixing, quality, secrets, substring, token_counts, warc
+from tidemark.llm import bpe, exact_dedup, jaccard, langid, mixing, quality, secrets, substring, token_counts, warc
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def register(name: str, table: str = "documents", *more: str, sql: str | None =
     return add
 
 
+@register("op1_jaccard_join")
+def op1(docs: DataFrame) -> DataFrame:
+    """Class and links of every document by the similarity of its five-word shingles."""
+    return jaccard.join_report(docs)
+
+
 @register("op2_mixing", sql=r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                   md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
