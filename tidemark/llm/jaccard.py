@@ -229,12 +229,12 @@ PAIR_TYPE = "a bigint, b bigint"
 def with_leaders(paths: DataFrame, large: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of large buckets with sketch and leaders. Buckets are spread over as many salts as their size asks for."""
     salts = F.ceil(F.col("n") / SALTED_ROWS).cast("int")
-    rows = paths.join(large.hint("merge"), "key").withColumn("salt", F.pmod(F.xxhash64("node"), salts))
+    rows = paths.join(large.hint("merge"), "key").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
     lead = rows.groupBy("key", F.pmod(F.hash("node"), F.lit(LEADERS)).alias("seat"), "n").agg(
         F.min(F.struct(F.xxhash64("node"), "node")).alias("least")).select(
         "key", "n", F.col("least.node").alias("node")).join(known.hint("merge"), "node").groupBy("key", "n").agg(
         F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("leaders")).select(
-        "key", F.explode(F.sequence(F.lit(0), salts - 1)).cast("bigint").alias("salt"), "leaders")
+        "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "leaders")
     return rows.select("key", "salt", "node").join(known.hint("merge"), "node").join(
         lead.hint("merge"), ["key", "salt"]).select("key", "node", "sketch", "leaders")
 

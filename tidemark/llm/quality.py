@@ -42,8 +42,9 @@ def ngram_buckets(text: Column) -> Column:
     """Buckets of all tokens and all neighbouring pairs; the last token pairs with the end."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    both = lambda t: F.flatten(F.transform(
-        t, lambda w, i: F.array(bucket(F.xxhash64(w)), bucket(F.xxhash64(w, F.get(t, i + 1))))))
+    both = lambda t: F.concat(
+        F.transform(t, lambda w: bucket(F.xxhash64(w))),
+        F.transform(t, lambda w, i: bucket(F.xxhash64(w, F.get(t, i + 1)))))
     # the tokens are bound by a lambda, so that they are extracted once
     return F.aggregate(F.array(tokens), F.array().cast("array<int>"), lambda _, t: both(t))
 
@@ -83,10 +84,9 @@ def judge(docs: DataFrame, ratios: list[int], id_col: str = "doc_id", text_col:
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     grams = ngram_buckets(text)
-    score = F.aggregate(
-        grams, F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n")),
-        lambda a, b: F.struct((a["s"] + F.get(table, b)).alias("s"), (a["n"] + 1).alias("n")),
-        lambda a: F.when(a["n"] == 0, 0.0).otherwise(a["s"] / (a["n"] * 1000.0)))
+    total = lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, b: a + F.get(table, b))
+    score = F.aggregate(F.array(grams), F.lit(0.0), lambda _, g: F.when(F.size(g) == 0, 0.0).otherwise(
+        total(g) / (F.size(g) * 1000.0)))
     step = once(
         docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")),
         words=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+")),
@@ -100,11 +100,11 @@ def judge(docs: DataFrame, ratios: list[int], id_col: str = "doc_id", text_col:
     step = once(step, n_words=F.size(words).cast("bigint"), windows=F.transform(
         F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), window)).drop("words")
     repeats = F.size(F.array_distinct(windows)) < F.size(windows)
-    step = once(step, ordered=F.when(repeats, F.array_sort(
+    step = once(step, ordered=F.when(repeats, F.sort_array(
         F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("windows")
     same = lambda x, j: F.coalesce(F.get(ordered, j)["h"] == x["h"], F.lit(False))
     place = lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"])
-    step = once(step, places=F.array_sort(F.array_compact(F.transform(ordered, place)))).drop("ordered")
+    step = once(step, places=F.sort_array(F.array_compact(F.transform(ordered, place)))).drop("ordered")
     step = once(step, n_repeat_words=F.coalesce(_repeat_words(), F.lit(0)).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return step.select(
