@@ -1,11 +1,66 @@
-"""Placeholder until the stages exist."""
+"""A corpus from raw documents to tokens, in five stages over the operators of `tidemark.llm`.
 
-STAGES = []
+Every stage gets the table that the one before it wrote and returns a frame with the columns of `documents`; the last one
+returns token counts and digests. A stage works on all the rows it gets, and what it drops is gone for the next ones.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import bpe, exact_dedup, jaccard, langid, mixing
+from tidemark.llm.common import stored
+from tidemark.session import configure
+
+#: Posterior below which the language of a document counts as unknown.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; texts without letters and unclear ones go."""
+    model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = langid.identify(docs, model)
+    return found.filter((found.lang_pred != langid.UNKNOWN_LANGUAGE) & (found.score >= LEAST_SCORE)).select("row.*")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_equal_texts(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar texts."""
+    return jaccard.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, repeated as often as it takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("exact_dedup", exact_copies),
+    ("jaccard_join", near_copies),
+    ("mixing", source_mix),
+    ("bpe", tokens),
+]
+
+#: SQL has neither the language model nor the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; every result but the last is written and read again."""
+    docs = configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,6 +37,12 @@ LONGEST, MAX_PIECE, EVIDENCE, ROUNDS = 32, 8, 50, 2
 #: Probability of a letter that no piece covers, and the count that every piece has at least.
 UNKNOWN, LEAST = 1e-7, 0.05
 
+#: What a text without letters gets.
+UNKNOWN_LANGUAGE = "und"
+
+#: The sample of a language is drawn in so many parts, so that no task sees all its documents.
+DRAWS = 50
+
 #: Multiplier of the rolling hash that looks pieces up.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,9 +174,9 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(F.length("text") <= TRAIN_CHARS)
     common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    first = Window.partitionBy("lang", F.pmod(F.hash("id"), F.lit(DRAWS))).orderBy(F.xxhash64("id"), "id")
     sample = labelled.select("id", "lang").join(F.broadcast(common.select("lang")), "lang").withColumn(
-        "nth", F.row_number().over(first)).filter(F.col("nth") <= TRAIN_DOCS).select("id", "lang")
+        "nth", F.row_number().over(first)).filter(F.col("nth") <= TRAIN_DOCS // DRAWS).select("id", "lang")
     words = labelled.join(F.broadcast(sample), ["id", "lang"]).select(
         "lang", F.explode(letters(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
@@ -193,7 +199,7 @@ def predict_batch(model: Model, lists: pa.ListArray) -> tuple[list[str], list[fl
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     words = lists.flatten()
     if not len(words) or not model.languages:
-        return ["und"] * count, [0.0] * count
+        return [UNKNOWN_LANGUAGE] * count, [0.0] * count
     coded = words.dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     known = word_logs(model, coded.dictionary)
@@ -207,7 +213,7 @@ def predict_batch(model: Model, lists: pa.ListArray) -> tuple[list[str], list[fl
     odds = np.exp(log - log.max(axis=1, keepdims=True))
     best = log.argmax(axis=1)
     score = 1.0 / odds.sum(axis=1)
-    return ([model.languages[b] if k else "und" for b, k in zip(best, n)],
+    return ([model.languages[b] if k else UNKNOWN_LANGUAGE for b, k in zip(best, n)],
             [float(s) if k else 0.0 for s, k in zip(score, n)])
 
 

@@ -145,13 +145,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source", *carried)
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix with all their columns: each repeated as often as the mix takes it, to the nearest.
 
-    Joined by id; rows that repeat an id must repeat the document too, and one of them then stands for all.
+    Rows that repeat an id are taken alike, each by the share of all of them. Columns named `_mix_...` are reserved.
     """
-    one = docs.dropDuplicates(["doc_id"])
-    taken = mix(one.select("doc_id", "text", "source")).filter("size > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_mix_n"))
-    return one.join(taken.filter("_mix_n > 0"), F.col("doc_id").eqNullSafe(F.col("_mix_id"))).withColumn(
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    taken = mix(docs, id_col, text_col, source_col).groupBy(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_mix_key")).agg(
+        F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_mix_n"))
+    return docs.withColumn("_mix_key", key).join(taken.filter("_mix_n > 0"), "_mix_key").withColumn(
         "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
