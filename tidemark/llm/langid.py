@@ -190,7 +190,7 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     rows = words.groupBy("lang").applyInArrow(train, "lang string, p binary").collect()
     rows.sort(key=lambda r: r.lang.encode())
     return Model(vocabulary, tuple(r.lang for r in rows),
-                 np.array([np.frombuffer(bytes(r.p)) for r in rows]).reshape(len(rows), -1))
+                 np.array([np.frombuffer(bytes(r.p)) for r in rows]).reshape(len(rows), len(pieces(vocabulary)[0])))
 
 
 def predict_batch(model: Model, lists: pa.ListArray) -> tuple[list[str], list[float]]:

@@ -4,8 +4,10 @@ Targets: the sources, by code point with null last, weigh 5, 2, 1 and so on, and
 target exceeds `REPEATS` times its source, and the excess is shared again by weight until none does. With the sources
 ordered by (limit / weight) the limited ones are a prefix, so the level of the others follows from running sums.
 
-Schedule: slot k of the mix maps the golden-ratio point frac(k * phi) through the cumulative targets to a source. The
-slots of a source are ranked: counts per chunk of `CHUNK` slots are summed up over the chunks, and within a chunk the
+Schedule: slot k of the mix maps the golden-ratio point frac(k * phi) through the cumulative weights to a source. The
+weight of a source is the number of slots its target fills, and a little more: a run of points misses the fair share of a
+range by no more than a logarithm of its length, so every source gets the slots it needs; those past its target are
+dropped. The slots of a source are ranked: counts per chunk of `CHUNK` slots are summed up over the chunks, and within a chunk the
 slots of a source are numbered, so no task ever sorts all slots of a source.
 
 Blocks: the documents of a source are laid end to end in the order of a hash and cut into blocks of `BLOCK_WORDS` words
@@ -21,8 +23,6 @@ empty; repeated rows are separate documents; an empty table gives an empty resul
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +33,8 @@ WEIGHTS, REPEATS, BLOCK_WORDS, CHUNK = (5, 2, 1), 3, 128, 4096
 #: Hex digits of the hash that make a bucket: 4,096 buckets per source.
 BUCKET_DIGITS = 3
 
-#: frac(phi) scaled to 2^32: the points k * GOLDEN mod 2^32 are spread evenly in every prefix of the schedule.
-GOLDEN, UNIT_BITS = 2654435769, 32
+#: frac(phi) scaled to 2^31: the points k * GOLDEN mod 2^31 are spread evenly in every prefix of the schedule.
+GOLDEN, UNIT_BITS = 1327217885, 31
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -48,7 +48,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target and its cumulative range [low, high) in units of 2^-32. One row per source."""
+    """source, source_size, target and its cumulative range [low, high) in units of 2^-31. One row per source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weights = F.array(*map(F.lit, WEIGHTS))
     rows = sizes.groupBy("source").agg(F.sum("source_size").alias("source_size")).withColumn(
@@ -69,26 +69,24 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         "first_free", F.min(free).over(everyone)).withColumn("level", level).withColumn("target", F.when(
             F.col("order") >= F.col("first_free"), F.col("level") * F.col("weight")).otherwise(
             F.col("limit").cast("double")))
+    quota, size = F.col("quota"), F.col("source_size")
+    slots = F.when(quota > 0, F.expr("quota div source_size") * F.ceil(size / BLOCK_WORDS)
+                   + F.ceil(quota % size / BLOCK_WORDS)).otherwise(0).cast("bigint")
+    spare = F.floor(1.5 * F.log2(F.sum("slots").over(everyone) + 2)) + 4
     upto = by_name.rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum("target").over(everyone)
-    edge = F.when(whole > 0, F.round(F.sum("target").over(upto) / whole * (1 << UNIT_BITS))).otherwise(0)
-    return final.withColumn("high", edge.cast("bigint")).withColumn(
-        "low", F.coalesce(F.lag("high").over(by_name), F.lit(0).cast("bigint"))).withColumn(
-        "quota", F.round("target").cast("bigint")).select(
-        "source", "place", "source_size", "target", "quota", "low", "high")
+    edge = F.sum("draws").over(upto) / F.greatest(F.sum("draws").over(everyone), F.lit(1)) * (1 << UNIT_BITS)
+    return final.withColumn("quota", F.round("target").cast("bigint")).withColumn("slots", slots).withColumn(
+        "draws", F.when(F.col("slots") > 0, F.col("slots") + spare).otherwise(0)).withColumn(
+        "high", F.round(edge).cast("bigint")).withColumn(
+        "low", F.coalesce(F.lag("high").over(by_name), F.lit(0).cast("bigint"))).select(
+        "source", "place", "source_size", "target", "quota", "draws", "low", "high")
 
 
 def ranked_slots(targets: DataFrame) -> DataFrame:
-    """place (of the source) and rank of every slot of the schedule that a quota needs.
-
-    A few slots more than the words ask for are drawn, so that every source gets its quota; those past it are dropped.
-    """
-    words = targets.agg(F.sum("quota").alias("n"), F.count("*").alias("sources")).first()
-    # every source may end with a part of a block, and lacks at most a logarithm of its fair share of the points
-    drawn = math.ceil((words.n or 0) / BLOCK_WORDS) if words.sources else 0
-    drawn += words.sources * 4 * (2 + max(drawn, 1).bit_length())
+    """place (of the source) and rank of every slot of the schedule, a few more per source than its quota needs."""
+    drawn = targets.agg(F.sum("draws")).first()[0] or 0
     slots = targets.sparkSession.range(drawn).select(
-        "id", F.expr(f"(id * {GOLDEN}L) & {(1 << UNIT_BITS) - 1}L").alias("point"))
+        "id", F.expr(f"((id & {(1 << UNIT_BITS) - 1}L) * {GOLDEN}L) & {(1 << UNIT_BITS) - 1}L").alias("point"))
     edges = targets.filter("high > low").agg(F.sort_array(F.collect_list(F.struct("high", "place")))).first()[0]
     # the sources are few, so their edges become one expression; each point falls below the first edge that exceeds it
     place = F.lit(None).cast("int")
