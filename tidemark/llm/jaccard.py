@@ -3,15 +3,15 @@
 Texts are sets of hashed shingles of `SHINGLE` words (a shorter text is one shingle). Rows with the same words are one
 node. A node's set is embedded as `TOKENS` min-hash tokens, two of which agree with the probability of the similarity.
 In each of `RUNS` runs a node draws about `DRAWN` of its tokens by a hash that all nodes share, and joins a bucket per
-drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. A larger one is split again by tokens drawn
-for its path, so that its nodes go on with the path of tokens they share. Before that, the nodes of a large bucket are
-compared with up to `LEADERS` leaders, and those that are nearly equal to one do not go on: a group of near copies, which
-no path can split, so becomes a star instead of all its pairs. What is still large after `DEPTH` levels is compared in
-pairs of chunks. All candidates are verified on the exact shingle sets.
+drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. The nodes of a larger one are first compared
+with `LEADERS` leaders, the nodes closest to the centre of a sample. A node with a verified link to a leader is done with
+large buckets: a group of near copies, which no path can split, so becomes a few stars instead of all its pairs. The
+others go on along the path with more tokens drawn, until their buckets are small. What is still large after `DEPTH`
+levels is compared in pairs of chunks. All candidates are verified on the exact shingle sets.
 
-Recall: a pair at the threshold shares a drawn token with probability 1 - exp(-DRAWN * 0.8) = 0.80 per level, so six runs
-miss 0.01 % of such pairs in small buckets and 0.2 % at the second level. The bound on the estimate from the tokens, three
-deviations below the threshold, misses another 0.2 %.
+Recall: a pair at the threshold shares a drawn token with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first
+level, so six runs miss 0.01 % of such pairs. Along a path each further level keeps 0.63 of them, as the branching must
+not grow. The bound on the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
 texts. In buckets up to `BRUTE` these are all pairs; in larger groups of near copies they are the links to leaders.
@@ -27,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import Windows, ascii_words, cut, list_lengths, mixed, ragged, word_hashes
 from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
-SHINGLE, TOKENS, RUNS, DRAWN = 5, 64, 6, 2.0
-BRUTE, LEADERS, DEPTH, SALTED_ROWS, SALTS = 128, 16, 5, 500, 32
+SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
+BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS = 128, 16, 3, 6, 500, 32
 
-#: Similarity of a link as a fraction, the agreeing tokens a candidate needs, and those that make a near copy of a leader.
-NUMERATOR, DENOMINATOR, CANDIDATE, STRONG = 4, 5, 41, 55
+#: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
+NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
 
 LAST = np.iinfo(np.int64).max
 _PLACE = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -65,17 +65,20 @@ def sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def drawn(tokens: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def drawn(tokens: np.ndarray, path: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
     """Paths that go on: the rows and their new path, one for each token drawn for the row's path."""
     draw = mixed(tokens.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + _PLACE + mixed(path)[:, None])
-    row, place = np.nonzero(draw < np.uint64(int(DRAWN / TOKENS * 2.0 ** 64)))
+    row, place = np.nonzero(draw < np.uint64(int(most / TOKENS * 2.0 ** 64)))
     return row, mixed(draw[row, place] + np.uint64(1))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Sketches of a batch from their bytes."""
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint32).reshape(len(column), TOKENS)
+    """Sketches of a batch from their bytes, which follow each other in its buffer."""
+    if not len(column):
+        return np.zeros((0, TOKENS), np.uint32)
+    _, offsets, data = column.buffers()
+    first = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(data, np.uint8)[first:first + len(column) * TOKENS * 4].view(np.uint32).reshape(-1, TOKENS)
 
 
 def close_pairs(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -119,35 +122,49 @@ def pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield compare(pa.Table.from_batches(held))
 
 
-def split_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of large buckets with their leaders: candidates (key null), and the paths that go on (b null)."""
+def agreeing(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, leader, agreeing tokens (-1 with oneself) of every row and leader of its bucket, and the first of each row."""
+    tokens, leaders = matrix(batch["sketch"]), batch["leaders"]
+    counts, flat = list_lengths(leaders), leaders.flatten()
+    row = np.repeat(np.arange(len(batch)), counts)
+    leader, theirs = flat.field("node").to_numpy(), matrix(flat.field("sketch"))
+    same = np.concatenate([(tokens[row[s:s + 65536]] == theirs[s:s + 65536]).sum(axis=1)
+                           for s in range(0, len(row), 65536)] or [np.zeros(0, int)])
+    same[leader == batch["node"].to_numpy()[row]] = -1
+    return row, leader, same, np.cumsum(counts) - counts
+
+
+def centrality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How close the nodes of large buckets are to a sample of their bucket: the sum of agreeing tokens."""
+    for batch in batches:
+        if len(batch):
+            _, _, same, first = agreeing(batch)
+            close = np.add.reduceat(np.maximum(same, 0), first).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], pa.array(close)], ["key", "node", "close"])
+
+
+def pairs_with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates in large buckets: every node with its closest leader, every leader with all others."""
+    for batch in batches:
+        if len(batch):
+            row, leader, same, first = agreeing(batch)
+            is_leader = np.zeros(len(batch), bool)
+            is_leader[row[same < 0]] = True
+            edges = [*first, len(row)]
+            best = np.array([lo + same[lo:hi].argmax() for lo, hi in zip(edges, edges[1:])], np.int64)
+            take = is_leader[row]
+            take[best] = True
+            take &= same >= CANDIDATE
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(batch["node"].to_numpy()[row[take]]), pa.array(leader[take])], schema=PAIR)
+
+
+def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paths of nodes that go on."""
     for batch in batches:
-        key, node, tokens = batch["key"].to_numpy(), batch["node"].to_numpy(), matrix(batch["sketch"])
-        leaders = batch["leaders"]
-        counts, flat = list_lengths(leaders), leaders.flatten()
-        owner = np.repeat(np.arange(len(batch)), counts)
-        leader, theirs = flat.field("node").to_numpy(), matrix(flat.field("sketch"))
-        same = np.concatenate([(tokens[owner[s:s + 65536]] == theirs[s:s + 65536]).sum(axis=1)
-                               for s in range(0, len(owner), 65536)] or [np.zeros(0, int)])
-        self_ = leader == node[owner]
-        is_leader = np.zeros(len(batch), bool)
-        is_leader[owner[self_]] = True
-        same[self_] = -1
-        best = np.zeros(len(same), bool)  # the closest leader of each row; of a leader all others
-        first = np.cumsum(counts) - counts
-        best[first + np.array([same[f:f + c].argmax() for f, c in zip(first, counts)], np.int64)] = True
-        take = (best | is_leader[owner]) & (same >= CANDIDATE)
-        near = np.zeros(len(batch), bool)
-        near[owner[best & (same >= STRONG)]] = True
-        go = np.flatnonzero(~near | is_leader)
-        row, path = drawn(tokens[go], key[go].view(np.uint64))
-        nothing = np.full(int(take.sum()), True)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.zeros(len(nothing), np.int64), path.view(np.int64)]),
-                     mask=np.concatenate([nothing, np.zeros(len(path), bool)])),
-            pa.array(np.concatenate([node[owner[take]], node[go][row]])),
-            pa.array(np.concatenate([leader[take], np.zeros(len(path), np.int64)]),
-                     mask=np.concatenate([~nothing, np.ones(len(path), bool)]))], ["key", "a", "b"])
+        row, path = drawn(matrix(batch["sketch"]), batch["key"].to_numpy().view(np.uint64), DRAWN_LATER)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(path.view(np.int64)), pa.array(batch["node"].to_numpy()[row])], ["key", "node"])
 
 
 # ------------------------------------------------------------------ Spark jobs
@@ -181,72 +198,113 @@ def nodes_of(rows: DataFrame) -> DataFrame:
         F.min("sketch").alias("sketch")), "jaccard-nodes")
 
 
-def candidates(nodes: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
-    """Stored: distinct candidate pairs (a, b). `b` is the node with the smaller hash, so leaders stand there."""
-    spark = nodes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = nodes.select("node", "sketch")
+PATH_TYPE, PAIR_TYPE = "key bigint, node bigint", "a bigint, b bigint"
+
 
-    def first_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_buckets(known: DataFrame, runs: int = RUNS) -> DataFrame:
+    """Stored: the nodes of every bucket of the first level (key, node)."""
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, tokens = batch["node"].to_numpy(), matrix(batch["sketch"])
             for run in range(runs):
-                row, path = drawn(tokens, np.full(len(node), run, np.uint64))
+                row, path = drawn(tokens, np.full(len(node), run, np.uint64), DRAWN)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[row])], ["key", "node"])
 
-    found: list[DataFrame] = []
-    paths = stored(known.mapInArrow(first_paths, "key bigint, node bigint"), "jaccard-paths")
-    for level in range(1, depth + 1):
-        sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
-        members = paths.join(sizes.hint("merge"), "key").join(known.hint("merge"), "node")
-        found.append(compared(members.filter(F.col("n") <= BRUTE), tasks))
-        if not (large := sizes.filter(F.col("n") > BRUTE)).head(1):
-            break
-        if level == depth:
-            found.append(compared(in_chunks(members.filter(F.col("n") > BRUTE)), tasks))
-            break
-        split = stored(with_leaders(paths, large, known).mapInArrow(split_large, "key bigint, a bigint, b bigint"),
-                       "jaccard-split")
-        found.append(split.filter("b IS NOT NULL").select("a", "b"))
-        paths = split.filter("b IS NULL").select("key", F.col("a").alias("node"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+    return stored(known.mapInArrow(paths, PATH_TYPE), "jaccard-paths")
+
+
+def by_size(paths: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored: candidates of the small buckets, and the rows (key, node, n) of the large ones."""
+    sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
+    rows = paths.join(sizes.hint("merge"), "key")
+    pairs = distinct_pairs(compared(rows.filter(F.col("n") <= BRUTE), known))
+    return pairs, stored(rows.filter(F.col("n") > BRUTE), "jaccard-large")
+
+
+def compared(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates of buckets of bounded size."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("key", "node").join(known.hint("merge"), "node").select("key", "node", "sketch").repartition(
+        tasks, "key").sortWithinPartitions("key").mapInArrow(pairs_of_buckets, PAIR_TYPE)
+
+
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """Stored: the pairs, each once. `b` has the smaller hash."""
     swap = F.xxhash64("a") < F.xxhash64("b")
     return stored(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
                                F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct(), "jaccard-pairs")
 
 
-def compared(members: DataFrame, tasks: int) -> DataFrame:
-    """Candidates of buckets of bounded size."""
-    return members.select("key", "node", "sketch").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(
-        pairs_of_buckets, PAIR_TYPE)
+def star_pairs(large: DataFrame, known: DataFrame) -> DataFrame:
+    """Stored: candidates of nodes and leaders in large buckets. A node tries `TRIES` of its buckets.
 
+    Buckets are spread over as many salts as their size asks for.
+    """
+    salts = F.ceil(F.col("n") / SALTED_ROWS).cast("int")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("key"))
+    rows = stored(large.withColumn("nth", nth).filter(F.col("nth") <= TRIES).select(
+        "key", "node", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"),
+        F.pmod(F.hash("node"), F.lit(LEADERS)).alias("seat"), "n").join(known.hint("merge"), "node"), "jaccard-tries")
 
-PAIR_TYPE = "a bigint, b bigint"
+    def beside(chosen: DataFrame) -> DataFrame:
+        lead = chosen.join(known.hint("merge"), "node").groupBy("key", "n").agg(
+            F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("leaders")).select(
+            "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "leaders")
+        return rows.select("key", "salt", "node", "sketch").join(stored(lead, "jaccard-leaders").hint("merge"), [
+            "key", "salt"]).select("key", "node", "sketch", "leaders")
 
+    def seated(frame: DataFrame, order: Column) -> DataFrame:
+        return frame.groupBy("key", "seat").agg(F.max(F.struct(order.alias("o"), "node", "n")).alias("best")).select(
+            "key", F.col("best.node").alias("node"), F.col("best.n").alias("n"))
+
+    sample = seated(rows, F.xxhash64("node"))
+    close = beside(sample).mapInArrow(centrality, "key bigint, node bigint, close int").withColumn(
+        "seat", F.pmod(F.hash("node"), F.lit(LEADERS)))
+    sizes = large.select("key", "n").groupBy("key").agg(F.max("n").alias("n"))
+    central = close.groupBy("key", "seat").agg(F.max(F.struct("close", "node")).alias("best")).select(
+        "key", F.col("best.node").alias("node")).join(sizes, "key")
+    return distinct_pairs(beside(central).mapInArrow(pairs_with_leaders, PAIR_TYPE))
 
-def with_leaders(paths: DataFrame, large: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of large buckets with sketch and leaders. Buckets are spread over as many salts as their size asks for."""
-    salts = F.ceil(F.col("n") / SALTED_ROWS).cast("int")
-    rows = paths.join(large.hint("merge"), "key").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
-    lead = rows.groupBy("key", F.pmod(F.hash("node"), F.lit(LEADERS)).alias("seat"), "n").agg(
-        F.min(F.struct(F.xxhash64("node"), "node")).alias("least")).select(
-        "key", "n", F.col("least.node").alias("node")).join(known.hint("merge"), "node").groupBy("key", "n").agg(
-        F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("leaders")).select(
-        "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "leaders")
-    return rows.select("key", "salt", "node").join(known.hint("merge"), "node").join(
-        lead.hint("merge"), ["key", "salt"]).select("key", "node", "sketch", "leaders")
+
+def nodes_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """Stored: distinct verified links (a, b)."""
+    known = nodes.select("node", "sketch")
+    pairs, large = by_size(first_buckets(known), known)
+    needed = nodes_in(pairs).unionByName(large.select("node")).distinct()
+    sets = exact_sets(docs, text_col, stored(nodes.select("node", "digest").join(needed, "node", "left_semi"),
+                                             "jaccard-needed"))
+    links = verified(pairs, sets)
+    for level in range(depth):
+        if not large.head(1):
+            break
+        stars = verified(star_pairs(large, known), sets)
+        links = links.unionByName(stars)
+        rest = large.join(nodes_in(stars), "node", "left_anti")
+        if level < depth - 1:
+            paths = stored(rest.select("key", "node").join(known.hint("merge"), "node").mapInArrow(
+                next_paths, PATH_TYPE), "jaccard-paths")
+            pairs, large = by_size(paths, known)
+        else:
+            pairs = distinct_pairs(compared(in_chunks(rest), known))
+        links = links.unionByName(verified(pairs, sets))
+    return stored(links.distinct(), "jaccard-links")
 
 
 def in_chunks(members: DataFrame) -> DataFrame:
-    """The exact way for buckets that stay large: every pair of chunks becomes a bucket of bounded size."""
+    """The exact way for buckets that stay large: every pair of chunks becomes a bucket of bounded size.
+
+    `n` counts the bucket before its linked nodes left, so no chunk outgrows half the bound.
+    """
     chunks = F.ceil(F.col("n") / (BRUTE // 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     with_chunk = once(members, own=own, chunks=chunks)
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     return with_chunk.withColumn("other", other).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "sketch")
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
 
 
 def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
@@ -315,10 +373,7 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row: id, class_id (least id of the class), n_links (links to other texts), n_copies (rows with these words)."""
     rows = prints(docs, id_col, text_col)
     nodes = nodes_of(rows)
-    pairs = candidates(nodes)
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = stored(nodes.select("node", "digest").join(used, "node", "left_semi"), "jaccard-needed")
-    links = verified(pairs, exact_sets(docs, text_col, needed))
+    links = all_links(docs, nodes, text_col)
     order = nodes.select("node", F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node").alias("label"))
     labels = components(links, order)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
