@@ -4,17 +4,17 @@ Texts are sets of hashed shingles of `SHINGLE` words (a shorter text is one shin
 node. A node's set is embedded as `TOKENS` min-hash tokens, two of which agree with the probability of the similarity.
 In each of `RUNS` runs a node draws about `DRAWN` of its tokens by a hash that all nodes share, and joins a bucket per
 drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. The nodes of a larger one are first compared
-with `LEADERS` leaders, the nodes closest to the centre of a sample. A node with a verified link to a leader is done with
-large buckets: a group of near copies, which no path can split, so becomes a few stars instead of all its pairs. The
-others go on along the path with more tokens drawn, until their buckets are small. What is still large after `DEPTH`
-levels is compared in pairs of chunks. All candidates are verified on the exact shingle sets.
+with `LEADERS` leaders, the nodes closest to the centre of a sample. A node with a verified link to a leader is settled:
+a group of near copies, which no path can split, so becomes a few stars instead of all its pairs. The others still meet
+every node of the bucket: in pairs of chunks, if that takes at most `PAIRS` comparisons, else along the path with more
+tokens drawn. After `DEPTH` levels all that is left is compared in chunks. Candidates are verified on the exact sets.
 
 Recall: a pair at the threshold shares a drawn token with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first
 level, so six runs miss 0.01 % of such pairs. Along a path each further level keeps 0.63 of them, as the branching must
 not grow. The bound on the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
-texts. In buckets up to `BRUTE` these are all pairs; in larger groups of near copies they are the links to leaders.
+texts. All links of a node are found but those between two settled nodes of a large bucket, which are connected by leaders.
 
 Cases: texts without words have no shingles and link to nothing; a null id is larger than any other; rows that repeat a
 text are copies of one node; rows that repeat an id with other texts are different nodes; an empty table gives an empty
@@ -35,7 +35,7 @@ from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
-BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS = 128, 16, 3, 6, 500, 32
+BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, PAIRS = 128, 16, 3, 6, 500, 32, 512, 1 << 21
 
 #: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
 NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
@@ -81,45 +81,48 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[first:first + len(column) * TOKENS * 4].view(np.uint32).reshape(-1, TOKENS)
 
 
-def close_pairs(tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of one bucket by brute force."""
-    for i in range(len(tokens) - 1):
-        j = np.flatnonzero((tokens[i + 1:] == tokens[i]).sum(axis=1) >= CANDIDATE)
-        if len(j):
-            yield np.full(len(j), i), j + i + 1
-
-
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of whole buckets; the rows of a bucket follow each other."""
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole buckets from batches in which the rows of a bucket follow each other."""
     held: list[pa.RecordBatch] = []
-
-    def compare(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-        key, node = (batch[c].to_numpy() for c in ("key", "node"))
-        tokens = matrix(batch["sketch"].combine_chunks())
-        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-        found = [(node[i + lo], node[j + lo]) for lo, hi in zip(edges, edges[1:])
-                 for i, j in close_pairs(tokens[lo:hi])]
-        a = np.concatenate([f[0] for f in found]) if found else node[:0]
-        b = np.concatenate([f[1] for f in found]) if found else node[:0]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIR)
-
     for batch in batches:
         if not len(batch):
             continue
         key = batch["key"].to_numpy()
         if held and held[-1]["key"][-1].as_py() != key[0]:
-            yield compare(pa.Table.from_batches(held))
+            yield pa.Table.from_batches(held)
             held = []
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
         if last:
-            yield compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
             held = []
         held.append(batch.slice(last))
     if held:
-        yield compare(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of every bucket of a table; if there is a column `seeker`, only those of seekers with the others."""
+    key, node = (table[c].to_numpy() for c in ("key", "node"))
+    tokens = matrix(table["sketch"].combine_chunks())
+    seeker = table["seeker"].to_numpy() if "seeker" in table.column_names else None
+    edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+    for lo, hi in zip(edges, edges[1:]):
+        rows = np.arange(lo, hi)
+        for i in rows[:-1] if seeker is None else rows[seeker[lo:hi]]:
+            others = rows[i + 1 - lo:] if seeker is None else rows[~seeker[lo:hi]]
+            j = others[(tokens[others] == tokens[i]).sum(axis=1) >= CANDIDATE]
+            j = j[node[j] != node[i]]
+            if len(j):
+                yield np.full(len(j), node[i]), node[j]
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in whole_buckets(batches):
+        found = list(bucket_pairs(table)) or [(np.zeros(0, np.int64),) * 2]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], schema=PAIR)
 
 
 def agreeing(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,15 +220,15 @@ def by_size(paths: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored: candidates of the small buckets, and the rows (key, node, n) of the large ones."""
     sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
     rows = paths.join(sizes.hint("merge"), "key")
-    pairs = distinct_pairs(compared(rows.filter(F.col("n") <= BRUTE), known))
+    pairs = distinct_pairs(compared(rows.filter(F.col("n") <= BRUTE).select("key", "node"), known))
     return pairs, stored(rows.filter(F.col("n") > BRUTE), "jaccard-large")
 
 
 def compared(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Candidates of buckets of bounded size."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "node").join(known.hint("merge"), "node").select("key", "node", "sketch").repartition(
-        tasks, "key").sortWithinPartitions("key").mapInArrow(pairs_of_buckets, PAIR_TYPE)
+    return rows.join(known.hint("merge"), "node").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(
+        pairs_of_buckets, PAIR_TYPE)
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -253,11 +256,8 @@ def star_pairs(large: DataFrame, known: DataFrame) -> DataFrame:
         return rows.select("key", "salt", "node", "sketch").join(stored(lead, "jaccard-leaders").hint("merge"), [
             "key", "salt"]).select("key", "node", "sketch", "leaders")
 
-    def seated(frame: DataFrame, order: Column) -> DataFrame:
-        return frame.groupBy("key", "seat").agg(F.max(F.struct(order.alias("o"), "node", "n")).alias("best")).select(
-            "key", F.col("best.node").alias("node"), F.col("best.n").alias("n"))
-
-    sample = seated(rows, F.xxhash64("node"))
+    sample = rows.groupBy("key", "seat").agg(F.max(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias(
+        "best")).select("key", "best.node", "best.n")
     close = beside(sample).mapInArrow(centrality, "key bigint, node bigint, close int").withColumn(
         "seat", F.pmod(F.hash("node"), F.lit(LEADERS)))
     sizes = large.select("key", "n").groupBy("key").agg(F.max("n").alias("n"))
@@ -277,34 +277,37 @@ def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth:
     needed = nodes_in(pairs).unionByName(large.select("node")).distinct()
     sets = exact_sets(docs, text_col, stored(nodes.select("node", "digest").join(needed, "node", "left_semi"),
                                              "jaccard-needed"))
-    links = verified(pairs, sets)
+    links, settled = verified(pairs, sets), None
     for level in range(depth):
         if not large.head(1):
             break
         stars = verified(star_pairs(large, known), sets)
         links = links.unionByName(stars)
-        rest = large.join(nodes_in(stars), "node", "left_anti")
-        if level < depth - 1:
-            paths = stored(rest.select("key", "node").join(known.hint("merge"), "node").mapInArrow(
-                next_paths, PATH_TYPE), "jaccard-paths")
-            pairs, large = by_size(paths, known)
-        else:
-            pairs = distinct_pairs(compared(in_chunks(rest), known))
-        links = links.unionByName(verified(pairs, sets))
+        settled = nodes_in(stars) if settled is None else settled.unionByName(nodes_in(stars)).distinct()
+        rows = stored(large.join(settled.withColumn("done", F.lit(True)).hint("merge"), "node", "left").select(
+            "key", "node", "n", F.col("done").isNull().alias("seeker")), "jaccard-rows")
+        work = F.col("seekers") * F.col("n")
+        buckets = stored(rows.groupBy("key").agg(F.count_if("seeker").alias("seekers"), F.first("n").alias("n")).select(
+            "key", ((work <= PAIRS) | F.lit(level == depth - 1)).alias("now")).where(F.col("seekers") > 0),
+            "jaccard-buckets")
+        rows = rows.join(buckets.hint("merge"), "key")
+        found = distinct_pairs(compared(in_chunks(rows.filter("now")), known))
+        paths = stored(rows.filter("NOT now").select("key", "node").join(known.hint("merge"), "node").mapInArrow(
+            next_paths, PATH_TYPE), "jaccard-paths")
+        pairs, large = by_size(paths, known)
+        links = links.unionByName(verified(found, sets)).unionByName(verified(pairs, sets))
     return stored(links.distinct(), "jaccard-links")
 
 
-def in_chunks(members: DataFrame) -> DataFrame:
-    """The exact way for buckets that stay large: every pair of chunks becomes a bucket of bounded size.
-
-    `n` counts the bucket before its linked nodes left, so no chunk outgrows half the bound.
-    """
-    chunks = F.ceil(F.col("n") / (BRUTE // 2)).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    with_chunk = once(members, own=own, chunks=chunks)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    return with_chunk.withColumn("other", other).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """Buckets of bounded size in which each seeker of a large bucket meets all its nodes: one per pair of chunks."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = once(rows.select("key", "node", "seeker", chunks.alias("chunks")), own=own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = dealt.select(F.xxhash64("key", "other", "own").alias("key"), "node", F.lit(False).alias("seeker"))
+    return met.unionByName(dealt.filter("seeker").select(
+        F.xxhash64("key", "own", "other").alias("key"), "node", "seeker"))
 
 
 def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
