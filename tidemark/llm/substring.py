@@ -55,16 +55,18 @@ def heavy_prefixes(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[np.
         for batch in batches:
             lists = batch["words"]
             windows, starts = Windows(word_hashes(lists.flatten())), window_starts(list_lengths(lists), window)
-            for size in range(1, window):
-                prefix, n = np.unique(windows.hash(starts, size), return_counts=True)
+            for size in range(1, window):  # only a prefix that is not rare can have an extension that is heavy
+                prefix, at, n = np.unique(windows.hash(starts, size), return_inverse=True, return_counts=True)
+                often = n >= LEAST_SAMPLED // 8
+                starts = starts[often[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), size, np.int32)), pa.array(prefix.view(np.int64)), pa.array(n)],
-                    ["size", "prefix", "n"])
+                    [pa.array(np.full(often.sum(), size, np.int32)), pa.array(prefix[often].view(np.int64)),
+                     pa.array(n[often])], ["size", "prefix", "n"])
 
     counted = sample.select(ascii_words(F.col("text")).alias("words")).mapInArrow(
         count, "size int, prefix bigint, n bigint").groupBy("size", "prefix").agg(F.sum("n").alias("n"))
     counted = counted.filter(F.col("n") >= LEAST_SAMPLED).collect()
-    sampled = max(1, sum(r.n for r in counted if r.size == 1))
+    sampled = max(1, sum(r.n for r in counted if r.size == 1))  # nearly all: words seen less often are left out
     most = GROUP_SUFFIXES // 4
     heavy: list[list[int]] = [[] for _ in range(window)]
     for r in counted:
