@@ -21,6 +21,7 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without letters and unclear ones go."""
+    configure(spark)
     model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
     found = langid.identify(docs, model)
     return found.filter((found.lang_pred != langid.UNKNOWN_LANGUAGE) & (found.score >= LEAST_SCORE)).select("row.*")
@@ -28,21 +29,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    configure(spark)
     return exact_dedup.drop_equal_texts(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar texts."""
+    configure(spark)
     return jaccard.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them."""
+    configure(spark)
     return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
+    configure(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

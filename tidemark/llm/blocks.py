@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 2 << 20
 
 #: Odd multiplier of the polynomial window hash and its inverse modulo 2^64.
 STEP = 0x9E3779B97F4A7C15

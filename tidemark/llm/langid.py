@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import cut
 from tidemark.llm.common import whole_text
 
 TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 1000, 50_000, 200
@@ -223,7 +224,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     rows = docs.select(carried, letters(whole_text(text_col)).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, batch in cut(batches):
             lang, score = predict_batch(model, batch["words"])
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
