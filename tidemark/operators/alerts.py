@@ -7,33 +7,37 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.percentiles import exact_percentiles
 
-# Alert thresholds and the length of a dashboard series.
+# Alert thresholds and the look-back of dashboard series in seconds.
 DLQ_DEPTH, P95_MS, DENIED_COUNT, TAMPER_COUNT = 100, 300, 10, 1
-SERIES_LIMIT = 1440
+HOUR_S, DAY_S = 3_600, 86_400
 
 
 def minute(ts: Column) -> Column:
     return F.date_trunc("minute", ts.cast("timestamp"))
 
 
-def p95_per_minute(log: DataFrame, limit: int | None = SERIES_LIMIT) -> DataFrame:
+def look_back(log: DataFrame, as_of: str, seconds: int) -> DataFrame:
+    """Rows of the `seconds` up to and including `as_of`: a plain range on `ts`, so that the scan can prune by it."""
+    end = F.lit(as_of).cast(log.schema["ts"].dataType)
+    start = end - F.make_dt_interval(secs=F.lit(seconds))
+    return log.where((F.col("ts") > start) & (F.col("ts") <= end))
+
+
+def p95_per_minute(log: DataFrame) -> DataFrame:
     """p95 of the request time per minute, oldest minutes first."""
-    series = exact_percentiles(log.withColumn("t", minute(F.col("ts"))), ["t"], "time_ms", {"p95": 0.95}).select(
+    return exact_percentiles(log.withColumn("t", minute(F.col("ts"))), ["t"], "time_ms", {"p95": 0.95}).select(
         "t", "n", "p95").orderBy("t")
-    return series if limit is None else series.limit(limit)
 
 
-def count_per_minute(log: DataFrame, name: str, limit: int | None = SERIES_LIMIT) -> DataFrame:
+def count_per_minute(log: DataFrame, name: str) -> DataFrame:
     """Messages per minute, oldest minutes first."""
-    series = log.groupBy(minute(F.col("ts")).alias("t")).agg(F.count(F.lit(1)).alias(name)).orderBy("t")
-    return series if limit is None else series.limit(limit)
+    return log.groupBy(minute(F.col("ts")).alias("t")).agg(F.count(F.lit(1)).alias(name)).orderBy("t")
 
 
-def freshness_per_minute(metrics: DataFrame, limit: int | None = SERIES_LIMIT) -> DataFrame:
+def freshness_per_minute(metrics: DataFrame) -> DataFrame:
     """Largest freshness per minute, oldest minutes first."""
-    series = metrics.where("metric = 'cdc_freshness_seconds'").groupBy(minute(F.col("ts")).alias("t")).agg(
+    return metrics.where("metric = 'cdc_freshness_seconds'").groupBy(minute(F.col("ts")).alias("t")).agg(
         F.max("value").alias("freshness_s")).orderBy("t")
-    return series if limit is None else series.limit(limit)
 
 
 def windowed(log: DataFrame, length: str, every: str | None, measure: Column, name: str) -> DataFrame:

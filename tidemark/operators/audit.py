@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 HOME_REGION = "ap-southeast-1"
-JSON_LIMIT = 100
 RETENTION_DAYS = {"app": 30, "events": 30, "metrics": 30, "audit": 180}
 TAMPER_EVENTS = ("StopLogging", "DeleteTrail")
 
@@ -60,8 +59,8 @@ def as_json(audit: DataFrame) -> DataFrame:
     return audit.select("event_time", F.to_json(body).alias("event"))
 
 
-def json_query(payloads: DataFrame, condition, fields: dict[str, str], limit: int | None = JSON_LIMIT) -> DataFrame:
-    """Any of the questions over payloads: extract fields by path, newest first, top `limit`."""
+def json_query(payloads: DataFrame, condition, fields: dict[str, str], limit: int | None = None) -> DataFrame:
+    """Any of the questions over payloads: extract fields by path, newest first; all rows unless a limit is given."""
     out = payloads.where(condition).select(
         "event_time", *[F.get_json_object("event", path).alias(name) for name, path in fields.items()])
     out = out.orderBy(F.col("event_time").desc(), *[F.col(c) for c in fields])

@@ -164,12 +164,15 @@ def results(tables: Sequence[tuple[DataFrame, Sequence[Rule]]], found: DataFrame
 
 
 def quarantine_rows(found: DataFrame, run_id: str) -> DataFrame:
-    """Violations in the shape of the quarantine table, key and reason cut to the column sizes."""
-    return found.select(
-        F.lit(run_id).alias("run_id"), "rule_id", "table_name",
-        truncate(F.col("row_key"), ROW_KEY_SIZE).alias("row_key"),
-        truncate(F.col("reason"), REASON_SIZE).alias("reason"),
-        "violating_row_json")
+    """Violations in the shape of the quarantine table, with their whole keys and reasons."""
+    return found.select(F.lit(run_id).alias("run_id"), "rule_id", "table_name", "row_key", "reason",
+                        "violating_row_json")
+
+
+def database_sizes(rows: DataFrame) -> DataFrame:
+    """Quarantine rows as a database with fixed column sizes takes them: key and reason are cut."""
+    return rows.withColumns({"row_key": truncate(F.col("row_key"), ROW_KEY_SIZE),
+                             "reason": truncate(F.col("reason"), REASON_SIZE)})
 
 
 def passing(df: DataFrame, pk: Sequence[str], found: DataFrame, key: Sequence[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.masking import mask_customer_ref, needs_mask
@@ -16,22 +16,21 @@ DLQ_REQUIRED = ("eventType", "externalOrderRef", "sourceSystem", "storeId", "reg
                 "failedStep", "attempts", "errorCode", "category", "compensated", "releasedReservationIds", "occurredAt")
 
 
-def assemble(orders: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Orders with 1 to 50 lines and their `lines` array in line order, and the rest with `line_count`.
+def assemble(orders: DataFrame, lines: DataFrame, most: int = MAX_LINES) -> tuple[DataFrame, DataFrame]:
+    """Orders with 1 to `most` lines and their `lines` array in line order, and the rest with their true `line_count`.
 
-    The event of an order nests its lines and the order contract allows 50. The rank limit drops line
-    51 and later of an order before the shuffle and again after it, so no array can grow beyond 51
-    entries; an array of 51 only tells that the order is over the contract, and it is parted whole.
+    The lines of an order are counted first, partially in every task; only lines of orders within the contract are
+    nested, so no array can grow beyond `most` entries. The rest is returned to be published or booked, not dropped.
     """
-    first = Window.partitionBy("order_id").orderBy("line_no", "sku_id")
-    ranked = lines.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= MAX_LINES + 1)
-    item = F.struct(F.col("_rank"), F.col("line_no"), F.col("sku_id").alias("skuId"), F.col("quantity"),
-                    F.col("unit_price_minor").alias("unitPriceMinor"), F.col("currency"))
-    nested = ranked.groupBy("order_id").agg(F.sort_array(F.collect_list(item)).alias("lines"))
-    joined = orders.join(nested, "order_id", "left").withColumn(
-        "_n", F.coalesce(F.size("lines"), F.lit(0)))
-    fits = F.col("_n").between(1, MAX_LINES)
-    return joined.where(fits).drop("_n"), joined.where(~fits).drop("lines").withColumnRenamed("_n", "line_count")
+    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("line_count"))
+    fitting = lines.join(counts.where(F.col("line_count") <= most).select("order_id"), "order_id", "left_semi")
+    item = F.struct("line_no", F.col("sku_id").alias("skuId"), "quantity",
+                    F.col("unit_price_minor").alias("unitPriceMinor"), "currency")
+    nested = fitting.groupBy("order_id").agg(F.sort_array(F.collect_list(item)).alias("lines"))
+    counted = orders.join(counts, "order_id", "left").withColumn(
+        "line_count", F.coalesce("line_count", F.lit(0).cast("bigint")))
+    rest = counted.where(~F.col("line_count").between(1, most))
+    return orders.join(nested, "order_id"), rest
 
 
 def attempts_map(step_attempts: dict[str, Column]) -> Column:

@@ -59,17 +59,22 @@ def bronze_roundtrip(t: Tables) -> DataFrame:
 
 @query("silver_gold_roundtrip", q.with_(f"""
 SELECT d.dt, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(line_total_minor) AS BIGINT) AS total_minor
-FROM silver_lines, (VALUES ('{REPLAY_DT}'), ('20260913')) d(dt) GROUP BY d.dt""", *q.LINES, q.SILVER_LINES))
+FROM silver_lines, (VALUES ('{REPLAY_DT}'), ('20260913')) d(dt) GROUP BY d.dt
+UNION ALL SELECT '20260914', CAST(0 AS BIGINT), CAST(NULL AS BIGINT)""", *q.LINES, q.SILVER_LINES))
 def silver_gold_roundtrip(t: Tables) -> DataFrame:
-    """Write one day twice and another day once: each day holds one copy."""
+    """Write one day twice, another once, and rerun a third without rows: one copy each, and none of the third."""
     path = scratch_path(t.spark, "gold")
     lines = oq.live_lines(t).withColumn(
         "line_total_minor", F.col("quantity").cast("bigint") * F.col("unit_price_minor"))
-    for day in (REPLAY_DATE, REPLAY_DATE, dt.date(2026, 9, 13)):
-        tables.replace_days(gold.fact_order_lines(lines, day), path)
+    for day in (REPLAY_DATE, REPLAY_DATE, dt.date(2026, 9, 13), dt.date(2026, 9, 14)):
+        tables.replace_day(gold.fact_order_lines(lines, day), path, f"{day:%Y%m%d}")
+    tables.replace_day(gold.fact_order_lines(lines.where("false"), day), path, f"{day:%Y%m%d}")
     back = [lake_table(t.spark, path, d) for d in (REPLAY_DT, "20260913")]
-    return back[0].unionByName(back[1]).groupBy("dt").agg(
+    emptied = t.spark.read.parquet(f"{path}/dt=20260914").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("line_total_minor").alias("total_minor"))
+    return back[0].unionByName(back[1]).groupBy("dt").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("line_total_minor").alias("total_minor")).unionByName(
+        emptied.select(F.lit("20260914").alias("dt"), "n_lines", "total_minor"))
 
 
 def landed_lake(t: Tables) -> Lake:

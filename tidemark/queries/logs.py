@@ -245,9 +245,9 @@ def audit_q5(t: Tables) -> DataFrame:
 
 @query("audit_json_denied", _audit_sql(
     "identity_name AS actor, event_name AS op, source_ip AS src, error_code AS err", "error_code IS NOT NULL"
-) + " ORDER BY audit.event_time DESC, actor, op, src, err LIMIT 100")
+))
 def audit_json_denied(t: Tables) -> DataFrame:
-    """The refused-actions report over JSON payloads, top 100."""
+    """Q2 over JSON payloads: all refused actions."""
     fields = {"actor": "$.userIdentity.userName", "op": "$.eventName", "src": "$.sourceIpAddress",
               "err": "$.errorCode"}
     return timed(audit.json_query(audit.as_json(t.audit_events()), audit.path("errorCode").isNotNull(), fields))
@@ -259,7 +259,36 @@ def audit_json_policy_changes(t: Tables) -> DataFrame:
     """Bucket-policy changes over JSON payloads, all of them."""
     fields = {"actor": "$.userIdentity.userName", "op": "$.eventName", "bucket": "$.resourceName"}
     return timed(audit.json_query(audit.as_json(t.audit_events()), audit.path("eventName").like("%BucketPolicy%"),
-                                  fields, limit=None))
+                                  fields))
+
+
+@query("audit_json_key_actions", _audit_sql(
+    "identity_name AS actor, event_name AS op, resource_name AS resource, source_ip AS src",
+    "event_source LIKE '%kms%'"))
+def audit_json_key_actions(t: Tables) -> DataFrame:
+    """Q1 over JSON payloads: who touched keys."""
+    fields = {"actor": "$.userIdentity.userName", "op": "$.eventName", "resource": "$.resourceName",
+              "src": "$.sourceIpAddress"}
+    return timed(audit.json_query(audit.as_json(t.audit_events()), audit.path("eventSource").like("%kms%"), fields))
+
+
+@query("audit_json_by_identity", _audit_sql(
+    "event_name AS op, resource_name AS resource, source_ip AS src, error_code AS err", "identity_name = 'user-7'"))
+def audit_json_by_identity(t: Tables) -> DataFrame:
+    """Q4 over JSON payloads: everything one identity did."""
+    fields = {"op": "$.eventName", "resource": "$.resourceName", "src": "$.sourceIpAddress", "err": "$.errorCode"}
+    return timed(audit.json_query(
+        audit.as_json(t.audit_events()), audit.path("userIdentity.userName") == "user-7", fields))
+
+
+@query("audit_json_other_region", _audit_sql(
+    "identity_name AS actor, event_name AS op, region, source_ip AS src", "region <> 'ap-southeast-1'"))
+def audit_json_other_region(t: Tables) -> DataFrame:
+    """Q5 over JSON payloads: actions outside the home region."""
+    fields = {"actor": "$.userIdentity.userName", "op": "$.eventName", "region": "$.acsRegion",
+              "src": "$.sourceIpAddress"}
+    return timed(audit.json_query(
+        audit.as_json(t.audit_events()), audit.path("acsRegion") != audit.HOME_REGION, fields))
 
 
 @query("retention_filter", """
@@ -287,36 +316,42 @@ def minutes(df: DataFrame, *columns: str) -> DataFrame:
     return out
 
 
-@query("dashboard_p95_minute", q.with_("""
-SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS t, n, p95 FROM (
-  SELECT date_trunc('minute', ts) AS t, CAST(count(*) AS BIGINT) AS n, quantile_cont(time_ms, 0.95) AS p95
-  FROM transcript GROUP BY 1 ORDER BY 1 LIMIT 1440)""", q.TRANSCRIPT))
+AS_OF = "2024-01-20 00:00:00"
+_LAST_DAY = f"ts > TIMESTAMP '{AS_OF}' - INTERVAL {alerts.DAY_S} SECOND AND ts <= TIMESTAMP '{AS_OF}'"
+
+
+def last_day(log: DataFrame) -> DataFrame:
+    return alerts.look_back(log, AS_OF, alerts.DAY_S)
+
+
+@query("dashboard_p95_minute", q.with_(f"""
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS t, CAST(count(*) AS BIGINT) AS n,
+       quantile_cont(time_ms, 0.95) AS p95 FROM transcript WHERE {_LAST_DAY} GROUP BY 1""", q.TRANSCRIPT))
 def dashboard_p95_minute(t: Tables) -> DataFrame:
-    return minutes(alerts.p95_per_minute(t.transcript()), "t")
+    """Every minute of the look-back."""
+    return minutes(alerts.p95_per_minute(last_day(t.transcript())), "t")
 
 
 @query("dashboard_p95_minute_full", q.with_("""
 SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS t, CAST(count(*) AS BIGINT) AS n,
        quantile_cont(time_ms, 0.95) AS p95 FROM transcript GROUP BY 1""", q.TRANSCRIPT))
 def dashboard_p95_minute_full(t: Tables) -> DataFrame:
-    """The whole series, without the display limit."""
-    return minutes(alerts.p95_per_minute(t.transcript(), limit=None), "t")
+    """The whole series."""
+    return minutes(alerts.p95_per_minute(t.transcript()), "t")
 
 
-@query("dashboard_dlq_minute", q.with_("""
-SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS t, dlq_depth FROM (
-  SELECT date_trunc('minute', ts) AS t, CAST(count(*) AS BIGINT) AS dlq_depth FROM transcript
-  WHERE status IN (0, 503) GROUP BY 1 ORDER BY 1 LIMIT 1440)""", q.TRANSCRIPT))
+@query("dashboard_dlq_minute", q.with_(f"""
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS t, CAST(count(*) AS BIGINT) AS dlq_depth
+FROM transcript WHERE status IN (0, 503) AND {_LAST_DAY} GROUP BY 1""", q.TRANSCRIPT))
 def dashboard_dlq_minute(t: Tables) -> DataFrame:
-    return minutes(alerts.count_per_minute(t.transcript().where("status in (0, 503)"), "dlq_depth"), "t")
+    return minutes(alerts.count_per_minute(last_day(t.transcript()).where("status in (0, 503)"), "dlq_depth"), "t")
 
 
 @query("dashboard_freshness_minute", f"""
-SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS t, freshness_s FROM (
-  SELECT date_trunc('minute', ts) AS t, max({q.minor('value')} // 100) AS freshness_s FROM events
-  WHERE event_type = 'view' GROUP BY 1 ORDER BY 1 LIMIT 1440)""")
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS t, max({q.minor('value')} // 100) AS freshness_s
+FROM events WHERE event_type = 'view' AND {_LAST_DAY} GROUP BY 1""")
 def dashboard_freshness_minute(t: Tables) -> DataFrame:
-    return minutes(alerts.freshness_per_minute(t.metric_events()), "t")
+    return minutes(alerts.freshness_per_minute(last_day(t.metric_events())), "t")
 
 
 def _tumbling(length_s: int, rel: str, measure: str, name: str, fires: str) -> str:

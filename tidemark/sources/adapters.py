@@ -59,21 +59,12 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def wide(self, name: str) -> DataFrame:
-        """A table for costly work per row: one that comes in fewer splits than there are cores is spread.
-
-        Tables of a realistic size have more splits than cores and are left as they are.
-        """
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
-
     # ---------------------------------------------------------------- orders
 
     def order_base(self) -> DataFrame:
         """orders ⋈ customer ⋈ nation with the retail region and currency."""
         return (
-            self.wide("orders")
+            self.table("orders")
             .join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation").select("n_nationkey", "n_regionkey"),
                   F.col("c_nationkey") == F.col("n_nationkey"))
@@ -143,7 +134,7 @@ class Tables:
         part = self.table("part").select("p_partkey", "p_retailprice")
         flag = F.col("l_returnflag")
         return (
-            self.wide("lineitem")
+            self.table("lineitem")
             .join(base, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .select(
@@ -202,7 +193,7 @@ class Tables:
             ts_ms.alias("ts_ms"),
         )
         value = F.when(eid % 97 != 0, F.to_json(body, {"ignoreNullFields": "false"}))
-        return materialized(self.wide("events"), value_=value).select(
+        return materialized(self.table("events"), value_=value).select(
             F.lit(CDC_TOPIC).alias("topic"),
             (F.col("user_id") % 4).cast("int").alias("partition"),
             eid.alias("offset"),
