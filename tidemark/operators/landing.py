@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.envelopes import OBJECT_KEY_PATTERN, object_key, routing_columns
 from tidemark.functions.regions import REGIONS
 
+TOMBSTONE = "tombstone"
 BRONZE_COLUMNS = ("topic", "partition", "offset", "position", "value", "object_key", "region", "table", "dt")
 
 
@@ -23,6 +24,14 @@ def route(messages: DataFrame, allowed: Sequence[str] = REGIONS) -> DataFrame:
     return live.withColumn("reject", reject)
 
 
+def not_landing(messages: DataFrame, allowed: Sequence[str] = REGIONS) -> DataFrame:
+    """Every message that does not land, with its reason: rejects, and tombstones (null values)."""
+    tombstones = messages.where(F.col("value").isNull()).withColumn("reject", F.lit(TOMBSTONE))
+    rejects = route(messages, allowed).where("reject is not null")
+    columns = ("topic", "partition", "offset", "value", "reject")
+    return rejects.select(*columns).unionByName(tombstones.select(*columns))
+
+
 def strict(routed: DataFrame) -> DataFrame:
     """Fail the job on the first record that may not land; otherwise pass the rows on."""
     text = F.concat(F.lit("BRONZE-REJECT "), F.col("reject"), F.lit(" topic="), F.col("topic"), F.lit(" partition="),

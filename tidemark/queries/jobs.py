@@ -131,13 +131,30 @@ def store_profile(t: Tables, path: str) -> DataFrame:
 
 @query("event_store_replay", q.with_(_STORE, *q.LINES, oq.EVENTS_SQL))
 def event_store_replay(t: Tables) -> DataFrame:
-    """Store all events, store them again as a later batch, retry that batch: nothing changes."""
+    """Store half, all and all again, retry, then restart as a new stream at batch 0 with the other half: each once."""
     path = scratch_path(t.spark, "store")
-    for batch in (0, 1, 1):
-        store.store_batch(t.order_events(), path, batch)
+    half = F.pmod(F.xxhash64(F.get_json_object("value", "$.externalOrderRef")), F.lit(2)) == 0
+    events = t.order_events()
+    for stream, batch, rows in (("a", 0, events.where(half)), ("a", 1, events), ("a", 1, events),
+                                ("b", 0, events.where(~half)), ("b", 1, events.where("false"))):
+        store.store_batch(rows, path, batch, stream)
     return store_profile(t, path)
 
 
+@query("ingest_outcomes", q.with_("""
+SELECT pass, outcome, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT p AS pass, CASE WHEN route <> 'OK' THEN route WHEN p = 'first' AND is_first THEN 'STORED' ELSE 'REPLAY' END
+         AS outcome, 1 AS n FROM outcome_rows, (VALUES ('first'), ('second')) v(p))
+GROUP BY ALL""", *q.LINES, oq.EVENTS_SQL, oq.OUTCOMES_SQL))
+def ingest_outcomes(t: Tables) -> DataFrame:
+    """What became of every message when all are stored, and again when a new stream brings them a second time."""
+    path = scratch_path(t.spark, "store")
+    for stream in ("first", "second"):
+        store.store_batch(t.order_events(), path, 0, stream)
+    return t.spark.read.parquet(f"{path}/outcomes").where("n > 0").groupBy(
+        F.col("stream").alias("pass"), F.col("route").alias("outcome")).agg(F.sum("n").alias("n"))
+
+
 @query("stream_ingest_orders", q.with_(_STORE, *q.LINES, oq.EVENTS_SQL))
 def stream_ingest_orders(t: Tables) -> DataFrame:
     """Order events as a stream into the event store."""
@@ -158,6 +175,23 @@ def stream_land_bronze(t: Tables) -> DataFrame:
     return landed_profile(bronze_scan(t.spark, root))
 
 
+@query("landing_balance", q.with_("""
+SELECT outcome, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN tombstone THEN 'tombstone' WHEN landed THEN 'landed' ELSE 'rejected' END AS outcome FROM balance)
+GROUP BY outcome""", q.EVENT_CHANGES, lg._ROUTED, lg._BALANCE))
+def landing_balance(t: Tables) -> DataFrame:
+    """Landed, rejected and tombstones, from what the streams wrote; together they are the input."""
+    root, side = scratch_path(t.spark, "bronze"), scratch_path(t.spark, "rejects")
+    for start, path in ((jobs.land_bronze, root), (jobs.keep_rejects, side)):
+        more = {"strict": False} if start is jobs.land_bronze else {}
+        start(StreamTables(t, "events").event_changes(), path, scratch_path(t.spark, "checkpoint"), once=True,
+              **more).awaitTermination()
+    landed = bronze_scan(t.spark, root).select(F.lit("landed").alias("outcome"))
+    kept = t.spark.read.parquet(side).select(
+        F.when(F.col("reject") == landing.TOMBSTONE, "tombstone").otherwise("rejected").alias("outcome"))
+    return landed.unionByName(kept).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_restart", q.with_(_LANDED, q.EVENT_CHANGES, lg._ROUTED))
 def stream_restart(t: Tables) -> DataFrame:
     """Land the first part of a topic, stop, land the rest from the saved offsets: no loss, no copy."""

@@ -451,6 +451,10 @@ live AS (SELECT * FROM event_changes WHERE NOT tombstone),
 landed AS (SELECT * FROM live WHERE ts_ms IS NOT NULL AND region <> 'EU')"""
 
 
+_BALANCE = """
+balance AS (SELECT tombstone, ts_ms IS NOT NULL AND region <> 'EU' AS landed FROM event_changes)"""
+
+
 @query("bronze_inventory", q.with_("""
 SELECT region, tbl AS "table", dt, CAST(count(*) AS BIGINT) AS records, min(ts_ms) AS first_ts_ms,
        max(ts_ms) AS last_ts_ms FROM landed GROUP BY ALL""", q.EVENT_CHANGES, _ROUTED))

@@ -255,6 +255,15 @@ event_lines AS (
          region FROM firsts WHERE fault <> 8)"""
 
 
+OUTCOMES_SQL = """
+outcome_rows AS (
+  SELECT 'OK' AS route, row_number() OVER (PARTITION BY 'WEB_STORE_' || region, ref
+                                           ORDER BY source_ts_ms, part, off) = 1 AS is_first FROM ok
+  UNION ALL
+  SELECT CASE WHEN fault = 0 THEN 'TOMBSTONE' ELSE 'POISON' END, false FROM ev
+  WHERE fault = 0 OR reason IS NOT NULL)"""
+
+
 @query("poison_routing", q.with_("""
 SELECT route, reason, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT CASE WHEN fault = 0 THEN 'TOMBSTONE' WHEN reason IS NOT NULL THEN 'POISON' ELSE 'OK' END AS route, reason

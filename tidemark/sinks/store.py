@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,45 +15,80 @@ EVENT_COLUMNS = ("order_id", "external_order_ref", "source_system", "store_id",
                  "offset", "timestamp", "value", "lines")
 
 
-def stored_events(spark: SparkSession, path: str, without_batch: int | None = None) -> DataFrame | None:
-    """Committed events (an order with its lines per row), or None before the first commit."""
+#: Buckets of the key index; a batch reads those of its own keys.
+KEY_BUCKETS = 32
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        table = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return table if without_batch is None else table.where(F.col("batch_id") != str(without_batch))
 
 
-def store_batch(records: DataFrame, path: str, batch_id: int) -> None:
-    """Parse, route and store one batch of messages.
+def stored_events(spark: SparkSession, path: str) -> DataFrame | None:
+    """Committed events (an order with its lines per row), or None before the first commit."""
+    return _table(spark, path)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that owns a checkpoint: made with the checkpoint, and lost with it."""
+    path = f"{checkpoint}/stream_id"
+    known = _table(spark, path)
+    if known is None:
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.parquet(path)
+        known = spark.read.parquet(path)
+    return known.first().id
+
+
+def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "batch") -> None:
+    """Parse, route and store one batch of messages of a stream.
 
-    The unit of commit is one row per order with its lines nested, so both appear together. A batch
-    that is retried replaces its own partition and ignores its own earlier attempt. The store is only
-    scanned for the keys of the batch: the semi-join keeps the few keys that are already there, and
-    those are taken off the batch.
+    The unit of commit is one row per order with its lines nested, so both appear together. Batches are
+    kept by stream and number: a batch that is retried replaces its own partition and ignores its own
+    earlier attempt, and a stream with a new checkpoint, which counts from 0 again, touches no other's.
+    The keys of the store are an index in hash buckets, of which only those of the batch are read.
+    Outcomes count STORED and REPLAY messages besides POISON and TOMBSTONE.
     """
     spark = records.sparkSession
+    own = (F.col("stream") == stream) & (F.col("batch_id") == str(batch_id))
+    keys = list(ingest.BUSINESS_KEY)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("string")
     routed = ingest.routed(ingest.parse_events(records)).persist()
     try:
         fresh = ingest.first_events(routed.where("route = 'OK'"))
-        store = stored_events(spark, f"{path}/events", without_batch=batch_id)
-        if store is not None:
-            keys = list(ingest.BUSINESS_KEY)
-            known = store.select(*keys).join(fresh.select(*keys), keys, "left_semi")
-            fresh = ingest.not_stored(fresh, known)
-        _commit(fresh.select(*EVENT_COLUMNS), f"{path}/events", batch_id)
+        index = _table(spark, f"{path}/keys")
+        if index is not None:
+            # at most KEY_BUCKETS values, which prune the folders of the index
+            mine = [r[0] for r in fresh.select(bucket.alias("bucket")).distinct().collect()]
+            known = index.where(F.col("bucket").isin(mine) & ~own).select(*keys)
+            fresh = ingest.not_stored(fresh, known.join(fresh.select(*keys), keys, "left_semi"))
+        _commit(fresh.select(*EVENT_COLUMNS), f"{path}/events", stream, batch_id)
+        events = spark.read.parquet(f"{path}/events").where(own)
+        _commit(events.select(*keys, bucket.alias("bucket")), f"{path}/keys", stream, batch_id, "bucket")
         poison = routed.where("route = 'POISON'").select("topic", "partition", "offset", "reason")
-        _commit(poison, f"{path}/poison", batch_id)
-        _commit(routed.groupBy("route").agg(F.count(F.lit(1)).alias("n")), f"{path}/outcomes", batch_id)
+        _commit(poison, f"{path}/poison", stream, batch_id)
+        stored = events.agg(F.count(F.lit(1)).alias("n")).select(F.lit(ingest.STORED).alias("route"), "n")
+        routes = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+        # messages that parse and are not stored are replays
+        replays = routes.where("route = 'OK'").select("n").unionByName(stored.select((-F.col("n")).alias("n"))).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(ingest.REPLAY).alias("route"), "n")
+        _commit(routes.where("route <> 'OK'").unionByName(stored).unionByName(replays), f"{path}/outcomes", stream,
+                batch_id)
     finally:
         routed.unpersist()
 
 
-def _commit(df: DataFrame, path: str, batch_id: int) -> None:
-    df.withColumn("batch_id", F.lit(str(batch_id))).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+def _commit(df: DataFrame, path: str, stream: str, batch_id: int, *parts: str) -> None:
+    """Replace the partition of one batch of one stream; an empty result replaces it too."""
+    if parts:  # the index: its buckets come first, so a batch prunes by them
+        df.repartition(*parts).withColumns({"stream": F.lit(stream), "batch_id": F.lit(str(batch_id))}).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*parts, "stream", "batch_id").parquet(path)
+    else:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{path}/stream={stream}/batch_id={batch_id}")
 
 
 def oms_order(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.functions.dates import freshness_seconds
 from tidemark.operators import alerts, freshness, landing
-from tidemark.sinks.store import store_batch
+from tidemark.sinks.store import store_batch, stream_id
 from tidemark.sinks.tables import append_metric
 
 
@@ -27,7 +27,8 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
 
 def ingest_orders(messages: DataFrame, store: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Order events into the event store: at least once, stored once per business key."""
-    return _start(messages.writeStream.foreachBatch(lambda df, i: store_batch(df, store, i)), checkpoint, once)
+    owner = stream_id(messages.sparkSession, checkpoint)
+    return _start(messages.writeStream.foreachBatch(lambda df, i: store_batch(df, store, i, owner)), checkpoint, once)
 
 
 def land_bronze(messages: DataFrame, root: str, checkpoint: str, allowed=None, strict: bool = True,
@@ -35,7 +36,7 @@ def land_bronze(messages: DataFrame, root: str, checkpoint: str, allowed=None, s
     """Change messages into bronze by region, table and commit day.
 
     There is no watermark: a late record lands under the day of its own commit. In strict mode a
-    record that may not land stops the stream; otherwise it is left out.
+    record that may not land stops the stream; otherwise it is for `keep_rejects` to take.
     """
     routed = landing.route(messages, *([allowed] if allowed else []))
     clean = landing.strict(routed) if strict else routed.where("reject is null").drop("reject")
@@ -44,6 +45,15 @@ def land_bronze(messages: DataFrame, root: str, checkpoint: str, allowed=None, s
         "region", "table", "dt"), checkpoint, once)
 
 
+def keep_rejects(messages: DataFrame, path: str, checkpoint: str, allowed=None, once: bool = False) -> StreamingQuery:
+    """The messages that `land_bronze` leaves out when not strict, with the reason; tombstones too.
+
+    It reads the same source with its own offsets, so each message ends in bronze or here, exactly once.
+    """
+    rows = landing.not_landing(messages, *([allowed] if allowed else []))
+    return _start(rows.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, once)
+
+
 def freshness_metrics(messages: DataFrame, metrics: str, checkpoint: str, clock_ms: Callable[[], int] | None = None,
                       once: bool = False) -> StreamingQuery:
     """One freshness line per batch: the age of its newest commit when the batch is published."""
@@ -94,23 +104,20 @@ class IdleHeartbeat(StreamingQueryListener):
 
 
 def window_counts(log: DataFrame, out: str, checkpoint: str, length: str, every: str | None = None,
-                  late: str = "1 hour", name: str = "n", once: bool = False) -> StreamingQuery:
-    """Counts per tumbling or sliding window, kept up to date.
+                  name: str = "n", once: bool = False) -> StreamingQuery:
+    """Counts per tumbling or sliding window, kept up to date without state or watermark.
 
-    Every batch appends the windows it changed; `current_windows` reads the last value of each. The
-    watermark only bounds the state that has to be kept.
+    Every batch writes the counts of its own rows, under its number, so that a repeated batch replaces
+    itself; `current_windows` adds them up. A row may come as late as it likes.
     """
-    stamped = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    counts = alerts.windowed(stamped, length, every, F.count(F.lit(1)), name)
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        counts = alerts.windowed(batch, length, every, F.count(F.lit(1)), name)
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/batch_id={batch_id}")
 
-    return _start(counts.writeStream.outputMode("update").foreachBatch(write), checkpoint, once)
+    return _start(log.writeStream.foreachBatch(write), checkpoint, once)
 
 
 def current_windows(table: DataFrame) -> DataFrame:
-    """The newest value of every window written by `window_counts`."""
+    """The value of every window written by `window_counts`: the sum over the batches."""
     values = [c for c in table.columns if c not in ("window_start", "window_end", "batch_id")]
-    return table.groupBy("window_start", "window_end").agg(
-        *[F.max_by(c, "batch_id").alias(c) for c in values])
+    return table.groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in values])
