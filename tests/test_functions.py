@@ -12,12 +12,12 @@ MS = lambda s: int(dt.datetime.fromisoformat(s).replace(tzinfo=dt.timezone.utc).
     (3, "16cfb048c4df"), (7, "4379dd03795d"), (11, "8688b926b7c8"), (15, "921612995fb0"), (19, "fbb8e58197a7"),
     (23, "e81a771c9906"), (27, "b048ec253889")])
 def test_mask_vectors(value, n, digest):
-    assert value(masking.mask_customer_ref(F.lit(f"cust-cn-{n}"), F.lit("CN"))) == f"msk-{digest}"
+    assert value(masking.mask_customer_ref(F.lit(f"cust-cn-{n}"), F.lit("CN"), "sim-egress-secret")) == f"msk-{digest}"
 
 
 @pytest.mark.parametrize("ref,region", [("cust-ca-1", "CA"), ("", "CN"), ("  ", "CN"), (None, "CN"), ("x", None)])
 def test_mask_leaves_the_rest(value, ref, region):
-    assert value(masking.mask_customer_ref(F.lit(ref).cast("string"), F.lit(region).cast("string"))) == ref
+    assert value(masking.mask_customer_ref(F.lit(ref).cast("string"), F.lit(region).cast("string"), "s")) == ref
 
 
 def test_long_secret_is_hashed_first(value):

@@ -53,9 +53,9 @@ def test_bad_numbers_become_null(spark):
 def test_selftest_counts(spark):
     got = {(r.table_name, r.rule_id): (r.checked, r.violations, r.status) for r in selftest_results(spark).collect()}
     assert got == {
-        ("fact_orders", "DQ-COMPLETE"): (4, 1, "FAIL"), ("fact_orders", "DQ-UNIQUE"): (4, 1, "FAIL"),
-        ("fact_orders", "DQ-REFERENTIAL"): (4, 2, "FAIL"), ("fact_order_lines", "DQ-COMPLETE"): (5, 1, "FAIL"),
-        ("fact_order_lines", "DQ-UNIQUE"): (5, 1, "FAIL"), ("fact_order_lines", "DQ-REFERENTIAL"): (5, 2, "FAIL")}
+        ("fact_orders", "DQ-COMPLETE"): (7, 3, "FAIL"), ("fact_orders", "DQ-UNIQUE"): (7, 2, "FAIL"),
+        ("fact_orders", "DQ-REFERENTIAL"): (7, 2, "FAIL"), ("fact_order_lines", "DQ-COMPLETE"): (8, 3, "FAIL"),
+        ("fact_order_lines", "DQ-UNIQUE"): (8, 1, "FAIL"), ("fact_order_lines", "DQ-REFERENTIAL"): (8, 2, "FAIL")}
     assert run_selftest(spark) == 0
 
 

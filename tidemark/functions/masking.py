@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 MASK_PREFIX = "msk-"
 MASK_HEX_CHARS = 12
 MASKED_REGION = "CN"
-DEFAULT_SECRET = "sim-egress-secret"
 
 _BLOCK = 64
 
@@ -26,7 +25,8 @@ def hmac_pads(secret: bytes) -> tuple[bytes, bytes]:
 def hmac_sha256_hex(message: Column, secret: bytes) -> Column:
     """HMAC-SHA256 from the built-in `sha2`, so it runs inside generated code.
 
-    The pads are derived on the driver; the secret itself never becomes a column.
+    Both pads are literals of the plan and lead back to the secret, so plans and event logs of such a job are as
+    secret as it is; `spark.sql.redaction.string.regex` can hide them in plan texts.
     """
     inner_pad, outer_pad = hmac_pads(secret)
     inner = F.sha2(F.concat(F.lit(inner_pad), F.encode(message, "UTF-8")), 256)
@@ -39,7 +39,7 @@ def needs_mask(customer_ref: Column, region: Column) -> Column:
     return F.coalesce((region == MASKED_REGION) & customer_ref.isNotNull() & ~blank, F.lit(False))
 
 
-def mask_customer_ref(customer_ref: Column, region: Column, secret: str = DEFAULT_SECRET) -> Column:
+def mask_customer_ref(customer_ref: Column, region: Column, secret: str) -> Column:
     """`msk-` plus 12 hex digits for a CN reference; anything else, null and blank pass unchanged."""
     digest = F.substring(hmac_sha256_hex(customer_ref, secret.encode()), 1, MASK_HEX_CHARS)
     return F.when(needs_mask(customer_ref, region), F.concat(F.lit(MASK_PREFIX), digest)).otherwise(customer_ref)

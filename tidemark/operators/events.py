@@ -41,8 +41,8 @@ def attempts_map(step_attempts: dict[str, Column]) -> Column:
     return F.create_map(*pairs)
 
 
-def success_payload() -> Column:
-    """The success event of an assembled order row."""
+def success_payload(secret: str) -> Column:
+    """The success event of an assembled order row; `secret` keys the pseudonyms."""
     money = F.struct(F.col("total_amount_minor").alias("amountMinor"), F.col("currency").alias("currency"))
     no_order = lambda x: F.struct(x["skuId"], x["quantity"], x["unitPriceMinor"], x["currency"])
     return F.struct(
@@ -59,7 +59,7 @@ def success_payload() -> Column:
                  needs_mask(F.col("customer_ref"), F.col("region")).alias("customerRefMasked")).alias("route"),
         F.struct(F.col("source_system").alias("sourceSystem"), F.col("correlation_id").alias("correlationId"))
         .alias("audit"),
-        mask_customer_ref(F.col("customer_ref"), F.col("region")).alias("customerRef"),
+        mask_customer_ref(F.col("customer_ref"), F.col("region"), secret).alias("customerRef"),
         F.transform("lines", no_order).alias("lines"),
     )
 
@@ -71,15 +71,15 @@ def headers(**values: Column) -> Column:
     return F.filter(F.array(*pairs), lambda h: h.isNotNull())
 
 
-def success_messages(assembled: DataFrame) -> DataFrame:
+def success_messages(assembled: DataFrame, secret: str) -> DataFrame:
     """Frames (key, value, headers) of success events."""
     return assembled.select(
-        F.col("order_id").alias("key"), F.to_json(success_payload()).alias("value"),
+        F.col("order_id").alias("key"), F.to_json(success_payload(secret)).alias("value"),
         headers(correlationId=F.col("correlation_id"), region=F.col("region"), eventType=F.lit(CONFIRMED))
         .alias("headers"))
 
 
-def dlq_fields(failures: DataFrame) -> DataFrame:
+def dlq_fields(failures: DataFrame, secret: str) -> DataFrame:
     """The 15 fields of a failed order, the customer reference masked.
 
     Input: order columns plus failed_step, error_code, business (a contract fault), attempts,
@@ -90,7 +90,7 @@ def dlq_fields(failures: DataFrame) -> DataFrame:
         F.lit(FAILED).alias("eventType"), F.col("order_id").alias("orderId"),
         F.col("external_order_ref").alias("externalOrderRef"), F.col("source_system").alias("sourceSystem"),
         F.col("store_id").alias("storeId"), F.col("region"),
-        mask_customer_ref(F.col("customer_ref"), F.col("region")).alias("customerRef"),
+        mask_customer_ref(F.col("customer_ref"), F.col("region"), secret).alias("customerRef"),
         F.col("correlation_id").alias("correlationId"), F.col("failed_step").alias("failedStep"),
         F.col("attempts"), F.col("error_code").alias("errorCode"),
         F.when(F.col("business"), "BUSINESS").otherwise("RECEIVER").alias("category"),

@@ -6,33 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import dq
 
-# The self-test rows.
-ORDERS = [
-    (0, "ORD-1", "ST-CA-01", "CA", 12500, "CAD"),
-    (1, "ORD-2", None, "CA", 500, "CAD"),
-    (2, "ORD-1", "ST-CA-01", "CA", 12500, "CAD"),
-    (3, "ORD-4", "ST-ZZ-99", "ZZ", 100, "XXX"),
-]
-LINES = [
-    (0, "ORD-1", 0, "SKU-0001", 2, 6250, "CAD"),
-    (1, "ORD-2", 0, "SKU-0002", 0, 100, "CAD"),
-    (2, "ORD-99", 0, "SKU-0003", 1, 100, "CAD"),
-    (3, "ORD-1", 0, "SKU-0001", 2, 6250, "CAD"),
-    (4, "ORD-4", 0, "SKU-0004", 3, 500, "CAD"),
-]
-KNOWN_ORDERS = [("ORD-1",), ("ORD-4",)]
-KNOWN_STORES = [("ST-CA-01",)]
+ORDER_SCHEMA = "seq int, order_id string, store_id string, region string, total_amount_minor bigint, currency string"
+LINE_SCHEMA = ("seq int, order_id string, line_no int, sku_id string, quantity int, unit_price_minor bigint, "
+               "currency string")
+STORES, ORDERS = ("north", "south"), ("A", "B", "C")
+
+SOUND_ORDER = {"order_id": "A", "store_id": "north", "region": "SG", "total_amount_minor": 700, "currency": "SGD"}
+SOUND_LINE = {"order_id": "A", "line_no": 1, "sku_id": "tea", "quantity": 7, "unit_price_minor": 100, "currency": "SGD"}
+
+#: What each row changes in a sound one. The keys A and (A, 1) stand thrice and twice, so the later ones are repeats.
+ORDER_CHANGES = ({}, {"order_id": "B", "currency": None}, {"order_id": "C", "store_id": "west"}, {}, {},
+                 {"order_id": "D", "store_id": None}, {"order_id": None})
+LINE_CHANGES = ({}, {"line_no": 2, "quantity": -1}, {"order_id": "B", "sku_id": None}, {"order_id": "Z"}, {},
+                {"order_id": None}, {"line_no": None}, {"order_id": "C", "quantity": None})
+
+
+def rows_of(sound: dict, changes: tuple[dict, ...]) -> list[tuple]:
+    """Numbered rows: the sound one with each of the changes."""
+    return [(i, *(sound | change).values()) for i, change in enumerate(changes)]
 
 
 def selftest_results(spark: SparkSession) -> DataFrame:
     """Counters of all six rule checks over the self-test rows."""
-    orders = spark.createDataFrame(
-        ORDERS, "seq int, order_id string, store_id string, region string, total_amount_minor bigint, currency string")
-    lines = spark.createDataFrame(
-        LINES, "seq int, order_id string, line_no int, sku_id string, quantity int, unit_price_minor bigint, "
-               "currency string")
-    order_rules = dq.order_rules(("seq",), spark.createDataFrame(KNOWN_STORES, "store_id string"))
-    line_rules = dq.line_rules(("seq",), spark.createDataFrame(KNOWN_ORDERS, "order_id string"))
+    orders = spark.createDataFrame(rows_of(SOUND_ORDER, ORDER_CHANGES), ORDER_SCHEMA)
+    lines = spark.createDataFrame(rows_of(SOUND_LINE, LINE_CHANGES), LINE_SCHEMA)
+    known = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    order_rules = dq.order_rules(("seq",), known(STORES, "store_id"))
+    line_rules = dq.line_rules(("seq",), known(ORDERS, "order_id"))
     found = dq.violations(orders, order_rules).unionByName(dq.violations(lines, line_rules))
     return dq.results([(orders, order_rules), (lines, line_rules)], found)
 

@@ -11,7 +11,7 @@ from tidemark.functions.text import idempotency_key
 from tidemark.operators import claims, events, ingest, latest, orders, sequence, stock
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
-from tidemark.sources.adapters import REPLAY_MS, Tables, materialized, padded
+from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded
 from tidemark.sources.lake import price_list
 
 KNOWN_STORES_SQL = "('ST-CA-01','ST-CA-02','ST-CA-03','ST-SG-01','ST-SG-02','ST-SG-03','ST-CN-01','ST-CN-02')"
@@ -22,7 +22,7 @@ KNOWN_STORES_SQL = "('ST-CA-01','ST-CA-02','ST-CA-03','ST-SG-01','ST-SG-02','ST-
 @query("mask_customer_ref", q.with_("SELECT order_id, region, customer_ref FROM order_rows", *q.ORDERS))
 def mask_customer_ref(t: Tables) -> DataFrame:
     return t.order_rows().select("order_id", "region", masking.mask_customer_ref(
-        F.col("customer_ref_clear"), F.col("region")).alias("customer_ref"))
+        F.col("customer_ref_clear"), F.col("region"), TEST_SECRET).alias("customer_ref"))
 
 
 @query("idempotency_keys", q.with_("""
@@ -344,7 +344,7 @@ def success_events(t: Tables) -> DataFrame:
     """Success events, read back from their JSON."""
     j = lambda path: F.get_json_object("value", path)
     lines = F.from_json(j("$.lines"), "array<struct<skuId:string>>")
-    return events.success_messages(assembled_orders(t)).select(
+    return events.success_messages(assembled_orders(t), TEST_SECRET).select(
         j("$.orderId").alias("order_id"), j("$.region").alias("region"),
         j("$.route.customerRefMasked").alias("masked"), j("$.customerRef").alias("customer_ref"),
         j("$.totalAmount.amountMinor").cast("bigint").alias("total_amount_minor"),
@@ -407,7 +407,7 @@ SELECT order_id, region, ref_out AS customer_ref, failed_step, {_DLQ_CODE} AS er
        CASE WHEN failed_step = 'order' THEN 3 ELSE 1 END AS order_attempts, 0 AS confirm_attempts, occurred_at
 FROM dlq""", *q.ORDERS, DLQ_SQL))
 def dlq_events(t: Tables) -> DataFrame:
-    return events.dlq_fields(failures(t)).select(
+    return events.dlq_fields(failures(t), TEST_SECRET).select(
         F.col("orderId").alias("order_id"), "region", F.col("customerRef").alias("customer_ref"),
         F.col("failedStep").alias("failed_step"), F.col("errorCode").alias("error_code"), "category", "compensated",
         F.array_join("releasedReservationIds", ",").alias("released"),
@@ -421,7 +421,7 @@ SELECT missing, CAST(count(*) AS BIGINT) AS n FROM (
                    CASE WHEN occurred_at IS NULL THEN 'occurredAt' END) AS missing FROM dlq) GROUP BY missing""",
                                    *q.ORDERS, DLQ_SQL))
 def dlq_completeness(t: Tables) -> DataFrame:
-    return events.dlq_missing(events.dlq_fields(failures(t))).groupBy(
+    return events.dlq_missing(events.dlq_fields(failures(t), TEST_SECRET)).groupBy(
         F.array_join("missing", ",").alias("missing")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -434,8 +434,8 @@ FROM order_rows r WHERE r.order_id IN (SELECT order_id FROM silver_lines GROUP B
                                *q.ORDERS, DLQ_SQL, q.LINE_VERSIONS, q.SILVER_LINES))
 def kafka_frames(t: Tables) -> DataFrame:
     """Key, value and headers of both topics, as the message sink takes them."""
-    dlq = events.dlq_messages(events.dlq_fields(failures(t)))
-    sent = dlq.unionByName(events.success_messages(assembled_orders(t)))
+    dlq = events.dlq_messages(events.dlq_fields(failures(t), TEST_SECRET))
+    sent = dlq.unionByName(events.success_messages(assembled_orders(t), TEST_SECRET))
     shown = F.array_join(F.transform("headers", lambda h: F.concat(
         h["key"], F.lit("="), F.decode(h["value"], "UTF-8"))), ";")
     return sent.select("key", F.get_json_object("value", "$.orderId").alias("order_id"), shown.alias("headers"))

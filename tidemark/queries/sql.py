@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions import masking
-from tidemark.sources.adapters import REPLAY_MS, REPLAY_ORIGIN
+from tidemark.sources.adapters import REPLAY_MS, REPLAY_ORIGIN, TEST_SECRET
 
 
 def with_(select: str, *ctes: str, recursive: bool = False) -> str:
@@ -32,7 +32,7 @@ def replay(ts: str) -> str:
 
 
 def mask(ref: str, reg: str) -> str:
-    inner, outer = (p.hex() for p in masking.hmac_pads(masking.DEFAULT_SECRET.encode()))
+    inner, outer = (p.hex() for p in masking.hmac_pads(TEST_SECRET.encode()))
     mac = f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({ref}))))"
     return f"CASE WHEN {reg} = 'CN' AND trim({ref}) <> '' THEN 'msk-' || substr({mac}, 1, 12) ELSE {ref} END"
 

@@ -38,6 +38,10 @@ def region_by(number: Column) -> Column:
     return F.when(number % 3 == 0, "CA").when(number % 3 == 1, "SG").otherwise("CN")
 
 
+#: Secret of the pseudonyms in the test tables.
+TEST_SECRET = "sim-egress-secret"
+
+
 def replay_ms(ts: Column) -> Column:
     """Commit time of a source timestamp on the replayed day."""
     days = F.datediff(ts.cast("date"), F.lit(REPLAY_ORIGIN).cast("date"))
@@ -87,7 +91,7 @@ class Tables:
             .alias("store_id"),
             F.col("region"),
             clear.alias("customer_ref_clear"),
-            masking.mask_customer_ref(clear, F.col("region")).alias("customer_ref"),
+            masking.mask_customer_ref(clear, F.col("region"), TEST_SECRET).alias("customer_ref"),
             F.when(priority == "1", "EDI").when(priority == "2", "PHONE").when(priority == "3", "POS")
             .otherwise("WEB_STORE").alias("channel"),
             F.when(F.col("o_orderstatus") == "F", "DELIVERED").when(F.col("o_orderstatus") == "P", "PICKING")
@@ -178,7 +182,7 @@ class Tables:
         image = F.struct(
             F.concat(F.lit("ORD-E"), eid.cast("string")).alias("order_id"),
             region.alias("region"),
-            masking.mask_customer_ref(clear, region).alias("customer_ref"),
+            masking.mask_customer_ref(clear, region, TEST_SECRET).alias("customer_ref"),
             money.to_minor(F.col("value")).alias("amount_minor"),
         )
         ts_ms = dates.epoch_ms(F.col("ts"))
