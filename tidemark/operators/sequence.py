@@ -58,8 +58,11 @@ def rolling_rate(df: DataFrame, row_no: str, failed: Column, calls: int = 10, mi
     """Failure rate over the last `calls` rows of a numbered log, and whether it trips the breaker.
 
     The log is cut into chunks of consecutive numbers; each chunk also gets the last rows of the one
-    before, so the frame is complete and no window spans more than a chunk.
+    before, so the frame is complete and no window spans more than a chunk. A chunk must hold the tail
+    that is copied.
     """
+    if chunk < calls - 1:
+        raise ValueError(f"a chunk of {chunk} rows cannot hold the {calls - 1} rows that the next one needs")
     no = F.col(row_no)
     own = F.floor((no - 1) / chunk).cast("bigint")
     tail = F.pmod(no - 1, F.lit(chunk)) >= chunk - (calls - 1)

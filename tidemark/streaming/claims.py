@@ -58,12 +58,14 @@ def write_claims(requests: DataFrame, out: str, checkpoint: str, once: bool = Fa
     State with a clock time-out asks for a further, empty batch after every batch, so a run that
     should end when the input is read turns such batches off.
     """
-    spark = requests.sparkSession
+    conf, name = requests.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    former = conf.get(name)
     if once:
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        conf.set(name, "false")
     try:
         writer = claim_requests(requests).writeStream.format("parquet").outputMode("append").option(
             "path", out).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
     finally:
-        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        if once:
+            conf.set(name, former)
