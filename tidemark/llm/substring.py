@@ -99,12 +99,15 @@ def first_of_nodes(batch: pa.RecordBatch, window: int) -> tuple[Windows, np.ndar
     lengths = list_lengths(batch["words"])
     windows, starts = Windows(word_hashes(batch["words"].flatten())), window_starts(lengths, window)
     label = windows.hash(starts, window)
-    order = document_order(batch["id"], lengths)[starts]
-    # suffixes are in document order already if the ids ascend, as in most tables
-    at = np.argsort(label, kind="stable") if np.all(order[1:] >= order[:-1]) else np.lexsort((order, label))
+    at = np.argsort(label)
     label, starts = label[at], starts[at]
     first = np.ones(len(label), bool)
     first[1:] = label[1:] != label[:-1]
+    shared = ~first
+    shared[:-1] |= ~first[1:]
+    if shared.any():  # only suffixes that share a node need their order
+        some, order = starts[shared], document_order(batch["id"], lengths)
+        starts[shared] = some[np.lexsort((some, order[some], label[shared]))]
     return windows, label[first], starts[first], starts[~first]
 
 
@@ -113,7 +116,7 @@ def deep_nodes(rows: list[dict]) -> Iterator[tuple[str, np.ndarray]]:
     if len(rows) < 2:
         return
     label = np.concatenate([np.cumsum(unpacked_numbers(r["labels"], r["n"], np.uint64)) for r in rows])
-    at = np.argsort(label, kind="stable")
+    at = np.argsort(label)
     same = label[at][1:] == label[at][:-1]
     member = np.zeros(len(at), bool)
     member[1:] |= same
@@ -150,7 +153,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             windows, label, start, _ = first_of_nodes(batch, window)
             order = document_order(batch["id"], list_lengths(batch["words"]))
             group = prefix_groups(windows, start, heavy, groups)
-            at = np.argsort(group, kind="stable")  # keeps the labels sorted within a group
+            # keeps the labels sorted within a group; numbers of two bytes are sorted by counting
+            at = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
             ends = np.searchsorted(group[at], np.arange(groups + 1))
             for g in np.flatnonzero(np.diff(ends)):
                 mine = at[ends[g]:ends[g + 1]]
