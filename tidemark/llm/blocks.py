@@ -28,6 +28,23 @@ def list_lengths(lists: pa.ListArray) -> np.ndarray:
     return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The same words in an Arrow function."""
+    trimmed = pc.ascii_trim_whitespace(texts)
+    lists = pc.ascii_split_whitespace(trimmed)
+    lengths = list_lengths(lists) - pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    words = lists.flatten()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
+                                    words.filter(pc.greater(pc.binary_length(words), 0)))
+
+
+def with_words(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches with `words` in the place of the text."""
+    for batch in batches:
+        others = [n for n in batch.schema.names if n != text]
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in others), split_words(batch[text])], [*others, "words"])
+
+
 def cut(batches: Iterator[pa.RecordBatch], column: str = "words",
         most: int = BLOCK_WORDS) -> Iterator[tuple[str, pa.RecordBatch]]:
     """Runs of rows with at most `most` list elements (or one longer row), named by task and number."""

@@ -23,14 +23,17 @@ result. Only id and text are read. Scratch tables go to the shared folder.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import Windows, ascii_words, cut, list_lengths, mixed, ragged, word_hashes
+from tidemark.llm.blocks import (Windows, ascii_words, cut, list_lengths, mixed, ragged, with_words,
+                                 word_hashes)
 from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
@@ -180,18 +183,19 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Stored: row, id, digest of the words and sketch of every document; no sketch where there are no words."""
     rows = docs.select(
         F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id")).alias("of"),
-        whole_text(text_col).alias("text")).select("of", ascii_words(F.col("text")).alias("words")).select(
-        F.struct("of.row", "of.id", digest_of(F.col("words")).alias("digest")).alias("of"), "words")
+        whole_text(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, batch in cut(batches):
+        for _, batch in cut(with_words(batches)):
             hashes, counts = shingles(batch["words"])
             made = iter(sketches(hashes, counts))
             column = pa.array([next(made).tobytes() if c else None for c in counts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["of"], column], ["of", "sketch"])
+            lines = pc.binary_join(batch["words"], " ").cast(pa.binary()).to_pylist()
+            digest = pa.array([hashlib.sha256(line).digest()[:16] for line in lines], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["of"], digest, column], ["of", "digest", "sketch"])
 
-    return stored(rows.mapInArrow(sketch, "of struct<row:bigint,id:bigint,digest:binary>, sketch binary").select(
-        "of.*", "sketch"), "jaccard-prints")
+    return stored(rows.mapInArrow(sketch, "of struct<row:bigint,id:bigint>, digest binary, sketch binary").select(
+        "of.*", "digest", "sketch"), "jaccard-prints")
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:

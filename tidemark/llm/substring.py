@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import (Windows, ascii_words, cut, list_lengths, mixed, packed, packed_numbers, unpacked,
-                                 unpacked_numbers, window_starts, word_hashes)
+from tidemark.llm.blocks import (Windows, cut, list_lengths, mixed, packed, packed_numbers, unpacked,
+                                 unpacked_numbers, window_starts, with_words, word_hashes)
 from tidemark.llm.common import whole_text
 
 WINDOW, GROUP_SUFFIXES, SAMPLE_DOCS, SAMPLE_CHARS = 20, 2_000_000, 2000, 50_000
@@ -52,7 +52,7 @@ def heavy_prefixes(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[np.
     sample = docs.filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in with_words(batches):
             lists = batch["words"]
             windows, starts = Windows(word_hashes(lists.flatten())), window_starts(list_lengths(lists), window)
             for size in range(1, window):  # only a prefix that is not rare can have an extension that is heavy
@@ -63,7 +63,7 @@ def heavy_prefixes(docs: DataFrame, window: int = WINDOW) -> tuple[int, list[np.
                     [pa.array(np.full(often.sum(), size, np.int32)), pa.array(prefix[often].view(np.int64)),
                      pa.array(n[often])], ["size", "prefix", "n"])
 
-    counted = sample.select(ascii_words(F.col("text")).alias("words")).mapInArrow(
+    counted = sample.select("text").mapInArrow(
         count, "size int, prefix bigint, n bigint").groupBy("size", "prefix").agg(F.sum("n").alias("n"))
     counted = counted.filter(F.col("n") >= LEAST_SAMPLED).collect()
     sampled = max(1, sum(r.n for r in counted if r.size == 1))  # nearly all: words seen less often are left out
@@ -144,12 +144,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     groups, heavy = heavy_prefixes(source, window)
-    split = source.select("id", ascii_words(F.col("text")).alias("words"))
+    split = source.select("id", "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.string()), ("part", pa.int64()), ("n", pa.int64()), ("labels", pa.binary()),
                             ("orders", pa.binary()), ("starts", pa.binary())])
-        for name, batch in cut(batches):
+        for name, batch in cut(with_words(batches)):
             windows, label, start, _ = first_of_nodes(batch, window)
             order = document_order(batch["id"], list_lengths(batch["words"]))
             group = prefix_groups(windows, start, heavy, groups)
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                      ("n", pa.int64())]))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, batch in cut(batches):
+        for name, batch in cut(with_words(batches)):
             _, _, _, later = first_of_nodes(batch, window)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), *(pa.array([packed(c)], pa.binary()) for c in (
