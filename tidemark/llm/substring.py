@@ -115,7 +115,7 @@ def deep_nodes(rows: list[dict]) -> Iterator[tuple[str, np.ndarray]]:
     """Of one group: for every block the suffixes whose node has an earlier suffix in another block."""
     if len(rows) < 2:
         return
-    label = np.concatenate([np.cumsum(unpacked_numbers(r["labels"], r["n"], np.uint64)) for r in rows])
+    label = np.concatenate([np.frombuffer(r["labels"], np.uint64) for r in rows])
     at = np.argsort(label)
     same = label[at][1:] == label[at][:-1]
     member = np.zeros(len(at), bool)
@@ -124,8 +124,9 @@ def deep_nodes(rows: list[dict]) -> Iterator[tuple[str, np.ndarray]]:
     at = at[member]  # suffixes of nodes with several
     label = label[at]
     block = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])[at]
-    order = np.concatenate([unpacked_numbers(r["orders"], r["n"], np.int64) for r in rows])[at]
-    start = np.concatenate([unpacked_numbers(r["starts"], r["n"], np.uint32) for r in rows])[at]
+    order = np.concatenate([np.cumsum(unpacked_numbers(r["orders"], r["n"], np.int64)) for r in rows])[at]
+    start = np.concatenate([np.cumsum(unpacked_numbers(r["starts"], r["n"], np.uint32), dtype=np.uint32)
+                            for r in rows])[at]
     sorted_at = np.lexsort((start, block, order, label))
     label, block, start = label[sorted_at], block[sorted_at], start[sorted_at]
     later = np.zeros(len(label), bool)
@@ -152,17 +153,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for name, batch in cut(with_words(batches)):
             windows, label, start, _ = first_of_nodes(batch, window)
             order = document_order(batch["id"], list_lengths(batch["words"]))
+            by_start = np.argsort(start)
+            label, start = label[by_start], start[by_start]
             group = prefix_groups(windows, start, heavy, groups)
-            # keeps the labels sorted within a group; numbers of two bytes are sorted by counting
+            # keeps the starts sorted within a group; numbers of two bytes are sorted by counting
             at = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
             ends = np.searchsorted(group[at], np.arange(groups + 1))
             for g in np.flatnonzero(np.diff(ends)):
                 mine = at[ends[g]:ends[g + 1]]
-                steps = np.diff(label[mine], prepend=np.uint64(0))
                 yield pa.RecordBatch.from_pylist([{
-                    "block": name, "part": int(g), "n": len(mine), "labels": packed_numbers(steps),
-                    "orders": packed_numbers(order[start[mine]]),
-                    "starts": packed_numbers(start[mine].astype(np.uint32))}], schema)
+                    "block": name, "part": int(g), "n": len(mine), "labels": label[mine].tobytes(),
+                    "orders": packed_numbers(np.diff(order[start[mine]], prepend=0)),
+                    "starts": packed_numbers(np.diff(start[mine], prepend=0).astype(np.uint32))}], schema)
 
     def repeats(table: pa.Table) -> pa.Table:
         rows = [{"block": b, "starts": packed_numbers(s), "n": len(s)} for b, s in deep_nodes(
