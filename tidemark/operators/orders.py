@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import money
 from tidemark.functions.text import is_blank
+from tidemark.operators.sequence import number_rows
+from tidemark.operators.sequence import order_id as erp_order_id
 
 # Fixed values of the canonical order contract.
 STORE_PATTERN = r"^ST-(CA|SG|CN)-[0-9]{2}$"
@@ -161,3 +163,17 @@ def order_totals(priced: DataFrame) -> DataFrame:
 def applied_price_list(wanted_code: Column) -> Column:
     """The price list that applies: there is only one, so any other code falls back to it."""
     return F.when(wanted_code == money.PRICE_LIST_CODE, wanted_code).otherwise(F.lit(money.PRICE_LIST_CODE))
+
+
+def take_orders(orders: DataFrame, lines: DataFrame, skus: DataFrame, known_store: Column) -> tuple[DataFrame, DataFrame]:
+    """The whole order job: validate, then price, total and number the accepted orders by (received_at, order_id).
+
+    `lines` has a currency and `skus` a base price. Returns the accepted orders with total, lines and number, and the
+    refused ones with their fault. Only lines of accepted orders are priced.
+    """
+    judged = first_fault(orders, lines, skus, known_store).drop("line_count")
+    accepted = judged.where("fault is null")
+    totals = order_totals(price_lines(lines.join(accepted.select("order_id"), "order_id", "left_semi"), skus))
+    numbered = number_rows(accepted.join(totals, "order_id"), ("received_at", "order_id"))
+    return (numbered.withColumn("erp_order_id", erp_order_id(F.col("row_no"))).drop("fault", "original_order_id"),
+            judged.where("fault is not null"))

@@ -101,6 +101,20 @@ def violations(transcript: DataFrame, allowed: Sequence[Window] = (), hang_ms: i
     return hangs.select(*columns).unionByName(network.select(*columns)).unionByName(replays.select(*columns))
 
 
+RULES = ("HANG", "STATUS-0", "DUPLICATE-COMMIT", "ID-MISMATCH", "UNPAIRED-REPLAY", "MALFORMED")
+
+
+def verdict(parsed: DataFrame, allowed: Sequence[Window] = (), hang_ms: int = HANG_MS) -> DataFrame:
+    """One row for a whole transcript: lines, the violations of each rule, lines that do not parse among them, passed."""
+    good = parsed.where("NOT malformed").drop("malformed")
+    rows = violations(good, allowed, hang_ms).select("rule", F.lit(0).alias("line")).unionByName(
+        parsed.select(F.when(F.col("malformed"), "MALFORMED").alias("rule"), F.lit(1).alias("line")))
+    name = lambda rule: rule.lower().replace("-", "_")
+    counted = rows.agg(F.coalesce(F.sum("line"), F.lit(0)).cast("bigint").alias("lines"),
+                       *[F.count_if(F.col("rule") == r).alias(name(r)) for r in RULES])
+    return counted.withColumn("passed", sum(F.col(name(r)) for r in RULES) == 0)
+
+
 def status_histogram(transcript: DataFrame) -> DataFrame:
     return transcript.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

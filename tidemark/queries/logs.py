@@ -129,6 +129,29 @@ def transcript_malformed(t: Tables) -> DataFrame:
     return transcripts.malformed_count(parse_transcript(lines))
 
 
+@query("transcript_verdict", q.with_(f"""
+SELECT *, hang + status_0 + duplicate_commit + id_mismatch + unpaired_replay + malformed = 0 AS passed FROM (
+  SELECT (SELECT count(*) FROM all_lines) AS lines,
+         (SELECT count(*) FROM transcript WHERE time_ms > 30000) AS hang,
+         (SELECT count(*) FROM transcript WHERE status = 0
+          AND NOT (ts BETWEEN TIMESTAMP '{FAULT.start}' AND TIMESTAMP '{FAULT.end}')) AS status_0,
+         (SELECT count(*) FROM paired WHERE outcome = 'duplicate_commit') AS duplicate_commit,
+         (SELECT count(*) FROM paired WHERE outcome = 'id_mismatch') AS id_mismatch,
+         (SELECT count(*) FROM paired WHERE outcome = 'unpaired') AS unpaired_replay,
+         (SELECT count(*) FROM all_lines WHERE n % 37 = 0 OR n % 41 = 0) AS malformed)""",
+    q.TRANSCRIPT.replace("transcript AS (", "all_lines AS (", 1),
+    "transcript AS (SELECT * FROM all_lines WHERE n % 37 <> 0 AND n % 41 <> 0)", _PAIRED))
+def transcript_verdict(t: Tables) -> DataFrame:
+    """The whole analysis of a transcript file in which some lines are cut short or no JSON."""
+    log = t.transcript()
+    kept = ("n", "kind", "ref", "status", "time_ms", "error_code", "order_id")
+    body = F.to_json(F.struct(F.col("ts").cast("string").alias("ts"), *kept))
+    line = F.when(F.col("n") % 37 == 0, F.expr("substr(line, 1, length(line) - 4)")).when(
+        F.col("n") % 41 == 0, F.lit("<html>")).otherwise(F.col("line"))
+    parsed = parse_transcript(log.withColumn("line", body).select(line.alias("value")))
+    return transcripts.verdict(parsed.withColumn("ts", F.col("ts").cast(log.schema["ts"].dataType)), [FAULT])
+
+
 @query("day_outcome_summary", q.with_("""
 SELECT *, non201 > posted // 10 AS bad FROM (
   SELECT strftime(ts, '%Y%m%d') AS dt, CAST(count(*) AS BIGINT) AS posted,

@@ -115,7 +115,7 @@ def faulty_requests(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         "source_system", "store_id", F.col("ingested_at_ms").alias("received_at"))
     lines = t.line_versions().select(
         "order_id", "line_no", "sku_id", F.when(F.col("l_partkey") % 53 == 0, 0).otherwise(F.col("quantity"))
-        .alias("quantity"))
+        .alias("quantity"), "currency")
     skus = t.table("part").select(padded("SKU-", F.col("p_partkey") % 50 + 1, 4).alias("sku_id")).where(
         "sku_id <> 'SKU-0050'")
     return heads, lines, skus
@@ -153,6 +153,25 @@ def order_validation_first_error(t: Tables) -> DataFrame:
         "order_id", "fault", "original_order_id")
 
 
+@query("order_job", q.with_(f"""
+SELECT order_id, 'ORD-2026-' || lpad(CAST(row_number() OVER (ORDER BY received_at, order_id) AS VARCHAR), 6, '0')
+         AS erp_order_id, currency, total_amount_minor, line_count
+FROM (SELECT r.order_id, r.received_at, v.currency, CAST(count(*) AS BIGINT) AS line_count,
+             CAST(sum({_convert('base', 'v.currency')} * v.quantity) AS BIGINT) AS total_amount_minor
+      FROM ranked r JOIN line_versions v USING (order_id) JOIN sku_prices USING (sku_id) WHERE rn = 1 GROUP BY ALL)""",
+                             *q.ORDERS, q.LINE_VERSIONS, _FAULTS, f"""
+sku_prices AS (SELECT {q.padded('SKU-', '(p_partkey % 50 + 1)', 4)} AS sku_id, max({q.minor('p_retailprice')}) AS base
+               FROM part GROUP BY 1)"""))
+def order_job(t: Tables) -> DataFrame:
+    """Requests with faults: validated, and the accepted ones priced, totalled and numbered."""
+    heads, lines, skus = faulty_requests(t)
+    prices = t.table("part").groupBy(padded("SKU-", F.col("p_partkey") % 50 + 1, 4).alias("sku_id")).agg(
+        F.max(money.to_minor(F.col("p_retailprice"))).alias("base_price_cad_minor"))
+    accepted, _ = orders.take_orders(heads, lines, skus.distinct().join(prices, "sku_id"),
+                                     is_known_store(F.col("store_id")))
+    return accepted.select("order_id", "erp_order_id", "currency", "total_amount_minor", "line_count")
+
+
 def canonical_requests(t: Tables) -> DataFrame:
     """Canonical order JSON with one kind of schema fault per remainder."""
     f = F.col("l_partkey") % 20
