@@ -38,7 +38,7 @@ from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
-BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, PAIRS = 128, 16, 3, 6, 500, 32, 512, 1 << 21
+BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, PAIRS = 128, 16, 3, 6, 500, 32, 512, 1 << 23
 
 #: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
 NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
@@ -296,10 +296,13 @@ def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth:
             "jaccard-buckets")
         rows = rows.join(buckets.hint("merge"), "key")
         found = distinct_pairs(compared(in_chunks(rows.filter("now")), known))
-        paths = stored(rows.filter("NOT now").select("key", "node").join(known.hint("merge"), "node").mapInArrow(
-            next_paths, PATH_TYPE), "jaccard-paths")
-        pairs, large = by_size(paths, known)
-        links = links.unionByName(verified(found, sets)).unionByName(verified(pairs, sets))
+        links = links.unionByName(verified(found, sets))
+        on = rows.filter("NOT now").select("key", "node")
+        if not on.head(1):
+            break
+        paths = on.join(known.hint("merge"), "node").mapInArrow(next_paths, PATH_TYPE)
+        pairs, large = by_size(stored(paths, "jaccard-paths"), known)
+        links = links.unionByName(verified(pairs, sets))
     return stored(links.distinct(), "jaccard-links")
 
 
