@@ -6,15 +6,17 @@ In each of `RUNS` runs a node draws about `DRAWN` of its tokens by a hash that a
 drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. The nodes of a larger one are first compared
 with `LEADERS` leaders, the nodes closest to the centre of a sample. A node with a verified link to a leader is settled:
 a group of near copies, which no path can split, so becomes a few stars instead of all its pairs. The others still meet
-every node of the bucket: in pairs of chunks, if that takes at most `PAIRS` comparisons, else along the path with more
-tokens drawn. After `DEPTH` levels all that is left is compared in chunks. Candidates are verified on the exact sets.
+every node of the bucket, in chunks of `CHUNK`, and their `CLOSEST` ones of each chunk are candidates; if that takes more
+than `PAIRS` comparisons, the bucket is first split along the path with more tokens drawn, `DEPTH` levels at most.
+Candidates are verified on the exact sets.
 
 Recall: a pair at the threshold shares a drawn token with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first
 level, so six runs miss 0.01 % of such pairs. Along a path each further level keeps 0.63 of them, as the branching must
 not grow. The bound on the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
-texts. All links of a node are found but those between two settled nodes of a large bucket, which are connected by leaders.
+texts. In buckets up to `BRUTE` all links are found; in larger ones those with leaders and with the closest nodes, which give
+the classes without listing the square of a group.
 
 Cases: texts without words have no shingles and link to nothing; a null id is larger than any other; rows that repeat a
 text are copies of one node; rows that repeat an id with other texts are different nodes; an empty table gives an empty
@@ -38,7 +40,8 @@ from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
-BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, PAIRS = 128, 16, 3, 6, 500, 32, 512, 1 << 23
+BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, CLOSEST, PAIRS = (
+    128, 16, 3, 6, 500, 32, 512, 2, 1 << 21)
 
 #: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
 NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
@@ -104,7 +107,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of every bucket of a table; if there is a column `seeker`, only those of seekers with the others."""
+    """Candidates of every bucket of a table; with a column `seeker`, those of seekers with the closest of the others."""
     key, node = (table[c].to_numpy() for c in ("key", "node"))
     tokens = matrix(table["sketch"].combine_chunks())
     seeker = table["seeker"].to_numpy() if "seeker" in table.column_names else None
@@ -112,9 +115,11 @@ def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for lo, hi in zip(edges, edges[1:]):
         rows = np.arange(lo, hi)
         for i in rows[:-1] if seeker is None else rows[seeker[lo:hi]]:
-            others = rows[i + 1 - lo:] if seeker is None else rows[~seeker[lo:hi]]
-            j = others[(tokens[others] == tokens[i]).sum(axis=1) >= CANDIDATE]
-            j = j[node[j] != node[i]]
+            others = rows[i + 1 - lo:] if seeker is None else rows[~seeker[lo:hi] & (node[lo:hi] != node[i])]
+            same = (tokens[others] == tokens[i]).sum(axis=1)
+            j = others[same >= CANDIDATE]
+            if seeker is not None and len(j) > CLOSEST:
+                j = others[np.argpartition(same, -CLOSEST)[-CLOSEST:]]
             if len(j):
                 yield np.full(len(j), node[i]), node[j]
 
@@ -281,40 +286,51 @@ def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth:
     needed = nodes_in(pairs).unionByName(large.select("node")).distinct()
     sets = exact_sets(docs, text_col, stored(nodes.select("node", "digest").join(needed, "node", "left_semi"),
                                              "jaccard-needed"))
-    links, settled = verified(pairs, sets), None
-    for level in range(depth):
-        if not large.head(1):
-            break
+    links = verified(pairs, sets)
+    if large.head(1):
         stars = verified(star_pairs(large, known), sets)
-        links = links.unionByName(stars)
-        settled = nodes_in(stars) if settled is None else settled.unionByName(nodes_in(stars)).distinct()
-        rows = stored(large.join(settled.withColumn("done", F.lit(True)).hint("merge"), "node", "left").select(
+        links = links.unionByName(stars).unionByName(seekers_links(large, nodes_in(stars), known, sets, depth))
+    return stored(links.distinct(), "jaccard-links")
+
+
+def seekers_links(rows: DataFrame, settled: DataFrame, known: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """Links of the nodes of large buckets (key, node, n) that are not settled with their closest nodes.
+
+    A bucket whose seekers meet its nodes in at most `PAIRS` comparisons is compared; the nodes of others go on along
+    their paths, settled ones too, as long as a seeker is with them.
+    """
+    done, links = settled.withColumn("done", F.lit(True)).hint("merge"), None
+    for level in range(depth):
+        flagged = stored(rows.join(done, "node", "left").select(
             "key", "node", "n", F.col("done").isNull().alias("seeker")), "jaccard-rows")
         work = F.col("seekers") * F.col("n")
-        buckets = stored(rows.groupBy("key").agg(F.count_if("seeker").alias("seekers"), F.first("n").alias("n")).select(
-            "key", ((work <= PAIRS) | F.lit(level == depth - 1)).alias("now")).where(F.col("seekers") > 0),
-            "jaccard-buckets")
-        rows = rows.join(buckets.hint("merge"), "key")
-        found = distinct_pairs(compared(in_chunks(rows.filter("now")), known))
-        links = links.unionByName(verified(found, sets))
+        buckets = stored(flagged.groupBy("key").agg(
+            F.count_if("seeker").alias("seekers"), F.max("n").alias("n")).where("seekers > 0").select(
+            "key", ((work <= PAIRS) | F.lit(level == depth - 1)).alias("now")), "jaccard-buckets")
+        rows = flagged.join(buckets.hint("merge"), "key")
+        found = verified(distinct_pairs(compared(in_chunks(rows.filter("now")), known)), sets)
+        links = found if links is None else links.unionByName(found)
         on = rows.filter("NOT now").select("key", "node")
         if not on.head(1):
             break
-        paths = on.join(known.hint("merge"), "node").mapInArrow(next_paths, PATH_TYPE)
-        pairs, large = by_size(stored(paths, "jaccard-paths"), known)
-        links = links.unionByName(verified(pairs, sets))
-    return stored(links.distinct(), "jaccard-links")
+        paths = stored(on.join(known.hint("merge"), "node").mapInArrow(next_paths, PATH_TYPE), "jaccard-paths")
+        sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
+        rows = paths.join(sizes.hint("merge"), "key")
+    return links
 
 
 def in_chunks(rows: DataFrame) -> DataFrame:
-    """Buckets of bounded size in which each seeker of a large bucket meets all its nodes: one per pair of chunks."""
+    """Buckets of bounded size in which each seeker of a bucket meets all its nodes: one per chunk of the nodes.
+
+    A node is sent once and a seeker once per chunk, which the bound on the comparisons keeps few.
+    """
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = once(rows.select("key", "node", "seeker", chunks.alias("chunks")), own=own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = dealt.select(F.xxhash64("key", "other", "own").alias("key"), "node", F.lit(False).alias("seeker"))
-    return met.unionByName(dealt.filter("seeker").select(
-        F.xxhash64("key", "own", "other").alias("key"), "node", "seeker"))
+    dealt = once(rows.select("key", "node", "seeker", chunks.alias("chunks")),
+                 own=F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = dealt.select(F.xxhash64("key", "own").alias("key"), "node", F.lit(False).alias("seeker"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    return met.unionByName(dealt.filter("seeker").withColumn("own", every).select(
+        F.xxhash64("key", "own").alias("key"), "node", "seeker"))
 
 
 def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
