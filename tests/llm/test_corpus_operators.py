@@ -7,6 +7,8 @@ import random
 import struct
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,14 @@ def test_large_group_of_near_copies_is_one_class(table, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 150]
 
 
+def test_seeker_keeps_all_its_candidates():
+    tokens = np.arange(64, dtype=np.uint32)
+    table = pa.table({"key": pa.array([5] * 12, pa.int64()), "node": pa.array(range(12), pa.int64()),
+                      "sketch": pa.array([tokens.tobytes()] * 11 + [(tokens + 100).tobytes()], pa.binary()),
+                      "seeker": [True] + [False] * 11})
+    assert sum(len(b) for _, b in jaccard.bucket_pairs(table)) == 10
+
+
 def test_join_of_empty_table(table):
     assert jaccard.join_report(table([])).count() == 0
 

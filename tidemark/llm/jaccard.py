@@ -6,7 +6,7 @@ In each of `RUNS` runs a node draws about `DRAWN` of its tokens by a hash that a
 drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. The nodes of a larger one are first compared
 with `LEADERS` leaders, the nodes closest to the centre of a sample. A node with a verified link to a leader is settled:
 a group of near copies, which no path can split, so becomes a few stars instead of all its pairs. The others still meet
-every node of the bucket, in chunks of `CHUNK`, and their `CLOSEST` ones of each chunk are candidates; if that takes more
+every node of the bucket, in chunks of `CHUNK`, and all that agree in `CANDIDATE` tokens are candidates; if that takes more
 than `PAIRS` comparisons, the bucket is first split along the path with more tokens drawn, `DEPTH` levels at most.
 Candidates are verified on the exact sets.
 
@@ -15,8 +15,7 @@ level, so six runs miss 0.01 % of such pairs. Along a path each further level ke
 not grow. The bound on the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
-texts. In buckets up to `BRUTE` all links are found; in larger ones those with leaders and with the closest nodes, which give
-the classes without listing the square of a group.
+texts. In buckets up to `BRUTE` all links are found; in larger ones those of nodes without a leader and those with leaders.
 
 Cases: texts without words have no shingles and link to nothing; a null id is larger than any other; rows that repeat a
 text are copies of one node; rows that repeat an id with other texts are different nodes; an empty table gives an empty
@@ -40,8 +39,8 @@ from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
-BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, CLOSEST, PAIRS = (
-    128, 16, 3, 6, 500, 32, 512, 2, 1 << 21)
+BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, PAIRS = (
+    128, 16, 3, 6, 500, 32, 512, 1 << 21)
 
 #: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
 NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
@@ -107,7 +106,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of every bucket of a table; with a column `seeker`, those of seekers with the closest of the others."""
+    """Candidates of every bucket of a table; with a column `seeker`, those of seekers with the others."""
     key, node = (table[c].to_numpy() for c in ("key", "node"))
     tokens = matrix(table["sketch"].combine_chunks())
     seeker = table["seeker"].to_numpy() if "seeker" in table.column_names else None
@@ -118,8 +117,6 @@ def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             others = rows[i + 1 - lo:] if seeker is None else rows[~seeker[lo:hi] & (node[lo:hi] != node[i])]
             same = (tokens[others] == tokens[i]).sum(axis=1)
             j = others[same >= CANDIDATE]
-            if seeker is not None and len(j) > CLOSEST:
-                j = others[np.argpartition(same, -CLOSEST)[-CLOSEST:]]
             if len(j):
                 yield np.full(len(j), node[i]), node[j]
 
@@ -294,7 +291,7 @@ def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth:
 
 
 def seekers_links(rows: DataFrame, settled: DataFrame, known: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
-    """Links of the nodes of large buckets (key, node, n) that are not settled with their closest nodes.
+    """Links of the nodes of large buckets (key, node, n) that are not settled.
 
     A bucket whose seekers meet its nodes in at most `PAIRS` comparisons is compared; the nodes of others go on along
     their paths, settled ones too, as long as a seeker is with them.
