@@ -171,6 +171,40 @@ def test_seeker_keeps_all_its_candidates():
     assert sum(len(b) for _, b in jaccard.bucket_pairs(table)) == 10
 
 
+def near_copies(pool, base, count, mark, changes=1):
+    out = []
+    for i in range(count):
+        copy = list(base)
+        for k in pool.sample(range(len(base)), changes):
+            copy[k] = f"{mark}{i}x{k}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_links_of_large_groups_are_complete(table, words, monkeypatch):
+    pool = random.Random(4)
+    monkeypatch.setattr(jaccard, "BRUTE", 16)
+    base = [f"w{k}" for k in range(100)]
+    texts = near_copies(pool, base, 60, "z")
+    # a chain that leaves the group: each step is linked to its neighbours only
+    for step in range(1, 9):
+        texts.append(" ".join(f"s{k}" if k < 4 * step else w for k, w in enumerate(base)))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_report(table(rows)).collect()}
+    links, place, find, best = classes(rows, words)
+    assert got == {i: (best[find(k)], links[k]) for i, t in rows for k in [place[tuple(words(t))]]}
+
+
+def test_chunks_and_levels_of_large_buckets_lose_no_link(table, words, monkeypatch):
+    for name, value in {"BRUTE": 8, "PAIRS": 200, "CHUNK": 16, "BLOCK": 8}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    pool = random.Random(5)
+    rows = list(enumerate(near_copies(pool, [f"w{k}" for k in range(150)], 70, "z")))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join_report(table(rows)).collect()}
+    links, place, find, best = classes(rows, words)
+    assert got == {i: (best[find(k)], links[k]) for i, t in rows for k in [place[tuple(words(t))]]}
+
+
 def test_join_of_empty_table(table):
     assert jaccard.join_report(table([])).count() == 0
 

@@ -3,19 +3,21 @@
 Texts are sets of hashed shingles of `SHINGLE` words (a shorter text is one shingle). Rows with the same words are one
 node. A node's set is embedded as `TOKENS` min-hash tokens, two of which agree with the probability of the similarity.
 In each of `RUNS` runs a node draws about `DRAWN` of its tokens by a hash that all nodes share, and joins a bucket per
-drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. The nodes of a larger one are first compared
-with `LEADERS` leaders, the nodes closest to the centre of a sample. A node with a verified link to a leader is settled:
-a group of near copies, which no path can split, so becomes a few stars instead of all its pairs. The others still meet
-every node of the bucket, in chunks of `CHUNK`, and all that agree in `CANDIDATE` tokens are candidates; if that takes more
-than `PAIRS` comparisons, the bucket is first split along the path with more tokens drawn, `DEPTH` levels at most.
-Candidates are verified on the exact sets.
+drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. So is a larger one, all pairs of it, if that
+takes at most `PAIRS` comparisons; else it is first split along the path with more tokens drawn, `DEPTH` levels at most. A
+bucket that keeps `SAME` of its parent is a group of near copies, which no path can split, and is compared in chunks.
+Pairs of a large bucket that meet in several buckets of a level are candidates in the first of them only.
+
+Candidates are verified on the exact sets: in large buckets by blocks, to which a node's set is sent once, however many
+links it has there.
 
 Recall: a pair at the threshold shares a drawn token with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first
 level, so six runs miss 0.01 % of such pairs. Along a path each further level keeps 0.63 of them, as the branching must
 not grow. The bound on the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
-texts. In buckets up to `BRUTE` all links are found; in larger ones those of nodes without a leader and those with leaders.
+texts. All links that meet in a bucket are listed, those within large groups of near copies too, which takes the square of
+a group. The classes are found from a spanning forest of every block.
 
 Cases: texts without words have no shingles and link to nothing; a null id is larger than any other; rows that repeat a
 text are copies of one node; rows that repeat an id with other texts are different nodes; an empty table gives an empty
@@ -24,7 +26,9 @@ result. Only id and text are read. Scratch tables go to the shared folder.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +43,7 @@ from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
-BRUTE, LEADERS, TRIES, DEPTH, SALTED_ROWS, SALTS, CHUNK, PAIRS = (
-    128, 16, 3, 6, 500, 32, 512, 1 << 21)
+BRUTE, DEPTH, SALTS, CHUNK, BLOCK, PAIRS, SAME = 128, 6, 32, 2048, 1024, 1 << 21, 0.75
 
 #: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
 NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
@@ -105,20 +108,52 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def agreeing(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many tokens of every sketch agree with those of one."""
+    lanes = (tokens == row).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return ((lanes * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
+def bucket_edges(key: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+
+
+def smaller_keys(table: pa.Table, lo: int, hi: int) -> np.ndarray:
+    """The lists `smaller` of a bucket as a matrix, filled up with a number that is no key."""
+    lists = table["smaller"].slice(lo, hi - lo).combine_chunks()
+    counts = list_lengths(lists)
+    out = np.full((hi - lo, max(1, int(counts.max(initial=0)))), LAST)
+    out[np.repeat(np.arange(hi - lo), counts), ragged(np.zeros(len(counts), np.int64), counts)] = lists.flatten().to_numpy()
+    return out
+
+
 def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of every bucket of a table; with a column `seeker`, those of seekers with the others."""
+    """Candidates of every bucket of a table by their rows; where `seeker` is set, those of seekers with the others.
+
+    With a column `smaller`, the keys of a node before this one, pairs that have one in common are left to that bucket.
+    """
     key, node = (table[c].to_numpy() for c in ("key", "node"))
-    tokens = matrix(table["sketch"].combine_chunks())
-    seeker = table["seeker"].to_numpy() if "seeker" in table.column_names else None
-    edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+    tokens = np.ascontiguousarray(matrix(table["sketch"].combine_chunks()))
+    sides = table["seeker"].to_pylist() if "seeker" in table.column_names else [None] * len(key)
+    edges = bucket_edges(key)
     for lo, hi in zip(edges, edges[1:]):
-        rows = np.arange(lo, hi)
-        for i in rows[:-1] if seeker is None else rows[seeker[lo:hi]]:
-            others = rows[i + 1 - lo:] if seeker is None else rows[~seeker[lo:hi] & (node[lo:hi] != node[i])]
-            same = (tokens[others] == tokens[i]).sum(axis=1)
-            j = others[same >= CANDIDATE]
+        before = smaller_keys(table, lo, hi) if "smaller" in table.column_names else None
+        whole = sides[lo] is None
+        side = np.array([bool(x) for x in sides[lo:hi]])
+        met = None if whole else lo + np.flatnonzero(~side)
+        theirs = None if whole else tokens[met]
+        for i in range(lo, hi - 1) if whole else (lo + np.flatnonzero(side)).tolist():
+            if whole:
+                j = i + 1 + np.flatnonzero(agreeing(tokens[i + 1:hi], tokens[i]) >= CANDIDATE)
+            else:
+                j = met[agreeing(theirs, tokens[i]) >= CANDIDATE]
+                j = j[node[j] != node[i]]
+            if before is not None and len(j):
+                own = before[i - lo][before[i - lo] != LAST]
+                if len(own):
+                    j = j[~np.isin(before[j - lo], own).any(axis=1)]
             if len(j):
-                yield np.full(len(j), node[i]), node[j]
+                yield np.full(len(j), i), j
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -126,45 +161,71 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_buckets(batches):
-        found = list(bucket_pairs(table)) or [(np.zeros(0, np.int64),) * 2]
+        node = table["node"].to_numpy()
+        found = [(node[i], node[j]) for i, j in bucket_pairs(table)] or [(np.zeros(0, np.int64),) * 2]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], schema=PAIR)
 
 
-def agreeing(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, leader, agreeing tokens (-1 with oneself) of every row and leader of its bucket, and the first of each row."""
-    tokens, leaders = matrix(batch["sketch"]), batch["leaders"]
-    counts, flat = list_lengths(leaders), leaders.flatten()
-    row = np.repeat(np.arange(len(batch)), counts)
-    leader, theirs = flat.field("node").to_numpy(), matrix(flat.field("sketch"))
-    same = np.concatenate([(tokens[row[s:s + 65536]] == theirs[s:s + 65536]).sum(axis=1)
-                           for s in range(0, len(row), 65536)] or [np.zeros(0, int)])
-    same[leader == batch["node"].to_numpy()[row]] = -1
-    return row, leader, same, np.cumsum(counts) - counts
-
-
-def centrality(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How close the nodes of large buckets are to a sample of their bucket: the sum of agreeing tokens."""
-    for batch in batches:
-        if len(batch):
-            _, _, same, first = agreeing(batch)
-            close = np.add.reduceat(np.maximum(same, 0), first).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["node"], pa.array(close)], ["key", "node", "close"])
-
-
-def pairs_with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates in large buckets: every node with its closest leader, every leader with all others."""
-    for batch in batches:
-        if len(batch):
-            row, leader, same, first = agreeing(batch)
-            is_leader = np.zeros(len(batch), bool)
-            is_leader[row[same < 0]] = True
-            edges = [*first, len(row)]
-            best = np.array([lo + same[lo:hi].argmax() for lo, hi in zip(edges, edges[1:])], np.int64)
-            take = is_leader[row]
-            take[best] = True
-            take &= same >= CANDIDATE
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(batch["node"].to_numpy()[row[take]]), pa.array(leader[take])], schema=PAIR)
+def partners_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of large buckets by blocks of at most 2 x `BLOCK` nodes: block, node and its partners (none if it is
+    one of others only)."""
+    for table in whole_buckets(batches):
+        key, node = table["key"].to_numpy(), table["node"].to_numpy()
+        edges = np.array(bucket_edges(key))
+        for of, pairs in itertools.groupby(bucket_pairs(table), lambda p: np.searchsorted(edges, p[0][0], side="right")):
+            i, j = (np.concatenate(side) for side in zip(*pairs))
+            start = edges[of - 1]
+            place = (i - start) // BLOCK * (1 << 20) + (j - start) // BLOCK
+            order = np.argsort(place, kind="stable")
+            i, j, place = i[order], j[order], place[order]
+            cuts = bucket_edges(place)
+            for lo, hi in zip(cuts, cuts[1:]):
+                first, count = np.unique(i[lo:hi], return_counts=True)
+                alone = np.setdiff1d(j[lo:hi], first)
+                sizes = np.concatenate([count, np.zeros(len(alone), np.int64)])
+                by = np.argsort(i[lo:hi], kind="stable")
+                block = mixed(np.array([key[start]], np.int64).view(np.uint64) + np.uint64(place[lo] + 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(block, len(sizes))), pa.array(node[np.concatenate([first, alone])]),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                                             pa.array(node[j[lo:hi][by]]))], ["key", "node", "others"])
+
+
+def links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among the candidates of blocks; those of a spanning forest of the block's links are marked as `tree`."""
+    for table in whole_buckets(batches):
+        edges = bucket_edges(table["key"].to_numpy())
+        for lo, hi in zip(edges, edges[1:]):
+            yield block_links(table.slice(lo, hi - lo))
+
+
+def block_links(block: pa.Table) -> pa.RecordBatch:
+    node = block["node"].to_numpy()
+    sets, others = block["shingles"].combine_chunks(), block["others"].combine_chunks()
+    sizes, ends = list_lengths(sets), np.cumsum(list_lengths(others))
+    starts = np.cumsum(sizes) - sizes
+    known, ids = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(node)
+    partner = order[np.searchsorted(node[order], others.flatten().to_numpy())]
+    seen, label = np.zeros(len(known), bool), np.arange(len(node))
+    a, b, tree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for i, lo, hi in zip(range(len(node)), [0, *ends], ends):
+        for s in range(lo, hi, 256):
+            j = partner[s:min(hi, s + 256)]
+            mine = ids[starts[i]:starts[i] + sizes[i]]
+            seen[mine] = True
+            common = np.add.reduceat(seen[ids[ragged(starts[j], sizes[j])]], np.cumsum(sizes[j]) - sizes[j], dtype=np.int64)
+            seen[mine] = False
+            j = j[common * DENOMINATOR >= (sizes[i] + sizes[j] - common) * NUMERATOR]
+            fresh = np.zeros(len(j), bool)
+            reached, at = np.unique(label[j], return_index=True)
+            fresh[at[reached != label[i]]] = True
+            if fresh.any():
+                label[np.isin(label, reached)] = label[i]
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+            tree.append(fresh)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, tree)], ["a", "b", "tree"])
 
 
 def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +233,8 @@ def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, path = drawn(matrix(batch["sketch"]), batch["key"].to_numpy().view(np.uint64), DRAWN_LATER)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(path.view(np.int64)), pa.array(batch["node"].to_numpy()[row])], ["key", "node"])
+            [pa.array(path.view(np.int64)), *(pa.array(batch[c].to_numpy()[row]) for c in ("node", "n"))],
+            ["key", "node", "was"])
 
 
 # ------------------------------------------------------------------ Spark jobs
@@ -244,90 +306,70 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
                                F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct(), "jaccard-pairs")
 
 
-def star_pairs(large: DataFrame, known: DataFrame) -> DataFrame:
-    """Stored: candidates of nodes and leaders in large buckets. A node tries `TRIES` of its buckets.
-
-    Buckets are spread over as many salts as their size asks for.
-    """
-    salts = F.ceil(F.col("n") / SALTED_ROWS).cast("int")
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("key"))
-    rows = stored(large.withColumn("nth", nth).filter(F.col("nth") <= TRIES).select(
-        "key", "node", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"),
-        F.pmod(F.hash("node"), F.lit(LEADERS)).alias("seat"), "n").join(known.hint("merge"), "node"), "jaccard-tries")
-
-    def beside(chosen: DataFrame) -> DataFrame:
-        lead = chosen.join(known.hint("merge"), "node").groupBy("key", "n").agg(
-            F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("leaders")).select(
-            "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "leaders")
-        return rows.select("key", "salt", "node", "sketch").join(stored(lead, "jaccard-leaders").hint("merge"), [
-            "key", "salt"]).select("key", "node", "sketch", "leaders")
-
-    sample = rows.groupBy("key", "seat").agg(F.max(F.struct(F.xxhash64("node").alias("o"), "node", "n")).alias(
-        "best")).select("key", "best.node", "best.n")
-    close = beside(sample).mapInArrow(centrality, "key bigint, node bigint, close int").withColumn(
-        "seat", F.pmod(F.hash("node"), F.lit(LEADERS)))
-    sizes = large.select("key", "n").groupBy("key").agg(F.max("n").alias("n"))
-    central = close.groupBy("key", "seat").agg(F.max(F.struct("close", "node")).alias("best")).select(
-        "key", F.col("best.node").alias("node")).join(sizes, "key")
-    return distinct_pairs(beside(central).mapInArrow(pairs_with_leaders, PAIR_TYPE))
-
-
 def nodes_in(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """Stored: distinct verified links (a, b)."""
+    """Stored: distinct verified links (a, b, tree). The links with `tree` connect what all links connect."""
     known = nodes.select("node", "sketch")
     pairs, large = by_size(first_buckets(known), known)
-    needed = nodes_in(pairs).unionByName(large.select("node")).distinct()
+    blocks = large_candidates(large, known, depth)
+    needed = functools.reduce(DataFrame.union, [nodes_in(pairs), *(b.select("node") for b in blocks)]).distinct()
     sets = exact_sets(docs, text_col, stored(nodes.select("node", "digest").join(needed, "node", "left_semi"),
                                              "jaccard-needed"))
-    links = verified(pairs, sets)
-    if large.head(1):
-        stars = verified(star_pairs(large, known), sets)
-        links = links.unionByName(stars).unionByName(seekers_links(large, nodes_in(stars), known, sets, depth))
-    return stored(links.distinct(), "jaccard-links")
+    links = functools.reduce(DataFrame.unionByName, (verified_blocks(b, sets) for b in blocks),
+                             verified(pairs, sets).withColumn("tree", F.lit(True)))
+    return stored(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.max("tree").alias("tree")), "jaccard-links")
 
 
-def seekers_links(rows: DataFrame, settled: DataFrame, known: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
-    """Links of the nodes of large buckets (key, node, n) that are not settled.
+def large_candidates(rows: DataFrame, known: DataFrame, depth: int) -> list[DataFrame]:
+    """Stored, per level: the candidates of large buckets (key, node, n) by blocks (key, node, others).
 
-    A bucket whose seekers meet its nodes in at most `PAIRS` comparisons is compared; the nodes of others go on along
-    their paths, settled ones too, as long as a seeker is with them.
+    A bucket of at most `PAIRS` comparisons is compared, as is one that its path does not split; the others go on.
     """
-    done, links = settled.withColumn("done", F.lit(True)).hint("merge"), None
+    blocks, rows = [], rows.withColumn("was", F.lit(None).cast("bigint"))
     for level in range(depth):
-        flagged = stored(rows.join(done, "node", "left").select(
-            "key", "node", "n", F.col("done").isNull().alias("seeker")), "jaccard-rows")
-        work = F.col("seekers") * F.col("n")
-        buckets = stored(flagged.groupBy("key").agg(
-            F.count_if("seeker").alias("seekers"), F.max("n").alias("n")).where("seekers > 0").select(
-            "key", ((work <= PAIRS) | F.lit(level == depth - 1)).alias("now")), "jaccard-buckets")
-        rows = flagged.join(buckets.hint("merge"), "key")
-        found = verified(distinct_pairs(compared(in_chunks(rows.filter("now")), known)), sets)
-        links = found if links is None else links.unionByName(found)
-        on = rows.filter("NOT now").select("key", "node")
+        now = F.coalesce(few_pairs() | (F.col("n") >= F.col("was") * SAME), F.lit(False)) | F.lit(level == depth - 1)
+        blocks.append(stored(partners(rows.filter(now), known), "jaccard-blocks"))
+        on = rows.filter(~now)
         if not on.head(1):
             break
-        paths = stored(on.join(known.hint("merge"), "node").mapInArrow(next_paths, PATH_TYPE), "jaccard-paths")
+        paths = stored(on.join(known.hint("merge"), "node").mapInArrow(
+            next_paths, PATH_TYPE + ", was bigint"), "jaccard-paths")
         sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
-        rows = paths.join(sizes.hint("merge"), "key")
-    return links
+        rows = stored(paths.join(sizes.hint("merge"), "key").select("key", "node", "n", "was"), "jaccard-large")
+    return blocks
 
 
-def in_chunks(rows: DataFrame) -> DataFrame:
-    """Buckets of bounded size in which each seeker of a bucket meets all its nodes: one per chunk of the nodes.
+def few_pairs() -> Column:
+    return F.col("n") * (F.col("n") - 1) <= 2 * PAIRS
 
-    A node is sent once and a seeker once per chunk, which the bound on the comparisons keeps few.
-    """
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = once(rows.select("key", "node", "seeker", chunks.alias("chunks")),
-                 own=F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    met = dealt.select(F.xxhash64("key", "own").alias("key"), "node", F.lit(False).alias("seeker"))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    return met.unionByName(dealt.filter("seeker").withColumn("own", every).select(
-        F.xxhash64("key", "own").alias("key"), "node", "seeker"))
+
+def partners(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates by blocks of buckets (key, node, n) in which all nodes meet; huge ones in pairs of chunks."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("met")).join(
+        known.hint("merge"), "node")
+    dealt = met.select("node", "sketch", F.col("met.key").alias("keys"), F.posexplode("met").alias("at", "of")).select(
+        "of.key", "of.n", "node", "sketch", F.slice("keys", F.lit(1), F.col("at")).alias("smaller"))
+    chunks = F.when(few_pairs(), 1).otherwise(F.ceil(F.col("n") / CHUNK)).cast("int")
+    dealt = once(dealt.withColumn("chunks", chunks), own=F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return dealt.select(
+        F.when(F.col("chunks") == 1, F.col("key")).otherwise(
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
+        "node", F.when(F.col("own") != F.col("other"), F.col("own") < F.col("other")).alias("seeker"), "smaller",
+        "sketch").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(
+        partners_of_buckets, "key bigint, node bigint, others array<bigint>")
+
+
+def verified_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored: the links (a, b, tree) among the candidates of blocks."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(blocks.join(sets.hint("merge"), "node").repartition(tasks, "key").sortWithinPartitions(
+        "key").mapInArrow(links_of_blocks, "a bigint, b bigint, tree boolean"), "jaccard-links")
 
 
 def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
@@ -398,7 +440,7 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = nodes_of(rows)
     links = all_links(docs, nodes, text_col)
     order = nodes.select("node", F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node").alias("label"))
-    labels = components(links, order)
+    labels = components(links.filter("tree"), order)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     first = F.coalesce(F.col("label.first"), F.col("first"))
     classes = nodes.select("node", "digest", "first", "copies").join(labels, "node", "left").join(
