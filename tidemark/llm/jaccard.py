@@ -11,9 +11,11 @@ Pairs of a large bucket that meet in several buckets of a level are candidates i
 Candidates are verified on the exact sets: in large buckets by blocks, to which a node's set is sent once, however many
 links it has there.
 
-Recall: a pair at the threshold shares a drawn token with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first
-level, so six runs miss 0.01 % of such pairs. Along a path each further level keeps 0.63 of them, as the branching must
-not grow. The bound on the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
+Recall: runs are repeated until a pair at the threshold is missed with at most `MISS`. Such a pair shares a drawn token
+with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first level, which takes `RUNS` = 6. Along a path a shared
+bucket has 1.25 * 0.8 = 1 shared one on average, so a pair all of whose buckets are split is found in fewer runs: nodes of
+split buckets get more, as many as the deepest level reached asks for (10 after one level, 22 after five). The bound on
+the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
 texts. All links that meet in a bucket are listed, those within large groups of near copies too, which takes the square of
@@ -29,6 +31,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,11 +46,14 @@ from tidemark.llm.common import once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
-BRUTE, DEPTH, SALTS, CHUNK, BLOCK, PAIRS, SAME = 128, 6, 32, 2048, 1024, 1 << 21, 0.75
+BRUTE, DEPTH, SALTS, CHUNK, BLOCK, PAIRS, SAME = 128, 6, 32, 2048, 1024, 1 << 23, 0.75
 
 #: Similarity of a link as a fraction, and the agreeing tokens that a candidate needs.
 NUMERATOR, DENOMINATOR, CANDIDATE = 4, 5, 41
 
+#: Probability with which the runs may miss a pair at the threshold.
+MISS = 1e-4
+
 LAST = np.iinfo(np.int64).max
 _PLACE = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR = mixed(np.arange(101, 101 + TOKENS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
@@ -80,6 +86,18 @@ def drawn(tokens: np.ndarray, path: np.ndarray, most: float) -> tuple[np.ndarray
     return row, mixed(draw[row, place] + np.uint64(1))
 
 
+def runs_for(level: int) -> int:
+    """Runs after which a pair at the threshold is missed with at most `MISS`, if it meets at this level of its paths.
+
+    The buckets that a pair shares are a branching process with Poisson offspring; `ends` is the probability that the
+    branch of one shared bucket has ended before the level.
+    """
+    at, ends = NUMERATOR / DENOMINATOR, 0.0
+    for _ in range(level):
+        ends = math.exp(-DRAWN_LATER * at * (1 - ends))
+    return max(RUNS, math.ceil(-math.log(MISS) / (DRAWN * at * (1 - ends))))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Sketches of a batch from their bytes, which follow each other in its buffer."""
     if not len(column):
@@ -272,12 +290,12 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 PATH_TYPE, PAIR_TYPE = "key bigint, node bigint", "a bigint, b bigint"
 
 
-def first_buckets(known: DataFrame, runs: int = RUNS) -> DataFrame:
-    """Stored: the nodes of every bucket of the first level (key, node)."""
+def first_buckets(known: DataFrame, first: int = 0, runs: int = RUNS) -> DataFrame:
+    """Stored: the nodes of every bucket of the first level (key, node) in the runs from `first` to before `runs`."""
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, tokens = batch["node"].to_numpy(), matrix(batch["sketch"])
-            for run in range(runs):
+            for run in range(first, runs):
                 row, path = drawn(tokens, np.full(len(node), run, np.uint64), DRAWN)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[row])], ["key", "node"])
 
@@ -313,8 +331,17 @@ def nodes_in(pairs: DataFrame) -> DataFrame:
 def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Stored: distinct verified links (a, b, tree). The links with `tree` connect what all links connect."""
     known = nodes.select("node", "sketch")
-    pairs, large = by_size(first_buckets(known), known)
-    blocks = large_candidates(large, known, depth)
+    small, blocks, done, runs, who = [], [], 0, RUNS, known
+    while done < runs:
+        pairs, large = by_size(first_buckets(who, done, runs), who)
+        found, split, level = large_candidates(large, who, depth)
+        small.append(pairs)
+        blocks += found
+        done, runs = runs, max(runs, runs_for(level))
+        if done < runs:
+            # nodes split in every round so far: a pair that was compared in no bucket shares only split ones
+            who = stored(who.join(split.hint("merge"), "node", "left_semi"), "jaccard-again")
+    pairs = functools.reduce(DataFrame.union, small).distinct()
     needed = functools.reduce(DataFrame.union, [nodes_in(pairs), *(b.select("node") for b in blocks)]).distinct()
     sets = exact_sets(docs, text_col, stored(nodes.select("node", "digest").join(needed, "node", "left_semi"),
                                              "jaccard-needed"))
@@ -324,23 +351,26 @@ def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth:
         F.max("tree").alias("tree")), "jaccard-links")
 
 
-def large_candidates(rows: DataFrame, known: DataFrame, depth: int) -> list[DataFrame]:
-    """Stored, per level: the candidates of large buckets (key, node, n) by blocks (key, node, others).
+def large_candidates(rows: DataFrame, known: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Stored, per level: the candidates of large buckets (key, node, n) by blocks (key, node, others). With them the nodes
+    of buckets that were split at the first level, and the deepest level reached.
 
     A bucket of at most `PAIRS` comparisons is compared, as is one that its path does not split; the others go on.
     """
-    blocks, rows = [], rows.withColumn("was", F.lit(None).cast("bigint"))
+    blocks, split, rows = [], None, rows.withColumn("was", F.lit(None).cast("bigint"))
     for level in range(depth):
         now = F.coalesce(few_pairs() | (F.col("n") >= F.col("was") * SAME), F.lit(False)) | F.lit(level == depth - 1)
         blocks.append(stored(partners(rows.filter(now), known), "jaccard-blocks"))
         on = rows.filter(~now)
         if not on.head(1):
             break
+        if split is None:
+            split = stored(on.select("node").distinct(), "jaccard-split")
         paths = stored(on.join(known.hint("merge"), "node").mapInArrow(
             next_paths, PATH_TYPE + ", was bigint"), "jaccard-paths")
         sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
         rows = stored(paths.join(sizes.hint("merge"), "key").select("key", "node", "n", "was"), "jaccard-large")
-    return blocks
+    return blocks, split, level
 
 
 def few_pairs() -> Column:
