@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, jaccard, langid, mixing, quality, secrets, substring, token_counts, warc
+from tidemark.llm import (
+    alignment,
+    bpe,
+    exact_dedup,
+    jaccard,
+    langid,
+    mixing,
+    packing,
+    periodic,
+    quality,
+    secrets,
+    substring,
+    token_counts,
+    warc,
+)
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +143,22 @@ def op9(docs: DataFrame) -> DataFrame:
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Quality rules and the log-likelihood verdict for every document."""
     return quality.judge(docs, quality.bucket_ratios(docs, quality.trusted_ids(labels)))
+
+
+@register("op11_periodic_runs")
+def op11(docs: DataFrame) -> DataFrame:
+    """Periodic runs of every document and its words without their repetitions, as digests."""
+    return periodic.run_report(docs)
+
+
+@register("op12_bin_packing")
+def op12(docs: DataFrame) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register("op13_token_alignment")
+def op13(docs: DataFrame) -> DataFrame:
+    """How the tokens of the byte-level and the piece vocabulary cover each other in every document."""
+    return alignment.alignment_report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                      public_tokenizers.path("piece_bpe_32k.model"))
