@@ -355,15 +355,73 @@ def test_pipeline_stages(spark, table, words):
     rows += [(20 + i, f"{de} " * 6 + " ".join(f"die{chr(97 + i)}{k} und" for k in "abcdefgh"), "de", "b", 1)
              for i in range(8)]
     rows += [(40, rows[0][1].upper(), "en", "a", 1), (41, None, None, None, None), (42, "123", "en", "b", 3)]
-    docs, columns, ids = table(rows, schema, extra=()), None, []
+    docs, ids, stage_taken = table(rows, schema), [], []
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
         got = stage(spark, docs, "unused")
+        if name == "mixing":
+            stage_taken = [(r.doc_id, r.taken / max(r.size, 1)) for r in mixing.mix(docs).collect()]
         if n < 4:
             assert got.columns == docs.columns, name
         docs = table(got.collect(), got.schema, extra=(), name=f"s{n}")
         ids.append({r.doc_id for r in docs.collect()})
     assert ids[0] == {r[0] for r in rows} - {41, 42}
     assert ids[1] == ids[0] - {0}  # of equal texts the largest id stays
-    assert ids[4] == ids[3] <= ids[2] <= ids[1]
+    assert ids[2] == similar_kept([(r[0], r[1]) for r in rows if r[0] in ids[1]], words)
+    taken = {i: n for i, n in stage_taken if n >= 0.5}
+    assert ids[3] == ids[4] == set(taken)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, table([], schema, extra=(), name=f"e{stage.__name__}"), "unused").count() == 0
+
+
+def similar_kept(rows, words):
+    """Ids that stay if of every class of similar texts only the least id does."""
+    sets = []
+    for _, text in rows:
+        w = words(text)
+        sets.append({tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if sets[x] and sets[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                root[find(x)] = find(y)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[find(x)] = min(least.get(find(x), i), i)
+    return set(least.values())
+
+
+def test_one_of_each_decides_by_id_and_words(table):
+    base = [f"w{k}" for k in range(100)]
+    near = lambda k: " ".join(base[:k] + [f"x{k}"] + base[k + 1:])
+    other = "quite another text that nothing here is like at all"
+    rows = [(3, " ".join(base)), (None, near(20)), (5, near(60)), (5, other), (3, " ".join(base)), (None, None), (9, ""),
+            (7, other + " really no"), (None, "text of a row without an id")]
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard.one_of_each(table(rows)).collect())
+    want = [(3, " ".join(base)), (5, other), (None, None), (9, ""), (7, other + " really no"),
+            (None, "text of a row without an id")]
+    assert kept == sorted((str(i), t) for i, t in want)
+
+
+def test_pipeline_keeps_documents_if_no_language_was_learned(spark, table):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "some words", None, "a", 1), (2, "123 456", None, "a", 1), (3, None, None, None, None)]
+    got = corpus_pipeline.known_language(spark, table(rows, schema), "unused").collect()
+    assert [r.doc_id for r in got] == [1]
+
+
+def test_pipeline_carries_null_and_repeated_ids(spark, table):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    body = lambda k: " ".join(f"the word{k}{c} and" for c in "abcdefghij")
+    rows = [(k, body(k), "en", "a", 1) for k in range(12)] + [(4, body(50), "en", "a", 1), (None, body(51), "en", None, 1),
+                                                            (None, body(52), "en", "a", 1)]
+    docs = table(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, docs, "unused")
+        docs = table(got.collect(), got.schema, extra=(), name=name)
+        assert sorted(str(r.text) for r in docs.collect()) == sorted(r[1] for r in rows), name

@@ -30,10 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import cut, list_lengths, packed, ragged, unpacked
+from tidemark.llm.blocks import BLOCK_WORDS, cut, list_lengths, packed, ragged, unpacked
 from tidemark.llm.common import whole_text
 
-PARTS, NEAR, CACHED = 64, 256, 2_000_000
+PARTS, NEAR = 64, 256
+
+#: Words of a block, and distinct words whose ids a task keeps at hand; together they bound the memory of a worker.
+BLOCK, CACHED = BLOCK_WORDS, 2_000_000
 SPECIAL = "<|endoftext|>"
 
 #: Fixed value: the split pattern of the vocabulary, in the JVM's syntax.
@@ -74,8 +77,8 @@ def library_words(path: str, text: str) -> list[str]:
     return words
 
 
-def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[str, pa.Array, pa.ListArray]]:
-    """Blocks of a task's documents: name, ids and word lists."""
+def blocks(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterator[tuple[str, pa.Array, pa.ListArray]]:
+    """Blocks of a task's documents: name, ids and word lists of at most `most` words, or one longer document."""
     def split() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch["words"]
@@ -84,7 +87,7 @@ def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[str,
                     lists.to_pylist(), batch["text"].to_pylist())], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "words"])
 
-    for name, batch in cut(split()):
+    for name, batch in cut(split(), most=most):
         yield name, batch["id"], batch["words"]
 
 
@@ -105,13 +108,17 @@ def split_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                            F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0))).alias("words"))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id and `ids`, the token ids of the whole text."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
+           cached: int = CACHED) -> DataFrame:
+    """Per document: id and `ids`, the token ids of the whole text.
+
+    Smaller blocks and fewer cached words take less memory and more shuffle.
+    """
     split = split_words(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def words_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, lists in blocks(batches, path):
+        for name, _, lists in blocks(batches, path, block):
             _, words, part = distinct_words(lists)
             near = int(name.split("-")[0]) // NEAR
             rows = [{"block": name, "near": near, "part": p, "words": packed(words.take(pa.array(at)))}
@@ -126,7 +133,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             rows = []
             for row in batch.to_pylist():
                 words = unpacked(row["words"]).to_pylist()
-                if len(known) > CACHED:
+                if len(known) > cached:
                     known.clear()
                 new = [w for w in words if w not in known]
                 for word, coded in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
@@ -137,7 +144,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ("block", pa.string()), ("part", pa.int32()), ("ids", pa.binary())]))
 
     def places_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, lists in blocks(batches, path):
+        for name, ids, lists in blocks(batches, path, block):
             index, words, part = distinct_words(lists)
             lengths = pc.list_value_length(lists)
             yield pa.RecordBatch.from_arrays(
@@ -202,9 +209,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(join_pieces, f"row {kind}, decoded string").select("row.*", "decoded")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", block: int = BLOCK, cached: int = CACHED) -> DataFrame:
     """Per document: id, n_tokens, ids_sha256 and decoded_sha256."""
-    both = decode(encode(docs, path, id_col), path)
+    both = decode(encode(docs, path, id_col, block=block, cached=cached), path)
     return both.select(
         id_col, F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -464,42 +464,65 @@ def components(links: DataFrame, order: DataFrame) -> DataFrame:
             return labels
 
 
-def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (least id of the class), n_links (links to other texts), n_copies (rows with these words)."""
+def classes_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with words: id, digest, class_id, stays, n_links, n_copies; and the ids of the rows without.
+
+    `stays` marks the rows that represent their class: those with its least id and the words of its first node.
+    """
     rows = prints(docs, id_col, text_col)
     nodes = nodes_of(rows)
     links = all_links(docs, nodes, text_col)
     order = nodes.select("node", F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node").alias("label"))
     labels = components(links.filter("tree"), order)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    first = F.coalesce(F.col("label.first"), F.col("first"))
+    own = F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node")
     classes = nodes.select("node", "digest", "first", "copies").join(labels, "node", "left").join(
         degree, "node", "left").select(
-        "digest", F.when(first != LAST, first).alias("class_id"),
+        "digest", "node", F.coalesce("label", own).alias("label"),
         F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links"), F.col("copies").alias("n_copies"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    least = F.col("label.first")
     worded = rows.filter("sketch IS NOT NULL").select(
         "id", "digest", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")).join(
-        classes, ["digest", "salt"]).select("id", "class_id", "n_links", "n_copies")
-    empty = rows.filter("sketch IS NULL").select(
-        "id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
-        F.lit(1).cast("bigint").alias("n_copies"))
-    return worded.unionByName(empty).select(
+        classes, ["digest", "salt"]).select(
+        "id", "digest", F.when(least != LAST, least).alias("class_id"),
+        ((F.col("label.node") == F.col("node")) & (F.coalesce("id", F.lit(LAST)) == least)).alias("stays"),
+        "n_links", "n_copies")
+    return worded, rows.filter("sketch IS NULL").select("id")
+
+
+def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, class_id (least id of the class), n_links (links to other texts), n_copies (rows with these words)."""
+    worded, empty = classes_of_rows(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    alone = empty.select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
+                         F.lit(1).cast("bigint").alias("n_copies"))
+    return worded.select("id", "class_id", "n_links", "n_copies").unionByName(alone).select(
         F.col("id").cast(kind).alias(id_col), F.col("class_id").cast(kind).alias("class_id"), "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the least of its class, with all their columns.
+    """One row of each class, with all its columns: one with the least id of the class and the words of that row.
 
-    Ids that go are put into a filter of fixed size; rows outside it pass without a shuffle.
+    What goes is decided by id and words together, so a row that shares its id with a copy stays if its own words have
+    no partner. Rows without words stay. The ids of rows that go or repeat are put into a filter of fixed size; rows
+    outside it pass without a shuffle and without a look at their words.
     """
-    gone = stored(join_report(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(
-        F.col(id_col).cast("string").cast("binary").alias("_xd_digest")).distinct(), "jaccard-gone")
-    bits = stored(with_filter_place(gone).groupBy("_xd_word").agg(F.bit_or("_xd_mask").alias("_xd_seen")),
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    worded, _ = classes_of_rows(docs, id_col, text_col)
+    decided = stored(worded.groupBy(name.alias("_xd_id"), F.col("digest").alias("_xd_words")).agg(
+        F.max("stays").alias("_xd_stays"), F.count("*").alias("_xd_n")).filter("NOT _xd_stays OR _xd_n > 1"),
+        "jaccard-decided")
+    ids = decided.select(F.col("_xd_id").cast("binary").alias("_xd_digest"))
+    bits = stored(with_filter_place(ids).groupBy("_xd_word").agg(F.bit_or("_xd_mask").alias("_xd_seen")),
                   "jaccard-filter")
     placed = with_filter_place(docs.withColumn(
         "_xd_digest", F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
     looked = possibly_repeated(placed, bits)
-    return looked.filter(~F.col("_xd_maybe")).select(*docs.columns).unionByName(
-        looked.filter("_xd_maybe").join(gone, "_xd_digest", "left_anti").select(*docs.columns))
+    words = digest_of(ascii_words(whole_text(text_col)))
+    keys = ["_xd_id", "_xd_words"]
+    maybe = looked.filter("_xd_maybe").select(*docs.columns, F.col("_xd_digest").cast("string").alias("_xd_id"),
+                                              words.alias("_xd_words")).join(decided, keys, "left")
+    free = maybe.filter("_xd_stays IS NULL").select(*docs.columns)
+    first = maybe.filter("_xd_stays").dropDuplicates(keys).select(*docs.columns)
+    return looked.filter(~F.col("_xd_maybe")).select(*docs.columns).unionByName(free).unionByName(first)

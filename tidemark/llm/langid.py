@@ -234,6 +234,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predictions(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     model = fit(docs, vocabulary)
