@@ -19,10 +19,11 @@ rows; an empty table gives an empty result. Only id and text are read, so extra
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,9 +109,39 @@ def split_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                            F.regexp_extract_all(text, F.lit(SPLIT), F.lit(0))).alias("words"))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
-           cached: int = CACHED) -> DataFrame:
-    """Per document: id and `ids`, the token ids of the whole text.
+def decoded_texts(lists: pa.ListArray, path: str) -> list[str]:
+    """The texts of lists of ids: ids are joined with the table of pieces, and bytes that are no UTF-8 are replaced."""
+    counts = list_lengths(lists)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    found = pa.ListArray.from_arrays(offsets, piece_bytes(path).take(lists.flatten()))
+    return [t.decode("utf-8", "replace") for t in pc.binary_join(found, b"").to_pylist()]
+
+
+@functools.lru_cache(maxsize=1)
+def decimal_ids(count: int) -> pa.Array:
+    return pa.array([f"{i}," for i in range(count)], pa.large_binary())
+
+
+def ids_digests(lists: pa.ListArray, count: int) -> list[str]:
+    """SHA-256 of the decimal ids of every list, joined by commas; all ids are below `count`."""
+    ends = np.concatenate([[0], np.cumsum(list_lengths(lists))])
+    shown = decimal_ids(count).take(lists.flatten())
+    if not len(shown):
+        return [hashlib.sha256(b"").hexdigest()] * len(lists)
+    at = np.frombuffer(shown.buffers()[1], np.int64)[ends].tolist()
+    text = memoryview(shown.buffers()[2])
+    return [hashlib.sha256(text[lo:max(lo, hi - 1)]).hexdigest() for lo, hi in zip(at, at[1:])]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id and `ids`, the token ids of the whole text."""
+    return encoded_blocks(docs, path, id_col, text_col, lambda ids: {"ids": ids}, "ids array<int>")
+
+
+def encoded_blocks(docs: DataFrame, path: str, id_col: str, text_col: str,
+                   finish: Callable[[pa.ListArray], dict[str, pa.Array]], columns: str, block: int = BLOCK,
+                   cached: int = CACHED) -> DataFrame:
+    """Per document: id and the `columns` that `finish` makes of the token ids of a block's documents, where these meet.
 
     Smaller blocks and fewer cached words take less memory and more shuffle.
     """
@@ -178,7 +209,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             at += n
         offsets = pa.array(np.concatenate([[0], np.cumsum(totals)]), pa.int32())
         values = pa.array(np.concatenate([flat[:0], *out]), pa.int32())
-        return pa.table({"id": docs, "ids": pa.ListArray.from_arrays(offsets, values)})
+        return pa.table({"id": docs, **finish(pa.ListArray.from_arrays(offsets, values))})
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = split.mapInArrow(words_of_blocks, "block string, near int, part int, words binary")
@@ -186,7 +217,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     places = split.mapInArrow(
         places_of_blocks, "block string, docs binary, lengths binary, places binary, parts binary")
     joined = places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
-        join_back, f"id {kind}, ids array<int>")
+        join_back, f"id {kind}, {columns}")
     return joined.withColumnRenamed("id", id_col)
 
 
@@ -196,23 +227,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     rows = encoded.select(row, F.col("ids").alias("todo"))
 
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_bytes(path)
         for batch in batches:
-            lists = batch["todo"]
-            counts = list_lengths(lists)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            found = pa.ListArray.from_arrays(offsets, pieces.take(lists.flatten()))
-            texts = [t.decode("utf-8", "replace") for t in pc.binary_join(found, b"").to_pylist()]
+            texts = decoded_texts(batch["todo"], path)
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(texts, pa.string())], ["row", "decoded"])
 
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(join_pieces, f"row {kind}, decoded string").select("row.*", "decoded")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", block: int = BLOCK, cached: int = CACHED) -> DataFrame:
-    """Per document: id, n_tokens, ids_sha256 and decoded_sha256."""
-    both = decode(encode(docs, path, id_col, block=block, cached=cached), path)
-    return both.select(
-        id_col, F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
+            cached: int = CACHED) -> DataFrame:
+    """Per document: id, n_tokens, ids_sha256 and decoded_sha256. Ids are decoded where they are joined back."""
+    def finish(ids: pa.ListArray) -> dict[str, pa.Array]:
+        texts = decoded_texts(ids, path)
+        return {"n_tokens": pa.array(list_lengths(ids)), "ids_sha256": pa.array(ids_digests(ids, len(piece_bytes(path)))),
+                "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())}
+
+    return encoded_blocks(docs, path, id_col, text_col, finish,
+                          "n_tokens bigint, ids_sha256 string, decoded_sha256 string", block, cached)
