@@ -27,10 +27,23 @@ def requests(n, hot_share, seed, gap):
 
 
 def brute(rows, on_hand):
-    fold, states, out = StockFold(), {}, {}
+    """The rule from its words: all open holds are looked at for every request."""
+    states, out = {}, {}
     for store, sku, kind, hold, ts, qty, seq in sorted(rows, key=lambda r: (r[0], r[1], r[4], r[2], r[6])):
-        state = states.setdefault(sku, fold.start())
-        out[seq] = fold.step(state, kind, hold, ts, qty, on_hand)
+        live = states[sku] = {h: v for h, v in states.get(sku, {}).items() if v[0] >= ts}
+        free = on_hand - sum(v[1] for v in live.values())
+        if kind == "reserve":
+            out[seq] = ("INSUFFICIENT", 0, free, None) if qty > free else ("RESERVED", qty, free - qty, None)
+            if qty <= free:
+                live[hold] = (ts + 24 * HOUR, qty)
+        elif hold not in live:
+            out[seq] = ("UNKNOWN_RESERVATION", 0, free, None)
+        else:
+            until, held = live.pop(hold)
+            freed = held if qty is None or qty < 1 else min(qty, held)
+            if freed < held:
+                live[hold] = (until, held - freed)
+            out[seq] = ("RELEASED", freed, free + freed, freed == held)
     return out
 
 
@@ -47,6 +60,28 @@ def test_stock_fold_is_exact_for_any_slicing(spark, slices, hot, gap):
     assert {r.seq: (r.outcome, r.moved, r.available, r.fully_released) for r in got} == want
 
 
+@pytest.mark.parametrize("gap,every", [(HOUR // 2, 0), (HOUR // 2, 90), (HOUR * 25, 1)])
+def test_one_hot_key_is_folded_at_most_twice(spark, gap, every):
+    """One key over 16 slices: without idle time, with some, and idle after every request."""
+    rnd, rows, ts = random.Random(gap + every), [], 0
+    for i in range(1600):
+        ts += gap + (26 * HOUR if every and i % every == 0 else 0)
+        rows.append(("ST-CA-01", "SKU-0001", "reserve", f"h{i}", ts, rnd.randint(1, 4), f"{i:06d}"))
+    frame = spark.createDataFrame(rows, "store_id string, sku_id string, kind string, hold_id string, ts_ms bigint, "
+                                        "quantity int, seq string")
+    stock = spark.createDataFrame([("ST-CA-01", "SKU-0001", 40)], "store_id string, sku_id string, on_hand int")
+    passes = []
+    got = allocate(frame, stock, F.lit(True), slices=16, folds=passes).collect()
+    assert {r.seq: (r.outcome, r.moved, r.available, r.fully_released) for r in got} == brute(rows, 40)
+    assert len(got) == len(rows) and passes[0] > 8 and sum(passes[1:]) < passes[0]
+    if every == 1:  # all states are empty at the borders
+        assert len(passes) == 1
+    elif every:  # a gap inside every slice settles its end, so all heads are folded in one wave
+        assert len(passes) == 2
+    else:  # a chain: one slice a wave
+        assert passes[1:] == [1] * (passes[0] - 1)
+
+
 def test_reserve_ten(spark):
     rows = [("ST-CA-01", "SKU-0001", "reserve", f"h{i}", i, q, str(i)) for i, q in enumerate((4, 6, 1))]
     frame = spark.createDataFrame(rows, "store_id string, sku_id string, kind string, hold_id string, ts_ms bigint, "

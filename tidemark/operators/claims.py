@@ -15,6 +15,7 @@ class ClaimFold(Fold):
 
     inputs = ("ts_ms", "succeeds", "order_id")
     outputs = "status int, original_order_id string"
+    horizon_ms = CLAIM_MS
 
     def start(self) -> dict:
         return {"until": None, "order": None}
