@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 import uuid
 from types import SimpleNamespace
 
@@ -59,6 +60,41 @@ def test_selftest_counts(spark):
     assert run_selftest(spark) == 0
 
 
+def test_one_pass_finds_what_single_rules_find(spark, tmp_path):
+    """Random rows with null keys, repeated keys and orphans; every rule by its words, and each table read once."""
+    rnd = random.Random(9)
+    pick = lambda *v: rnd.choice(v)
+    rows = [(i, pick("A", "B", "C", f"K{i}", f"L{i}", None), pick("S1", "S2", "S9", None), pick("CA", None),
+             pick(5, None), pick("CAD", "SGD", None)) for i in range(400)]
+    names = "seq int, order_id string, store_id string, region string, total_amount_minor bigint, currency string"
+    spark.createDataFrame(rows, names).repartition(4).write.parquet(str(tmp_path / "orders"))
+    orders = spark.read.parquet(str(tmp_path / "orders"))
+    stores = spark.createDataFrame([("S1",), ("S2",), ("S1",), (None,)], "store_id string")
+    rules = dq.order_rules(("seq",), stores)
+    first = {}
+    for row in rows:
+        first.setdefault(row[1], row[0])
+    want = set()
+    for seq, key, store, region, total, currency in rows:
+        if None in (key, store, region, total, currency):
+            want.add((seq, dq.COMPLETE))
+        if first[key] != seq:
+            want.add((seq, dq.UNIQUE))
+        if store not in ("S1", "S2"):
+            want.add((seq, dq.REFERENTIAL))
+    judged = dq.judged(orders, rules)
+    got = judged.select("seq", F.inline(dq.FOUND)).collect()
+    assert judged.count() == 400 and {(r.seq, r.rule_id) for r in got} == want and len(got) == len(want)
+    assert {(r.rule_id, r.checked, r.violations) for r in dq.results([(judged, rules)]).collect()} == {
+        (x, 400, sum(r == x for _, r in want)) for x in (dq.COMPLETE, dq.UNIQUE, dq.REFERENTIAL)}
+    bad = {key for seq, key, *_ in rows if any((seq, x) in want for x in (dq.COMPLETE, dq.UNIQUE, dq.REFERENTIAL))}
+    assert {r.order_id for r in dq.passing_judged(judged, ["order_id"]).collect()} == {
+        r[1] for r in rows} - bad - {None}
+    plan = dq.results([(judged, rules)])._jdf.queryExecution().executedPlan().toString()
+    # the rows once, and the key and position columns alone for repeated keys
+    assert plan.count("FileScan parquet") == 2 and "ReadSchema: struct<seq:int,order_id:string>" in plan
+
+
 def test_quarantine_excludes_key_and_null_key(spark):
     rows = spark.createDataFrame([(0, "A", 1), (1, "A", 2), (2, "B", 1), (3, None, 1)], "seq int, order_id string, x int")
     rule = dq.UniqueRule("t", ("order_id",), dq.UNIQUE, ("order_id",), ("seq",))

@@ -1,4 +1,4 @@
-"""Declarative data-quality rules: a rule turns a table into its violations, nothing is collected."""
+"""Declarative data-quality rules: all rules of a table are evaluated in one pass, and nothing is collected."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import bar_key, row_json, truncate
@@ -23,70 +23,66 @@ VIOLATION_COLUMNS = ("rule_id", "table_name", "row_key", "reason", "violating_ro
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule over one table. Subclasses implement `hits`: the offending rows with a `_reason`."""
+    """A rule over one table. Subclasses implement `reason_of`; `judged` evaluates all rules of a table in one pass."""
 
     table_name: str
     pk: tuple[str, ...]
     rule_id: str = ""
     row_columns: tuple[str, ...] | None = field(default=None, kw_only=True)
 
-    def hits(self, df: DataFrame) -> DataFrame:
+    def reason_of(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
+        """The rows, with what a lookup join adds under names that begin with `tag`, and the reason, null if none.
+
+        A lookup has one row per key, so every row of `df` stays exactly once.
+        """
         raise NotImplementedError
 
     def violations(self, df: DataFrame) -> DataFrame:
-        columns = list(self.row_columns or df.columns)
-        return self.hits(df).select(
-            F.lit(self.rule_id).alias("rule_id"),
-            F.lit(self.table_name).alias("table_name"),
-            bar_key(*[F.col(c) for c in self.pk]).alias("row_key"),
-            F.col("_reason").alias("reason"),
-            row_json(df, columns).alias("violating_row_json"))
+        return violations(df, [self])
 
 
 @dataclass(frozen=True)
 class PredicateRule(Rule):
-    """Rows whose reason expression is not null; subclass or pass the expression."""
+    """Rows whose reason expression is not null; pass the expression."""
 
     reason: Column | None = None
 
-    def hits(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_reason", self.reason).where(F.col("_reason").isNotNull())
+    def reason_of(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
+        return df, self.reason
 
 
 @dataclass(frozen=True)
 class UniqueRule(Rule):
     """Second and later rows of a key, in the order given (which must be total within a key).
 
-    Keys with more than one row are found by a partially aggregated count; only their first position
-    travels to the rows. A key that holds a large share of the rows stays on the streamed side of the
-    join, where its partition can be split.
+    Keys with more than one row are found by a partially aggregated count over the key and position columns alone; only
+    their first position travels to the rows. A key that holds a large share of the rows stays on the streamed side of
+    the join, where its partition can be split.
     """
 
     keys: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
 
-    def hits(self, df: DataFrame) -> DataFrame:
+    def reason_of(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
         position = F.struct(*[F.col(c) for c in self.order])
         repeated = (
-            df.groupBy(*self.keys).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("_n"))
-            .where("_n > 1").select(*[F.col(k).alias(f"_k_{k}") for k in self.keys], "_first")
+            df.groupBy(*self.keys).agg(F.min(position).alias(f"{tag}first"), F.count(F.lit(1)).alias(f"{tag}n"))
+            .where(F.col(f"{tag}n") > 1)
+            .select(*[F.col(k).alias(f"{tag}{k}") for k in self.keys], f"{tag}first")
         )
-        same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys])
+        same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{tag}{k}")) for k in self.keys])
         names = ", ".join(self.keys)
         values = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in self.keys])
         reason = F.concat(F.lit(f"duplicate key [{names}] = ["), values,
                           F.lit("] (first occurrence kept, later occurrences quarantined)"))
-        return (
-            df.withColumn("_pos", position).join(repeated, same_key).where(F.col("_pos") > F.col("_first"))
-            .withColumn("_reason", reason)
-        )
+        return df.join(repeated, same_key, "left"), F.when(position > F.col(f"{tag}first"), reason)
 
 
 @dataclass(frozen=True)
 class ReferentialRule(Rule):
     """Rows whose foreign key is null or absent from the parent.
 
-    Null keys never take part in the join, so a large share of null keys costs no shuffle.
+    A null key has no parent to find; such rows are spread over the join by their own key.
     """
 
     fk: str = ""
@@ -94,13 +90,48 @@ class ReferentialRule(Rule):
     parent: DataFrame | None = None
     parent_key: str = ""
 
-    def hits(self, df: DataFrame) -> DataFrame:
-        known = self.parent.select(F.col(self.parent_key).alias("_known")).where("_known is not null").distinct()
-        orphans = df.where(F.col(self.fk).isNotNull()).join(known, F.col(self.fk) == F.col("_known"), "left_anti")
-        bad = df.where(F.col(self.fk).isNull()).unionByName(orphans)
+    def reason_of(self, df: DataFrame, tag: str) -> tuple[DataFrame, Column]:
+        known = self.parent.select(F.col(self.parent_key).cast("string").alias(f"{tag}known")).where(
+            F.col(f"{tag}known").isNotNull()).distinct()
+        spread = F.concat(F.lit("\u0000"), bar_key(*[F.col(c) for c in self.pk]))
         value = F.coalesce(F.col(self.fk).cast("string"), F.lit("null"))
-        return bad.withColumn("_reason", F.concat(F.lit(f"{self.fk}="), value,
-                                                  F.lit(f" has no matching row in {self.parent_name}")))
+        reason = F.concat(F.lit(f"{self.fk}="), value, F.lit(f" has no matching row in {self.parent_name}"))
+        keyed = df.withColumn(f"{tag}key", F.coalesce(F.col(self.fk).cast("string"), spread))
+        joined = keyed.join(known, F.col(f"{tag}key") == F.col(f"{tag}known"), "left")
+        return joined, F.when(F.col(f"{tag}known").isNull(), reason)
+
+
+#: The array of violations (rule_id, reason) that `judged` adds to every row, in the order of the rules.
+FOUND = "_found"
+
+
+def judged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Every row of a table once, with the violations of all its rules.
+
+    Expressions cost nothing more, repeated keys and parents are each joined once, and violations, counters and the
+    rows that pass all come from this one result.
+    """
+    rows, found = df, []
+    for i, rule in enumerate(rules):
+        rows, reason = rule.reason_of(rows, f"_r{i}_")
+        found.append(F.when(reason.isNotNull(), F.struct(F.lit(rule.rule_id).alias("rule_id"), reason.alias("reason"))))
+    hits = F.filter(F.array(*found), lambda v: v.isNotNull())
+    return rows.select(*df.columns, hits.alias(FOUND))
+
+
+def violations_of(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The violations of judged rows, one row each."""
+    first = rules[0]
+    columns = list(first.row_columns or [c for c in rows.columns if c != FOUND])
+    return rows.where(F.size(FOUND) > 0).select("*", F.inline(FOUND)).select(
+        F.col("rule_id"), F.lit(first.table_name).alias("table_name"),
+        bar_key(*[F.col(c) for c in first.pk]).alias("row_key"), F.col("reason"),
+        row_json(rows, columns).alias("violating_row_json"))
+
+
+def violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """All violations of one table."""
+    return violations_of(judged(df, rules), rules)
 
 
 def order_complete() -> Rule:
@@ -141,26 +172,34 @@ def line_rules(order: Sequence[str], orders: DataFrame) -> list[Rule]:
     ]
 
 
-def violations(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All violations of one table."""
-    return reduce(DataFrame.unionByName, [r.violations(df) for r in rules])
+def measures(rules: Sequence[Rule]) -> list[Column]:
+    """Checked rows and violations of every rule over judged rows, as one row of counters."""
+    hit = lambda rule: F.exists(F.col(FOUND), lambda v: v["rule_id"] == rule.rule_id)
+    return [F.count(F.lit(1)).alias("checked"), *[F.count_if(hit(r)).alias(r.rule_id) for r in rules]]
 
 
-def results(tables: Sequence[tuple[DataFrame, Sequence[Rule]]], found: DataFrame) -> DataFrame:
-    """Checked rows, violations and PASS/FAIL of every rule, also of those that found nothing."""
+def results(tables: Sequence[tuple[DataFrame, Sequence[Rule]]]) -> DataFrame:
+    """Checked rows, violations and PASS/FAIL of every rule of judged tables, also of rules that found nothing."""
     parts = []
-    for df, rules in tables:
-        ids = F.array(*[F.lit(r.rule_id) for r in rules])
-        parts.append(
-            df.agg(F.count(F.lit(1)).alias("checked"))
-            .select(F.explode(ids).alias("rule_id"), F.lit(rules[0].table_name).alias("table_name"), "checked",
-                    F.lit(0).cast("bigint").alias("violations")))
-    parts.append(
-        found.groupBy("rule_id", "table_name").agg(F.count(F.lit(1)).alias("violations"))
-        .select("rule_id", "table_name", F.lit(0).cast("bigint").alias("checked"), "violations"))
-    totals = reduce(DataFrame.unionByName, parts).groupBy("rule_id", "table_name").agg(
-        F.sum("checked").alias("checked"), F.sum("violations").alias("violations"))
-    return totals.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
+    for rows, rules in tables:
+        counted = rows.agg(*measures(rules))
+        per_rule = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(r.rule_id).alias("violations"))
+                             for r in rules])
+        parts.append(counted.select("checked", F.inline(per_rule)).withColumn(
+            "table_name", F.lit(rules[0].table_name)))
+    return _with_status(reduce(DataFrame.unionByName, parts))
+
+
+def results_of_counts(spark: SparkSession, counts: Sequence[tuple[dict[str, int], Sequence[Rule]]]) -> DataFrame:
+    """As `results`, from counters that were taken while the judged rows were written."""
+    rows = [(seen["checked"], r.rule_id, seen[r.rule_id], rules[0].table_name) for seen, rules in counts for r in rules]
+    return _with_status(spark.createDataFrame(
+        rows, "checked bigint, rule_id string, violations bigint, table_name string"))
+
+
+def _with_status(counted: DataFrame) -> DataFrame:
+    return counted.select("rule_id", "table_name", "checked", "violations",
+                          F.when(F.col("violations") == 0, "PASS").otherwise("FAIL").alias("status"))
 
 
 def quarantine_rows(found: DataFrame, run_id: str) -> DataFrame:
@@ -175,6 +214,12 @@ def database_sizes(rows: DataFrame) -> DataFrame:
                              "reason": truncate(F.col("reason"), REASON_SIZE)})
 
 
+def passing_judged(rows: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """The judged rows whose key has no violation in any of its rows, without the array."""
+    bad = rows.where(F.size(FOUND) > 0).select(bar_key(*[F.col(c) for c in pk]).alias("row_key"))
+    return passing(rows.drop(FOUND), pk, bad)
+
+
 def passing(df: DataFrame, pk: Sequence[str], found: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Rows whose key is not quarantined.
 

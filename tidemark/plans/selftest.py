@@ -33,8 +33,7 @@ def selftest_results(spark: SparkSession) -> DataFrame:
     known = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
     order_rules = dq.order_rules(("seq",), known(STORES, "store_id"))
     line_rules = dq.line_rules(("seq",), known(ORDERS, "order_id"))
-    found = dq.violations(orders, order_rules).unionByName(dq.violations(lines, line_rules))
-    return dq.results([(orders, order_rules), (lines, line_rules)], found)
+    return dq.results([(dq.judged(orders, order_rules), order_rules), (dq.judged(lines, line_rules), line_rules)])
 
 
 def run_selftest(spark: SparkSession) -> int:

@@ -11,6 +11,7 @@ from tidemark.functions.envelopes import decode_header, is_valid
 from tidemark.operators import dq, gold, latest, recon, silver
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
+from tidemark.session import written
 from tidemark.sources.adapters import REPLAY_DATE, REPLAY_DT, Tables
 
 DATE_KEY = int(REPLAY_DT)
@@ -167,16 +168,15 @@ def known_stores(t: Tables) -> DataFrame:
     return t.order_rows().select("store_id").distinct().where("store_id <> 'ST-CN-03'")
 
 
-def dq_rules(t: Tables):
-    """Faulty tables, their rules and all violations."""
-    orders, lines = faulty_orders(t), faulty_lines(t)
+def dq_judged(t: Tables):
+    """Faulty orders and lines, judged by all their rules in one pass each, and the rules."""
     o_rules = [dq.order_complete(), dq.UniqueRule(dq.FACT_ORDERS, ("order_id",), dq.UNIQUE, ("order_id",), ("seq",)),
                dq.ReferentialRule(dq.FACT_ORDERS, ("order_id",), dq.REFERENTIAL, "store_id", "dim_store",
                                   known_stores(t), "store_id")]
-    found_orders = dq.violations(orders, o_rules)
-    good = dq.passing(orders, ["order_id"], found_orders)
-    l_rules = dq.line_rules(DQ_ORDER, good)
-    return orders, o_rules, found_orders, lines, l_rules, dq.violations(lines, l_rules)
+    orders = written(dq.judged(written(faulty_orders(t), "faulty-orders"), o_rules), "judged-orders")
+    l_rules = dq.line_rules(DQ_ORDER, dq.passing_judged(orders, ["order_id"]))
+    lines = dq.judged(written(faulty_lines(t), "faulty-lines"), l_rules)
+    return (orders, o_rules), (lines, l_rules)
 
 
 @query("dq_complete_orders", q.with_("SELECT row_key, reason FROM v_order_complete", *DQ_CTES))
@@ -198,8 +198,9 @@ def dq_unique_lines(t: Tables) -> DataFrame:
 
 @query("dq_referential_lines", q.with_("SELECT row_key, reason FROM v_line_ref", *DQ_CTES))
 def dq_referential_lines(t: Tables) -> DataFrame:
-    *_, lines, rules, _found = dq_rules(t)
-    return rules[2].violations(lines).select("row_key", "reason")
+    _, (lines, rules) = dq_judged(t)
+    found = dq.violations_of(lines, rules).where(F.col("rule_id") == dq.REFERENTIAL)
+    return found.select("row_key", "reason")
 
 
 @query("dq_results", q.with_("""
@@ -211,15 +212,14 @@ FROM (SELECT r.rule_id, t.table_name, t.checked
             UNION ALL SELECT 'fact_order_lines', count(*) FROM faulty_lines) t)
 LEFT JOIN (SELECT rule_id, table_name, count(*) AS n FROM v_all GROUP BY ALL) USING (rule_id, table_name)""", *DQ_CTES))
 def dq_results(t: Tables) -> DataFrame:
-    orders, o_rules, found_o, lines, l_rules, found_l = dq_rules(t)
-    return dq.results([(orders, o_rules), (lines, l_rules)], found_o.unionByName(found_l))
+    return dq.results(dq_judged(t))
 
 
 @query("dq_quarantine_rows", q.with_("""
 SELECT 'run-1' AS run_id, rule_id, table_name, row_key, reason, f1, f2, f3 FROM v_all""", *DQ_CTES))
 def dq_quarantine_rows(t: Tables) -> DataFrame:
-    _, _, found_o, _, _, found_l = dq_rules(t)
-    rows = dq.quarantine_rows(found_o.unionByName(found_l), "run-1")
+    orders, lines = dq_judged(t)
+    rows = dq.quarantine_rows(dq.violations_of(*orders).unionByName(dq.violations_of(*lines)), "run-1")
     field = lambda a, b: F.coalesce(F.get_json_object("violating_row_json", f"$.{a}"),
                                     F.get_json_object("violating_row_json", f"$.{b}"))
     return rows.select(
