@@ -13,7 +13,8 @@ from tidemark.plans import daily
 from tidemark.plans.selftest import run_selftest, selftest_results
 from tidemark.session import scratch_path, scratch_root
 from tidemark.sinks import tables
-from tidemark.sources.bronze import bronze_scan, jsonl_scan
+from tidemark.sinks.objects import land_objects, manifests
+from tidemark.sources.bronze import bronze_scan, jsonl_scan, object_scan
 from tidemark.sources.lake import lake_table, transcript_lines
 
 DAY = dt.date(2026, 9, 12)
@@ -124,7 +125,7 @@ def test_recon_buckets_null_currency_and_missing_side(spark):
 
 def lake_of(spark, values):
     lake = Lake(scratch_path(spark, "test-lake"))
-    tables.land(landing.bronze_rows(landing.strict(landing.route(messages(spark, values))), "a"), lake.bronze)
+    land_objects(landing.bronze_rows(landing.strict(landing.route(messages(spark, values))), "a"), lake.bronze, "a")
     return lake
 
 
@@ -176,7 +177,7 @@ def test_full_run_quarantines_and_turns_red(spark):
 def test_missing_day_is_an_error(spark):
     lake = lake_of(spark, [order("A")])
     with pytest.raises(FileNotFoundError, match="BRONZE-READ-FAILED dt=20200101"):
-        bronze_scan(spark, lake.bronze, "20200101")
+        object_scan(spark, lake.bronze, "20200101")
     with pytest.raises(FileNotFoundError, match="BRONZE-READ-FAILED"):
         bronze_scan(spark, lake.bronze + "-none", "20200101")
 
@@ -193,6 +194,41 @@ def test_plain_jsonl_objects(spark, tmp_path):
         jsonl_scan(spark, str(tmp_path), "20260101")
 
 
+def test_objects_without_a_manifest_are_not_read(spark):
+    """A stopped attempt, a retried landing, lines with breaks, and ties within one object."""
+    lake = lake_of(spark, [envelope("c", "A", status="OLD"), envelope("u", "A", status="NEW"), order("B")])
+    stray = f"{lake.bronze}/region=CA/table=oms_order/dt=20260912/oms.cdc-0-7-{uuid.uuid4()}.jsonl"
+    with open(stray, "w") as out:
+        out.write(order("LOST") + "\n")
+    assert jsonl_scan(spark, lake.bronze).count() == 4
+    found = object_scan(spark, lake.bronze, "20260912", "oms_order")
+    assert found.count() == 3 and landing.bad_object_keys(found).count() == 0
+    assert silver.silver_orders(found).where("order_id = 'A'").first().status == "NEW"
+    pretty = json.dumps(json.loads(order("C")), indent=1)
+    for _ in range(2):
+        land_objects(landing.bronze_rows(landing.route(messages(spark, [pretty])), "b"), lake.bronze, "b")
+    assert silver.silver_orders(object_scan(spark, lake.bronze)).where("order_id = 'C'").count() == 1
+    assert object_scan(spark, lake.bronze).count() == 4
+    assert sorted(r.records for r in manifests(spark, lake.bronze).collect()) == [1, 3]
+    none = landing.bronze_rows(landing.route(messages(spark, [pretty])), "c").where("false")
+    land_objects(none, lake.bronze, "b")  # a landing that is repeated without rows is empty
+    assert object_scan(spark, lake.bronze).count() == 3
+
+
+def test_objects_are_bounded(spark, monkeypatch):
+    from tidemark.sinks import objects
+
+    writer = objects.ObjectWriter(objects.Target(scratch_path(spark, "objects"), "x"))
+    monkeypatch.setattr(objects, "OBJECT_RECORDS", 4)
+    rows = [("CA", "t", "20260912", "oms.cdc", i // 6, i, "{}") for i in range(12)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([dict(zip((*objects._GROUP, "offset", "value"), r)) for r in rows])
+    found = writer.write(iter([batch])).found
+    assert [(f["partition"], f["first_offset"], f["last_offset"], f["records"]) for f in found] == [
+        (0, 0, 3, 4), (0, 4, 5, 2), (1, 6, 9, 4), (1, 10, 11, 2)]
+
+
 def test_strict_landing_stops_on_a_foreign_region(spark):
     routed = landing.route(messages(spark, [envelope("c", "A", region="EU")]))
     with pytest.raises(Exception, match="BRONZE-REJECT region=EU"):

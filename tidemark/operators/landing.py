@@ -56,9 +56,9 @@ def landing_summary(bronze: DataFrame, ts_ms: str = "ts_ms") -> DataFrame:
         F.count(F.lit(1)).alias("records"), F.min(ts_ms).alias("first_ts_ms"), F.max(ts_ms).alias("last_ts_ms"))
 
 
-def bad_object_keys(bronze: DataFrame) -> DataFrame:
-    """Landed records whose object key breaks the naming contract."""
-    return bronze.where(~F.col("object_key").rlike(OBJECT_KEY_PATTERN))
+def bad_object_keys(bronze: DataFrame, key: str = "object_key") -> DataFrame:
+    """Records whose object breaks the naming contract. A scan's `object_key` is the name of the file it read."""
+    return bronze.where(~F.col(key).rlike(OBJECT_KEY_PATTERN))
 
 
 def duplicate_offsets(bronze: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ from tidemark.queries import sql as q
 from tidemark.queries.registry import ORACLES, query
 from tidemark.session import scratch_path
 from tidemark.sinks import store, tables
+from tidemark.sinks.objects import land_objects, object_counts
 from tidemark.sources.adapters import REPLAY_DATE, REPLAY_DT, Tables
-from tidemark.sources.bronze import bronze_scan
+from tidemark.sources.bronze import bronze_scan, object_scan
 from tidemark.sources.lake import lake_table, metric_lines
 from tidemark.streaming import claims, jobs
 
@@ -81,7 +82,7 @@ def landed_lake(t: Tables) -> Lake:
     """A lake whose bronze holds the order and line changes of the replayed day."""
     lake = Lake(scratch_path(t.spark, "lake"))
     changes = t.order_changes().unionByName(t.line_changes())
-    tables.land(landing.bronze_rows(landing.strict(landing.route(changes)), "attempt-1"), lake.bronze)
+    land_objects(landing.bronze_rows(landing.strict(landing.route(changes)), "attempt-1"), lake.bronze, "replay")
     return lake
 
 
@@ -105,7 +106,49 @@ def pipeline_postconditions(t: Tables) -> DataFrame:
     lake = landed_lake(t)
     orders, lines = source_system(t)
     report = lq.recon.report_row(lq.recon_frames(t), "run-1", REPLAY_DATE)
-    return daily.postconditions(orders, lines, bronze_scan(t.spark, lake.bronze), report)
+    return daily.postconditions(orders, lines, object_scan(t.spark, lake.bronze), report)
+
+
+_MIXED = ("SELECT region, tbl AS \"table\", dt, CAST(count(*) AS BIGINT) AS records, true AS counted, CAST(0 AS BIGINT) AS "
+          "bad_names, true AS named FROM landed GROUP BY ALL")
+
+
+@query("object_landing_mixed", q.with_(_MIXED, q.EVENT_CHANGES, lg._ROUTED))
+def object_landing_mixed(t: Tables) -> DataFrame:
+    """JSON-lines objects by a stream, then by a batch job under the same root, the latter tried twice: each record once.
+
+    The names are those of the files that are read, and the manifest counts what they hold.
+    """
+    root = scratch_path(t.spark, "objects")
+    early = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")
+    jobs.land_bronze(StreamTables(t, "events").event_changes().where(early), root, scratch_path(t.spark, "checkpoint"),
+                     strict=False, objects=True, once=True).awaitTermination()
+    rest = landing.route(t.event_changes().where(~early)).where("reject is null")
+    for attempt in ("attempt-1", "attempt-2"):
+        land_objects(landing.bronze_rows(rest, attempt), root, "rest")
+    found = object_scan(t.spark, root)
+    bad = landing.bad_object_keys(found).groupBy("region", "table", "dt").agg(F.count(F.lit(1)).alias("bad"))
+    by_name = found.groupBy("region", "table", "dt").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("bronze_object").alias("files"))
+    keys = ["region", "table", "dt"]
+    listed = object_counts(t.spark, root).withColumnRenamed("records", "listed")
+    return by_name.join(listed, keys, "full").join(bad, keys, "left").select(
+        *keys, "records", F.coalesce(F.col("records") == F.col("listed"), F.lit(False)).alias("counted"),
+        F.coalesce("bad", F.lit(0).cast("bigint")).alias("bad_names"),
+        F.coalesce(F.col("files") == F.col("objects"), F.lit(False)).alias("named"))
+
+
+@query("landing_mixed", q.with_(_LANDED, q.EVENT_CHANGES, lg._ROUTED))
+def landing_mixed(t: Tables) -> DataFrame:
+    """Parquet bronze by a stream and by a batch job under one root."""
+    root = scratch_path(t.spark, "bronze")
+    early = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")
+    jobs.land_bronze(StreamTables(t, "events").event_changes().where(early), root, scratch_path(t.spark, "checkpoint"),
+                     strict=False, once=True).awaitTermination()
+    rest = landing.route(t.event_changes().where(~early)).where("reject is null")
+    for _ in range(2):
+        tables.land(landing.bronze_rows(rest, "attempt-1"), root, "rest")
+    return landed_profile(bronze_scan(t.spark, root))
 
 
 # ------------------------------------------------------------------------------------ event store
@@ -213,7 +256,7 @@ def stream_minute_counts(t: Tables) -> DataFrame:
     out = scratch_path(t.spark, "windows")
     jobs.window_counts(StreamTables(t, "events").transcript(), out, scratch_path(t.spark, "checkpoint"), "1 minute",
                        once=True).awaitTermination()
-    return jobs.current_windows(t.spark.read.parquet(out)).select(lg.stamp("window_start").alias("window_start"), "n")
+    return jobs.current_windows(t.spark, out).select(lg.stamp("window_start").alias("window_start"), "n")
 
 
 @query("stream_sliding_dlq", q.with_("""
@@ -226,7 +269,7 @@ def stream_sliding_dlq(t: Tables) -> DataFrame:
     log = StreamTables(t, "events").transcript().where("status in (0, 503)")
     jobs.window_counts(log, out, scratch_path(t.spark, "checkpoint"), "10 minutes", "5 minutes", name="dlq_depth",
                        once=True).awaitTermination()
-    return jobs.current_windows(t.spark.read.parquet(out)).select(
+    return jobs.current_windows(t.spark, out).select(
         lg.stamp("window_start").alias("window_start"), "dlq_depth")
 
 
