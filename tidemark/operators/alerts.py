@@ -61,6 +61,13 @@ def p95_alert(log: DataFrame, length: str = "5 minutes", limit: int = P95_MS) ->
         "window_start", "window_end", "p95_ms", (F.col("p95_ms") > limit).alias("fires"))
 
 
+def p95_of_counts(values: DataFrame, value: str = "time_ms", n: str = "n", limit: int = P95_MS) -> DataFrame:
+    """The same per window from counts of every value, as the window parts of a stream give them."""
+    windows = ["window_start", "window_end"]
+    return exact_percentiles(values, windows, value, {"p95_ms": 0.95}, weight=n).select(
+        *windows, "p95_ms", (F.col("p95_ms") > limit).alias("fires"))
+
+
 def denied_alert(audit: DataFrame, length: str = "5 minutes", limit: int = DENIED_COUNT) -> DataFrame:
     """Refused actions per window; fires above the limit."""
     return windowed(audit.where("error_code is not null"), length, None, F.count(F.lit(1)), "denied_count").withColumn(

@@ -12,8 +12,9 @@ from tidemark.session import scratch_path
 _SLOT_BITS = 33
 
 
-def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles of `value` per group, with n and max.
+def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted: dict[str, float],
+                      weight: str | None = None) -> DataFrame:
+    """Interpolated percentiles of `value` per group, with n and max. A row counts once, or `weight` times.
 
     Equal values are counted first, spread by (group, value). The counts are then range-partitioned by
     (group, value) and written with their partition, so that later reads see the same partitions even
@@ -23,7 +24,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, wanted:
     path = scratch_path(df.sparkSession, "percentiles")
     group = F.struct(*groups).alias("_group")
     counted = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_n"))
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     counted.repartitionByRange("_group", "_value").sortWithinPartitions("_group", "_value").withColumn(
         "_part", F.shiftright(F.monotonically_increasing_id(), _SLOT_BITS)).write.parquet(path)
     placed = df.sparkSession.read.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Lake
-from tidemark.operators import freshness, gold, landing
+from tidemark.operators import alerts, audit, freshness, gold, landing
 from tidemark.plans import daily
 from tidemark.queries import lake as lq
 from tidemark.queries import logs as lg
@@ -273,6 +273,42 @@ def stream_sliding_dlq(t: Tables) -> DataFrame:
         lg.stamp("window_start").alias("window_start"), "dlq_depth")
 
 
+def restarted_windows(t: Tables, log: DataFrame, value: str | None = None, name: str = "n") -> str:
+    """Five-minute window parts of a log that comes out of order, by a stream that is started anew half-way."""
+    topic, out = scratch_path(t.spark, "topic"), scratch_path(t.spark, "windows")
+    late = F.pmod(F.xxhash64("ts"), F.lit(3)) == 0
+    for part in (log.where(~late), log.where(late)):
+        part.write.mode("append").parquet(topic)
+        source = t.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(topic)
+        jobs.window_parts(source, out, scratch_path(t.spark, "checkpoint"), "5 minutes", name=name, value=value,
+                          once=True).awaitTermination()
+    return out
+
+
+@query("stream_p95_alert", ORACLES["alert_p95"])
+def stream_p95_alert(t: Tables) -> DataFrame:
+    """The p95 alert from window parts of a stream, after late rows and a new checkpoint."""
+    log = t.transcript().select("ts", "time_ms")
+    values = jobs.window_values(t.spark, restarted_windows(t, log, "time_ms"), "time_ms")
+    return lg.minutes(alerts.p95_of_counts(values, limit=20_000), "window_start", "window_end")
+
+
+@query("stream_denied_alert", ORACLES["alert_denied"])
+def stream_denied_alert(t: Tables) -> DataFrame:
+    """Refused actions per window from a stream, after late rows and a new checkpoint."""
+    log = t.audit_events().where("error_code is not null").select(F.col("event_time").alias("ts"))
+    counts = jobs.current_windows(t.spark, restarted_windows(t, log, name="denied_count"))
+    return lg.minutes(counts.withColumn("fires", F.col("denied_count") > 1), "window_start", "window_end")
+
+
+@query("stream_tamper_alert", ORACLES["alert_tamper"])
+def stream_tamper_alert(t: Tables) -> DataFrame:
+    """Attempts to silence the audit trail per window from a stream, after late rows and a new checkpoint."""
+    log = t.audit_events().where(F.col("event_name").isin(*audit.TAMPER_EVENTS)).select(F.col("event_time").alias("ts"))
+    counts = jobs.current_windows(t.spark, restarted_windows(t, log, name="tripwire"))
+    return lg.minutes(counts.withColumn("fires", F.col("tripwire") >= 1), "window_start", "window_end")
+
+
 @query("stream_freshness", q.with_(f"""
 SELECT '{freshness.METRIC}' AS metric, CAST((1706745600000 - max(ts_ms)) // 1000 AS BIGINT) AS value, 'cdc' AS pipeline
 FROM live""", q.EVENT_CHANGES, lg._ROUTED))
