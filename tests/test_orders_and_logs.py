@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,37 @@ def test_poison_reasons(spark, value, reason):
     assert parsed(spark, value).first().reason == reason
 
 
+@pytest.mark.parametrize("line,want", [
+    ({"quantity": 2.5, "unitPriceMinor": 12.7}, (2, 12)), ({"quantity": 2.0, "unitPriceMinor": 1e3}, (2, 1000)),
+    ({"quantity": 1, "unitPriceMinor": 3_000_000_000}, (1, 3_000_000_000)),
+    ({"quantity": 0.5, "unitPriceMinor": 1}, "lines[0] quantity must be >= 1, got 0"),
+    ({"quantity": 3_000_000_000, "unitPriceMinor": 1}, "lines[0] is missing skuId or quantity"),
+    ({"quantity": True, "unitPriceMinor": 1}, "lines[0] is missing skuId or quantity"),
+    ({"quantity": 1, "unitPriceMinor": "5"}, "lines[0] is missing unitPriceMinor/currency (and no unitPrices fallback)"),
+    ({"quantity": 1, "unitPriceMinor": 10 ** 20},
+     "lines[0] is missing unitPriceMinor/currency (and no unitPrices fallback)")])
+def test_numbers_of_order_events(spark, line, want):
+    rows = parsed(spark, event(lines=[{"skuId": "S", "currency": "CAD", **line}]))
+    if isinstance(want, str):
+        assert rows.first().reason == want
+    else:
+        assert [(r.quantity, r.unit_price_minor) for r in ingest.line_rows(rows).collect()] == [want]
+
+
+def test_messages_are_parsed_once(spark):
+    rows = parsed(spark, event(unitPrices=OFFERS, lines=[{"skuId": "S", "quantity": 2}]))
+    for frame in (ingest.line_rows(ingest.routed(rows).where("route = 'OK'")), ingest.routed(rows).groupBy("reason").count(),
+                  orders.canonical_errors(rows.select("value")).where("size(errors) > 0")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"parse_?json", plan, re.IGNORECASE)) <= 2  # one expression and at most its class name
+        assert "from_json" not in plan and "get_json_object" not in plan
+
+
+def test_repeated_fields_take_the_last(spark):
+    text = event().replace('{"', '{"orderId": "first", "', 1)
+    assert parsed(spark, text).first().order_id == json.loads(event())["orderId"]
+
+
 def test_last_offer_wins(spark):
     row = ingest.line_rows(parsed(spark, event(unitPrices=OFFERS, lines=[{"skuId": "S", "quantity": 2}]))).first()
     assert (row.unit_price_minor, row.currency, row.line_total_minor, row.line_no) == (7, "SGD", 14, 0)
@@ -71,7 +103,17 @@ def canonical(**change):
       "$.audit.y: not allowed"]),
     (canonical(lines=[{"skuId": "SKU-0001", "quantity": "5"}]), ["$.lines[0].quantity: integer expected"]),
     (canonical(lines=[{"skuId": "SKU-0001", "quantity": 10 ** 12}]), ["$.lines[0].quantity: must be at most 999"]),
-    ("{", ["request body is not valid JSON"]), ("[]", ["request body is not valid JSON"])])
+    ("{", ["request body is not valid JSON"]), ("[]", ["$: object expected"]), ("null", ["$: object expected"]),
+    (canonical(externalOrderRef=5, customerRef=7), ["$.customerRef: string expected", "$.externalOrderRef: string expected"]),
+    (canonical(customerRef=None, sourceSystem={"a": 1}),
+     ["$.customerRef: string expected", "$.sourceSystem: string expected"]),
+    (canonical(lines={"skuId": "SKU-0001"}), ["$.lines: array expected"]),
+    (canonical(lines=[3, {"skuId": 9, "quantity": 2.0}]),
+     ["$.lines[0]: object expected", "$.lines[1].skuId: string expected"]),
+    (canonical(lines=[{"skuId": "SKU-0001", "quantity": 0.5}]),
+     ["$.lines[0].quantity: integer expected", "$.lines[0].quantity: must be at least 1"]),
+    (canonical(audit="now", channel=None, storeId=None),
+     ["$.audit: object expected", "$.channel: not in the enumeration", "$.storeId: string expected"])])
 def test_canonical_errors(spark, value, errors):
     df = spark.createDataFrame([(value,)], "value string")
     assert orders.canonical_errors(df).first().errors == errors

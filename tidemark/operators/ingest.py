@@ -7,33 +7,28 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import line_total
 from tidemark.functions.text import is_blank
+from tidemark.functions.variants import field, items, names, text, whole
 from tidemark.operators.latest import first_per_key
 
-EVENT_SCHEMA = (
-    "orderId string, status string, externalOrderRef string, storeId string, region string, channel string, "
-    "reservationId string, customerRef string, totalAmount struct<amountMinor:bigint,currency:string>, "
-    "unitPrices array<struct<skuId:string,amountMinor:bigint,currency:string>>, "
-    "audit struct<sourceSystem:string,correlationId:string>, "
-    "lines array<struct<skuId:string,quantity:int,unitPriceMinor:bigint,currency:string>>"
-)
+# Routes and outcomes; below, the reasons of the order-event contract.
 TOMBSTONE, POISON, STORED, REPLAY = "TOMBSTONE", "POISON", "STORED", "REPLAY"
 BUSINESS_KEY = ("source_system", "external_order_ref")
 ARRIVAL = ("timestamp", "partition", "offset")
 
 
-def _resolved_line(line: Column, present: Column, offers: Column) -> Column:
+def _resolved_line(line: Column, offers: Column) -> Column:
     """A line with its price: an absent price or currency is taken from the last offer of the SKU.
 
-    A price that is there but is not a whole number stays null; it is not replaced.
+    A price that is there but is no number stays null; it is not replaced.
     """
-    mine = F.filter(offers, lambda o: o["skuId"] == line["skuId"])
-    offer = F.try_element_at(mine, F.lit(-1))
-    has_price = F.map_contains_key(present, "unitPriceMinor")
-    price = F.when(has_price, line["unitPriceMinor"]).otherwise(offer["amountMinor"])
-    currency = F.coalesce(line["currency"], offer["currency"])
+    sku, price = text(field(line, "skuId")), field(line, "unitPriceMinor")
+    offer = F.try_element_at(F.filter(offers, lambda o: text(field(o, "skuId")) == sku), F.lit(-1))
+    amount = F.when(price.isNull(), field(offer, "amountMinor")).otherwise(price)
+    currency = F.coalesce(text(field(line, "currency")), text(field(offer, "currency")))
     return F.struct(
-        line["skuId"].alias("sku_id"), line["quantity"].alias("quantity"), price.alias("unit_price_minor"),
-        currency.alias("currency"), (~has_price).alias("from_offer"))
+        sku.alias("sku_id"), whole(field(line, "quantity"), "int").alias("quantity"),
+        whole(amount, "bigint").alias("unit_price_minor"), currency.alias("currency"),
+        price.isNull().alias("from_offer"))
 
 
 def _line_reason(line: Column, i: Column) -> Column:
@@ -51,36 +46,36 @@ def _line_reason(line: Column, i: Column) -> Column:
 def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     """Messages with their parsed fields, the resolved `lines`, and `reason` for poison.
 
+    A message is parsed once, into a variant. Numbers lose their fraction; a number in quotes is none.
+
     Tombstones (null values) have neither fields nor a reason. The first reason in checking order
     wins: blank, not JSON, not an object, business keys, then lines by position.
     """
-    parsed = records.select("*", F.inline(F.array(F.struct(
-        F.from_json(value, EVENT_SCHEMA).alias("event"), F.from_json(value, "map<string,string>").alias("top"),
-    ))).alias("_event", "_top"))
-    present = F.from_json(F.col("_top")["lines"], "array<map<string,string>>")
-    e = lambda f: F.col(f"_event.{f}")
-    no_offers = F.array().cast("array<struct<skuId:string,amountMinor:bigint,currency:string>>")
-    offers = F.coalesce(e("unitPrices"), no_offers)
-    lines = F.zip_with(e("lines"), present, lambda line, present: _resolved_line(line, present, offers))
+    parsed = records.select("*", F.inline(F.array(F.struct(F.try_parse_json(value).alias("_doc")))))
+    doc = F.col("_doc")
+    e = lambda path: text(field(doc, path))
+    offers = F.coalesce(items(field(doc, "unitPrices")), F.array().cast("array<variant>"))
+    lines = F.transform(items(field(doc, "lines")), lambda line: _resolved_line(line, offers))
     staged = parsed.select(
-        *records.columns, F.col("_top").isNotNull().alias("_object"),
+        *records.columns, doc.isNotNull().alias("_json"), names(doc).isNotNull().alias("_object"),
         e("orderId").alias("order_id"), e("externalOrderRef").alias("external_order_ref"),
         e("audit.sourceSystem").alias("source_system"), e("storeId").alias("store_id"), e("region").alias("region"),
         e("customerRef").alias("customer_ref"), e("channel").alias("channel"), e("status").alias("status"),
-        e("reservationId").alias("reservation_id"), e("totalAmount.amountMinor").alias("total_amount_minor"),
+        e("reservationId").alias("reservation_id"),
+        whole(field(doc, "totalAmount.amountMinor"), "bigint").alias("total_amount_minor"),
         e("totalAmount.currency").alias("currency"), e("audit.correlationId").alias("correlation_id"),
         F.inline(F.array(F.struct(lines.alias("lines")))).alias("lines"))
     line_reasons = F.filter(F.transform("lines", _line_reason), lambda r: r.isNotNull())
     reason = (
         F.when(F.col(value).isNull(), F.lit(None).cast("string"))
         .when(is_blank(F.col(value)), "event payload is null or blank")
-        .when(~F.col("_object") & F.try_parse_json(value).isNull(), "event payload is not valid JSON")
+        .when(~F.col("_json"), "event payload is not valid JSON")
         .when(~F.col("_object"), "event payload is not a JSON object")
         .when(is_blank(F.col("order_id")) | is_blank(F.col("external_order_ref")) | is_blank(F.col("source_system")),
               "event is missing required business key(s): orderId, externalOrderRef, audit.sourceSystem")
         .otherwise(F.try_element_at(line_reasons, F.lit(1)))
     )
-    return staged.withColumn("reason", reason).drop("_object")
+    return staged.withColumn("reason", reason).drop("_json", "_object")
 
 
 def routed(events: DataFrame, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import money
 from tidemark.functions.text import is_blank
+from tidemark.functions.variants import field, is_number, is_string, items, names
 from tidemark.operators.sequence import number_rows
 from tidemark.operators.sequence import order_id as erp_order_id
 
@@ -23,77 +24,99 @@ LINE_KEYS = ("skuId", "quantity")
 AUDIT_KEYS = ("sourceSystem", "receivedAt", "correlationId")
 
 
-def _text(value: Column, path: str, required: bool = True, minimum: int = 1) -> list[Column]:
-    found = [F.when(value.isNull(), F.lit(f"{path}: required"))] if required else []
+def _at(node: Column, path: Column, *faults: tuple[Column, str]) -> list[Column]:
+    """Messages for the faults of a node that is there."""
+    return [F.when(node.isNotNull() & F.coalesce(bad, F.lit(False)), F.concat(path, F.lit(f": {say}")))
+            for bad, say in faults]
+
+
+def _required(node: Column, path: Column) -> Column:
+    return F.when(node.isNull(), F.concat(path, F.lit(": required")))
+
+
+def _string(node: Column, path: Column, minimum: int = 0, most: int | None = MAX_TEXT,
+            pattern: str | None = None, say: str = "does not match the pattern") -> list[Column]:
+    """A text field: its JSON type first; lengths and patterns only concern texts."""
+    value = F.when(is_string(node), F.try_variant_get(node, "$", "string"))
+    faults = [(~is_string(node), "string expected")]
     if minimum:
-        found.append(F.when(F.length(value) < minimum, F.lit(f"{path}: must be at least {minimum} characters long")))
-    found.append(F.when(F.length(value) > MAX_TEXT, F.lit(f"{path}: must be at most {MAX_TEXT} characters long")))
-    return found
+        faults.append((F.length(value) < minimum, f"must be at least {minimum} characters long"))
+    if most is not None:
+        faults.append((F.length(value) > most, f"must be at most {most} characters long"))
+    if pattern is not None:
+        faults.append((~value.rlike(pattern), say))
+    return _at(node, path, *faults)
+
 
+def _extra(node: Column, allowed: tuple[str, ...], path: Column) -> Column:
+    unknown = F.array_except(names(node), F.array(*[F.lit(k) for k in allowed]))
+    return F.coalesce(F.transform(unknown, lambda k: F.concat(path, F.lit("."), k, F.lit(": not allowed"))),
+                      F.array().cast("array<string>"))
 
-def _extra(keys: Column, allowed: tuple[str, ...], path: Column) -> Column:
-    unknown = F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))
-    return F.transform(unknown, lambda k: F.concat(path, F.lit("."), k, F.lit(": not allowed")))
+
+def _present(messages: list[Column]) -> Column:
+    return F.filter(F.array(*messages), lambda e: e.isNotNull())
+
+
+def _line_errors(line: Column, i: Column) -> Column:
+    at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
+    sku, quantity = field(line, "skuId"), field(line, "quantity")
+    in_line = lambda name: F.concat(at, F.lit(f".{name}"))
+    number = F.when(is_number(quantity), F.try_variant_get(quantity, "$", "double"))
+    own = _present([
+        _required(sku, in_line("skuId")), *_string(sku, in_line("skuId"), most=None, pattern=SKU_PATTERN),
+        _required(quantity, in_line("quantity")),
+        *_at(quantity, in_line("quantity"),
+             (number.isNull() | (number != F.floor(number)), "integer expected"),
+             (number < 1, "must be at least 1"), (number > MAX_QUANTITY, f"must be at most {MAX_QUANTITY}"))])
+    return F.when(names(line).isNull(), F.array(F.concat(at, F.lit(": object expected")))).otherwise(
+        F.concat(own, _extra(line, LINE_KEYS, at)))
 
 
 def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
     """Add `errors`: the sorted messages of the closed canonical schema, empty for a valid order.
 
-    Checked are required fields, lengths, patterns, enums, 1 to 50 lines, quantities 1 to 999, the
-    receive time and unknown fields at every level.
+    Checked are JSON types, required fields, lengths, patterns, enums, 1 to 50 lines, whole quantities from 1 to 999
+    (2.0 is whole), the receive time and unknown fields at every level. A message is parsed once, into a variant.
     """
-    text = "map<string,string>"
-    parsed = df.select("*", F.inline(F.array(F.struct(F.from_json(value, text).alias("top")))).alias("_top"))
-    parsed = parsed.select("*", F.inline(F.array(F.struct(
-        F.from_json(F.col("_top")["lines"], f"array<{text}>").alias("rows"),
-        F.from_json(F.col("_top")["lines"], "array<struct<quantity:bigint>>").alias("numbers"),
-        F.from_json(F.col("_top")["audit"], text).alias("stamp")))).alias("_rows", "_numbers", "_stamp"))
-    c = lambda f: F.col("_top")[f]
-    lines, audit = F.col("_rows"), F.col("_stamp")
-
-    def line_errors(line: Column, i: Column) -> Column:
-        at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
-        sku, qty = line["skuId"], line["quantity"]
-        number = F.get("_numbers", i)["quantity"]  # null for anything but a JSON integer
-        return F.filter(F.array(
-            F.when(sku.isNull(), F.concat(at, F.lit(".skuId: required"))),
-            F.when(~sku.rlike(SKU_PATTERN), F.concat(at, F.lit(".skuId: does not match the pattern"))),
-            F.when(qty.isNull(), F.concat(at, F.lit(".quantity: required"))),
-            F.when(qty.isNotNull() & number.isNull(), F.concat(at, F.lit(".quantity: integer expected"))),
-            F.when(number < 1, F.concat(at, F.lit(".quantity: must be at least 1"))),
-            F.when(number > MAX_QUANTITY, F.concat(at, F.lit(f".quantity: must be at most {MAX_QUANTITY}"))),
-        ), lambda e: e.isNotNull())
-
-    def all_line_errors(line: Column, i: Column) -> Column:
-        at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
-        return F.concat(line_errors(line, i), _extra(F.map_keys(line), LINE_KEYS, at))
-
-    single = [
-        *_text(c("externalOrderRef"), "$.externalOrderRef"),
-        *_text(c("sourceSystem"), "$.sourceSystem"),
-        F.when(c("storeId").isNull(), F.lit("$.storeId: required")),
-        F.when(~c("storeId").rlike(STORE_PATTERN), F.lit("$.storeId: does not match the pattern")),
-        F.when(c("channel").isNull(), F.lit("$.channel: required")),
-        F.when(~c("channel").isin(*CHANNELS), F.lit("$.channel: not in the enumeration")),
-        *_text(c("customerRef"), "$.customerRef", required=False, minimum=0),
-        F.when(lines.isNull(), F.lit("$.lines: required")),
-        F.when(F.size(lines) == 0, F.lit("$.lines: must have at least 1 item")),
-        F.when(F.size(lines) > MAX_LINES, F.lit(f"$.lines: must have at most {MAX_LINES} items")),
-        F.when(audit.isNull(), F.lit("$.audit: required")),
-        *[F.when(audit.isNotNull(), e) for k in ("sourceSystem", "correlationId")
-          for e in _text(audit[k], f"$.audit.{k}")],
-        F.when(audit.isNotNull() & audit["receivedAt"].isNull(), F.lit("$.audit.receivedAt: required")),
-        F.when(~audit["receivedAt"].rlike(DATE_TIME_PATTERN), F.lit("$.audit.receivedAt: date-time expected")),
-    ]
-    empty = F.array().cast("array<string>")
-    found = F.concat(
-        F.filter(F.array(*single), lambda e: e.isNotNull()),
-        F.coalesce(F.flatten(F.transform(lines, all_line_errors)), empty),
-        F.coalesce(_extra(F.map_keys("_top"), ORDER_KEYS, F.lit("$")), empty),
-        F.coalesce(_extra(F.map_keys("_stamp"), AUDIT_KEYS, F.lit("$.audit")), empty),
-    )
-    errors = F.when(F.col("_top").isNull(), F.array(F.lit("request body is not valid JSON"))).otherwise(F.array_sort(found))
-    return parsed.withColumn("errors", errors).drop("_top", "_rows", "_numbers", "_stamp")
+    doc = F.col("_doc")
+    root, none = F.lit("$"), F.array().cast("array<string>")
+    # the arrays are taken out behind one-row generators, so that they are made once
+    parsed = df.select("*", F.inline(F.array(F.struct(F.try_parse_json(value).alias("_doc")))))
+    parsed = parsed.select("*", F.inline(F.array(F.struct(items(field(doc, "lines")).alias("_lines")))))
+    path = lambda name: F.lit(f"$.{name}")
+    lines, rows, audit = field(doc, "lines"), F.col("_lines"), field(doc, "audit")
+    ref, system, store, channel, customer = (field(doc, k) for k in (
+        "externalOrderRef", "sourceSystem", "storeId", "channel", "customerRef"))
+    stamped = names(audit).isNotNull()
+    received = field(audit, "receivedAt")
+
+    def in_audit(messages: list[Column]) -> list[Column]:
+        return [F.when(stamped, m) for m in messages]
+
+    own = _present([
+        _required(ref, path("externalOrderRef")), *_string(ref, path("externalOrderRef"), 1),
+        _required(system, path("sourceSystem")), *_string(system, path("sourceSystem"), 1),
+        _required(store, path("storeId")), *_string(store, path("storeId"), most=None, pattern=STORE_PATTERN),
+        _required(channel, path("channel")),
+        *_at(channel, path("channel"), (~(is_string(channel) & F.coalesce(
+            F.try_variant_get(channel, "$", "string").isin(*CHANNELS), F.lit(False))), "not in the enumeration")),
+        *_string(customer, path("customerRef")),
+        _required(lines, path("lines")),
+        *_at(lines, path("lines"), (rows.isNull(), "array expected"), (F.size(rows) == 0, "must have at least 1 item"),
+             (F.size(rows) > MAX_LINES, f"must have at most {MAX_LINES} items")),
+        _required(audit, path("audit")), *_at(audit, path("audit"), (~stamped, "object expected")),
+        *in_audit([m for k in ("sourceSystem", "correlationId") for m in (
+            _required(field(audit, k), path(f"audit.{k}")), *_string(field(audit, k), path(f"audit.{k}"), 1))]),
+        *in_audit([_required(received, path("audit.receivedAt")),
+                   *_string(received, path("audit.receivedAt"), most=None, pattern=DATE_TIME_PATTERN,
+                            say="date-time expected")]),
+    ])
+    found = F.concat(own, F.coalesce(F.flatten(F.transform(rows, _line_errors)), none), _extra(doc, ORDER_KEYS, root),
+                     _extra(audit, AUDIT_KEYS, path("audit")))
+    errors = (F.when(doc.isNull(), F.array(F.lit("request body is not valid JSON")))
+              .when(names(doc).isNull(), F.array(F.lit("$: object expected"))).otherwise(F.array_sort(found)))
+    return parsed.withColumn("errors", errors).drop("_doc", "_lines")
 
 
 # Order fault codes in the order they are checked.

@@ -174,7 +174,7 @@ def order_job(t: Tables) -> DataFrame:
 
 def canonical_requests(t: Tables) -> DataFrame:
     """Canonical order JSON with one kind of schema fault per remainder."""
-    f = F.col("l_partkey") % 20
+    f = F.col("l_partkey") % 28
     qty = F.when(f.isin(7, 15), 0).when(f == 8, 1000).otherwise(F.col("quantity"))
     line = F.struct(
         F.when(f == 6, "BAD").otherwise(F.col("sku_id")).alias("skuId"), qty.alias("quantity"),
@@ -193,13 +193,22 @@ def canonical_requests(t: Tables) -> DataFrame:
         .alias("storeId"),
         F.when(f == 4, "FAX").otherwise("POS").alias("channel"),
         lines.alias("lines"), F.when(f != 9, stamp).alias("audit"), F.when(f == 11, F.lit(5)).alias("amount"))
-    value = F.when(f == 13, "{oops").otherwise(F.to_json(body))
+    text = F.to_json(body)
+    for code, pattern, by in (
+            (16, "^\\{", '{"customerRef":null,'), (17, '"quantity":([0-9]+)', '"quantity":$1.5'),
+            (18, '"externalOrderRef":"[^"]*"', '"externalOrderRef":5'),
+            (19, '"sourceSystem":"WEB",', '"sourceSystem":{"a":1},'), (20, '"quantity":([0-9]+)', '"quantity":"$1"'),
+            (21, '"lines":\\[([^\\]]*)\\]', '"lines":$1'), (22, '"quantity":([0-9]+)', '"quantity":$1.0'),
+            (23, '"lines":\\[([^\\]]*)\\]', '"lines":[7]'), (24, '"channel":"POS"', '"channel":null'),
+            (25, '"audit":\\{[^}]*\\}', '"audit":"now"')):
+        text = F.when(f == code, F.regexp_replace(text, pattern, by)).otherwise(text)
+    value = F.when(f == 13, "{oops").when(f == 26, "[1]").otherwise(text)
     return materialized(t.line_versions(), value=value).select("order_id", "value")
 
 
 @query("canonical_validation", q.with_("""
 SELECT errors, CAST(count(*) AS BIGINT) AS n_orders FROM (
-  SELECT CASE l_partkey % 20
+  SELECT CASE l_partkey % 28
     WHEN 0 THEN '$.externalOrderRef: required'
     WHEN 1 THEN '$.externalOrderRef: must be at least 1 characters long'
     WHEN 2 THEN '$.externalOrderRef: must be at most 64 characters long'
@@ -216,6 +225,16 @@ SELECT errors, CAST(count(*) AS BIGINT) AS n_orders FROM (
     WHEN 13 THEN 'request body is not valid JSON'
     WHEN 14 THEN '$.lines: must have at most 50 items'
     WHEN 15 THEN '$.lines[0].quantity: must be at least 1 | $.storeId: does not match the pattern'
+    WHEN 16 THEN '$.customerRef: string expected'
+    WHEN 17 THEN '$.lines[0].quantity: integer expected'
+    WHEN 18 THEN '$.externalOrderRef: string expected'
+    WHEN 19 THEN '$.audit.sourceSystem: string expected | $.sourceSystem: string expected'
+    WHEN 20 THEN '$.lines[0].quantity: integer expected'
+    WHEN 21 THEN '$.lines: array expected'
+    WHEN 23 THEN '$.lines[0]: object expected'
+    WHEN 24 THEN '$.channel: not in the enumeration'
+    WHEN 25 THEN '$.audit: object expected'
+    WHEN 26 THEN '$: object expected'
     ELSE '' END AS errors FROM lineitem) GROUP BY errors""", "one AS (SELECT 1)"))
 def canonical_validation(t: Tables) -> DataFrame:
     checked = orders.canonical_errors(canonical_requests(t))
@@ -259,6 +278,9 @@ ev AS (
       WHEN 5 THEN 'lines[0] quantity must be >= 1, got 0'
       WHEN 6 THEN 'lines[0] is missing unitPriceMinor/currency (and no unitPrices fallback)'
       WHEN 12 THEN 'lines[0] is missing unitPriceMinor/currency (and no unitPrices fallback)'
+      WHEN 15 THEN 'lines[0] is missing skuId or quantity'
+      WHEN 16 THEN 'lines[0] quantity must be >= 1, got 0'
+      WHEN 17 THEN 'lines[0] is missing unitPriceMinor/currency (and no unitPrices fallback)'
       WHEN 9 THEN 'lines[1] is missing skuId or quantity' END AS reason,
     order_id || '-' || line_no AS event_order_id, 'WEB-' || l_orderkey || '-' || line_no AS ref
   FROM line_versions),

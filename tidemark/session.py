@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on: time zones are explicit (UTC), `dt` stays text on
 #: read-back, a write replaces only the partitions it carries, and the batches that Python workers
-#: get are bounded by bytes, whatever the length of a row.
+#: get are bounded by bytes, whatever the length of a row. Of repeated fields in a JSON object the last counts.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

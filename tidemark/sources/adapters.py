@@ -241,7 +241,7 @@ class Tables:
             F.col("region").alias("region"),
             F.struct((price * F.col("quantity")).alias("amountMinor"), F.col("currency").alias("currency"))
             .alias("totalAmount"),
-            F.when(fault.isin(7, 12), F.array(offer(price + 100), offer(price + 7)))
+            F.when(fault.isin(7, 12, 17), F.array(offer(price + 100), offer(price + 7)))
             .otherwise(F.filter(F.array(offer(price)), lambda _: F.lit(False))).alias("unitPrices"),
             F.struct(
                 F.when(fault != 4, F.concat(F.lit("WEB_STORE_"), F.col("region"))).alias("sourceSystem"),
@@ -252,6 +252,12 @@ class Tables:
         )
         # Prices are built as text so that one of them can be a word; the quotes of the numbers go again.
         text = F.regexp_replace(F.to_json(body), r'"unitPriceMinor":"([0-9]+)"', r'"unitPriceMinor":$1')
+        # numbers with fractions, a number in quotes, and a price that is JSON null
+        head = r'("lines":\[\{"skuId":"[^"]*","quantity":)([0-9]+)'
+        for code, pattern, by in ((13, head, "$1$2.5"), (14, head + r'(,"unitPriceMinor":[0-9]+)', "$1$2$3.7"),
+                                  (15, head, '$1"$2"'), (16, head, "$10.5"),
+                                  (17, head + ',"unitPriceMinor":[0-9]+', '$1$2,"unitPriceMinor":null')):
+            text = F.when(fault == code, F.regexp_replace(text, pattern, by)).otherwise(text)
         value = (
             F.when(fault == 0, F.lit(None).cast("string")).when(fault == 1, "{not json").when(fault == 10, "   ")
             .when(fault == 11, "[1]").otherwise(text)
