@@ -19,31 +19,46 @@ def kind(node: Column) -> Column:
     return F.schema_of_variant(node)
 
 
-def is_number(node: Column) -> Column:
-    name = F.regexp_extract(kind(node), "^[A-Z]+", 0)
-    return F.coalesce(name.isin(*_NUMBERS), F.lit(False))
+def leaf(node: Column, path: str) -> Column:
+    """JSON type and text of a field, so that later expressions need not look into the document again."""
+    return F.struct(kind(field(node, path)).alias("kind"), F.try_variant_get(node, f"$.{path}", "string").alias("text"))
 
 
-def is_string(node: Column) -> Column:
-    return F.coalesce(kind(node) == "STRING", F.lit(False))
+def is_there(found: Column) -> Column:
+    """Whether a leaf is a field of its object; JSON null is one."""
+    return found["kind"].isNotNull()
 
 
-def whole(node: Column, number: str) -> Column:
+def is_number(found: Column) -> Column:
+    return F.coalesce(F.regexp_extract(found["kind"], "^[A-Z]+", 0).isin(*_NUMBERS), F.lit(False))
+
+
+def is_string(found: Column) -> Column:
+    return F.coalesce(found["kind"] == "STRING", F.lit(False))
+
+
+def whole(node: Column, path: str, number: str) -> Column:
     """A JSON number as `int` or `bigint` without its fraction; null for anything else and beyond the range."""
-    return F.when(is_number(node), F.try_variant_get(node, "$", number))
+    named = F.regexp_extract(kind(field(node, path)), "^[A-Z]+", 0).isin(*_NUMBERS)
+    return F.when(named, F.try_variant_get(node, f"$.{path}", number))
 
 
-def text(node: Column) -> Column:
+def text(found: Column) -> Column:
     """A leaf as text, null for JSON null, empty for objects and arrays."""
-    nested = F.coalesce(kind(node).startswith("OBJECT") | kind(node).startswith("ARRAY"), F.lit(False))
-    return F.when(nested, F.lit("")).otherwise(F.try_variant_get(node, "$", "string"))
+    nested = found["kind"].startswith("OBJECT") | found["kind"].startswith("ARRAY")
+    return F.when(nested, F.lit("")).otherwise(found["text"])
 
 
-def items(node: Column) -> Column:
+def items(node: Column, path: str) -> Column:
     """The elements of an array, null for anything else."""
-    return F.try_variant_get(node, "$", "array<variant>")
+    return F.try_variant_get(node, f"$.{path}", "array<variant>")
 
 
 def names(node: Column) -> Column:
     """The field names of an object, null for anything else."""
     return F.map_keys(F.try_variant_get(node, "$", "map<string,variant>"))
+
+
+def once(df, **columns: Column):
+    """Add computed columns behind a one-row generator, so that each is computed once however often it is read."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import line_total
 from tidemark.functions.text import is_blank
-from tidemark.functions.variants import field, items, names, text, whole
+from tidemark.functions.variants import field, items, leaf, names, once, text, whole
 from tidemark.operators.latest import first_per_key
 
 # Routes and outcomes; below, the reasons of the order-event contract.
@@ -16,19 +16,28 @@ BUSINESS_KEY = ("source_system", "external_order_ref")
 ARRIVAL = ("timestamp", "partition", "offset")
 
 
+def _offer(offer: Column) -> Column:
+    return F.struct(text(leaf(offer, "skuId")).alias("sku_id"), whole(offer, "amountMinor", "bigint").alias("amount"),
+                    text(leaf(offer, "currency")).alias("currency"))
+
+
+def _line(line: Column) -> Column:
+    return F.struct(
+        text(leaf(line, "skuId")).alias("sku_id"), whole(line, "quantity", "int").alias("quantity"),
+        field(line, "unitPriceMinor").isNotNull().alias("priced"),
+        whole(line, "unitPriceMinor", "bigint").alias("price"), text(leaf(line, "currency")).alias("currency"))
+
+
 def _resolved_line(line: Column, offers: Column) -> Column:
     """A line with its price: an absent price or currency is taken from the last offer of the SKU.
 
     A price that is there but is no number stays null; it is not replaced.
     """
-    sku, price = text(field(line, "skuId")), field(line, "unitPriceMinor")
-    offer = F.try_element_at(F.filter(offers, lambda o: text(field(o, "skuId")) == sku), F.lit(-1))
-    amount = F.when(price.isNull(), field(offer, "amountMinor")).otherwise(price)
-    currency = F.coalesce(text(field(line, "currency")), text(field(offer, "currency")))
+    offer = F.try_element_at(F.filter(offers, lambda o: o["sku_id"] == line["sku_id"]), F.lit(-1))
     return F.struct(
-        sku.alias("sku_id"), whole(field(line, "quantity"), "int").alias("quantity"),
-        whole(amount, "bigint").alias("unit_price_minor"), currency.alias("currency"),
-        price.isNull().alias("from_offer"))
+        line["sku_id"].alias("sku_id"), line["quantity"].alias("quantity"),
+        F.when(line["priced"], line["price"]).otherwise(offer["amount"]).alias("unit_price_minor"),
+        F.coalesce(line["currency"], offer["currency"]).alias("currency"), (~line["priced"]).alias("from_offer"))
 
 
 def _line_reason(line: Column, i: Column) -> Column:
@@ -51,20 +60,19 @@ def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     Tombstones (null values) have neither fields nor a reason. The first reason in checking order
     wins: blank, not JSON, not an object, business keys, then lines by position.
     """
-    parsed = records.select("*", F.inline(F.array(F.struct(F.try_parse_json(value).alias("_doc")))))
+    parsed = once(records, _doc=F.try_parse_json(value))
     doc = F.col("_doc")
-    e = lambda path: text(field(doc, path))
-    offers = F.coalesce(items(field(doc, "unitPrices")), F.array().cast("array<variant>"))
-    lines = F.transform(items(field(doc, "lines")), lambda line: _resolved_line(line, offers))
-    staged = parsed.select(
-        *records.columns, doc.isNotNull().alias("_json"), names(doc).isNotNull().alias("_object"),
-        e("orderId").alias("order_id"), e("externalOrderRef").alias("external_order_ref"),
-        e("audit.sourceSystem").alias("source_system"), e("storeId").alias("store_id"), e("region").alias("region"),
-        e("customerRef").alias("customer_ref"), e("channel").alias("channel"), e("status").alias("status"),
-        e("reservationId").alias("reservation_id"),
-        whole(field(doc, "totalAmount.amountMinor"), "bigint").alias("total_amount_minor"),
-        e("totalAmount.currency").alias("currency"), e("audit.correlationId").alias("correlation_id"),
-        F.inline(F.array(F.struct(lines.alias("lines")))).alias("lines"))
+    read = once(parsed, _offers=F.transform(items(doc, "unitPrices"), _offer),
+                _lines=F.transform(items(doc, "lines"), _line))
+    e = lambda path: text(leaf(doc, path))
+    offers = F.coalesce("_offers", F.array().cast("array<struct<sku_id:string,amount:bigint,currency:string>>"))
+    lines = F.transform("_lines", lambda line: _resolved_line(line, offers))
+    staged = once(read, _json=doc.isNotNull(), _object=names(doc).isNotNull(), order_id=e("orderId"),
+                  external_order_ref=e("externalOrderRef"), source_system=e("audit.sourceSystem"), store_id=e("storeId"),
+                  region=e("region"), customer_ref=e("customerRef"), channel=e("channel"), status=e("status"),
+                  reservation_id=e("reservationId"), total_amount_minor=whole(doc, "totalAmount.amountMinor", "bigint"),
+                  currency=e("totalAmount.currency"), correlation_id=e("audit.correlationId"), lines=lines).drop(
+                      "_doc", "_offers", "_lines")
     line_reasons = F.filter(F.transform("lines", _line_reason), lambda r: r.isNotNull())
     reason = (
         F.when(F.col(value).isNull(), F.lit(None).cast("string"))

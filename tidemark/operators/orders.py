@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import money
 from tidemark.functions.text import is_blank
-from tidemark.functions.variants import field, is_number, is_string, items, names
+from tidemark.functions.variants import field, is_number, is_string, is_there, items, leaf, names, once
 from tidemark.operators.sequence import number_rows
 from tidemark.operators.sequence import order_id as erp_order_id
 
@@ -24,32 +24,32 @@ LINE_KEYS = ("skuId", "quantity")
 AUDIT_KEYS = ("sourceSystem", "receivedAt", "correlationId")
 
 
-def _at(node: Column, path: Column, *faults: tuple[Column, str]) -> list[Column]:
-    """Messages for the faults of a node that is there."""
-    return [F.when(node.isNotNull() & F.coalesce(bad, F.lit(False)), F.concat(path, F.lit(f": {say}")))
+def _at(found: Column, path: Column, *faults: tuple[Column, str]) -> list[Column]:
+    """Messages for the faults of a field that is there."""
+    return [F.when(is_there(found) & F.coalesce(bad, F.lit(False)), F.concat(path, F.lit(f": {say}")))
             for bad, say in faults]
 
 
-def _required(node: Column, path: Column) -> Column:
-    return F.when(node.isNull(), F.concat(path, F.lit(": required")))
+def _required(found: Column, path: Column) -> Column:
+    return F.when(~is_there(found), F.concat(path, F.lit(": required")))
 
 
-def _string(node: Column, path: Column, minimum: int = 0, most: int | None = MAX_TEXT,
+def _string(found: Column, path: Column, minimum: int = 0, most: int | None = MAX_TEXT,
             pattern: str | None = None, say: str = "does not match the pattern") -> list[Column]:
     """A text field: its JSON type first; lengths and patterns only concern texts."""
-    value = F.when(is_string(node), F.try_variant_get(node, "$", "string"))
-    faults = [(~is_string(node), "string expected")]
+    value = F.when(is_string(found), found["text"])
+    faults = [(~is_string(found), "string expected")]
     if minimum:
         faults.append((F.length(value) < minimum, f"must be at least {minimum} characters long"))
     if most is not None:
         faults.append((F.length(value) > most, f"must be at most {most} characters long"))
     if pattern is not None:
         faults.append((~value.rlike(pattern), say))
-    return _at(node, path, *faults)
+    return _at(found, path, *faults)
 
 
-def _extra(node: Column, allowed: tuple[str, ...], path: Column) -> Column:
-    unknown = F.array_except(names(node), F.array(*[F.lit(k) for k in allowed]))
+def _extra(found: Column, allowed: tuple[str, ...], path: Column) -> Column:
+    unknown = F.array_except(found, F.array(*[F.lit(k) for k in allowed]))
     return F.coalesce(F.transform(unknown, lambda k: F.concat(path, F.lit("."), k, F.lit(": not allowed"))),
                       F.array().cast("array<string>"))
 
@@ -58,65 +58,83 @@ def _present(messages: list[Column]) -> Column:
     return F.filter(F.array(*messages), lambda e: e.isNotNull())
 
 
+def _line(line: Column) -> Column:
+    """What the rules ask of a line."""
+    return F.struct(names(line).alias("names"), leaf(line, "skuId").alias("sku"), leaf(line, "quantity").alias("quantity"))
+
+
+def _is_good(line: Column) -> Column:
+    """A line without any fault, so that messages are only made for the others."""
+    number = line["quantity"]["text"].try_cast("double")
+    good = is_string(line["sku"]) & line["sku"]["text"].rlike(SKU_PATTERN) & is_number(line["quantity"]) & (
+        number == F.floor(number)) & number.between(1, MAX_QUANTITY) & (F.size(line["names"]) == len(LINE_KEYS))
+    return F.coalesce(good, F.lit(False))
+
+
 def _line_errors(line: Column, i: Column) -> Column:
     at = F.concat(F.lit("$.lines["), i.cast("string"), F.lit("]"))
-    sku, quantity = field(line, "skuId"), field(line, "quantity")
+    sku, quantity = line["sku"], line["quantity"]
     in_line = lambda name: F.concat(at, F.lit(f".{name}"))
-    number = F.when(is_number(quantity), F.try_variant_get(quantity, "$", "double"))
+    number = F.when(is_number(quantity), quantity["text"].try_cast("double"))
     own = _present([
         _required(sku, in_line("skuId")), *_string(sku, in_line("skuId"), most=None, pattern=SKU_PATTERN),
         _required(quantity, in_line("quantity")),
         *_at(quantity, in_line("quantity"),
              (number.isNull() | (number != F.floor(number)), "integer expected"),
              (number < 1, "must be at least 1"), (number > MAX_QUANTITY, f"must be at most {MAX_QUANTITY}"))])
-    return F.when(names(line).isNull(), F.array(F.concat(at, F.lit(": object expected")))).otherwise(
-        F.concat(own, _extra(line, LINE_KEYS, at)))
+    faults = F.when(line["names"].isNull(), F.array(F.concat(at, F.lit(": object expected")))).otherwise(
+        F.concat(own, _extra(line["names"], LINE_KEYS, at)))
+    return F.when(_is_good(line), F.array().cast("array<string>")).otherwise(faults)
+
+
+#: Text fields of an order and of its audit block, by the name of their leaf.
+_FIELDS = {"ref": "externalOrderRef", "system": "sourceSystem", "store": "storeId", "channel": "channel",
+           "customer": "customerRef", "stamp_system": "audit.sourceSystem",
+           "received": "audit.receivedAt", "correlation": "audit.correlationId"}
 
 
 def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
     """Add `errors`: the sorted messages of the closed canonical schema, empty for a valid order.
 
     Checked are JSON types, required fields, lengths, patterns, enums, 1 to 50 lines, whole quantities from 1 to 999
-    (2.0 is whole), the receive time and unknown fields at every level. A message is parsed once, into a variant.
+    (2.0 is whole), the receive time and unknown fields at every level. A message is parsed once, into a variant, and its
+    fields are read once, into their types and texts.
     """
+    none = F.array().cast("array<string>")
+    parsed = once(df, _doc=F.try_parse_json(value))
     doc = F.col("_doc")
-    root, none = F.lit("$"), F.array().cast("array<string>")
-    # the arrays are taken out behind one-row generators, so that they are made once
-    parsed = df.select("*", F.inline(F.array(F.struct(F.try_parse_json(value).alias("_doc")))))
-    parsed = parsed.select("*", F.inline(F.array(F.struct(items(field(doc, "lines")).alias("_lines")))))
-    path = lambda name: F.lit(f"$.{name}")
-    lines, rows, audit = field(doc, "lines"), F.col("_lines"), field(doc, "audit")
-    ref, system, store, channel, customer = (field(doc, k) for k in (
-        "externalOrderRef", "sourceSystem", "storeId", "channel", "customerRef"))
-    stamped = names(audit).isNotNull()
-    received = field(audit, "receivedAt")
-
-    def in_audit(messages: list[Column]) -> list[Column]:
-        return [F.when(stamped, m) for m in messages]
+    read = once(parsed, _json=doc.isNotNull(), _names=names(doc), _stamp=names(field(doc, "audit")),
+                _rows=F.transform(items(doc, "lines"), _line), _has_lines=field(doc, "lines").isNotNull(),
+                _has_audit=field(doc, "audit").isNotNull(),
+                **{f"_{name}": leaf(doc, path) for name, path in _FIELDS.items()})
+    c = {name: F.col(f"_{name}") for name in _FIELDS}
+    path = {name: F.lit(f"$.{place}") for name, place in _FIELDS.items()}
+    rows, stamped = F.col("_rows"), F.col("_stamp").isNotNull()
+    enumerated = is_string(c["channel"]) & F.coalesce(c["channel"]["text"].isin(*CHANNELS), F.lit(False))
+
+    def required(name: str) -> Column:
+        return _required(c[name], path[name])
 
     own = _present([
-        _required(ref, path("externalOrderRef")), *_string(ref, path("externalOrderRef"), 1),
-        _required(system, path("sourceSystem")), *_string(system, path("sourceSystem"), 1),
-        _required(store, path("storeId")), *_string(store, path("storeId"), most=None, pattern=STORE_PATTERN),
-        _required(channel, path("channel")),
-        *_at(channel, path("channel"), (~(is_string(channel) & F.coalesce(
-            F.try_variant_get(channel, "$", "string").isin(*CHANNELS), F.lit(False))), "not in the enumeration")),
-        *_string(customer, path("customerRef")),
-        _required(lines, path("lines")),
-        *_at(lines, path("lines"), (rows.isNull(), "array expected"), (F.size(rows) == 0, "must have at least 1 item"),
-             (F.size(rows) > MAX_LINES, f"must have at most {MAX_LINES} items")),
-        _required(audit, path("audit")), *_at(audit, path("audit"), (~stamped, "object expected")),
-        *in_audit([m for k in ("sourceSystem", "correlationId") for m in (
-            _required(field(audit, k), path(f"audit.{k}")), *_string(field(audit, k), path(f"audit.{k}"), 1))]),
-        *in_audit([_required(received, path("audit.receivedAt")),
-                   *_string(received, path("audit.receivedAt"), most=None, pattern=DATE_TIME_PATTERN,
-                            say="date-time expected")]),
+        required("ref"), *_string(c["ref"], path["ref"], 1), required("system"), *_string(c["system"], path["system"], 1),
+        required("store"), *_string(c["store"], path["store"], most=None, pattern=STORE_PATTERN),
+        required("channel"), *_at(c["channel"], path["channel"], (~enumerated, "not in the enumeration")),
+        *_string(c["customer"], path["customer"]),
+        F.when(~F.col("_has_lines"), F.lit("$.lines: required")).when(rows.isNull(), F.lit("$.lines: array expected"))
+        .when(F.size(rows) == 0, F.lit("$.lines: must have at least 1 item"))
+        .when(F.size(rows) > MAX_LINES, F.lit(f"$.lines: must have at most {MAX_LINES} items")),
+        F.when(~F.col("_has_audit"), F.lit("$.audit: required")).when(~stamped, F.lit("$.audit: object expected")),
+        *[F.when(stamped, m) for m in (
+            required("stamp_system"), *_string(c["stamp_system"], path["stamp_system"], 1),
+            required("correlation"), *_string(c["correlation"], path["correlation"], 1),
+            required("received"), *_string(c["received"], path["received"], most=None, pattern=DATE_TIME_PATTERN,
+                                           say="date-time expected"))],
     ])
-    found = F.concat(own, F.coalesce(F.flatten(F.transform(rows, _line_errors)), none), _extra(doc, ORDER_KEYS, root),
-                     _extra(audit, AUDIT_KEYS, path("audit")))
-    errors = (F.when(doc.isNull(), F.array(F.lit("request body is not valid JSON")))
-              .when(names(doc).isNull(), F.array(F.lit("$: object expected"))).otherwise(F.array_sort(found)))
-    return parsed.withColumn("errors", errors).drop("_doc", "_lines")
+    found = F.concat(own, F.coalesce(F.flatten(F.transform(rows, _line_errors)), none),
+                     _extra(F.col("_names"), ORDER_KEYS, F.lit("$")), _extra(F.col("_stamp"), AUDIT_KEYS, F.lit("$.audit")))
+    errors = (F.when(~F.col("_json"), F.array(F.lit("request body is not valid JSON")))
+              .when(F.col("_names").isNull(), F.array(F.lit("$: object expected"))).otherwise(F.array_sort(found)))
+    return read.select(*df.columns, errors.alias("errors"))
 
 
 # Order fault codes in the order they are checked.
