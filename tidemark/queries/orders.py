@@ -11,7 +11,7 @@ from tidemark.functions.text import idempotency_key
 from tidemark.operators import claims, events, ingest, latest, orders, sequence, stock
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
-from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded
+from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded, replaced
 from tidemark.sources.lake import price_list
 
 KNOWN_STORES_SQL = "('ST-CA-01','ST-CA-02','ST-CA-03','ST-SG-01','ST-SG-02','ST-SG-03','ST-CN-01','ST-CN-02')"
@@ -193,15 +193,13 @@ def canonical_requests(t: Tables) -> DataFrame:
         .alias("storeId"),
         F.when(f == 4, "FAX").otherwise("POS").alias("channel"),
         lines.alias("lines"), F.when(f != 9, stamp).alias("audit"), F.when(f == 11, F.lit(5)).alias("amount"))
-    text = F.to_json(body)
-    for code, pattern, by in (
-            (16, "^\\{", '{"customerRef":null,'), (17, '"quantity":([0-9]+)', '"quantity":$1.5'),
-            (18, '"externalOrderRef":"[^"]*"', '"externalOrderRef":5'),
-            (19, '"sourceSystem":"WEB",', '"sourceSystem":{"a":1},'), (20, '"quantity":([0-9]+)', '"quantity":"$1"'),
-            (21, '"lines":\\[([^\\]]*)\\]', '"lines":$1'), (22, '"quantity":([0-9]+)', '"quantity":$1.0'),
-            (23, '"lines":\\[([^\\]]*)\\]', '"lines":[7]'), (24, '"channel":"POS"', '"channel":null'),
-            (25, '"audit":\\{[^}]*\\}', '"audit":"now"')):
-        text = F.when(f == code, F.regexp_replace(text, pattern, by)).otherwise(text)
+    text = replaced(F.to_json(body), f, {
+        16: ("^\\{", '{"customerRef":null,'), 17: ('"quantity":([0-9]+)', '"quantity":$1.5'),
+        18: ('"externalOrderRef":"[^"]*"', '"externalOrderRef":5'),
+        19: ('"sourceSystem":"WEB",', '"sourceSystem":{"a":1},'), 20: ('"quantity":([0-9]+)', '"quantity":"$1"'),
+        21: ('"lines":\\[([^\\]]*)\\]', '"lines":$1'), 22: ('"quantity":([0-9]+)', '"quantity":$1.0'),
+        23: ('"lines":\\[([^\\]]*)\\]', '"lines":[7]'), 24: ('"channel":"POS"', '"channel":null'),
+        25: ('"audit":\\{[^}]*\\}', '"audit":"now"')})
     value = F.when(f == 13, "{oops").when(f == 26, "[1]").otherwise(text)
     return materialized(t.line_versions(), value=value).select("order_id", "value")
 

@@ -254,10 +254,9 @@ class Tables:
         text = F.regexp_replace(F.to_json(body), r'"unitPriceMinor":"([0-9]+)"', r'"unitPriceMinor":$1')
         # numbers with fractions, a number in quotes, and a price that is JSON null
         head = r'("lines":\[\{"skuId":"[^"]*","quantity":)([0-9]+)'
-        for code, pattern, by in ((13, head, "$1$2.5"), (14, head + r'(,"unitPriceMinor":[0-9]+)', "$1$2$3.7"),
-                                  (15, head, '$1"$2"'), (16, head, "$10.5"),
-                                  (17, head + ',"unitPriceMinor":[0-9]+', '$1$2,"unitPriceMinor":null')):
-            text = F.when(fault == code, F.regexp_replace(text, pattern, by)).otherwise(text)
+        text = replaced(text, fault, {
+            13: (head, "$1$2.5"), 14: (head + r'(,"unitPriceMinor":[0-9]+)', "$1$2$3.7"), 15: (head, '$1"$2"'),
+            16: (head, "$10.5"), 17: (head + ',"unitPriceMinor":[0-9]+', '$1$2,"unitPriceMinor":null')})
         value = (
             F.when(fault == 0, F.lit(None).cast("string")).when(fault == 1, "{not json").when(fault == 10, "   ")
             .when(fault == 11, "[1]").otherwise(text)
@@ -384,6 +383,14 @@ class Tables:
             F.concat(F.lit("ORD-"), eid.cast("string")).alias("order_id"))
 
 
+def replaced(text: Column, code: Column, faults: dict[int, tuple[str, str]]) -> Column:
+    """A text with the replacement that belongs to its code, if any; the text stands in the plan once."""
+    pattern, by = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
+    for at, (found, put) in faults.items():
+        pattern, by = pattern.when(code == at, F.lit(found)), by.when(code == at, F.lit(put))
+    return F.regexp_replace(text, pattern.otherwise(F.lit("$^")), by.otherwise(F.lit("")))
+
+
 def envelope_frame(versions: DataFrame, fields: tuple[str, ...], table: str) -> DataFrame:
     """Row versions as change-event messages with message coordinates."""
     image = F.struct(*[F.col(f) for f in fields])
