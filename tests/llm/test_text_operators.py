@@ -103,6 +103,46 @@ def test_secret_scan_rows(table):
     assert secrets.scan(table([], name="none")).count() == 0
 
 
+def plain_base(text):
+    """Base spans by expressions over the whole text, without keywords."""
+    import re
+
+    assign = (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), k, m.end()) for k, expression, least in (
+        (0, assign, 8), (1, "AKIA[A-Z0-9]+", 16), (2, "[0-9a-f]+", 32))
+        for m in re.finditer(expression, text, re.ASCII) if len(m[2] if k == 0 else m[0]) >= least]
+    return [(secrets.KINDS[k], a, b) for a, k, b in sorted(found)]
+
+
+def test_base_spans_of_documents_equal_plain_expressions(small_docs):
+    got = {r.doc_id: r for r in secrets.scan(small_docs).collect()}
+    for i, text in small_docs.select("doc_id", "text").collect():
+        want = plain_base(text or "")
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(
+            sum(k == kind for k, _, _ in want) for kind in secrets.BASE)
+        assert got[i].base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in want))
+
+
+@pytest.mark.parametrize("part", ["eyJ", "eyJa.", "eyj", "token", "token=", "AKIA", "ghp_", "-----BEGIN ", "eyJa.eyJb"])
+def test_secrets_in_very_long_texts_take_linear_time(part):
+    import time
+
+    start = time.perf_counter()
+    secrets.find_secrets(part * (2_000_000 // len(part)))
+    assert time.perf_counter() - start < 10
+
+
+def test_failed_web_token_hides_no_later_one():
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln"
+    for before in ("eyJx ", "EYJ ", "eyJx.", "eyJx.eyJy "):
+        span = (len(before), "jwt", len(before + token))
+        assert secrets.find_secrets(before + token) == [span]
+
+
+def test_token_counts_of_an_empty_table(table):
+    assert token_counts.token_counts(table([], name="none"), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_base_counts_equal_brute_force(small_docs, words):
     labels = small_docs.sparkSession.read.parquet("/root/testdata/sf0.001/labels.parquet")
     ratios = quality.bucket_ratios(small_docs, quality.trusted_ids(labels))
@@ -129,6 +169,38 @@ def test_quality_verdict_follows_labels(spark):
     assert wrong == 0
 
 
+def test_verdict_equals_plain_sums(small_docs):
+    import math
+
+    labels = small_docs.sparkSession.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
+    rows = small_docs.selectExpr("doc_id", "coalesce(text, '') AS text").select(
+        "doc_id", quality.ngram_buckets(quality.F.col("text")).alias("grams")).collect()
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(r.grams)
+        target.update(r.grams if r.doc_id in trusted else ())
+    n, t = raw.total(), target.total()
+    ratio = {b: round(1000 * math.log((target[b] + quality.PRIOR * t * raw[b] / n) / ((1 + quality.PRIOR) * t * raw[b] / n)))
+             for b in raw}
+    got = {r.doc_id: r for r in quality.judge(
+        small_docs, quality.bucket_ratios(small_docs, quality.trusted_ids(labels))).collect()}
+    for r in rows:
+        score = sum(ratio[b] for b in r.grams) / (1000 * len(r.grams)) if r.grams else 0.0
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-12)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and got[r.doc_id].score >= quality.THRESHOLD)
+
+
+def test_scores_do_not_depend_on_the_size_of_the_table(small_docs, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    far = 1_000_000
+    copies = spark.range(20).withColumnRenamed("id", "copy")
+    many, more = (df.join(copies).withColumn("doc_id", quality.F.expr(f"doc_id + copy * {far}")) for df in (
+        small_docs, labels))
+    assert quality.bucket_ratios(many, quality.trusted_ids(more)) == quality.bucket_ratios(
+        small_docs, quality.trusted_ids(labels))
+
+
 def test_quality_of_odd_rows(table, spark):
     rows = [(1, None), (2, ""), (None, "a b a b a b"), (3, "x y z " * 20_000), (4, " \n \n"), (4, " \n \n")]
     docs = table(rows)
@@ -150,6 +222,19 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_labels_of_long_or_few_documents_are_learned(table, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 1000)
+    rows = [(1, "the cat and the dog " * 5000, "en")] + [(i, "der Hund und die Katze " * 5, "de") for i in range(3, 40)]
+    rows += [(100 + i, f"wort{chr(97 + i // 26)}{chr(97 + i % 26)} sagt", f"x{i:03}") for i in range(210)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in docs.filter(~langid.held_out()).select("lang").distinct().collect()}
+    model = langid.fit(docs, PIECES)
+    assert set(model.languages) == learned and "en" in learned and len(learned) > 120
+    asked = table([(1, "the dog and the cat"), (2, "die Katze und der Hund")], name="asked")
+    got = {r.row.doc_id: r.lang_pred for r in langid.identify(asked, model, carry=["doc_id"]).collect()}
+    assert got == {1: "en", 2: "de"}
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
     import pyarrow as pa

@@ -11,7 +11,8 @@ with a CRC-32 in base 62 at their end), `jwt` (header that decodes to JSON) and
 Positions are code points, the end is exclusive, and an `assign` span runs from the keyword to the end of the value.
 
 Cases: a null or empty text has no spans and the digest of the empty string; a null id is carried; repeated rows give
-repeated rows; an empty table gives an empty result; other columns are not read.
+repeated rows; an empty table gives an empty result; other columns are not read. Whole texts are scanned, in time linear
+in their length: no run of characters is tried again from a later hit inside it.
 """
 
 from __future__ import annotations
@@ -47,9 +48,11 @@ ANCHORED = {
                          , re.ASCII),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "checked": re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 }
+#: What a failed try rules out for later hits: a run of a web token's first part ends where it ends, wherever it begins.
+RULED_OUT = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]*+")}
 HEX = re.compile(r"[0-9a-f]{32,}")
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -104,12 +107,17 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
         starts.setdefault(kind, []).append(last - length + 1)
     spans = [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     for kind, places in starts.items():
-        free, match, accept = 0, ANCHORED[kind].match, ACCEPT[kind]
+        free, match, accept, failed = 0, ANCHORED[kind].match, ACCEPT[kind], RULED_OUT.get(kind)
         for start in sorted(places):
-            if start >= free and (m := match(text, start)):
-                free = m.end()  # a failing match also takes its characters
-                if accept(m):
-                    spans.append((start, kind, m.end()))
+            if start < free:
+                continue
+            m = match(text, start)
+            if m and accept(m):
+                spans.append((start, kind, m.end()))
+            elif failed:
+                m = failed.match(text, start)
+            if m:  # a failing match also takes its characters, or those that it rules out
+                free = m.end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
