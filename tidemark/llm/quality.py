@@ -4,7 +4,8 @@ Tokens are runs of letters, digits and underscores, or runs of other characters
 each pair of neighbouring tokens is hashed to one of `BUCKETS` buckets. Two multinomials over the buckets are counted:
 the raw one over every document, the target one over the trusted documents. A document's score is the mean of
 log(target / raw) over its n-grams; it is kept if it passes the base rules and its score reaches `THRESHOLD`. The target
-is smoothed by `PRIOR` raw counts, so that a bucket the target has hardly seen says little. Ratios are rounded to
+is smoothed by the raw distribution with `PRIOR` times the weight of its own counts, a share, so that a bucket the target
+has hardly seen says little and scores mean the same in small and large tables. Ratios are rounded to
 thousandths and summed as integers, so the verdict is the same in every run.
 
 The trusted documents are fitted on at most `TRUSTED_ROWS` labelled ids, those with the smallest hash; this is the only
@@ -16,7 +17,7 @@ the work per text is n log n.
 
 Cases: a null or empty text has no words, all counts 0 and score 0, and fails; a null id is carried; repeated rows give
 repeated rows; with no trusted document every ratio is 0; an empty table gives an empty result. Only id and text are
-read, so extra columns cannot clash.
+read, so extra columns cannot clash; whole texts count, whatever their length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import once, whole_text
 
-BUCKETS, PRIOR, TRUSTED_ROWS = 1 << 14, 1 << 16, 20_000
+BUCKETS, PRIOR, TRUSTED_ROWS = 1 << 14, 0.3, 20_000
 
 #: Mean log ratio below which a document fails.
 THRESHOLD = -0.25
@@ -62,10 +63,10 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         F.broadcast(ids), "id", "left").select("good", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target")).collect()
     raw, target = sum(r.raw for r in counted), sum(r.target for r in counted)
-    ratios = [0] * BUCKETS
+    ratios, prior = [0] * BUCKETS, PRIOR * target
     for r in counted if target else ():
         p = r.raw / raw
-        ratios[r.bucket] = round(1000 * math.log((r.target + PRIOR * p) / ((target + PRIOR) * p)))
+        ratios[r.bucket] = round(1000 * math.log((r.target + prior * p) / ((target + prior) * p)))
     return ratios
 
 
