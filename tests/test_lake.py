@@ -12,7 +12,7 @@ from tidemark.operators import dq, gold, landing, latest, recon, silver
 from tidemark.plans import daily
 from tidemark.plans.selftest import run_selftest, selftest_results
 from tidemark.session import scratch_path, scratch_root
-from tidemark.sinks import tables
+from tidemark.sinks import snapshots, tables
 from tidemark.sinks.objects import land_objects, manifests
 from tidemark.sources.bronze import bronze_scan, jsonl_scan, object_scan
 from tidemark.sources.lake import lake_table, transcript_lines
@@ -277,3 +277,47 @@ def test_calendar_rows(spark):
 
     got = gold.dim_dates(date_rows(spark, "2026-12-30", "2027-01-02")).collect()
     assert [(r.date_key, r.day_of_week) for r in got] == [(20261230, 3), (20261231, 4), (20270101, 5), (20270102, 6)]
+
+
+def test_located_rows_explain_every_difference(spark):
+    source = [("a", 1, "CAD"), ("b", 2, "CAD"), ("c", 3, "SGD"), ("d", None, None), (None, 5, "CAD"), ("e", 6, "CAD"),
+              ("e", 6, "CAD"), ("f", 7, "CNY")]
+    gold_ = [("a", 1, "CAD"), ("b", 2, "SGD"), ("d", None, None), (None, 4, "CAD"), ("e", 6, "CAD"), ("g", 8, "CNY"),
+             ("f", 7, "CNY"), ("f", 7, "CNY")]
+    frames = [spark.createDataFrame(rows, "order_id string, minor long, currency string") for rows in (source, gold_)]
+    for buckets in (1, 4096):
+        found = recon.locate(*frames, ("order_id",), ("minor", "currency"), buckets).collect()
+        assert {tuple(r) for r in found} == {
+            ("b", "CHANGED", 1, 1), ("c", "LOST", 1, 0), (None, "CHANGED", 1, 1), ("e", "LOST", 1, 0),
+            ("g", "INVENTED", 0, 1), ("f", "INVENTED", 0, 1)}
+    assert recon.locate(frames[0], frames[0], ("order_id",), ("minor", "currency")).count() == 0
+    empty = frames[0].where("false")
+    assert recon.locate(frames[0], empty, ("order_id",), ("minor", "currency")).count() == 7
+    assert recon.locate(empty, empty, ("order_id",), ("minor", "currency")).count() == 0
+
+
+def test_only_differing_buckets_are_listed(spark):
+    source = spark.range(20_000).selectExpr("id AS k", "id * 3 AS minor", "'CAD' AS currency")
+    changed = source.withColumn("minor", F.expr("minor + int(k IN (7, 11))"))
+    wrong = recon.bucket_checksums(source, changed, ("k",), ("minor", "currency")).collect()
+    assert 1 <= len(wrong) <= 2 and sum(r.source_rows for r in wrong) < 60
+
+
+def test_snapshots_do_not_change(spark, tmp_path):
+    root, at = str(tmp_path / "landing"), dt.datetime(2026, 9, 12)
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "v long")
+    hour = dt.timedelta(hours=1)
+    assert snapshots.commit_batch(rows(1, 2), root, "a", 0, at)
+    assert snapshots.commit_batch(rows(3), root, "b", 0, at + hour)
+    assert snapshots.commit_batch(rows().limit(0), root, "b", 1, at + hour)
+    assert not snapshots.commit_batch(rows(1, 2, 9), root, "a", 0, at + 2 * hour)
+    rows(8).write.parquet(f"{root}/data/stream=a/batch_id=1")  # an attempt that ended before its log entry
+    values = lambda df: sorted(r.v for r in df.collect())
+    assert values(snapshots.as_of(spark, root, at)) == [1, 2]
+    assert values(snapshots.as_of(spark, root, at + 3 * hour)) == [1, 2, 3]
+    assert values(snapshots.between(spark, root, at, at + hour)) == [3]
+    assert values(snapshots.between(spark, root, at + hour, at + 2 * hour)) == []
+    assert snapshots.commit_batch(rows(7), root, "a", 1, at + 2 * hour)
+    assert values(snapshots.between(spark, root, at + hour, at + 2 * hour)) == [7]
+    grown = snapshots.growth(spark, root, at, at + 2 * hour, (), F.col("v") > 5).first()
+    assert tuple(grown) == (2, 4, 2, 1)

@@ -1,11 +1,13 @@
+import collections
 import datetime as dt
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, ingest, orders, transcripts
+from tidemark.operators import asof, events, ingest, orders, transcripts
 from tidemark.streaming.jobs import IdleHeartbeat
 
 
@@ -176,3 +178,35 @@ def test_heartbeat_grows_and_is_silent_before_the_first_record():
     for now[0] in (9_000, 20_000, 39_000, 70_000):
         beat.onQueryIdle(None)
     assert sent == [8, 38, 69]
+
+
+def test_as_of_join_equals_brute_force(spark):
+    rng = random.Random(7)
+    keys = ["hot"] * 6 + ["b", "c", "d", None]
+    facts = [(rng.choice(keys), rng.choice([None, *range(60)] * 3), i % 400) for i in range(1500)]
+    facts += [("hot", 30, 1)] * 200
+    starts = {k: sorted(rng.sample(range(60), 6)) for k in ("hot", "b", "c")}
+    versions = []
+    for k, since in starts.items():
+        for i, (a, b) in enumerate(zip(since, [*since[1:], None])):
+            gap = b is not None and i % 2 == 0
+            versions.append((k, None if i == 0 and k == "b" else a, b - 1 if gap else b, f"{k}{i}"))
+    versions.append((None, 0, None, "of no key"))
+
+    def plain(k, at):
+        held = [v for v in versions if k is not None and at is not None and v[0] == k and (v[1] is None or v[1] <= at)]
+        last = max(held, key=lambda v: -1 if v[1] is None else v[1], default=None)
+        return last[3] if last and (last[2] is None or at < last[2]) else None
+
+    found = asof.as_of_join(
+        spark.createDataFrame(facts, "k string, at long, x long").repartition(5),
+        spark.createDataFrame(versions, "k string, since long, until long, name string"), ("k",), "at", "since", "until")
+    got = collections.Counter((r.k, r.at, r.x, r.version.name if r.version else None) for r in found.collect())
+    assert got == collections.Counter((k, at, x, plain(k, at)) for k, at, x in facts)
+
+
+def test_as_of_join_without_rows(spark):
+    facts = spark.createDataFrame([("a", 1)], "k string, at long")
+    versions = spark.createDataFrame([("a", 1, None)], "k string, since long, until long")
+    assert [r.version for r in asof.as_of_join(facts, versions.where("false"), ("k",), "at", "since", "until").collect()] == [None]
+    assert asof.as_of_join(facts.where("false"), versions, ("k",), "at", "since", "until").count() == 0

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Lake
-from tidemark.operators import alerts, audit, freshness, gold, landing
+from tidemark.operators import alerts, audit, events, freshness, gold, landing
 from tidemark.plans import daily
 from tidemark.queries import lake as lq
 from tidemark.queries import logs as lg
 from tidemark.queries import orders as oq
 from tidemark.queries import sql as q
 from tidemark.queries.registry import ORACLES, query
-from tidemark.session import scratch_path
-from tidemark.sinks import store, tables
+from tidemark.session import scratch_path, written
+from tidemark.sinks import snapshots, store, tables
 from tidemark.sinks.objects import land_objects, object_counts
 from tidemark.sources.adapters import REPLAY_DATE, REPLAY_DT, Tables
 from tidemark.sources.bronze import bronze_scan, object_scan
@@ -109,6 +109,90 @@ def pipeline_postconditions(t: Tables) -> DataFrame:
     return daily.postconditions(orders, lines, object_scan(t.spark, lake.bronze), report)
 
 
+# ------------------------------------------------------------------------ reconciliation of tampered gold
+
+_TAMPERED = """
+tampered AS (
+  SELECT order_id, total_amount_minor + CASE WHEN o_orderkey % 71 = 1 THEN 1 ELSE 0 END AS total_amount_minor,
+         CASE WHEN o_orderkey % 73 = 2 THEN 'XXX' ELSE currency END AS currency
+  FROM oms_orders, range(0, 2) twice(k) WHERE o_orderkey % 70 <> 0 AND (k = 0 OR o_orderkey % 79 = 3)
+  UNION ALL SELECT 'ghost-' || order_id, total_amount_minor, currency FROM oms_orders WHERE o_orderkey % 83 = 4),
+tampered_lines AS (
+  SELECT order_id, line_no, currency, line_total_minor + CASE WHEN line_no = 1 AND quantity % 13 = 4 THEN 7 ELSE 0 END
+         AS line_total_minor
+  FROM silver_lines SEMI JOIN oms_orders USING (order_id) WHERE NOT (line_no = 2 AND quantity % 11 = 5))"""
+
+
+def tampered_gold(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Facts from which orders and lines were lost, changed, stored twice or invented."""
+    orders, lines = source_system(t)
+    key = F.col("kafka_offset")
+    kept = t.oms_orders().where(key % 70 != 0).select(
+        "order_id", (F.col("total_amount_minor") + F.when(key % 71 == 1, 1).otherwise(0)).alias("total_amount_minor"),
+        F.when(key % 73 == 2, "XXX").otherwise(F.col("currency")).alias("currency"),
+        F.explode(F.when(key % 79 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k")).drop("k")
+    ghosts = t.oms_orders().where(key % 83 == 4).select(
+        F.concat(F.lit("ghost-"), "order_id").alias("order_id"), "total_amount_minor", "currency")
+    more = F.when((F.col("line_no") == 1) & (F.col("quantity") % 13 == 4), 7).otherwise(0)
+    left = lines.where(~((F.col("line_no") == 2) & (F.col("quantity") % 11 == 5))).join(
+        orders.select("order_id"), "order_id", "left_semi")
+    return kept.unionByName(ghosts), left.select(
+        "order_id", "line_no", "currency", (F.col("line_total_minor") + more).alias("line_total_minor"))
+
+
+_TAMPERED_SIDES = """
+sides AS (
+  SELECT 'orders' AS entity, currency, 1 AS s, count(*) AS n, sum(total_amount_minor) AS m FROM oms_orders GROUP BY ALL
+  UNION ALL SELECT 'orders', currency, 0, count(*), sum(total_amount_minor) FROM tampered GROUP BY ALL
+  UNION ALL SELECT 'lines', currency, 1, count(*), sum(line_total_minor) FROM silver_lines
+    SEMI JOIN oms_orders USING (order_id) GROUP BY ALL
+  UNION ALL SELECT 'lines', currency, 0, count(*), sum(line_total_minor) FROM tampered_lines GROUP BY ALL)"""
+
+
+@query("recon_only_tampered", q.with_("""
+SELECT entity, currency, CAST(sum(CASE WHEN s = 1 THEN n ELSE 0 END) AS BIGINT) AS source_rows,
+       CAST(sum(CASE WHEN s = 0 THEN n ELSE 0 END) AS BIGINT) AS gold_rows,
+       CAST(sum(CASE WHEN s = 1 THEN m ELSE 0 END) AS BIGINT) AS source_minor,
+       CAST(sum(CASE WHEN s = 0 THEN m ELSE 0 END) AS BIGINT) AS gold_minor,
+       sum(CASE WHEN s = 1 THEN m ELSE 0 END) = sum(CASE WHEN s = 0 THEN m ELSE 0 END) AS match, 2 AS exit_code
+FROM sides GROUP BY entity, currency""", *q.LAKE, q.OMS_ORDERS, _TAMPERED, _TAMPERED_SIDES))
+def recon_only_tampered(t: Tables) -> DataFrame:
+    """The job that compares without rebuilding, on gold that somebody changed: it is red."""
+    lake = Lake(scratch_path(t.spark, "lake"))
+    for name, df in zip(("fact_orders", "fact_order_lines"), tampered_gold(t)):
+        tables.replace_day(df, lake.gold(name), REPLAY_DT)
+    result = daily.recon_only(t.spark, lake, REPLAY_DATE, *source_system(t))
+    return result.per_currency.drop("in_source").withColumn("exit_code", F.lit(result.exit_code))
+
+
+_LOCATED = """
+SELECT 'orders' AS entity, order_id, NULL::INTEGER AS line_no,
+       CASE WHEN g = 0 THEN 'LOST' WHEN s = 0 THEN 'INVENTED' ELSE 'CHANGED' END AS verdict,
+       CAST(s AS BIGINT) AS source_rows, CAST(g AS BIGINT) AS gold_rows
+FROM (SELECT order_id, sum(greatest(d, 0)) AS s, sum(greatest(-d, 0)) AS g FROM (
+        SELECT order_id, total_amount_minor, currency, sum(x) AS d FROM (
+          SELECT order_id, total_amount_minor, currency, 1 AS x FROM oms_orders
+          UNION ALL SELECT order_id, total_amount_minor, currency, -1 FROM tampered) GROUP BY ALL) WHERE d <> 0 GROUP BY 1)
+UNION ALL
+SELECT 'lines', order_id, line_no, CASE WHEN b.order_id IS NULL THEN 'LOST' ELSE 'CHANGED' END,
+       CAST(1 AS BIGINT), CAST(CASE WHEN b.order_id IS NULL THEN 0 ELSE 1 END AS BIGINT)
+FROM (SELECT l.* FROM silver_lines l SEMI JOIN oms_orders USING (order_id)) a LEFT JOIN tampered_lines b
+USING (order_id, line_no) WHERE b.order_id IS NULL OR a.line_total_minor <> b.line_total_minor"""
+
+
+@query("recon_located", q.with_(_LOCATED, *q.LAKE, q.OMS_ORDERS, _TAMPERED))
+def recon_located(t: Tables) -> DataFrame:
+    """The orders and lines that make a comparison red, named."""
+    orders, lines = source_system(t)
+    gold_orders, gold_lines = tampered_gold(t)
+    lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
+    found = [lq.recon.locate(orders, gold_orders, ("order_id",), ("total_amount_minor", "currency")),
+             lq.recon.locate(lines, gold_lines, ("order_id", "line_no"), ("line_total_minor", "currency"))]
+    return found[0].select(F.lit("orders").alias("entity"), "order_id", F.lit(None).cast("int").alias("line_no"),
+                           "verdict", "source_rows", "gold_rows").unionByName(
+        found[1].withColumn("entity", F.lit("lines")))
+
+
 _MIXED = ("SELECT region, tbl AS \"table\", dt, CAST(count(*) AS BIGINT) AS records, true AS counted, CAST(0 AS BIGINT) AS "
           "bad_names, true AS named FROM landed GROUP BY ALL")
 
@@ -177,9 +261,9 @@ def event_store_replay(t: Tables) -> DataFrame:
     """Store half, all and all again, retry, then restart as a new stream at batch 0 with the other half: each once."""
     path = scratch_path(t.spark, "store")
     half = F.pmod(F.xxhash64(F.get_json_object("value", "$.externalOrderRef")), F.lit(2)) == 0
-    events = t.order_events()
-    for stream, batch, rows in (("a", 0, events.where(half)), ("a", 1, events), ("a", 1, events),
-                                ("b", 0, events.where(~half)), ("b", 1, events.where("false"))):
+    messages = t.order_events()
+    for stream, batch, rows in (("a", 0, messages.where(half)), ("a", 1, messages), ("a", 1, messages),
+                                ("b", 0, messages.where(~half)), ("b", 1, messages.where("false"))):
         store.store_batch(rows, path, batch, stream)
     return store_profile(t, path)
 
@@ -202,11 +286,45 @@ def ingest_outcomes(t: Tables) -> DataFrame:
 def stream_ingest_orders(t: Tables) -> DataFrame:
     """Order events as a stream into the event store."""
     path = scratch_path(t.spark, "store")
-    events = StreamTables(t, "lineitem").order_events()
-    jobs.ingest_orders(events, path, scratch_path(t.spark, "checkpoint"), once=True).awaitTermination()
+    messages = StreamTables(t, "lineitem").order_events()
+    jobs.ingest_orders(messages, path, scratch_path(t.spark, "checkpoint"), once=True).awaitTermination()
     return store_profile(t, path)
 
 
+# ------------------------------------------------------------------------------- growth of a topic
+
+#: Commit hours of the batches, in which a fault window lies.
+FAULT_FROM, FAULT_UNTIL = dt.datetime(2026, 9, 12, 1, 0), dt.datetime(2026, 9, 12, 2, 15)
+
+_GROWTH = f"""
+SELECT error_code, CAST(count(*) FILTER (minute_no <= 60) AS BIGINT) AS before, CAST(count(*) AS BIGINT) AS after,
+       CAST(count(*) FILTER (minute_no > 60) AS BIGINT) AS grown,
+       CAST(count(*) FILTER (minute_no > 60 AND ref_out IS NOT NULL AND occurred_at IS NOT NULL) AS BIGINT) AS grown_complete
+FROM (SELECT *, {oq._DLQ_CODE} AS error_code,
+             60 * CASE failed_step WHEN 'pricing' THEN 1 WHEN 'confirm' THEN 2 ELSE 0 END
+             + CASE WHEN region = 'CA' THEN 0 ELSE 30 END AS minute_no FROM dlq)
+WHERE minute_no <= 135 GROUP BY error_code"""
+
+
+@query("dlq_growth", q.with_(_GROWTH, *q.ORDERS, oq.DLQ_SQL))
+def dlq_growth(t: Tables) -> DataFrame:
+    """Dead letters before and after a fault window, and how many of the new ones are complete.
+
+    Two streams commit three batches each, an hour apart; one batch is tried a second time, later, and changes nothing.
+    """
+    root = scratch_path(t.spark, "dead-letters")
+    fields = written(events.dlq_missing(events.dlq_fields(oq.failures(t), oq.TEST_SECRET)), "failures")
+    batch = F.when(F.col("failedStep") == "pricing", 1).when(F.col("failedStep") == "confirm", 2).otherwise(0)
+    start = dt.datetime(2026, 9, 12)
+    for stream, rows, minutes in (("ca", fields.where("region = 'CA'"), 0), ("rest", fields.where("region <> 'CA'"), 30)):
+        for number in (0, 1, 2):
+            snapshots.commit_batch(rows.where(batch == number), root, stream, number,
+                                   start + dt.timedelta(minutes=60 * number + minutes))
+    snapshots.commit_batch(fields, root, "ca", 1, start + dt.timedelta(hours=2))
+    return snapshots.growth(t.spark, root, FAULT_FROM, FAULT_UNTIL, ("errorCode",), F.size("missing") == 0) \
+        .withColumnRenamed("errorCode", "error_code")
+
+
 # ---------------------------------------------------------------------------------------- streams
 
 @query("stream_land_bronze", q.with_(_LANDED, q.EVENT_CHANGES, lg._ROUTED))

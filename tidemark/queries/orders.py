@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import masking, money
 from tidemark.functions.regions import is_known_store, region_of_store
 from tidemark.functions.text import idempotency_key
-from tidemark.operators import claims, events, ingest, latest, orders, sequence, stock
+from tidemark.operators import asof, claims, events, ingest, latest, orders, sequence, stock
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
 from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded, replaced
@@ -591,3 +591,59 @@ fold AS (
   FROM fold f JOIN req r ON r.key = f.key AND r.rn = f.rn + 1)""", recursive=True))
 def idempotent_requests(t: Tables) -> DataFrame:
     return claims.dedupe_requests(t.api_requests()).select("key", "request_id", "status", "original_order_id")
+
+
+# ------------------------------------------------------------------------ directories valid in time
+
+#: Noon of the replayed day, in milliseconds.
+NOON_MS = 1_789_214_400_000
+HOUR_MS = 3_600_000
+
+
+@query("orders_by_store_directory", q.with_(f"""
+SELECT order_id, CASE WHEN store_id LIKE '%-02' THEN ingested_at_ms >= {NOON_MS}
+                      WHEN store_id LIKE '%-01' THEN NOT ingested_at_ms BETWEEN {NOON_MS - 2 * HOUR_MS} AND {NOON_MS - 1}
+                      ELSE true END AS known,
+       CASE WHEN store_id LIKE '%-02' AND ingested_at_ms >= {NOON_MS} THEN 'new'
+            WHEN store_id LIKE '%-01' AND ingested_at_ms >= {NOON_MS} THEN 'reopened'
+            WHEN store_id LIKE '%-02' OR (store_id LIKE '%-01' AND ingested_at_ms >= {NOON_MS - 2 * HOUR_MS}) THEN NULL
+            ELSE 'old' END AS note
+FROM order_rows""", *q.ORDERS))
+def orders_by_store_directory(t: Tables) -> DataFrame:
+    """Whether an order's store was in the directory when the order came.
+
+    Stores that end in 02 open at noon, those in 01 are closed for the two hours before; the others always were there.
+    """
+    rows = t.order_rows().select("order_id", "store_id", "ingested_at_ms")
+    stores = rows.select("store_id").distinct()
+    opens, closes = F.lit(NOON_MS).cast("bigint"), F.lit(NOON_MS - 2 * HOUR_MS).cast("bigint")
+    ever = F.lit(None).cast("bigint")
+    entry = lambda since, until, note: F.struct(
+        since.alias("since"), until.alias("until"), F.lit(note).alias("note"))
+    directory = stores.select("store_id", F.explode(
+        F.when(F.col("store_id").endswith("-02"), F.array(entry(opens, ever, "new")))
+        .when(F.col("store_id").endswith("-01"), F.array(entry(ever, closes, "old"), entry(opens, ever, "reopened")))
+        .otherwise(F.array(entry(ever, ever, "old")))).alias("e")).select("store_id", "e.*")
+    found = asof.as_of_join(rows, directory, ("store_id",), "ingested_at_ms", "since", "until")
+    return found.select("order_id", F.col("version").isNotNull().alias("known"), F.col("version.note").alias("note"))
+
+
+@query("lines_by_price_version", q.with_(f"""
+SELECT currency, CASE WHEN source_ts_ms < {NOON_MS} THEN 'morning' ELSE 'afternoon' END AS list,
+       CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(sum(quantity * unit_price_minor * CASE WHEN source_ts_ms < {NOON_MS} THEN 100 ELSE 103 END) AS BIGINT)
+         AS hundredths
+FROM line_versions GROUP BY ALL""", *q.LINES))
+def lines_by_price_version(t: Tables) -> DataFrame:
+    """Order lines under a price list whose factors change at noon; the three currencies are three hot keys."""
+    lines = t.line_versions().select("currency", "source_ts_ms", "quantity", "unit_price_minor")
+    turn = F.lit(NOON_MS).cast("bigint")
+    ever = F.lit(None).cast("bigint")
+    versions = lines.select("currency").distinct().select("currency", F.explode(F.array(
+        F.struct(ever.alias("since"), turn.alias("until"), F.lit("morning").alias("list"), F.lit(100).alias("percent")),
+        F.struct(turn.alias("since"), ever.alias("until"), F.lit("afternoon").alias("list"), F.lit(103).alias("percent"))
+    )).alias("e")).select("currency", "e.*")
+    found = asof.as_of_join(lines, versions, ("currency",), "source_ts_ms", "since", "until")
+    amount = F.col("quantity").cast("bigint") * F.col("unit_price_minor") * F.col("version.percent")
+    return found.groupBy("currency", F.col("version.list").alias("list")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(amount).alias("hundredths"))

@@ -19,7 +19,8 @@ EVENT_COLUMNS = ("order_id", "external_order_ref", "source_system", "store_id",
 KEY_BUCKETS = 32
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if nothing was written there yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as err:
@@ -30,13 +31,13 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
 
 def stored_events(spark: SparkSession, path: str) -> DataFrame | None:
     """Committed events (an order with its lines per row), or None before the first commit."""
-    return _table(spark, path)
+    return table_or_none(spark, path)
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream that owns a checkpoint: made with the checkpoint, and lost with it."""
     path = f"{checkpoint}/stream_id"
-    known = _table(spark, path)
+    known = table_or_none(spark, path)
     if known is None:
         spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.parquet(path)
         known = spark.read.parquet(path)
@@ -59,7 +60,7 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
     routed = ingest.routed(ingest.parse_events(records)).persist()
     try:
         fresh = ingest.first_events(routed.where("route = 'OK'"))
-        index = _table(spark, f"{path}/keys")
+        index = table_or_none(spark, f"{path}/keys")
         if index is not None:
             # at most KEY_BUCKETS values, which prune the folders of the index
             mine = [r[0] for r in fresh.select(bucket.alias("bucket")).distinct().collect()]
