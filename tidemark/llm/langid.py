@@ -37,6 +37,9 @@ from tidemark.llm.common import whole_text
 TRAIN_DOCS, TRAIN_CHARS = 1000, 1_000_000
 LONGEST, MAX_PIECE, EVIDENCE, ROUNDS = 32, 8, 50, 2
 
+#: Labels up to which the ids of the sample are broadcast.
+SMALL_LABELS = 200
+
 #: Probability of a letter that no piece covers, and the count that every piece has at least.
 UNKNOWN, LEAST = 1e-7, 0.05
 
@@ -181,7 +184,9 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     sample = labelled.select("id", "lang", F.length("text").alias("size")).withColumn(
         "nth", F.row_number().over(first)).filter(F.col("nth") <= TRAIN_DOCS // DRAWS).withColumn(
         "before", before).filter(F.col("before") < TRAIN_CHARS).select("id", "lang").distinct()
-    words = labelled.join(sample, ["id", "lang"]).select(
+    # the sample has at most TRAIN_DOCS rows per label, so few labels prove it small; otherwise both sides shuffle
+    few = labelled.select("lang").distinct().limit(SMALL_LABELS + 1).count() <= SMALL_LABELS
+    words = labelled.join(F.broadcast(sample) if few else sample, ["id", "lang"]).select(
         "lang", F.explode(letters(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def train(table: pa.Table) -> pa.Table:
