@@ -3,13 +3,13 @@
 Texts are sets of hashed shingles of `SHINGLE` words (a shorter text is one shingle). Rows with the same words are one
 node. A node's set is embedded as `TOKENS` min-hash tokens, two of which agree with the probability of the similarity.
 In each of `RUNS` runs a node draws about `DRAWN` of its tokens by a hash that all nodes share, and joins a bucket per
-drawn token. A bucket of at most `BRUTE` nodes is compared by brute force. So is a larger one, all pairs of it, if that
-takes at most `PAIRS` comparisons; else it is first split along the path with more tokens drawn, `DEPTH` levels at most. A
-bucket that keeps `SAME` of its parent is a group of near copies, which no path can split, and is compared in chunks.
-Pairs of a large bucket that meet in several buckets of a level are candidates in the first of them only.
+drawn token. A bucket is compared by brute force, all pairs of it, if that takes at most `PAIRS` comparisons; else it is
+first split along the path with more tokens drawn, `DEPTH` levels at most. A bucket that keeps `SAME` of its parent is a
+group of near copies, which no path can split, and is compared in chunks.
 
-Candidates are verified on the exact sets: in large buckets by blocks, to which a node's set is sent once, however many
-links it has there.
+A pair belongs to the first of all compared buckets that it shares, over all runs and levels, and is a candidate there
+only. Candidates are verified on the exact sets by blocks: up to `BLOCK` nodes on a side of a large bucket, or the
+buckets of up to `BRUTE` nodes among `BLOCK` rows. A node's set is sent once to a block, however many links it has there.
 
 Recall: runs are repeated until a pair at the threshold is missed with at most `MISS`. Such a pair shares a drawn token
 with probability 1 - exp(-DRAWN * 0.8) = 0.80 per run at the first level, which takes `RUNS` = 6. Along a path a shared
@@ -18,8 +18,9 @@ split buckets get more, as many as the deepest level reached asks for (10 after
 the estimate from the tokens, three deviations below the threshold, misses another 0.2 %.
 
 The result has the class of each row (connected links) and its number of links, that is of verified links to other
-texts. All links that meet in a bucket are listed, those within large groups of near copies too, which takes the square of
-a group. The classes are found from a spanning forest of every block.
+texts. Links are not listed: a block returns the number of links of each of its nodes, which add up, as every link belongs
+to one block, and a spanning forest of its links, from which the classes are found. All links are compared, so a large
+group of near copies takes the square of its size in comparisons, but not in rows.
 
 Cases: texts without words have no shingles and link to nothing; a null id is larger than any other; rows that repeat a
 text are copies of one node; rows that repeat an id with other texts are different nodes; an empty table gives an empty
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (Windows, ascii_words, cut, list_lengths, mixed, ragged, with_words,
@@ -136,26 +137,64 @@ def bucket_edges(key: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
 
 
-def smaller_keys(table: pa.Table, lo: int, hi: int) -> np.ndarray:
-    """The lists `smaller` of a bucket as a matrix, filled up with a number that is no key."""
-    lists = table["smaller"].slice(lo, hi - lo).combine_chunks()
-    counts = list_lengths(lists)
-    out = np.full((hi - lo, max(1, int(counts.max(initial=0)))), LAST)
-    out[np.repeat(np.arange(hi - lo), counts), ragged(np.zeros(len(counts), np.int64), counts)] = lists.flatten().to_numpy()
-    return out
+class Before:
+    """The keys of a node's compared buckets before this one, `smaller`, of all rows of a table."""
+
+    def __init__(self, table: pa.Table):
+        self.lists = table["smaller"].combine_chunks() if "smaller" in table.column_names else None
+        if self.lists is not None:
+            self.counts = list_lengths(self.lists)
+            self.starts = np.cumsum(self.counts) - self.counts
+            known, self.ids = np.unique(self.lists.flatten().to_numpy(), return_inverse=True)
+            self.many = len(known)
+            self.codes = np.sort(np.repeat(np.arange(len(self.counts)), self.counts) * self.many + self.ids)
+
+    def first_here(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the rows of each pair meet in no bucket before this one."""
+        if self.lists is None or not self.many or not len(i):
+            return np.ones(len(i), bool)
+        pair = np.repeat(np.arange(len(i)), self.counts[i])
+        codes = j[pair] * self.many + self.ids[ragged(self.starts[i], self.counts[i])]
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.bincount(pair[self.codes[at] == codes], minlength=len(i)) == 0
+
+
+def small_bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of the buckets of at most `BRUTE` nodes, those of buckets that begin in the same `BLOCK` rows together."""
+    tokens, before = np.ascontiguousarray(matrix(table["sketch"].combine_chunks())), Before(table)
+    edges = np.array(bucket_edges(table["key"].to_numpy()))
+    sizes = np.diff(edges)
+    starts = edges[:-1][is_small(table, edges)]
+    sizes = sizes[is_small(table, edges)]
+    cuts = np.flatnonzero(np.diff(starts // BLOCK)) + 1
+    for start, size in zip(np.split(starts, cuts), np.split(sizes, cuts)):
+        rows = ragged(start, size)
+        after = np.repeat(start + size, size) - rows - 1
+        i, j = np.repeat(rows, after), ragged(rows + 1, after)
+        near = agreeing(tokens[j], tokens[i]) >= CANDIDATE
+        i, j = i[near], j[near]
+        first = before.first_here(i, j)
+        if first.any():
+            yield i[first], j[first]
+
+
+def is_small(table: pa.Table, edges: np.ndarray) -> np.ndarray:
+    """Which buckets are whole and of at most `BRUTE` nodes."""
+    small = np.diff(edges) <= BRUTE
+    if "seeker" in table.column_names:
+        small &= table["seeker"].is_null().to_numpy()[edges[:-1]]
+    return small
 
 
 def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of every bucket of a table by their rows; where `seeker` is set, those of seekers with the others.
-
-    With a column `smaller`, the keys of a node before this one, pairs that have one in common are left to that bucket.
-    """
+    """Candidates of every larger bucket of a table by their rows, and, where `seeker` is set, those of seekers with the
+    others of any bucket."""
     key, node = (table[c].to_numpy() for c in ("key", "node"))
-    tokens = np.ascontiguousarray(matrix(table["sketch"].combine_chunks()))
+    tokens, before = np.ascontiguousarray(matrix(table["sketch"].combine_chunks())), Before(table)
     sides = table["seeker"].to_pylist() if "seeker" in table.column_names else [None] * len(key)
-    edges = bucket_edges(key)
-    for lo, hi in zip(edges, edges[1:]):
-        before = smaller_keys(table, lo, hi) if "smaller" in table.column_names else None
+    edges = np.array(bucket_edges(key))
+    larger = ~is_small(table, edges)
+    for lo, hi in zip(edges[:-1][larger].tolist(), edges[1:][larger].tolist()):
         whole = sides[lo] is None
         side = np.array([bool(x) for x in sides[lo:hi]])
         met = None if whole else lo + np.flatnonzero(~side)
@@ -166,29 +205,28 @@ def bucket_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             else:
                 j = met[agreeing(theirs, tokens[i]) >= CANDIDATE]
                 j = j[node[j] != node[i]]
-            if before is not None and len(j):
-                own = before[i - lo][before[i - lo] != LAST]
-                if len(own):
-                    j = j[~np.isin(before[j - lo], own).any(axis=1)]
+            j = j[before.first_here(np.full(len(j), i), j)]
             if len(j):
                 yield np.full(len(j), i), j
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_buckets(batches):
-        node = table["node"].to_numpy()
-        found = [(node[i], node[j]) for i, j in bucket_pairs(table)] or [(np.zeros(0, np.int64),) * 2]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], schema=PAIR)
+def block_rows(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A block of candidates: its key, every node and its partners (none if it is one of others only)."""
+    first, count = np.unique(a, return_counts=True)
+    alone = np.setdiff1d(b, first)
+    sizes = np.concatenate([count, np.zeros(len(alone), np.int64)])
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.repeat(mixed(block).view(np.int64), len(sizes))), pa.array(np.concatenate([first, alone])),
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
+                                 pa.array(b[np.argsort(a, kind="stable")]))], ["key", "node", "others"])
 
 
 def partners_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of large buckets by blocks of at most 2 x `BLOCK` nodes: block, node and its partners (none if it is
-    one of others only)."""
+    """Candidates of buckets by blocks: a large bucket gives blocks of at most 2 x `BLOCK` nodes, small ones share one."""
     for table in whole_buckets(batches):
         key, node = table["key"].to_numpy(), table["node"].to_numpy()
+        for i, j in small_bucket_pairs(table):
+            yield block_rows(key[i[:1]].view(np.uint64), node[i], node[j])
         edges = np.array(bucket_edges(key))
         for of, pairs in itertools.groupby(bucket_pairs(table), lambda p: np.searchsorted(edges, p[0][0], side="right")):
             i, j = (np.concatenate(side) for side in zip(*pairs))
@@ -198,19 +236,12 @@ def partners_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             i, j, place = i[order], j[order], place[order]
             cuts = bucket_edges(place)
             for lo, hi in zip(cuts, cuts[1:]):
-                first, count = np.unique(i[lo:hi], return_counts=True)
-                alone = np.setdiff1d(j[lo:hi], first)
-                sizes = np.concatenate([count, np.zeros(len(alone), np.int64)])
-                by = np.argsort(i[lo:hi], kind="stable")
-                block = mixed(np.array([key[start]], np.int64).view(np.uint64) + np.uint64(place[lo] + 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(block, len(sizes))), pa.array(node[np.concatenate([first, alone])]),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
-                                             pa.array(node[j[lo:hi][by]]))], ["key", "node", "others"])
+                yield block_rows(key[start:start + 1].view(np.uint64) + np.uint64(place[lo] + 1), node[i[lo:hi]],
+                                 node[j[lo:hi]])
 
 
 def links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among the candidates of blocks; those of a spanning forest of the block's links are marked as `tree`."""
+    """Links among the candidates of blocks: the number of every linked node, and a spanning forest with `near`."""
     for table in whole_buckets(batches):
         edges = bucket_edges(table["key"].to_numpy())
         for lo, hi in zip(edges, edges[1:]):
@@ -226,7 +257,7 @@ def block_links(block: pa.Table) -> pa.RecordBatch:
     order = np.argsort(node)
     partner = order[np.searchsorted(node[order], others.flatten().to_numpy())]
     seen, label = np.zeros(len(known), bool), np.arange(len(node))
-    a, b, tree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    links, a, b = np.zeros(len(node), np.int64), [], []
     for i, lo, hi in zip(range(len(node)), [0, *ends], ends):
         for s in range(lo, hi, 256):
             j = partner[s:min(hi, s + 256)]
@@ -240,10 +271,16 @@ def block_links(block: pa.Table) -> pa.RecordBatch:
             fresh[at[reached != label[i]]] = True
             if fresh.any():
                 label[np.isin(label, reached)] = label[i]
-            a.append(np.full(len(j), node[i]))
-            b.append(node[j])
-            tree.append(fresh)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, tree)], ["a", "b", "tree"])
+                a.append(np.full(int(fresh.sum()), node[i]))
+                b.append(node[j[fresh]])
+            links[i] += len(j)
+            np.add.at(links, j, 1)
+    linked = np.flatnonzero(links)
+    edges = np.concatenate(b) if b else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([node[linked], *a])),
+        pa.array(np.concatenate([links[linked], np.zeros(len(edges), np.int64)])),
+        pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(edges)])], ["node", "links", "near"])
 
 
 def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +324,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
         F.min("sketch").alias("sketch")), "jaccard-nodes")
 
 
-PATH_TYPE, PAIR_TYPE = "key bigint, node bigint", "a bigint, b bigint"
+PATH_TYPE = "key bigint, node bigint"
 
 
 def first_buckets(known: DataFrame, first: int = 0, runs: int = RUNS) -> DataFrame:
@@ -302,75 +339,52 @@ def first_buckets(known: DataFrame, first: int = 0, runs: int = RUNS) -> DataFra
     return stored(known.mapInArrow(paths, PATH_TYPE), "jaccard-paths")
 
 
-def by_size(paths: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored: candidates of the small buckets, and the rows (key, node, n) of the large ones."""
-    sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
-    rows = paths.join(sizes.hint("merge"), "key")
-    pairs = distinct_pairs(compared(rows.filter(F.col("n") <= BRUTE).select("key", "node"), known))
-    return pairs, stored(rows.filter(F.col("n") > BRUTE), "jaccard-large")
-
-
-def compared(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates of buckets of bounded size."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.join(known.hint("merge"), "node").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(
-        pairs_of_buckets, PAIR_TYPE)
-
-
-def distinct_pairs(pairs: DataFrame) -> DataFrame:
-    """Stored: the pairs, each once. `b` has the smaller hash."""
-    swap = F.xxhash64("a") < F.xxhash64("b")
-    return stored(pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
-                               F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")).distinct(), "jaccard-pairs")
-
-
-def nodes_in(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def with_sizes(paths: DataFrame) -> DataFrame:
+    """Stored: the rows of buckets of more than one node, with its size `n`."""
+    sizes = paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return stored(paths.join(sizes.hint("merge"), "key"), "jaccard-buckets")
 
 
 def all_links(docs: DataFrame, nodes: DataFrame, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """Stored: distinct verified links (a, b, tree). The links with `tree` connect what all links connect."""
+    """Stored: rows (node, links, near) whose `links` add up to a node's number of verified links; rows with `near` are
+    links that connect what all links connect."""
     known = nodes.select("node", "sketch")
-    small, blocks, done, runs, who = [], [], 0, RUNS, known
+    blocks = stored(partners(compared_buckets(known, depth), known), "jaccard-blocks")
+    needed = nodes.select("node", "digest").join(blocks.select("node").distinct(), "node", "left_semi")
+    return verified_blocks(blocks, exact_sets(docs, text_col, stored(needed, "jaccard-needed")))
+
+
+def compared_buckets(known: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The nodes (key, node, n) of the buckets to compare, of all runs and levels."""
+    met, done, runs, who = [], 0, RUNS, known
     while done < runs:
-        pairs, large = by_size(first_buckets(who, done, runs), who)
-        found, split, level = large_candidates(large, who, depth)
-        small.append(pairs)
-        blocks += found
+        rows, split, level = split_buckets(first_buckets(who, done, runs), who, depth)
+        met += rows
         done, runs = runs, max(runs, runs_for(level))
         if done < runs:
             # nodes split in every round so far: a pair that was compared in no bucket shares only split ones
             who = stored(who.join(split.hint("merge"), "node", "left_semi"), "jaccard-again")
-    pairs = functools.reduce(DataFrame.union, small).distinct()
-    needed = functools.reduce(DataFrame.union, [nodes_in(pairs), *(b.select("node") for b in blocks)]).distinct()
-    sets = exact_sets(docs, text_col, stored(nodes.select("node", "digest").join(needed, "node", "left_semi"),
-                                             "jaccard-needed"))
-    links = functools.reduce(DataFrame.unionByName, (verified_blocks(b, sets) for b in blocks),
-                             verified(pairs, sets).withColumn("tree", F.lit(True)))
-    return stored(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.max("tree").alias("tree")), "jaccard-links")
+    return functools.reduce(DataFrame.union, met)
 
 
-def large_candidates(rows: DataFrame, known: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Stored, per level: the candidates of large buckets (key, node, n) by blocks (key, node, others). With them the nodes
-    of buckets that were split at the first level, and the deepest level reached.
+def split_buckets(paths: DataFrame, known: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Per level: the nodes (key, node, n) of buckets to compare. With them the nodes of buckets that were split at the
+    first level, and the deepest level reached.
 
     A bucket of at most `PAIRS` comparisons is compared, as is one that its path does not split; the others go on.
     """
-    blocks, split, rows = [], None, rows.withColumn("was", F.lit(None).cast("bigint"))
+    met, split, rows = [], None, with_sizes(paths.withColumn("was", F.lit(None).cast("bigint")))
     for level in range(depth):
         now = F.coalesce(few_pairs() | (F.col("n") >= F.col("was") * SAME), F.lit(False)) | F.lit(level == depth - 1)
-        blocks.append(stored(partners(rows.filter(now), known), "jaccard-blocks"))
+        met.append(rows.filter(now).select("key", "node", "n"))
         on = rows.filter(~now)
         if not on.head(1):
             break
         if split is None:
             split = stored(on.select("node").distinct(), "jaccard-split")
-        paths = stored(on.join(known.hint("merge"), "node").mapInArrow(
-            next_paths, PATH_TYPE + ", was bigint"), "jaccard-paths")
-        sizes = stored(paths.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "jaccard-sizes")
-        rows = stored(paths.join(sizes.hint("merge"), "key").select("key", "node", "n", "was"), "jaccard-large")
-    return blocks, split, level
+        rows = with_sizes(stored(on.join(known.hint("merge"), "node").mapInArrow(
+            next_paths, PATH_TYPE + ", was bigint"), "jaccard-paths"))
+    return met, split, level
 
 
 def few_pairs() -> Column:
@@ -378,7 +392,10 @@ def few_pairs() -> Column:
 
 
 def partners(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates by blocks of buckets (key, node, n) in which all nodes meet; huge ones in pairs of chunks."""
+    """Candidates by blocks of buckets (key, node, n) in which all nodes meet; huge ones in pairs of chunks.
+
+    A row carries the keys of its node's buckets before this one, so that a pair is a candidate in one bucket only.
+    """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("met")).join(
         known.hint("merge"), "node")
@@ -396,10 +413,10 @@ def partners(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def verified_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored: the links (a, b, tree) among the candidates of blocks."""
+    """Stored: the links among the candidates of blocks, as numbers per node and block and as forests."""
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return stored(blocks.join(sets.hint("merge"), "node").repartition(tasks, "key").sortWithinPartitions(
-        "key").mapInArrow(links_of_blocks, "a bigint, b bigint, tree boolean"), "jaccard-links")
+        "key").mapInArrow(links_of_blocks, "node bigint, links bigint, near bigint"), "jaccard-links")
 
 
 def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
@@ -435,15 +452,6 @@ def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
         to_sets, "node bigint, shingles array<bigint>"), "jaccard-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored: the pairs whose exact similarity reaches the threshold."""
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("shingles").alias(f"set_{n}")).hint("merge")
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = once(both, common=F.size(F.array_intersect("set_a", "set_b")))
-    union = F.size("set_a") + F.size("set_b") - F.col("common")
-    return stored(met.filter(F.col("common") * DENOMINATOR >= union * NUMERATOR).select("a", "b"), "jaccard-links")
-
-
 def components(links: DataFrame, order: DataFrame) -> DataFrame:
     """Stored: node, label (the least `order` struct of its component). `order` has (node, label) of every node."""
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))),
@@ -473,8 +481,8 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     nodes = nodes_of(rows)
     links = all_links(docs, nodes, text_col)
     order = nodes.select("node", F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node").alias("label"))
-    labels = components(links.filter("tree"), order)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    labels = components(links.filter("near IS NOT NULL").select(F.col("node").alias("a"), F.col("near").alias("b")), order)
+    degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     own = F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "node")
     classes = nodes.select("node", "digest", "first", "copies").join(labels, "node", "left").join(
         degree, "node", "left").select(
