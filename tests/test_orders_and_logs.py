@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, events, ingest, orders, transcripts
+from tidemark.sinks import store
 from tidemark.streaming.jobs import IdleHeartbeat
 
 
@@ -25,6 +26,34 @@ def parsed(spark, *values):
         rows, "topic string, partition int, offset bigint, timestamp timestamp, value string"))
 
 
+def stored_refs(spark, path):
+    return sorted(r.external_order_ref for r in store.stored_events(spark, f"{path}/events").collect())
+
+
+def messages_of(spark, *refs):
+    rows = [("t", 0, i, dt.datetime(2026, 1, 1), event(externalOrderRef=ref)) for i, ref in enumerate(refs)]
+    return spark.createDataFrame(rows, "topic string, partition int, offset bigint, timestamp timestamp, value string")
+
+
+def test_retried_batch_leaves_no_stale_keys(spark, tmp_path):
+    path = str(tmp_path / "store")
+    many = [f"W-{i}" for i in range(40)]
+    store.store_batch(messages_of(spark, *many), path, 0, "a")
+    store.store_batch(messages_of(spark, "W-0"), path, 0, "a")
+    assert stored_refs(spark, path) == ["W-0"]
+    # what the first attempt had stored is no longer known, so it is no replay
+    store.store_batch(messages_of(spark, *many), path, 1, "a")
+    assert stored_refs(spark, path) == sorted(many)
+
+
+def test_batch_without_keys_is_followed_by_others(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.store_batch(messages_of(spark), path, 0, "a")
+    store.store_batch(messages_of(spark, "W-1", "W-1"), path, 1, "a")
+    store.store_batch(messages_of(spark, "W-1", "W-2"), path, 0, "b")
+    assert stored_refs(spark, path) == ["W-1", "W-2"]
+
+
 OFFERS = [{"skuId": "S", "amountMinor": 5, "currency": "CAD"}, {"skuId": "S", "amountMinor": 7, "currency": "SGD"}]
 
 

@@ -18,11 +18,14 @@ EVENT_COLUMNS = ("order_id", "external_order_ref", "source_system", "store_id",
 #: Buckets of the key index; a batch reads those of its own keys.
 KEY_BUCKETS = 32
 
+#: Columns of the key index, stated because a batch without keys leaves a folder without files.
+KEY_INDEX = "source_system string, external_order_ref string, stream string, batch_id string, bucket string"
 
-def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+
+def table_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """A Parquet table, or None if nothing was written there yet."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as err:
         if err.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -60,7 +63,7 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
     routed = ingest.routed(ingest.parse_events(records)).persist()
     try:
         fresh = ingest.first_events(routed.where("route = 'OK'"))
-        index = table_or_none(spark, f"{path}/keys")
+        index = table_or_none(spark, f"{path}/keys", KEY_INDEX)
         if index is not None:
             # at most KEY_BUCKETS values, which prune the folders of the index
             mine = [r[0] for r in fresh.select(bucket.alias("bucket")).distinct().collect()]
@@ -83,13 +86,9 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
 
 
 def _commit(df: DataFrame, path: str, stream: str, batch_id: int, *parts: str) -> None:
-    """Replace the partition of one batch of one stream; an empty result replaces it too."""
-    if parts:  # the index: its buckets come first, so a batch prunes by them
-        df.repartition(*parts).withColumns({"stream": F.lit(stream), "batch_id": F.lit(str(batch_id))}).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy(*parts, "stream", "batch_id").parquet(path)
-    else:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{path}/stream={stream}/batch_id={batch_id}")
+    """Replace the folder of one batch of one stream, split by `parts`; an empty result replaces it too."""
+    (df.repartition(*parts) if parts else df).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").partitionBy(*parts).parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
 
 def oms_order(spark: SparkSession, path: str) -> DataFrame:
