@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import io
 import random
 import struct
@@ -171,6 +172,21 @@ def test_seeker_keeps_all_its_candidates():
     assert sum(len(b) for _, b in jaccard.bucket_pairs(table)) == 10
 
 
+def test_pair_is_a_candidate_in_its_first_bucket_only(monkeypatch):
+    """Five equal sketches in three buckets, packed as small buckets or compared as large ones."""
+    member = {1: [10, 11, 12, 13], 2: [10, 11, 14], 3: [10, 12, 13, 14]}
+    rows = [(key, node, [k for k in member if k < key and node in member[k]]) for key in member for node in member[key]]
+    table = pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.int64()),
+                      "smaller": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                      "sketch": pa.array([np.arange(64, dtype=np.uint32).tobytes()] * len(rows), pa.binary())})
+    want = sorted({pair for nodes in member.values() for pair in itertools.combinations(nodes, 2)})
+    for brute in (128, 1):
+        monkeypatch.setattr(jaccard, "BRUTE", brute)
+        got = [(r["node"], other) for batch in jaccard.partners_of_buckets(iter(table.to_batches()))
+               for r in batch.to_pylist() for other in r["others"]]
+        assert sorted(got) == want
+
+
 def near_copies(pool, base, count, mark, changes=1):
     out = []
     for i in range(count):
