@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.operators import asof, events, ingest, orders, transcripts
 from tidemark.sinks import store
 from tidemark.streaming.jobs import IdleHeartbeat
@@ -54,6 +55,18 @@ def test_batch_without_keys_is_followed_by_others(spark, tmp_path):
     assert stored_refs(spark, path) == ["W-1", "W-2"]
 
 
+def test_a_batch_is_parsed_to_disk_and_its_scratch_is_emptied(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a batch is kept in memory")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", refuse)
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path / "scratch"))
+    store.store_batch(messages_of(spark, "W-1", "W-1", "W-2"), str(tmp_path / "store"), 0, "a")
+    assert stored_refs(spark, str(tmp_path / "store")) == ["W-1", "W-2"]
+    left = list((tmp_path / "scratch").glob("routed-*"))
+    assert len(left) == 1 and spark.read.parquet(str(left[0])).count() == 0
+
+
 OFFERS = [{"skuId": "S", "amountMinor": 5, "currency": "CAD"}, {"skuId": "S", "amountMinor": 7, "currency": "SGD"}]
 
 

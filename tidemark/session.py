@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,3 +76,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def written_for(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As `written`, on disk only and as small as it gets, for the time of a block: its space is given back at the end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        spark.createDataFrame([], df.schema).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
+from tidemark.session import written_for
 
 EVENT_COLUMNS = ("order_id", "external_order_ref", "source_system", "store_id", "region", "customer_ref", "channel",
                  "status", "reservation_id", "total_amount_minor", "currency", "correlation_id", "topic", "partition",
@@ -53,22 +54,22 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
     The unit of commit is one row per order with its lines nested, so both appear together. Batches are
     kept by stream and number: a batch that is retried replaces its own partition and ignores its own
     earlier attempt, and a stream with a new checkpoint, which counts from 0 again, touches no other's.
-    The keys of the store are an index in hash buckets, of which only those of the batch are read.
+    The keys of the store are an index in hash buckets, of which only those of the batch are read. Messages are parsed
+    once, into a scratch table that is emptied when the batch is committed, so that no batch has to fit into memory.
     Outcomes count STORED and REPLAY messages besides POISON and TOMBSTONE.
     """
     spark = records.sparkSession
     own = (F.col("stream") == stream) & (F.col("batch_id") == str(batch_id))
     keys = list(ingest.BUSINESS_KEY)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("string")
-    routed = ingest.routed(ingest.parse_events(records)).persist()
-    try:
-        fresh = ingest.first_events(routed.where("route = 'OK'"))
+    with written_for(ingest.routed(ingest.parse_events(records)), "routed") as routed:
+        good = routed.where("route = 'OK'")
+        fresh = ingest.first_events(good)
         index = table_or_none(spark, f"{path}/keys", KEY_INDEX)
         if index is not None:
             # at most KEY_BUCKETS values, which prune the folders of the index
-            mine = [r[0] for r in fresh.select(bucket.alias("bucket")).distinct().collect()]
-            known = index.where(F.col("bucket").isin(mine) & ~own).select(*keys)
-            fresh = ingest.not_stored(fresh, known.join(fresh.select(*keys), keys, "left_semi"))
+            mine = [r[0] for r in good.select(bucket.alias("bucket")).distinct().collect()]
+            fresh = ingest.not_stored(fresh, index.where(F.col("bucket").isin(mine) & ~own).select(*keys))
         _commit(fresh.select(*EVENT_COLUMNS), f"{path}/events", stream, batch_id)
         events = spark.read.parquet(f"{path}/events").where(own)
         _commit(events.select(*keys, bucket.alias("bucket")), f"{path}/keys", stream, batch_id, "bucket")
@@ -81,8 +82,6 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
             F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(ingest.REPLAY).alias("route"), "n")
         _commit(routes.where("route <> 'OK'").unionByName(stored).unionByName(replays), f"{path}/outcomes", stream,
                 batch_id)
-    finally:
-        routed.unpersist()
 
 
 def _commit(df: DataFrame, path: str, stream: str, batch_id: int, *parts: str) -> None:
