@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import session
 from tidemark.operators import asof, events, ingest, orders, transcripts
+from tidemark.queries import QUERIES
 from tidemark.sinks import store
 from tidemark.streaming.jobs import IdleHeartbeat
 
@@ -67,6 +68,19 @@ def test_a_batch_is_parsed_to_disk_and_its_scratch_is_emptied(spark, tmp_path, m
     assert len(left) == 1 and spark.read.parquet(str(left[0])).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("name", ["event_store_replay", "ingest_outcomes"])
+def test_messages_of_repeated_batches_are_made_once(spark, monkeypatch, name):
+    plans = []
+    keep = store.store_batch
+    monkeypatch.setattr(store, "store_batch", lambda rows, *more: plans.append(plan_of(rows)) or keep(rows, *more))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(plans) >= 2 and not any("to_json" in plan or "structstojson" in plan for plan in plans)
+
+
 OFFERS = [{"skuId": "S", "amountMinor": 5, "currency": "CAD"}, {"skuId": "S", "amountMinor": 7, "currency": "SGD"}]
 
 

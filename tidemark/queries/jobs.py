@@ -261,7 +261,7 @@ def event_store_replay(t: Tables) -> DataFrame:
     """Store half, all and all again, retry, then restart as a new stream at batch 0 with the other half: each once."""
     path = scratch_path(t.spark, "store")
     half = F.pmod(F.xxhash64(F.get_json_object("value", "$.externalOrderRef")), F.lit(2)) == 0
-    messages = t.order_events()
+    messages = written(t.order_events(), "messages")
     for stream, batch, rows in (("a", 0, messages.where(half)), ("a", 1, messages), ("a", 1, messages),
                                 ("b", 0, messages.where(~half)), ("b", 1, messages.where("false"))):
         store.store_batch(rows, path, batch, stream)
@@ -275,9 +275,9 @@ SELECT pass, outcome, CAST(sum(n) AS BIGINT) AS n FROM (
 GROUP BY ALL""", *q.LINES, oq.EVENTS_SQL, oq.OUTCOMES_SQL))
 def ingest_outcomes(t: Tables) -> DataFrame:
     """What became of every message when all are stored, and again when a new stream brings them a second time."""
-    path = scratch_path(t.spark, "store")
+    path, messages = scratch_path(t.spark, "store"), written(t.order_events(), "messages")
     for stream in ("first", "second"):
-        store.store_batch(t.order_events(), path, 0, stream)
+        store.store_batch(messages, path, 0, stream)
     return t.spark.read.parquet(f"{path}/outcomes").where("n > 0").groupBy(
         F.col("stream").alias("pass"), F.col("route").alias("outcome")).agg(F.sum("n").alias("n"))
 
