@@ -81,6 +81,11 @@ def test_messages_of_repeated_batches_are_made_once(spark, monkeypatch, name):
     assert len(plans) >= 2 and not any("to_json" in plan or "structstojson" in plan for plan in plans)
 
 
+def test_replay_split_parses_before_it_splits(spark):
+    plan = plan_of(QUERIES["replay_split"](spark, "/root/testdata/sf0.001"))
+    assert "parse_json" not in plan and "parsejson" not in plan
+
+
 OFFERS = [{"skuId": "S", "amountMinor": 5, "currency": "CAD"}, {"skuId": "S", "amountMinor": 7, "currency": "SGD"}]
 
 

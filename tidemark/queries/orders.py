@@ -11,6 +11,7 @@ from tidemark.functions.text import idempotency_key
 from tidemark.operators import asof, claims, events, ingest, latest, orders, sequence, stock
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
+from tidemark.session import written
 from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded, replaced
 from tidemark.sources.lake import price_list
 
@@ -344,10 +345,14 @@ FROM (SELECT o.region, EXISTS (SELECT 1 FROM ok s WHERE s.source_ts_ms < {CUT_MS
                                AND s.ref = o.ref) AS known FROM ok o WHERE o.source_ts_ms >= {CUT_MS}) GROUP BY 1""",
                                *q.LINES, EVENTS_SQL))
 def replay_split(t: Tables) -> DataFrame:
-    """Later events against the store of the earlier ones: replays by semi-join, fresh ones by anti-join."""
-    good = ingest.routed(ingest.parse_events(t.order_events())).where("route = 'OK'")
+    """Later events against the store of the earlier ones: replays by semi-join, fresh ones by anti-join.
+
+    Messages are made and parsed once; times and keys, all that is asked of them, are kept.
+    """
+    good = written(ingest.routed(ingest.parse_events(t.order_events())).where("route = 'OK'").select(
+        "timestamp", *ingest.BUSINESS_KEY), "good-keys")
     cut = F.timestamp_millis(F.lit(CUT_MS))
-    stored = ingest.first_events(good.where(F.col("timestamp") < cut)).select(*ingest.BUSINESS_KEY)
+    stored = good.where(F.col("timestamp") < cut).select(*ingest.BUSINESS_KEY).distinct()
     late = good.where(F.col("timestamp") >= cut).select(*ingest.BUSINESS_KEY)
     tagged = ingest.replays(late, stored).withColumn("known", F.lit(True)).unionByName(
         ingest.not_stored(late, stored).withColumn("known", F.lit(False)))
