@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import pathlib
 import random
 import uuid
 from types import SimpleNamespace
@@ -215,6 +216,22 @@ def test_objects_without_a_manifest_are_not_read(spark):
     assert object_scan(spark, lake.bronze).count() == 3
 
 
+def test_packed_objects_are_small_and_read_as_the_others(spark):
+    rows = [order(f"K{i}") for i in range(400)]
+    plain = lake_of(spark, rows)
+    packed = Lake(scratch_path(spark, "lake"))
+    land_objects(landing.bronze_rows(landing.strict(landing.route(messages(spark, rows))), "a"), packed.bronze, "a",
+                 packed=True)
+    files = [list(pathlib.Path(lake.bronze).rglob("oms.cdc-*")) for lake in (plain, packed)]
+    assert all(f.name.endswith(".jsonl.gz") for f in files[1]) and not any(f.suffix == ".gz" for f in files[0])
+    assert 5 * sum(f.stat().st_size for f in files[1]) < sum(f.stat().st_size for f in files[0])
+    found = object_scan(spark, packed.bronze, "20260912", "oms_order")
+    assert found.count() == 400 and landing.bad_object_keys(found).count() == 0
+    columns = ("topic", "partition", "position", "value", "region", "table", "dt")
+    assert found.select(*columns).exceptAll(object_scan(spark, plain.bronze).select(*columns)).count() == 0
+    assert sum(r.records for r in manifests(spark, packed.bronze).collect()) == 400
+
+
 def test_objects_are_bounded(spark, monkeypatch):
     from tidemark.sinks import objects
 
