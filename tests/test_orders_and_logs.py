@@ -133,6 +133,24 @@ def test_messages_are_parsed_once(spark):
         assert "from_json" not in plan and "get_json_object" not in plan
 
 
+def test_fields_that_are_not_asked_for_are_not_read(spark):
+    routed = ingest.routed(parsed(spark, "{}")).groupBy("route", "reason").count()
+    plan = routed._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.externalOrderRef" in plan
+    assert not [f for f in ("storeId", "customerRef", "reservationId", "totalAmount") if f"$.{f}" in plan]
+
+
+def test_texts_that_look_like_objects_are_texts(spark):
+    rows = parsed(
+        spark, json.dumps({"orderId": "{o", "externalOrderRef": "[r]", "audit": {"sourceSystem": '{"a":1}'},
+                           "status": {"a": 1}, "channel": [1], "region": None, "storeId": 5}),
+        json.dumps({"orderId": {"a": 1}, "externalOrderRef": "R", "audit": {"sourceSystem": "W"}}))
+    good = rows.where("reason is null").collect()
+    assert [(r.order_id, r.external_order_ref, r.source_system, r.status, r.channel, r.region, r.store_id)
+            for r in good] == [("{o", "[r]", '{"a":1}', "", "", None, "5")]
+    assert rows.where("reason like '%missing required%'").count() == 1
+
+
 def test_repeated_fields_take_the_last(spark):
     text = event().replace('{"', '{"orderId": "first", "', 1)
     assert parsed(spark, text).first().order_id == json.loads(event())["orderId"]

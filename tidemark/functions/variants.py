@@ -43,10 +43,16 @@ def whole(node: Column, path: str, number: str) -> Column:
     return F.when(named, F.try_variant_get(node, f"$.{path}", number))
 
 
-def text(found: Column) -> Column:
-    """A leaf as text, null for JSON null, empty for objects and arrays."""
-    nested = found["kind"].startswith("OBJECT") | found["kind"].startswith("ARRAY")
-    return F.when(nested, F.lit("")).otherwise(found["text"])
+def text(node: Column, path: str) -> Column:
+    """A field as text, null for JSON null, empty for objects and arrays.
+
+    Its JSON type, which costs more than the text, is only asked for a text that may be an object or an array.
+    """
+    found = F.try_variant_get(node, f"$.{path}", "string")
+    named = kind(field(node, path))
+    nested = named.startswith("OBJECT") | named.startswith("ARRAY")
+    return F.when(F.coalesce(F.substring(found, 1, 1), F.lit("")).isin("{", "["),
+                  F.when(nested, F.lit("")).otherwise(found)).otherwise(found)
 
 
 def items(node: Column, path: str) -> Column:

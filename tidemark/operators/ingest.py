@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import line_total
 from tidemark.functions.text import is_blank
-from tidemark.functions.variants import field, items, leaf, names, once, text, whole
+from tidemark.functions.variants import field, items, names, once, text, whole
 from tidemark.operators.latest import first_per_key
 
 # Routes and outcomes; below, the reasons of the order-event contract.
@@ -17,15 +17,15 @@ ARRIVAL = ("timestamp", "partition", "offset")
 
 
 def _offer(offer: Column) -> Column:
-    return F.struct(text(leaf(offer, "skuId")).alias("sku_id"), whole(offer, "amountMinor", "bigint").alias("amount"),
-                    text(leaf(offer, "currency")).alias("currency"))
+    return F.struct(text(offer, "skuId").alias("sku_id"), whole(offer, "amountMinor", "bigint").alias("amount"),
+                    text(offer, "currency").alias("currency"))
 
 
 def _line(line: Column) -> Column:
     return F.struct(
-        text(leaf(line, "skuId")).alias("sku_id"), whole(line, "quantity", "int").alias("quantity"),
+        text(line, "skuId").alias("sku_id"), whole(line, "quantity", "int").alias("quantity"),
         field(line, "unitPriceMinor").isNotNull().alias("priced"),
-        whole(line, "unitPriceMinor", "bigint").alias("price"), text(leaf(line, "currency")).alias("currency"))
+        whole(line, "unitPriceMinor", "bigint").alias("price"), text(line, "currency").alias("currency"))
 
 
 def _resolved_line(line: Column, offers: Column) -> Column:
@@ -64,15 +64,18 @@ def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     doc = F.col("_doc")
     read = once(parsed, _offers=F.transform(items(doc, "unitPrices"), _offer),
                 _lines=F.transform(items(doc, "lines"), _line))
-    e = lambda path: text(leaf(doc, path))
+    e = lambda path: text(doc, path)
     offers = F.coalesce("_offers", F.array().cast("array<struct<sku_id:string,amount:bigint,currency:string>>"))
     lines = F.transform("_lines", lambda line: _resolved_line(line, offers))
-    staged = once(read, _json=doc.isNotNull(), _object=names(doc).isNotNull(), order_id=e("orderId"),
-                  external_order_ref=e("externalOrderRef"), source_system=e("audit.sourceSystem"), store_id=e("storeId"),
-                  region=e("region"), customer_ref=e("customerRef"), channel=e("channel"), status=e("status"),
-                  reservation_id=e("reservationId"), total_amount_minor=whole(doc, "totalAmount.amountMinor", "bigint"),
-                  currency=e("totalAmount.currency"), correlation_id=e("audit.correlationId"), lines=lines).drop(
-                      "_doc", "_offers", "_lines")
+    keys = once(read, _json=doc.isNotNull(), _object=names(doc).isNotNull(), order_id=e("orderId"),
+                external_order_ref=e("externalOrderRef"), source_system=e("audit.sourceSystem"), lines=lines)
+    # What the reason does not need is a plain projection, so that a query that does not ask for it does not read it.
+    staged = keys.select(
+        *records.columns, "_json", "_object", "order_id", "external_order_ref", "source_system",
+        e("storeId").alias("store_id"), e("region").alias("region"), e("customerRef").alias("customer_ref"),
+        e("channel").alias("channel"), e("status").alias("status"), e("reservationId").alias("reservation_id"),
+        whole(doc, "totalAmount.amountMinor", "bigint").alias("total_amount_minor"),
+        e("totalAmount.currency").alias("currency"), e("audit.correlationId").alias("correlation_id"), "lines")
     line_reasons = F.filter(F.transform("lines", _line_reason), lambda r: r.isNotNull())
     reason = (
         F.when(F.col(value).isNull(), F.lit(None).cast("string"))
