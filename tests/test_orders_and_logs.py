@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark import session
 from tidemark.operators import asof, events, ingest, orders, transcripts
 from tidemark.queries import QUERIES
+from tidemark.queries.orders import canonical_requests
 from tidemark.sinks import store
+from tidemark.sources.adapters import Tables
 from tidemark.streaming.jobs import IdleHeartbeat
 
 
@@ -200,6 +202,28 @@ def test_canonical_errors(spark, value, errors):
     assert orders.canonical_errors(df).first().errors == errors
 
 
+def test_canonical_validation_is_compiled_and_reads_no_prices(spark):
+    plan = orders.canonical_errors(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().toString()
+    assert "filter(array(" not in plan and "array_sort(" not in plan  # their lambdas would have all messages interpreted
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    assert not any(f.endswith("/part.parquet") for f in canonical_requests(tables).inputFiles())
+
+
+def test_canonical_errors_of_plain_lines(spark):
+    line = {"skuId": "SKU-0001", "quantity": 1}
+    texts = [canonical(lines=lines) for lines in (
+        [line] * 50, [line, None], [line, {"skuId": "SKU-0001"}], [line, {"skuId": None, "quantity": 1000}],
+        [line, {"skuId": "SKU-1", "quantity": 0}], [line] * 51)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    at = "$.lines[1]."
+    assert [r.errors for r in orders.canonical_errors(df).sort("i").collect()] == [
+        [], ["$.lines[1]: object expected"], [at + "quantity: required"],
+        [at + "quantity: must be at most 999", at + "skuId: string expected"],
+        [at + "quantity: must be at least 1", at + "skuId: does not match the pattern"],
+        ["$.lines: must have at most 50 items"]]
+
+
+
 def transcript(spark, rows):
     fields = ["ts", "n", "kind", "ref", "status", "time_ms", "error_code", "order_id"]
     data = [(dt.datetime(2026, 1, 1, 0, 0, r[0]), i, *r[1:]) for i, r in enumerate(rows)]

@@ -30,7 +30,7 @@ def is_there(found: Column) -> Column:
 
 
 def is_number(found: Column) -> Column:
-    return F.coalesce(F.regexp_extract(found["kind"], "^[A-Z]+", 0).isin(*_NUMBERS), F.lit(False))
+    return F.coalesce(F.substring_index(found["kind"], "(", 1).isin(*_NUMBERS), F.lit(False))
 
 
 def is_string(found: Column) -> Column:
@@ -39,7 +39,7 @@ def is_string(found: Column) -> Column:
 
 def whole(node: Column, path: str, number: str) -> Column:
     """A JSON number as `int` or `bigint` without its fraction; null for anything else and beyond the range."""
-    named = F.regexp_extract(kind(field(node, path)), "^[A-Z]+", 0).isin(*_NUMBERS)
+    named = F.substring_index(kind(field(node, path)), "(", 1).isin(*_NUMBERS)
     return F.when(named, F.try_variant_get(node, f"$.{path}", number))
 
 
@@ -55,14 +55,19 @@ def text(node: Column, path: str) -> Column:
                   F.when(nested, F.lit("")).otherwise(found)).otherwise(found)
 
 
-def items(node: Column, path: str) -> Column:
-    """The elements of an array, null for anything else."""
-    return F.try_variant_get(node, f"$.{path}", "array<variant>")
+def items(node: Column, path: str = "") -> Column:
+    """The elements of an array, the node itself or below an object, null for anything else."""
+    return F.try_variant_get(node, f"$.{path}" if path else "$", "array<variant>")
 
 
-def names(node: Column) -> Column:
-    """The field names of an object, null for anything else."""
-    return F.map_keys(F.try_variant_get(node, "$", "map<string,variant>"))
+def fields(node: Column) -> Column:
+    """The fields of an object by name, null for anything else."""
+    return F.try_variant_get(node, "$", "map<string,variant>")
+
+
+def text_of(node: Column) -> Column:
+    """The text of a leaf."""
+    return F.try_variant_get(node, "$", "string")
 
 
 def once(df, **columns: Column):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import line_total
 from tidemark.functions.text import is_blank
-from tidemark.functions.variants import field, items, names, once, text, whole
+from tidemark.functions.variants import field, fields, items, once, text, whole
 from tidemark.operators.latest import first_per_key
 
 # Routes and outcomes; below, the reasons of the order-event contract.
@@ -67,7 +67,7 @@ def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     e = lambda path: text(doc, path)
     offers = F.coalesce("_offers", F.array().cast("array<struct<sku_id:string,amount:bigint,currency:string>>"))
     lines = F.transform("_lines", lambda line: _resolved_line(line, offers))
-    keys = once(read, _json=doc.isNotNull(), _object=names(doc).isNotNull(), order_id=e("orderId"),
+    keys = once(read, _json=doc.isNotNull(), _object=fields(doc).isNotNull(), order_id=e("orderId"),
                 external_order_ref=e("externalOrderRef"), source_system=e("audit.sourceSystem"), lines=lines)
     # What the reason does not need is a plain projection, so that a query that does not ask for it does not read it.
     staged = keys.select(

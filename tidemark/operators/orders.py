@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import money
 from tidemark.functions.text import is_blank
-from tidemark.functions.variants import field, is_number, is_string, is_there, items, leaf, names, once
+from tidemark.functions.variants import fields, is_number, is_string, is_there, items, kind, leaf, once, text_of
 from tidemark.operators.sequence import number_rows
 from tidemark.operators.sequence import order_id as erp_order_id
 
@@ -24,51 +27,47 @@ LINE_KEYS = ("skuId", "quantity")
 AUDIT_KEYS = ("sourceSystem", "receivedAt", "correlationId")
 
 
-def _at(found: Column, path: Column, *faults: tuple[Column, str]) -> list[Column]:
-    """Messages for the faults of a field that is there."""
-    return [F.when(is_there(found) & F.coalesce(bad, F.lit(False)), F.concat(path, F.lit(f": {say}")))
-            for bad, say in faults]
-
-
-def _required(found: Column, path: Column) -> Column:
-    return F.when(~is_there(found), F.concat(path, F.lit(": required")))
+def _fault(found: Column, path: Column, *faults: tuple[Column, str], required: bool = True) -> Column:
+    """The message of a field, null for a good one: its first fault."""
+    first = F.when(~is_there(found), F.concat(path, F.lit(": required")) if required else F.lit(None).cast("string"))
+    for bad, say in faults:
+        first = first.when(bad, F.concat(path, F.lit(f": {say}")))
+    return first
 
 
-def _string(found: Column, path: Column, minimum: int = 0, most: int | None = MAX_TEXT,
-            pattern: str | None = None, say: str = "does not match the pattern") -> list[Column]:
-    """A text field: its JSON type first; lengths and patterns only concern texts."""
-    value = F.when(is_string(found), found["text"])
+def _string(found: Column, path: Column, minimum: int = 0, most: int | None = MAX_TEXT, pattern: str | None = None,
+            say: str = "does not match the pattern", required: bool = True) -> Column:
+    """The message of a text field: its JSON type first; lengths and patterns only concern texts."""
     faults = [(~is_string(found), "string expected")]
     if minimum:
-        faults.append((F.length(value) < minimum, f"must be at least {minimum} characters long"))
+        faults.append((F.length(found["text"]) < minimum, f"must be at least {minimum} characters long"))
     if most is not None:
-        faults.append((F.length(value) > most, f"must be at most {most} characters long"))
+        faults.append((F.length(found["text"]) > most, f"must be at most {most} characters long"))
     if pattern is not None:
-        faults.append((~value.rlike(pattern), say))
-    return _at(found, path, *faults)
+        faults.append((~found["text"].rlike(pattern), say))
+    return _fault(found, path, *faults, required=required)
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _extra(found: Column, allowed: tuple[str, ...], path: Column) -> Column:
-    unknown = F.array_except(found, F.array(*[F.lit(k) for k in allowed]))
-    return F.coalesce(F.transform(unknown, lambda k: F.concat(path, F.lit("."), k, F.lit(": not allowed"))),
-                      F.array().cast("array<string>"))
+    """Messages for unknown names. They are only looked for where the known ones are not all the fields."""
+    known = functools.reduce(operator.add, [found[k].isNotNull().cast("int") for k in allowed])
+    unknown = F.array_except(F.map_keys(found), F.array(*[F.lit(k) for k in allowed]))
+    said = F.transform(unknown, lambda k: F.concat(path, F.lit("."), k, F.lit(": not allowed")))
+    return F.when(found.isNull() | (F.size(found) == known), _none()).otherwise(said)
 
 
 def _present(messages: list[Column]) -> Column:
-    return F.filter(F.array(*messages), lambda e: e.isNotNull())
+    """The messages that are there. All differ; a filter's lambda would have them interpreted instead of compiled."""
+    return F.array_except(F.array(*messages), F.array(F.lit(None).cast("string")))
 
 
 def _line(line: Column) -> Column:
     """What the rules ask of a line."""
-    return F.struct(names(line).alias("names"), leaf(line, "skuId").alias("sku"), leaf(line, "quantity").alias("quantity"))
-
-
-def _is_good(line: Column) -> Column:
-    """A line without any fault, so that messages are only made for the others."""
-    number = line["quantity"]["text"].try_cast("double")
-    good = is_string(line["sku"]) & line["sku"]["text"].rlike(SKU_PATTERN) & is_number(line["quantity"]) & (
-        number == F.floor(number)) & number.between(1, MAX_QUANTITY) & (F.size(line["names"]) == len(LINE_KEYS))
-    return F.coalesce(good, F.lit(False))
+    return F.struct(fields(line).alias("has"), leaf(line, "skuId").alias("sku"), leaf(line, "quantity").alias("quantity"))
 
 
 def _line_errors(line: Column, i: Column) -> Column:
@@ -77,63 +76,66 @@ def _line_errors(line: Column, i: Column) -> Column:
     in_line = lambda name: F.concat(at, F.lit(f".{name}"))
     number = F.when(is_number(quantity), quantity["text"].try_cast("double"))
     own = _present([
-        _required(sku, in_line("skuId")), *_string(sku, in_line("skuId"), most=None, pattern=SKU_PATTERN),
-        _required(quantity, in_line("quantity")),
-        *_at(quantity, in_line("quantity"),
-             (number.isNull() | (number != F.floor(number)), "integer expected"),
-             (number < 1, "must be at least 1"), (number > MAX_QUANTITY, f"must be at most {MAX_QUANTITY}"))])
-    faults = F.when(line["names"].isNull(), F.array(F.concat(at, F.lit(": object expected")))).otherwise(
-        F.concat(own, _extra(line["names"], LINE_KEYS, at)))
-    return F.when(_is_good(line), F.array().cast("array<string>")).otherwise(faults)
+        _string(sku, in_line("skuId"), most=None, pattern=SKU_PATTERN),
+        _fault(quantity, in_line("quantity"), (number.isNull() | (number != F.floor(number)), "integer expected")),
+        _fault(quantity, in_line("quantity"), (number < 1, "must be at least 1"),
+               (number > MAX_QUANTITY, f"must be at most {MAX_QUANTITY}"), required=False)])
+    return F.when(line["has"].isNull(), F.array(F.concat(at, F.lit(": object expected")))).otherwise(
+        F.concat(own, _extra(line["has"], LINE_KEYS, at)))
 
 
 #: Text fields of an order and of its audit block, by the name of their leaf.
 _FIELDS = {"ref": "externalOrderRef", "system": "sourceSystem", "store": "storeId", "channel": "channel",
-           "customer": "customerRef", "stamp_system": "audit.sourceSystem",
-           "received": "audit.receivedAt", "correlation": "audit.correlationId"}
+           "customer": "customerRef"}
+_STAMP_FIELDS = {"stamp_system": "sourceSystem", "received": "receivedAt", "correlation": "correlationId"}
+
+#: JSON type of an array of lines of which none has another name or type; a line or field may still be null or missing.
+_PLAIN_LINES = "ARRAY<OBJECT<quantity: BIGINT, skuId: STRING>>"
 
 
 def canonical_errors(df: DataFrame, value: str = "value") -> DataFrame:
     """Add `errors`: the sorted messages of the closed canonical schema, empty for a valid order.
 
     Checked are JSON types, required fields, lengths, patterns, enums, 1 to 50 lines, whole quantities from 1 to 999
-    (2.0 is whole), the receive time and unknown fields at every level. A message is parsed once, into a variant, and its
-    fields are read once, into their types and texts.
+    (2.0 is whole), the receive time and unknown fields at every level. A message is parsed once, into a variant, whose
+    objects are opened once. Lines whose common type and values are right are not read one by one.
     """
-    none = F.array().cast("array<string>")
     parsed = once(df, _doc=F.try_parse_json(value))
-    doc = F.col("_doc")
-    read = once(parsed, _json=doc.isNotNull(), _names=names(doc), _stamp=names(field(doc, "audit")),
-                _rows=F.transform(items(doc, "lines"), _line), _has_lines=field(doc, "lines").isNotNull(),
-                _has_audit=field(doc, "audit").isNotNull(),
-                **{f"_{name}": leaf(doc, path) for name, path in _FIELDS.items()})
-    c = {name: F.col(f"_{name}") for name in _FIELDS}
-    path = {name: F.lit(f"$.{place}") for name, place in _FIELDS.items()}
-    rows, stamped = F.col("_rows"), F.col("_stamp").isNotNull()
+    opened = once(parsed, _json=F.col("_doc").isNotNull(), _has=fields(F.col("_doc")))
+    has, stamp_has = F.col("_has"), F.col("_stamp_has")
+    opened = once(opened, _stamp_has=fields(has["audit"]), _lines_kind=kind(has["lines"]))
+    leaves = {f"_{name}": F.struct(kind(found[key]).alias("kind"), text_of(found[key]).alias("text"))
+              for found, keys in ((has, _FIELDS), (stamp_has, _STAMP_FIELDS)) for name, key in keys.items()}
+    read = once(opened, _size=F.when(F.col("_lines_kind").startswith("ARRAY"), F.size(items(has["lines"]))),
+                _plain=F.when(F.col("_lines_kind") == _PLAIN_LINES,
+                              F.try_variant_get(has["lines"], "$", "array<struct<skuId:string,quantity:bigint>>")),
+                **leaves)
+    c = {name: F.col(f"_{name}") for name in (*_FIELDS, *_STAMP_FIELDS)}
+    path = {name: F.lit(f"$.{key}") for name, key in _FIELDS.items()} | {
+        name: F.lit(f"$.audit.{key}") for name, key in _STAMP_FIELDS.items()}
+    stamped, size = stamp_has.isNotNull(), F.col("_size")
     enumerated = is_string(c["channel"]) & F.coalesce(c["channel"]["text"].isin(*CHANNELS), F.lit(False))
 
-    def required(name: str) -> Column:
-        return _required(c[name], path[name])
-
     own = _present([
-        required("ref"), *_string(c["ref"], path["ref"], 1), required("system"), *_string(c["system"], path["system"], 1),
-        required("store"), *_string(c["store"], path["store"], most=None, pattern=STORE_PATTERN),
-        required("channel"), *_at(c["channel"], path["channel"], (~enumerated, "not in the enumeration")),
-        *_string(c["customer"], path["customer"]),
-        F.when(~F.col("_has_lines"), F.lit("$.lines: required")).when(rows.isNull(), F.lit("$.lines: array expected"))
-        .when(F.size(rows) == 0, F.lit("$.lines: must have at least 1 item"))
-        .when(F.size(rows) > MAX_LINES, F.lit(f"$.lines: must have at most {MAX_LINES} items")),
-        F.when(~F.col("_has_audit"), F.lit("$.audit: required")).when(~stamped, F.lit("$.audit: object expected")),
+        _string(c["ref"], path["ref"], 1), _string(c["system"], path["system"], 1),
+        _string(c["store"], path["store"], most=None, pattern=STORE_PATTERN),
+        _fault(c["channel"], path["channel"], (~enumerated, "not in the enumeration")),
+        _string(c["customer"], path["customer"], required=False),
+        F.when(has["lines"].isNull(), F.lit("$.lines: required")).when(size.isNull(), F.lit("$.lines: array expected"))
+        .when(size == 0, F.lit("$.lines: must have at least 1 item"))
+        .when(size > MAX_LINES, F.lit(f"$.lines: must have at most {MAX_LINES} items")),
+        F.when(has["audit"].isNull(), F.lit("$.audit: required")).when(~stamped, F.lit("$.audit: object expected")),
         *[F.when(stamped, m) for m in (
-            required("stamp_system"), *_string(c["stamp_system"], path["stamp_system"], 1),
-            required("correlation"), *_string(c["correlation"], path["correlation"], 1),
-            required("received"), *_string(c["received"], path["received"], most=None, pattern=DATE_TIME_PATTERN,
-                                           say="date-time expected"))],
+            _string(c["stamp_system"], path["stamp_system"], 1), _string(c["correlation"], path["correlation"], 1),
+            _string(c["received"], path["received"], most=None, pattern=DATE_TIME_PATTERN, say="date-time expected"))],
     ])
-    found = F.concat(own, F.coalesce(F.flatten(F.transform(rows, _line_errors)), none),
-                     _extra(F.col("_names"), ORDER_KEYS, F.lit("$")), _extra(F.col("_stamp"), AUDIT_KEYS, F.lit("$.audit")))
+    good = F.forall("_plain", lambda x: F.coalesce(
+        x["skuId"].rlike(SKU_PATTERN) & x["quantity"].between(1, MAX_QUANTITY), F.lit(False)))
+    read_lines = F.transform(F.transform(items(has["lines"]), _line), _line_errors)
+    in_lines = F.when(F.coalesce(size, F.lit(0)) == 0, _none()).when(good, _none()).otherwise(F.flatten(read_lines))
+    found = F.concat(own, in_lines, _extra(has, ORDER_KEYS, F.lit("$")), _extra(stamp_has, AUDIT_KEYS, F.lit("$.audit")))
     errors = (F.when(~F.col("_json"), F.array(F.lit("request body is not valid JSON")))
-              .when(F.col("_names").isNull(), F.array(F.lit("$: object expected"))).otherwise(F.array_sort(found)))
+              .when(has.isNull(), F.array(F.lit("$: object expected"))).otherwise(F.sort_array(found)))
     return read.select(*df.columns, errors.alias("errors"))
 
 

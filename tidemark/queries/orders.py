@@ -12,7 +12,7 @@ from tidemark.operators import asof, claims, events, ingest, latest, orders, seq
 from tidemark.queries import sql as q
 from tidemark.queries.registry import query
 from tidemark.session import written
-from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded, replaced
+from tidemark.sources.adapters import REPLAY_MS, TEST_SECRET, Tables, materialized, padded, replaced, sku_of_part
 from tidemark.sources.lake import price_list
 
 KNOWN_STORES_SQL = "('ST-CA-01','ST-CA-02','ST-CA-03','ST-SG-01','ST-SG-02','ST-SG-03','ST-CN-01','ST-CN-02')"
@@ -174,11 +174,11 @@ def order_job(t: Tables) -> DataFrame:
 
 
 def canonical_requests(t: Tables) -> DataFrame:
-    """Canonical order JSON with one kind of schema fault per remainder."""
+    """Canonical order JSON with one kind of schema fault per remainder; prices of parts are not needed for it."""
     f = F.col("l_partkey") % 28
-    qty = F.when(f.isin(7, 15), 0).when(f == 8, 1000).otherwise(F.col("quantity"))
+    qty = F.when(f.isin(7, 15), 0).when(f == 8, 1000).otherwise(F.col("l_quantity").cast("int"))
     line = F.struct(
-        F.when(f == 6, "BAD").otherwise(F.col("sku_id")).alias("skuId"), qty.alias("quantity"),
+        F.when(f == 6, "BAD").otherwise(sku_of_part(F.col("l_partkey"))).alias("skuId"), qty.alias("quantity"),
         F.when(f == 12, F.lit(5)).alias("price"))
     stamp = F.struct(
         F.lit("WEB").alias("sourceSystem"),
@@ -202,7 +202,7 @@ def canonical_requests(t: Tables) -> DataFrame:
         23: ('"lines":\\[([^\\]]*)\\]', '"lines":[7]'), 24: ('"channel":"POS"', '"channel":null'),
         25: ('"audit":\\{[^}]*\\}', '"audit":"now"')})
     value = F.when(f == 13, "{oops").when(f == 26, "[1]").otherwise(text)
-    return materialized(t.line_versions(), value=value).select("order_id", "value")
+    return materialized(t.order_lines(), value=value).select("value")
 
 
 @query("canonical_validation", q.with_("""

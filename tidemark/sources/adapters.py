@@ -33,6 +33,10 @@ def padded(prefix: str, number: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
 
 
+def sku_of_part(part: Column) -> Column:
+    return padded("SKU-", part % 50 + 1, 4)
+
+
 def region_by(number: Column) -> Column:
     """Region of a number modulo 3."""
     return F.when(number % 3 == 0, "CA").when(number % 3 == 1, "SG").otherwise("CN")
@@ -132,19 +136,22 @@ class Tables:
             *ORDER_FIELDS, "kafka_partition", "kafka_offset",
             F.timestamp_millis("ingested_at_ms").alias("ingested_at"))
 
+    def order_lines(self) -> DataFrame:
+        """lineitem ⋈ orders with the retail region and currency."""
+        base = self.order_base().select("o_orderkey", "o_custkey", "region", "currency")
+        return self.table("lineitem").join(base, F.col("l_orderkey") == F.col("o_orderkey"))
+
     def line_versions(self) -> DataFrame:
         """Line changes: lineitem rows of one (order, line) are versions, the return flag is the op."""
-        base = self.order_base().select("o_orderkey", "o_custkey", "region", "currency")
         part = self.table("part").select("p_partkey", "p_retailprice")
         flag = F.col("l_returnflag")
         return (
-            self.table("lineitem")
-            .join(base, F.col("l_orderkey") == F.col("o_orderkey"))
+            self.order_lines()
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 padded("ORD-", F.col("l_orderkey"), 12).alias("order_id"),
                 F.col("l_linenumber").alias("line_no"),
-                padded("SKU-", F.col("l_partkey") % 50 + 1, 4).alias("sku_id"),
+                sku_of_part(F.col("l_partkey")).alias("sku_id"),
                 F.col("l_quantity").cast("int").alias("quantity"),
                 money.to_minor(F.col("p_retailprice")).alias("unit_price_minor"),
                 F.col("currency"),
