@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 
 from tidemark.llm import bpe, langid, quality, secrets, token_counts
+from tidemark.llm.common import giving_back
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -263,3 +264,17 @@ def test_language_of_odd_rows(table):
     assert langid.predictions(none, PIECES).count() == 0
     unlabelled = table([(1, "some words", None)], "doc_id long, text string, lang string", name="u")
     assert [tuple(r)[2:] for r in langid.predictions(unlabelled, PIECES).collect()] == [("und", 0.0)]
+
+
+def test_workers_give_back_what_a_task_took():
+    pages = lambda: int(open("/proc/self/statm").read().split()[1]) // 256
+    kept = []
+
+    def rows(batches):
+        taken = [bytearray(os.urandom(1)) * 60_000 for _ in range(5_000)]
+        kept.append(bytearray(60_000))  # lies above the others, which therefore are not returned by themselves
+        yield len(taken)
+
+    before = pages()
+    assert list(giving_back(rows)(iter([]))) == [5_000]
+    assert pages() - before < 100

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import BLOCK_WORDS, cut, list_lengths, packed, ragged, unpacked
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import giving_back, whole_text
 
 PARTS, NEAR = 64, 256
 
@@ -148,6 +148,7 @@ def encoded_blocks(docs: DataFrame, path: str, id_col: str, text_col: str,
     split = split_words(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @giving_back
     def words_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, lists in blocks(batches, path, block):
             _, words, part = distinct_words(lists)
@@ -158,6 +159,7 @@ def encoded_blocks(docs: DataFrame, path: str, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([
                     ("block", pa.string()), ("near", pa.int32()), ("part", pa.int32()), ("words", pa.binary())]))
 
+    @giving_back
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for batch in batches:
@@ -174,6 +176,7 @@ def encoded_blocks(docs: DataFrame, path: str, id_col: str, text_col: str,
             yield pa.RecordBatch.from_pylist(rows, pa.schema([
                 ("block", pa.string()), ("part", pa.int32()), ("ids", pa.binary())]))
 
+    @giving_back
     def places_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, lists in blocks(batches, path, block):
             index, words, part = distinct_words(lists)
@@ -226,6 +229,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     row = F.struct(*encoded.columns).alias("row")
     rows = encoded.select(row, F.col("ids").alias("todo"))
 
+    @giving_back
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = decoded_texts(batch["todo"], path)

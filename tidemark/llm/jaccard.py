@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import (Windows, ascii_words, cut, list_lengths, mixed, ragged, with_words,
                                  word_hashes)
-from tidemark.llm.common import once, stored, whole_text
+from tidemark.llm.common import giving_back, once, stored, whole_text
 from tidemark.llm.exact_dedup import possibly_repeated, with_filter_place
 
 SHINGLE, TOKENS, RUNS, DRAWN, DRAWN_LATER = 5, 64, 6, 2.0, 1.25
@@ -221,6 +221,7 @@ def block_rows(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatc
                                  pa.array(b[np.argsort(a, kind="stable")]))], ["key", "node", "others"])
 
 
+@giving_back
 def partners_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates of buckets by blocks: a large bucket gives blocks of at most 2 x `BLOCK` nodes, small ones share one."""
     for table in whole_buckets(batches):
@@ -240,6 +241,7 @@ def partners_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                                  node[j[lo:hi]])
 
 
+@giving_back
 def links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among the candidates of blocks: the number of every linked node, and a spanning forest with `near`."""
     for table in whole_buckets(batches):
@@ -283,6 +285,7 @@ def block_links(block: pa.Table) -> pa.RecordBatch:
         pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(edges)])], ["node", "links", "near"])
 
 
+@giving_back
 def next_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The paths of nodes that go on."""
     for batch in batches:
@@ -304,6 +307,7 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id")).alias("of"),
         whole_text(text_col).alias("text"))
 
+    @giving_back
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in cut(with_words(batches)):
             hashes, counts = shingles(batch["words"])
@@ -329,6 +333,7 @@ PATH_TYPE = "key bigint, node bigint"
 
 def first_buckets(known: DataFrame, first: int = 0, runs: int = RUNS) -> DataFrame:
     """Stored: the nodes of every bucket of the first level (key, node) in the runs from `first` to before `runs`."""
+    @giving_back
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, tokens = batch["node"].to_numpy(), matrix(batch["sketch"])
@@ -435,6 +440,7 @@ def exact_sets(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
     one = likely.groupBy("digest", "salt").agg(F.first("words").alias("words")).groupBy("digest").agg(
         F.first("words").alias("words"))
 
+    @giving_back
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in cut(batches):
             hashes, counts = shingles(batch["words"])

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import cut
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import giving_back, whole_text
 
 TRAIN_DOCS, TRAIN_CHARS = 1000, 1_000_000
 LONGEST, MAX_PIECE, EVIDENCE, ROUNDS = 32, 8, 50, 2
@@ -231,6 +231,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: list[
     carried = F.struct(*(docs.columns if carry is None else carry)).alias("row")
     rows = docs.select(carried, letters(whole_text(text_col)).alias("words"))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in cut(batches):
             lang, score = predict_batch(model, batch["words"])
