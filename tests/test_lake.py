@@ -246,6 +246,38 @@ def test_objects_are_bounded(spark, monkeypatch):
         (0, 0, 3, 4), (0, 4, 5, 2), (1, 6, 9, 4), (1, 10, 11, 2)]
 
 
+def test_messages_of_a_landing_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        made.add(1)
+        return value
+
+    rows = landing.bronze_rows(landing.route(messages(spark, [order(f"K{i}") for i in range(50)])), "a")
+    lake = Lake(scratch_path(spark, "lake"))
+    land_objects(rows.withColumn("value", F.udf(seen)("value")), lake.bronze, "a")
+    assert made.value == 50 and object_scan(spark, lake.bronze).count() == 50
+
+
+def test_objects_go_on_over_batches_and_close_by_bytes(spark, monkeypatch):
+    from tidemark.sinks import objects
+    import pyarrow as pa
+
+    writer = objects.ObjectWriter(objects.Target(scratch_path(spark, "objects"), "x"))
+    monkeypatch.setattr(objects, "OBJECT_BYTES", 10)
+    values = ["aa", "b\r\nb", "c", "x" * 30, "", "é", "ddddd", "eeeeee"]
+    rows = [("CA", "t", "20260912", "oms.cdc", 0, i, v) for i, v in enumerate(values)]
+    batch = lambda part: pa.RecordBatch.from_pylist(
+        [dict(zip((*objects._GROUP, "offset", "value"), r)) for r in part],
+        schema=pa.schema([*[(c, pa.string()) for c in objects._GROUP[:4]], ("partition", pa.int32()),
+                          ("offset", pa.int64()), ("value", pa.string())]))
+    found = writer.write(iter([batch(rows[:2]), batch([]), batch(rows[2:])])).found
+    assert [(f["first_offset"], f["last_offset"], f["records"], f["bytes"]) for f in found] == [
+        (0, 2, 3, 9), (3, 3, 1, 31), (4, 6, 3, 10), (7, 7, 1, 7)]
+    text = [pathlib.Path(writer.target.root, f["object"]).read_text() for f in found]
+    assert text == ["aa\nb b\nc\n", "x" * 30 + "\n", "\né\nddddd\n", "eeeeee\n"]
+
+
 def test_strict_landing_stops_on_a_foreign_region(spark):
     routed = landing.route(messages(spark, [envelope("c", "A", region="EU")]))
     with pytest.raises(Exception, match="BRONZE-REJECT region=EU"):
