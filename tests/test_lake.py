@@ -246,6 +246,22 @@ def test_objects_are_bounded(spark, monkeypatch):
         (0, 0, 3, 4), (0, 4, 5, 2), (1, 6, 9, 4), (1, 10, 11, 2)]
 
 
+def test_silver_takes_the_named_fields_and_the_key_of_a_deleted_row(spark):
+    rows = messages(spark, [order("A"), order("B"), envelope("d", "B", ts=10**15)])
+    whole, some = silver.silver_orders(rows), silver.silver_orders(rows, fields=("currency", "status"))
+    assert some.columns == ["currency", "status", "source_ts_ms"]
+    assert [r.order_id for r in whole.collect()] == ["A"]
+    assert some.collect() == whole.select("currency", "status", "source_ts_ms").collect()
+
+
+def test_orders_of_a_comparison_are_read_from_messages_once(spark):
+    from tidemark.queries import lake as lake_queries
+    from tidemark.sources.adapters import Tables
+
+    plan = lake_queries.recon_frames(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("from_json") == 1  # that of the lines
+
+
 def test_messages_of_a_landing_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
