@@ -262,6 +262,21 @@ def test_orders_of_a_comparison_are_read_from_messages_once(spark):
     assert plan.toString().count("from_json") == 1  # that of the lines
 
 
+def test_lines_of_a_roundtrip_are_computed_once(spark, monkeypatch):
+    from tidemark.queries import jobs as job_queries
+    from tidemark.sources.adapters import Tables
+
+    plans, replace_day = [], job_queries.tables.replace_day
+
+    def seen(df, path, day):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return replace_day(df, path, day)
+
+    monkeypatch.setattr(job_queries.tables, "replace_day", seen)
+    job_queries.silver_gold_roundtrip(Tables(spark, "/root/testdata/sf0.001")).collect()
+    assert len(plans) == 5 and not any("Aggregate" in p or "Join" in p for p in plans)
+
+
 def test_messages_of_a_landing_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 

@@ -65,8 +65,9 @@ UNION ALL SELECT '20260914', CAST(0 AS BIGINT), CAST(NULL AS BIGINT)""", *q.LINE
 def silver_gold_roundtrip(t: Tables) -> DataFrame:
     """Write one day twice, another once, and rerun a third without rows: one copy each, and none of the third."""
     path = scratch_path(t.spark, "gold")
-    lines = oq.live_lines(t).withColumn(
-        "line_total_minor", F.col("quantity").cast("bigint") * F.col("unit_price_minor"))
+    lines = written(oq.live_lines(t).withColumn(
+        "line_total_minor", F.col("quantity").cast("bigint") * F.col("unit_price_minor")).select(
+        *gold.FACT_LINE_COLUMNS), "live-lines")
     for day in (REPLAY_DATE, REPLAY_DATE, dt.date(2026, 9, 13), dt.date(2026, 9, 14)):
         tables.replace_day(gold.fact_order_lines(lines, day), path, f"{day:%Y%m%d}")
     tables.replace_day(gold.fact_order_lines(lines.where("false"), day), path, f"{day:%Y%m%d}")
