@@ -83,6 +83,52 @@ def test_messages_of_repeated_batches_are_made_once(spark, monkeypatch, name):
     assert len(plans) >= 2 and not any("to_json" in plan or "structstojson" in plan for plan in plans)
 
 
+@pytest.mark.parametrize("name", ["event_store_replay", "ingest_outcomes"])
+def test_messages_of_repeated_batches_are_parsed_once(spark, monkeypatch, name):
+    parses, wide = [], []
+    parse, first = ingest.parse_events, ingest.first_events
+    monkeypatch.setattr(ingest, "parse_events", lambda rows: parses.append(1) or parse(rows))
+    monkeypatch.setattr(ingest, "first_events", lambda rows: wide.append("value" in rows.columns) or first(rows))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(parses) == 1
+    # batches after the first look for what is new by keys alone
+    assert wide == [True] + [False] * (len(wide) - 1) and len(wide) >= 2
+
+
+def test_batches_of_routed_messages_are_stored_like_others(spark, tmp_path):
+    for path, rows in ((tmp_path / "a", messages_of(spark, "W-1", "W-1", "W-2", " ")),
+                       (tmp_path / "b", session.written(store.routed_messages(
+                           messages_of(spark, "W-1", "W-1", "W-2", " ")), "messages"))):
+        store.store_batch(rows, str(path), 0, "a")
+        store.store_batch(rows, str(path), 1, "a")
+        assert stored_refs(spark, str(path)) == ["W-1", "W-2"]
+        found = {(r.batch_id, r.route, r.n) for r in spark.read.parquet(f"{path}/outcomes").collect() if r.n}
+        assert found == {("0", "STORED", 2), ("0", "REPLAY", 1), ("0", "POISON", 1), ("1", "REPLAY", 3), ("1", "POISON", 1)}
+
+
+def test_settings_of_a_block_are_taken_back(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), session.settings(spark, session.LONG_JOB):
+        assert spark.conf.get(key) == "4m"
+        1 / 0
+    assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("lines", [[None], [7], "x", {"skuId": "S"}, [{"skuId": ["S"], "quantity": True}]])
+def test_lines_of_another_shape(spark, lines):
+    row = parsed(spark, event(lines=lines)).first()
+    if isinstance(lines, list):
+        assert row.reason == "lines[0] is missing skuId or quantity" and len(row.lines) == 1
+    else:
+        assert row.reason is None and row.lines is None
+
+
+def test_a_message_is_read_by_few_casts(spark):
+    plan = plan_of(ingest.routed(parsed(spark, event())))
+    assert "$.skuid" not in plan and "$.quantity" not in plan and "map<string,variant>" not in plan
+
+
 def test_replay_split_parses_before_it_splits(spark):
     plan = plan_of(QUERIES["replay_split"](spark, "/root/testdata/sf0.001"))
     assert "parse_json" not in plan and "parsejson" not in plan

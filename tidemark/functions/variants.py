@@ -37,19 +37,31 @@ def is_string(found: Column) -> Column:
     return F.coalesce(found["kind"] == "STRING", F.lit(False))
 
 
-def whole(node: Column, path: str, number: str) -> Column:
-    """A JSON number as `int` or `bigint` without its fraction; null for anything else and beyond the range."""
-    named = F.substring_index(kind(field(node, path)), "(", 1).isin(*_NUMBERS)
-    return F.when(named, F.try_variant_get(node, f"$.{path}", number))
+def cast_to(node: Column, schema: str, path: str = "") -> Column:
+    """The node, or a field below it, as a typed value in one pass: null for another shape, at any depth for itself only.
+
+    A leaf of type `variant` keeps its JSON type; a field that is not there is null.
+    """
+    return F.try_variant_get(node, f"$.{path}" if path else "$", schema)
+
+
+def whole(node: Column, path: str, number: str, found: Column | None = None) -> Column:
+    """A JSON number as `int` or `bigint` without its fraction; null for anything else and beyond the range.
+
+    Without a path it is the node itself. `found` is the number as a cast gave it, if there was one.
+    """
+    named = F.substring_index(kind(field(node, path) if path else node), "(", 1).isin(*_NUMBERS)
+    return F.when(named, cast_to(node, number, path) if found is None else found)
 
 
-def text(node: Column, path: str) -> Column:
-    """A field as text, null for JSON null, empty for objects and arrays.
+def text(node: Column, path: str = "", found: Column | None = None) -> Column:
+    """A field, or the node itself, as text: null for JSON null, empty for objects and arrays.
 
-    Its JSON type, which costs more than the text, is only asked for a text that may be an object or an array.
+    Its JSON type, which costs more than the text, is only asked for a text that may be an object or an array. `found` is
+    the text as a cast gave it, if there was one.
     """
-    found = F.try_variant_get(node, f"$.{path}", "string")
-    named = kind(field(node, path))
+    found = cast_to(node, "string", path) if found is None else found
+    named = kind(field(node, path) if path else node)
     nested = named.startswith("OBJECT") | named.startswith("ARRAY")
     return F.when(F.coalesce(F.substring(found, 1, 1), F.lit("")).isin("{", "["),
                   F.when(nested, F.lit("")).otherwise(found)).otherwise(found)

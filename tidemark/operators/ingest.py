@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import line_total
 from tidemark.functions.text import is_blank
-from tidemark.functions.variants import field, fields, items, once, text, whole
+from tidemark.functions.variants import cast_to, once, text, whole
 from tidemark.operators.latest import first_per_key
 
 # Routes and outcomes; below, the reasons of the order-event contract.
@@ -16,16 +16,29 @@ BUSINESS_KEY = ("source_system", "external_order_ref")
 ARRIVAL = ("timestamp", "partition", "offset")
 
 
-def _offer(offer: Column) -> Column:
-    return F.struct(text(offer, "skuId").alias("sku_id"), whole(offer, "amountMinor", "bigint").alias("amount"),
-                    text(offer, "currency").alias("currency"))
+#: What a message is read as, by one cast for each array or object: values, and variants that know the JSON types.
+_OFFERS = "array<struct<skuId:string,amountMinor:bigint,currency:string>>"
+_OFFER_TYPES = "array<struct<skuId:variant,amountMinor:variant,currency:variant>>"
+_LINES = "array<struct<skuId:string,quantity:int,unitPriceMinor:bigint,currency:string>>"
+_LINE_TYPES = "array<struct<skuId:variant,quantity:variant,unitPriceMinor:variant,currency:variant>>"
+_HEAD = ("struct<storeId:string,region:string,customerRef:string,channel:string,status:string,reservationId:string,"
+         "totalAmount:struct<amountMinor:variant,currency:string>,audit:struct<correlationId:string>>")
 
 
-def _line(line: Column) -> Column:
+def _offer(offer: Column, types: Column) -> Column:
     return F.struct(
-        text(line, "skuId").alias("sku_id"), whole(line, "quantity", "int").alias("quantity"),
-        field(line, "unitPriceMinor").isNotNull().alias("priced"),
-        whole(line, "unitPriceMinor", "bigint").alias("price"), text(line, "currency").alias("currency"))
+        text(types["skuId"], found=offer["skuId"]).alias("sku_id"),
+        whole(types["amountMinor"], "", "bigint", offer["amountMinor"]).alias("amount"),
+        text(types["currency"], found=offer["currency"]).alias("currency"))
+
+
+def _line(line: Column, types: Column) -> Column:
+    return F.struct(
+        text(types["skuId"], found=line["skuId"]).alias("sku_id"),
+        whole(types["quantity"], "", "int", line["quantity"]).alias("quantity"),
+        types["unitPriceMinor"].isNotNull().alias("priced"),
+        whole(types["unitPriceMinor"], "", "bigint", line["unitPriceMinor"]).alias("price"),
+        text(types["currency"], found=line["currency"]).alias("currency"))
 
 
 def _resolved_line(line: Column, offers: Column) -> Column:
@@ -62,20 +75,25 @@ def parse_events(records: DataFrame, value: str = "value") -> DataFrame:
     """
     parsed = once(records, _doc=F.try_parse_json(value))
     doc = F.col("_doc")
-    read = once(parsed, _offers=F.transform(items(doc, "unitPrices"), _offer),
-                _lines=F.transform(items(doc, "lines"), _line))
     e = lambda path: text(doc, path)
-    offers = F.coalesce("_offers", F.array().cast("array<struct<sku_id:string,amount:bigint,currency:string>>"))
-    lines = F.transform("_lines", lambda line: _resolved_line(line, offers))
-    keys = once(read, _json=doc.isNotNull(), _object=fields(doc).isNotNull(), order_id=e("orderId"),
-                external_order_ref=e("externalOrderRef"), source_system=e("audit.sourceSystem"), lines=lines)
+    head = lambda path: text(doc, path, F.col(f"_head.{path}"))
+    # Lambdas are interpreted, with all that stands beside them, so they get a step of their own.
+    read = once(
+        parsed, _offers=cast_to(doc, _OFFERS, "unitPrices"), _offer_types=cast_to(doc, _OFFER_TYPES, "unitPrices"),
+        _lines=cast_to(doc, _LINES, "lines"), _line_types=cast_to(doc, _LINE_TYPES, "lines"), _json=doc.isNotNull(),
+        _object=cast_to(doc, "struct<orderId:variant>").isNotNull(), order_id=e("orderId"),
+        external_order_ref=e("externalOrderRef"), source_system=e("audit.sourceSystem"))
+    offers = F.coalesce(F.zip_with("_offers", "_offer_types", _offer),
+                        F.array().cast("array<struct<sku_id:string,amount:bigint,currency:string>>"))
+    keys = once(read, lines=F.zip_with("_lines", "_line_types", lambda line, types: _resolved_line(
+        _line(line, types), offers)))
     # What the reason does not need is a plain projection, so that a query that does not ask for it does not read it.
-    staged = keys.select(
+    staged = keys.withColumn("_head", cast_to(doc, _HEAD)).select(
         *records.columns, "_json", "_object", "order_id", "external_order_ref", "source_system",
-        e("storeId").alias("store_id"), e("region").alias("region"), e("customerRef").alias("customer_ref"),
-        e("channel").alias("channel"), e("status").alias("status"), e("reservationId").alias("reservation_id"),
-        whole(doc, "totalAmount.amountMinor", "bigint").alias("total_amount_minor"),
-        e("totalAmount.currency").alias("currency"), e("audit.correlationId").alias("correlation_id"), "lines")
+        head("storeId").alias("store_id"), head("region").alias("region"), head("customerRef").alias("customer_ref"),
+        head("channel").alias("channel"), head("status").alias("status"), head("reservationId").alias("reservation_id"),
+        whole(F.col("_head.totalAmount.amountMinor"), "", "bigint").alias("total_amount_minor"),
+        head("totalAmount.currency").alias("currency"), head("audit.correlationId").alias("correlation_id"), "lines")
     line_reasons = F.filter(F.transform("lines", _line_reason), lambda r: r.isNotNull())
     reason = (
         F.when(F.col(value).isNull(), F.lit(None).cast("string"))

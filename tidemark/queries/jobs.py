@@ -15,7 +15,7 @@ from tidemark.queries import logs as lg
 from tidemark.queries import orders as oq
 from tidemark.queries import sql as q
 from tidemark.queries.registry import ORACLES, query
-from tidemark.session import scratch_path, written, written_for
+from tidemark.session import LONG_JOB, scratch_path, settings, written, written_for
 from tidemark.sinks import snapshots, store, tables
 from tidemark.sinks.objects import land_objects, object_counts
 from tidemark.sources.adapters import REPLAY_DATE, REPLAY_DT, Tables
@@ -262,11 +262,11 @@ def store_profile(t: Tables, path: str) -> DataFrame:
 def event_store_replay(t: Tables) -> DataFrame:
     """Store half, all and all again, retry, then restart as a new stream at batch 0 with the other half: each once."""
     path = scratch_path(t.spark, "store")
-    half = F.pmod(F.xxhash64(F.get_json_object("value", "$.externalOrderRef")), F.lit(2)) == 0
-    messages = written(t.order_events(), "messages")
-    for stream, batch, rows in (("a", 0, messages.where(half)), ("a", 1, messages), ("a", 1, messages),
-                                ("b", 0, messages.where(~half)), ("b", 1, messages.where("false"))):
-        store.store_batch(rows, path, batch, stream)
+    half = F.pmod(F.xxhash64("external_order_ref"), F.lit(2)) == 0
+    with settings(t.spark, LONG_JOB), written_for(store.routed_messages(t.order_events()), "messages") as messages:
+        for stream, batch, rows in (("a", 0, messages.where(half)), ("a", 1, messages), ("a", 1, messages),
+                                    ("b", 0, messages.where(~half)), ("b", 1, messages.where("false"))):
+            store.store_batch(rows, path, batch, stream)
     return store_profile(t, path)
 
 
@@ -277,9 +277,10 @@ SELECT pass, outcome, CAST(sum(n) AS BIGINT) AS n FROM (
 GROUP BY ALL""", *q.LINES, oq.EVENTS_SQL, oq.OUTCOMES_SQL))
 def ingest_outcomes(t: Tables) -> DataFrame:
     """What became of every message when all are stored, and again when a new stream brings them a second time."""
-    path, messages = scratch_path(t.spark, "store"), written(t.order_events(), "messages")
-    for stream in ("first", "second"):
-        store.store_batch(messages, path, 0, stream)
+    path = scratch_path(t.spark, "store")
+    with settings(t.spark, LONG_JOB), written_for(store.routed_messages(t.order_events()), "messages") as messages:
+        for stream in ("first", "second"):
+            store.store_batch(messages, path, 0, stream)
     return t.spark.read.parquet(f"{path}/outcomes").where("n > 0").groupBy(
         F.col("stream").alias("pass"), F.col("route").alias("outcome")).agg(F.sum("n").alias("n"))
 

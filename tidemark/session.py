@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Runtime settings every job relies on: time zones are explicit (UTC), `dt` stays text on
 #: read-back, a write replaces only the partitions it carries, and the batches that Python workers
@@ -78,6 +79,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Runtime settings for the time of a block; those before come back at its end."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+#: For jobs of many steps: what a step has shuffled is removed from disk when the step ends, not when the driver's memory
+#: happens to be cleaned; and a step that makes or parses messages, which are little to shuffle but much to compute, gets
+#: tasks by small slices, so that the last wave does not idle the cluster.
+LONG_JOB = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+}
+
+
 @contextmanager
 def written_for(df: DataFrame, label: str) -> Iterator[DataFrame]:
     """As `written`, on disk only and as small as it gets, for the time of a block: its space is given back at the end."""
@@ -87,5 +110,5 @@ def written_for(df: DataFrame, label: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        spark.createDataFrame([], df.schema).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static").parquet(path)
+        spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]).write.mode(
+            "overwrite").option("partitionOverwriteMode", "static").parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
-from tidemark.session import written_for
+from tidemark.session import LONG_JOB, settings, written_for
 
 EVENT_COLUMNS = ("order_id", "external_order_ref", "source_system", "store_id", "region", "customer_ref", "channel",
                  "status", "reservation_id", "total_amount_minor", "currency", "correlation_id", "topic", "partition",
@@ -48,6 +48,14 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return known.first().id
 
 
+def routed_messages(records: DataFrame) -> DataFrame:
+    """Messages parsed, routed and numbered, for a scratch table; only those that may be stored keep their text."""
+    routed = ingest.routed(ingest.parse_events(records))
+    text = F.when(F.col("route") == "OK", F.col("value"))
+    return routed.select(*EVENT_COLUMNS, "reason", "route").withColumn("value", text).withColumn(
+        "message_no", F.monotonically_increasing_id())
+
+
 def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "batch") -> None:
     """Parse, route and store one batch of messages of a stream.
 
@@ -56,27 +64,37 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
     earlier attempt, and a stream with a new checkpoint, which counts from 0 again, touches no other's.
     The keys of the store are an index in hash buckets, of which only those of the batch are read. Messages are parsed
     once, into a scratch table that is emptied when the batch is committed, so that no batch has to fit into memory.
+    Records that already lie in such a table (`routed_messages`) are not parsed again. What the store does not hold yet is
+    found by keys and message numbers alone; only those messages are joined to their fields.
     Outcomes count STORED and REPLAY messages besides POISON and TOMBSTONE.
     """
+    if "route" not in records.columns:
+        with written_for(routed_messages(records), "routed") as routed:
+            return store_batch(routed, path, batch_id, stream)
     spark = records.sparkSession
     own = (F.col("stream") == stream) & (F.col("batch_id") == str(batch_id))
     keys = list(ingest.BUSINESS_KEY)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("string")
-    with written_for(ingest.routed(ingest.parse_events(records)), "routed") as routed:
-        good = routed.where("route = 'OK'")
-        fresh = ingest.first_events(good)
+    with settings(spark, LONG_JOB):
+        good = records.where("route = 'OK'")
         index = table_or_none(spark, f"{path}/keys", KEY_INDEX)
-        if index is not None:
+        if index is None:
+            _commit(ingest.first_events(good).select(*EVENT_COLUMNS), f"{path}/events", stream, batch_id)
+        else:
             # at most KEY_BUCKETS values, which prune the folders of the index
             mine = [r[0] for r in good.select(bucket.alias("bucket")).distinct().collect()]
-            fresh = ingest.not_stored(fresh, index.where(F.col("bucket").isin(mine) & ~own).select(*keys))
-        _commit(fresh.select(*EVENT_COLUMNS), f"{path}/events", stream, batch_id)
+            firsts = ingest.first_events(good.select(*keys, *ingest.ARRIVAL, "message_no"))
+            new = ingest.not_stored(firsts, index.where(F.col("bucket").isin(mine) & ~own).select(*keys))
+            # written first, so that the join knows how few they are
+            with written_for(new.select("message_no"), "new") as numbers:
+                fresh = good.join(numbers, "message_no", "left_semi")
+                _commit(fresh.select(*EVENT_COLUMNS), f"{path}/events", stream, batch_id)
         events = spark.read.parquet(f"{path}/events").where(own)
         _commit(events.select(*keys, bucket.alias("bucket")), f"{path}/keys", stream, batch_id, "bucket")
-        poison = routed.where("route = 'POISON'").select("topic", "partition", "offset", "reason")
+        poison = records.where("route = 'POISON'").select("topic", "partition", "offset", "reason")
         _commit(poison, f"{path}/poison", stream, batch_id)
         stored = events.agg(F.count(F.lit(1)).alias("n")).select(F.lit(ingest.STORED).alias("route"), "n")
-        routes = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+        routes = records.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
         # messages that parse and are not stored are replays
         replays = routes.where("route = 'OK'").select("n").unionByName(stored.select((-F.col("n")).alias("n"))).agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(ingest.REPLAY).alias("route"), "n")
@@ -86,7 +104,7 @@ def store_batch(records: DataFrame, path: str, batch_id: int, stream: str = "bat
 
 def _commit(df: DataFrame, path: str, stream: str, batch_id: int, *parts: str) -> None:
     """Replace the folder of one batch of one stream, split by `parts`; an empty result replaces it too."""
-    (df.repartition(*parts) if parts else df).write.mode("overwrite").option(
+    (df.repartition(*parts) if parts else df).write.mode("overwrite").option("compression", "zstd").option(
         "partitionOverwriteMode", "static").partitionBy(*parts).parquet(f"{path}/stream={stream}/batch_id={batch_id}")
 
 
