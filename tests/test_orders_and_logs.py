@@ -1,8 +1,10 @@
 import collections
 import datetime as dt
 import json
+import pathlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,22 @@ def test_settings_of_a_block_are_taken_back(spark):
     assert spark.conf.get(key) == before
 
 
+def test_a_batch_leaves_no_shuffle_files_on_disk(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for d in disk.localDirsString() for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    rows, before = messages_of(spark, "W-1", "W-1", "W-2"), files()
+    for batch in (0, 1):
+        store.store_batch(rows, str(tmp_path / "store"), batch, "a")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+
+
 @pytest.mark.parametrize("lines", [[None], [7], "x", {"skuId": "S"}, [{"skuId": ["S"], "quantity": True}]])
 def test_lines_of_another_shape(spark, lines):
     row = parsed(spark, event(lines=lines)).first()
